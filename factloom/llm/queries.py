@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_decontam
+from factloom.llm import q_decontam, q_token_count
 
-QUERIES = {"op1_decontam": q_decontam.op1_decontam}
+QUERIES = {
+    "op1_decontam": q_decontam.op1_decontam,
+    "op3_token_count": q_token_count.op3_token_count,
+}
 SQL = {"op1_decontam": q_decontam.OP1_SQL}
