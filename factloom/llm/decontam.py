@@ -14,6 +14,7 @@ document is scanned once by each of them.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -30,7 +31,7 @@ _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-_BUILT: dict[int, tuple[ahocorasick.Automaton, list[list[str]]]] = {}
+_BUILT: dict[str, tuple[ahocorasick.Automaton, list[list[str]]]] = {}
 
 _HITS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -48,11 +49,11 @@ def item_windows(text: str | None, width: int) -> set[str]:
 
 
 def _automaton(shared) -> tuple[ahocorasick.Automaton, list[list[str]]]:
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key, patterns = shared.value
     if key not in _BUILT:
         _BUILT.clear()  # one automaton a worker at a time
         built, owners = ahocorasick.Automaton(), []
-        for pattern, items in shared.value:
+        for pattern, items in patterns:
             built.add_word(pattern, (len(owners), len(pattern), pattern.count(" ") - 1))
             owners.append(items)
         if owners:
@@ -124,7 +125,7 @@ def decontaminate(
         for i, t in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).toLocalIterator():
             for p in item_windows(t, width):
                 patterns.setdefault(p, set()).add(i)
-        shared = spark.sparkContext.broadcast([(p, sorted(v)) for p, v in patterns.items()])
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(p, sorted(v)) for p, v in patterns.items()]))
 
         def factory(shared=shared):
             built, owners = _automaton(shared)
