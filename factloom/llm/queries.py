@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_decontam, q_token_count
+from factloom.llm import q_decontam, q_token_count, q_token_file
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
+    "op2_token_file": q_token_file.op2_token_file,
     "op3_token_count": q_token_count.op3_token_count,
 }
 SQL = {"op1_decontam": q_decontam.OP1_SQL}
