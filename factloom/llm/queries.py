@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_decontam, q_mixing, q_token_count, q_token_file
+from factloom.llm import q_decontam, q_mixing, q_token_count, q_token_file, q_topk
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
     "op2_token_file": q_token_file.op2_token_file,
     "op3_token_count": q_token_count.op3_token_count,
     "op5_mixing": q_mixing.op5_mixing,
+    "op8_topk": q_topk.op8_topk,
 }
-SQL = {"op1_decontam": q_decontam.OP1_SQL}
+SQL = {"op1_decontam": q_decontam.OP1_SQL, "op8_topk": q_topk.OP8_SQL}
