@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_decontam, q_langid, q_mixing, q_token_count, q_token_file, q_topk
+from factloom.llm import q_class_lm, q_decontam, q_langid, q_mixing, q_token_count, q_token_file, q_topk
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
     "op2_token_file": q_token_file.op2_token_file,
     "op3_token_count": q_token_count.op3_token_count,
     "op5_mixing": q_mixing.op5_mixing,
+    "op6_class_lm": q_class_lm.op6_class_lm,
     "op8_topk": q_topk.op8_topk,
     "op10_langid": q_langid.op10_langid,
 }
