@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_class_lm, q_decontam, q_langid, q_mixing, q_token_count, q_token_file, q_topk
+from factloom.llm import q_class_lm, q_decontam, q_langid, q_mixing, q_quality, q_token_count, q_token_file, q_topk
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": q_mixing.op5_mixing,
     "op6_class_lm": q_class_lm.op6_class_lm,
     "op8_topk": q_topk.op8_topk,
+    "op9_quality": q_quality.op9_quality,
     "op10_langid": q_langid.op10_langid,
 }
 SQL = {"op1_decontam": q_decontam.OP1_SQL, "op8_topk": q_topk.OP8_SQL}
