@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_class_lm, q_decontam, q_langid, q_mixing, q_quality, q_token_count, q_token_file, q_topk
+from factloom.llm import q_class_lm, q_decontam, q_jaccard, q_langid, q_mixing, q_quality, q_token_count, q_token_file, q_topk
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_count": q_token_count.op3_token_count,
     "op5_mixing": q_mixing.op5_mixing,
     "op6_class_lm": q_class_lm.op6_class_lm,
+    "op7_jaccard": q_jaccard.op7_jaccard,
     "op8_topk": q_topk.op8_topk,
     "op9_quality": q_quality.op9_quality,
     "op10_langid": q_langid.op10_langid,
