@@ -93,3 +93,15 @@ def fold(column: str) -> F.Column:
 def remainder(doc_id: F.Column, by: int) -> F.Column:
     """crc32 of doc_id as text, mod by: the rule by which rows are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % by
+
+
+def keep_matching(df: DataFrame, wanted: DataFrame, on: list[str], most: int = 1_000_000) -> DataFrame:
+    """df joined with wanted on equal columns (null equals null); wanted is broadcast if it has at most ``most`` rows."""
+    names = {c: f"__{c}" for c in on}
+    side = wanted.withColumnsRenamed(names)
+    if wanted.select(on[0]).limit(most + 1).count() <= most:
+        side = F.broadcast(side)
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(names[c]))
+    return df.join(side, match).drop(*names.values())

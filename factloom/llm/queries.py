@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factloom.llm import q_class_lm, q_decontam, q_jaccard, q_langid, q_mixing, q_quality, q_token_count, q_token_file, q_topk
+from factloom.llm import q_class_lm, q_decontam, q_jaccard, q_langid, q_mixing, q_quality, q_suffix, q_token_count, q_token_file, q_topk
 
 QUERIES = {
     "op1_decontam": q_decontam.op1_decontam,
     "op2_token_file": q_token_file.op2_token_file,
     "op3_token_count": q_token_count.op3_token_count,
+    "op4_suffix": q_suffix.op4_suffix,
     "op5_mixing": q_mixing.op5_mixing,
     "op6_class_lm": q_class_lm.op6_class_lm,
     "op7_jaccard": q_jaccard.op7_jaccard,
