@@ -75,7 +75,7 @@ def mix(
     power: float = 0.5,
     block_bytes: int = 65_536,
     period: int = 1_024,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 4_000,
 ) -> DataFrame:
     """docs with mix_block (from 1), mix_slot (from 0), mix_release, mix_deadline and mix_place.
 
