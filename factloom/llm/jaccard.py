@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ship_package, written
+from factloom.llm.common import keep_matching, ship_package, written
 from factloom.llm.components import components
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,23 +56,24 @@ def prefix_length(n: int | np.ndarray, percent: int):
 
 
 def _prepared(docs: DataFrame, size: int, percent: int, zone: int) -> DataFrame:
-    """A row for each document: key, id, n, two signatures of the set, and its lowest hashes."""
-    schema = "key long, id long, n long, s1 long, s2 long, low array<long>"
+    """A row for each document: key, id, hash of the text, n, two signatures of the set, and its lowest hashes."""
+    schema = "key long, id long, h long, n long, s1 long, s2 long, low array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t, of in zip(*(c.to_pylist() for c in b.columns)):
                 h = shingle_hashes(t, size)
                 data, n = h.tobytes(), len(h)
                 keep = max(int(np.searchsorted(h, zone)), prefix_length(n, percent)) if n else 0
-                rows.append((key, i, n, xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63), h[:keep]))
+                rows.append((key, i, of, n, xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63), h[:keep]))
                 key += 1
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["key", "id", "n", "s1", "s2", "low"])
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["key", "id", "h", "n", "s1", "s2", "low"])
 
-    return docs.select(F.col("id").cast("long"), "t").mapInArrow(run, schema)
+    return docs.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -86,7 +87,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 data = h.tobytes()
                 rows.append((i, xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63), h))
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["id", "s1", "s2", "items"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["id", "s1", "s2", "items"])
 
     return docs.select(F.col("id").cast("long"), "t").mapInArrow(run, "id long, s1 long, s2 long, items array<long>")
 
@@ -186,7 +188,8 @@ def near_duplicates(
     zone: float = 0.25,
     block: int = 512,
 ) -> DataFrame:
-    """A row for each row of docs: key, row_id (a number of the row), n_shingles and component_id.
+    """A row for each row of docs: key, row_id (a number of the row), text_hash, n_shingles, group_id
+    (a row_id that stands for the component) and component_id.
 
     The component is the smallest key that can be reached over links of at least ``percent``
     similarity.  Rows without a text or words have no n-grams and no links; their component is their
@@ -247,6 +250,26 @@ def near_duplicates(
     ids = components(found)
     rep = classes.join(ids, "key", "left").select(*same, "least", F.coalesce("component", "key").alias("component"))
     names = rep.groupBy("component").agg(F.min("least").alias("component_id"))
-    rep = rep.join(names, "component").select(*same, "component_id")
-    out = prepared.select("key", "id", *same).join(rep, same, "left")
-    return out.select(F.col("id").alias(key), F.col("key").alias("row_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    rep = rep.join(names, "component").select(*same, "component", "component_id")
+    out = prepared.select("key", "id", "h", *same).join(rep, same, "left")
+    linked = F.col("n") > 0
+    return out.select(
+        F.col("id").alias(key), F.col("key").alias("row_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"),
+        F.when(linked, F.col("component")).otherwise(F.col("key")).alias("group_id"), F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest key, and its columns."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name can clash
+    k, t = (f"c{docs.columns.index(c)}" for c in (key, text))
+    found = near_duplicates(plain, key=k, text=t, **options)
+    best = found.groupBy("group_id").agg(F.min(F.struct(F.col(k).isNull(), F.col(k).alias("id"), "row_id", F.col("text_hash").alias("h"))).alias("best"))
+    stay = best.select(F.col("best.id").alias(k), F.col("best.h").alias("h")).groupBy(k, "h").agg(F.count("*").alias("times"))
+    stay = written(stay, "stay")
+    kept = keep_matching(plain.withColumn("h", F.xxhash64(t)), stay, [k, "h"])
+    # rows that share key and text: as many stay as were chosen
+    several = kept.groupBy(k, "h", "times").count().where(F.col("count") > F.col("times"))
+    if not several.isEmpty():
+        turn = F.row_number().over(Window.partitionBy(k, "h").orderBy(*plain.columns))
+        kept = kept.withColumn("turn", turn).where("turn <= times")
+    return kept.select(*plain.columns).toDF(*docs.columns)
