@@ -40,15 +40,14 @@ def _table(shared) -> Frequencies:
 
 def tokenise(docs: DataFrame, path: str, text: str = "text", end_id: int | None = None) -> DataFrame:
     """docs with the ids of each whole text as little-endian bytes instead of the text (null: empty)."""
-    end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
     narrow = tokenizer(path).get_vocab_size() <= 1 << 16
+    end = b"" if end_id is None else np.asarray([end_id], "<u2" if narrow else "<u4").tobytes()
 
     def factory():
-        cache = UnitCache(path)
+        cache = UnitCache(path, width=2 if narrow else 4)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = [b"".join(x) + end for x in cache.of_texts(batch.column("__text").to_pylist())]
-            return [pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in out] if narrow else out, pa.binary())]
+            return [pa.array([b"".join(x) + end for x in cache.of_texts(batch.column("__text").to_pylist())], pa.binary())]
 
         return compute
 

@@ -13,10 +13,9 @@ The tokenizers library encodes each distinct piece; a bounded cache keeps what i
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Characters that every engine agrees are not white space.
 _SOLID = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 _LETTER = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
@@ -30,7 +29,12 @@ _UNIT = re.compile(
     rf"|\n(?={_SOLID})"
     rf"|(?: ?{_SOLID}+|(?:(?!{_SOLID})[\s\S])+{_SOLID}*)(?:(?!{_CUT})(?:(?!{_SOLID})[\s\S])+{_SOLID}*)*"
 )
-_PLAIN = re.compile(rf" {_SOLID}+")
+#: What keeps a text from the short way of cutting it at every blank and line end.
+_UNSURE = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_LETTERS = re.compile(rf"({_LETTER}+)({_SIGN}*)")
+#: Bytes as the characters that stand for them in byte-level vocabularies.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _PRINTED else 256 + [x for x in range(256) if x not in _PRINTED].index(b) for b in range(256)}
 
 
 def units(text: str) -> list[str]:
@@ -49,55 +53,93 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _plain(text: str) -> bool:
+    """Whether all white space is single blanks and line ends between solid characters."""
+    return not (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _UNSURE.search(text)
+    )
+
+
+class _Pieces(dict):
+    """The value of each piece met before, a blank (or nothing) in front of it; others are made on demand."""
+
+    def __init__(self, front: str, cache: UnitCache):
+        super().__init__()
+        self.front, self.cache, self.spent = front, cache, 0
+        self.mark = front.translate(_BYTES)
+
+    def __missing__(self, piece: str):
+        cache = self.cache
+        if cache.direct and piece.isascii() and piece.isalpha() and self is not cache.whole:
+            ids = [t.id for t in cache.merge(piece.lower() if cache.lower else self.mark + piece)]
+            value = len(ids) if cache.counts else array(cache.kind, ids).tobytes()
+        else:
+            value = cache.make(piece, self)
+        if len(piece) <= self.cache.longest:
+            if len(self) < self.cache.most:
+                self[piece] = value
+            else:  # full: serve as it is for a while, then start anew
+                self.spent += 1
+                if self.spent > 2 * self.cache.most:
+                    self.clear()
+                    self.spent = 0
+        return value
+
+
 class UnitCache:
-    """The ids of each piece, or how many there are, for texts at a time.
+    """The ids of each piece (as little-endian numbers of ``width`` bytes), or how many there are.
 
-    New plain pieces (a blank and solid characters) are encoded many in one text and told apart by
-    their offsets; any other piece is encoded alone.  At most ``most`` pieces are kept.  A full cache
-    is left as it is while it serves, and starts anew when over half of a batch's pieces are missing.
+    Words of Latin letters are one pre-token, which the library's model merges as it is; whatever
+    else comes is encoded by the library as a text.  At most ``most`` pieces are kept of those after
+    a blank, and as many of the others.
     """
 
-    def __init__(self, path: str, counts: bool = False, most: int = 1_000_000, longest: int = 64, together: int = 512):
-        self.tokenizer, self.counts = tokenizer(path), counts
-        self.most, self.longest, self.together = most, longest, together
-        self.known: dict[str, bytes | int] = {}
+    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 800_000, longest: int = 48):
+        self.tokenizer, self.counts, self.most, self.longest = tokenizer(path), counts, most, longest
+        self.kind = {2: "H", 4: "I"}[width]
+        self.merge = self.tokenizer.model.tokenize
+        self.nothing: bytes | int = 0 if counts else b""
+        lower = self.tokenizer.normalizer is not None
+        #: whether the library gives single words what its model gives them; else they are encoded as texts
+        self.direct = all(self._merged(w, f, lower) == self._encoded(f + w) for w in ("A", "word", "\u00c9t\u00e9", "Stra\u00dfe", "\u00f1andu") for f in (" ", ""))
+        self.lower = lower
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _value(self, ids) -> bytes | int:
-        return len(ids) if self.counts else np.asarray(ids, "<u4").tobytes()
-
-    def _encode(self, new: list[str]) -> dict[str, bytes | int]:
-        plain = [u for u in new if _PLAIN.fullmatch(u)]
-        odd = [u for u in new if not _PLAIN.fullmatch(u)]
-        out: dict[str, bytes | int] = {}
-        for i in range(0, len(odd), 1024):
-            part = odd[i : i + 1024]
-            out.update((u, self._value(e.ids)) for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
-        groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
-        for i in range(0, len(groups), 16):
-            part = groups[i : i + 16]
-            for group, e in zip(part, self.tokenizer.encode_batch(["".join(g) for g in part], add_special_tokens=False)):
-                first = np.cumsum([0, *map(len, group)])[:-1]
-                owner = np.searchsorted(first, [o[0] for o in e.offsets], side="right") - 1
-                n = np.bincount(owner, minlength=len(group))
-                if self.counts:
-                    out.update(zip(group, n.tolist()))
-                else:
-                    data, end = np.asarray(e.ids, "<u4").tobytes(), np.cumsum(n) * 4
-                    out.update((u, data[b - 4 * k : b]) for u, b, k in zip(group, end.tolist(), n.tolist()))
-        return out
+        self.spaced, self.bare, self.whole = _Pieces(" ", self), _Pieces("", self), _Pieces("", self)
+
+    def _value(self, ids: list[int]) -> bytes | int:
+        return len(ids) if self.counts else array(self.kind, ids).tobytes()
+
+    def _encoded(self, text: str) -> bytes | int:
+        return self._value(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _merged(self, word: str, front: str, lower: bool) -> bytes | int:
+        text = word.lower() if lower else front + word  # a lower-casing tokenizer drops white space
+        return self._value([t.id for t in self.merge(text.encode().decode("latin-1").translate(_BYTES))])
+
+    def make(self, piece: str, among: _Pieces) -> bytes | int:
+        m = _LETTERS.fullmatch(piece) if among is not self.whole else None
+        if m:
+            if m[2]:
+                return among[m[1]] + self.bare[m[2]]
+            return self._merged(piece, among.front, self.lower) if self.direct else self._encoded(among.front + piece)
+        if "\n" in piece and among is not self.whole and len(piece) > 1:
+            first, *rest = piece.split("\n")
+            out, end = among[first], self.bare["\n"]
+            for x in rest:
+                out = out + end + self.bare[x]
+            return out
+        return self._encoded(among.front + piece)
+
+    def of_text(self, text: str | None) -> list:
+        """The values of a text's pieces, in order."""
+        if not text:
+            return []
+        if any(m in text for m in self.marks):
+            return [self._encoded(text)]
+        if not _plain(text):
+            return list(map(self.whole.__getitem__, units(text)))
+        first, *rest = text.split(" ")
+        return [self.bare[first], *map(self.spaced.__getitem__, rest)]
 
     def of_texts(self, texts: list[str | None]) -> list[list]:
-        """For each text the values of its pieces, in order."""
-        cut = [[t] if any(m in t for m in self.marks) else units(t) for t in (x or "" for x in texts)]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) >= self.most and 2 * len(new) > len(set().union(*cut)):
-            self.known = {}
-            new = set().union(*cut)
-        fresh = self._encode(list(new)) if new else {}
-        room = self.most - len(self.known)
-        self.known.update((u, fresh[u]) for u in [u for u in fresh if len(u) <= self.longest][: max(0, room)])
-        known = self.known
-        if all(u in known for u in fresh):
-            return [list(map(known.__getitem__, pieces)) for pieces in cut]
-        return [[known[u] if u in known else fresh[u] for u in pieces] for pieces in cut]
+        return [self.of_text(t) for t in texts]
