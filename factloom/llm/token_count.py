@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm.common import append_columns, ship_package, written
-from factloom.llm.units import UnitCache, tokenizer
+from factloom.llm.units import tokenizer, unit_cache
 
 _CUTS = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("before", T.LongType()), T.StructField("sign", T.LongType())]))
 _PLACE = T.StructType([T.StructField("n", T.LongType()), T.StructField("head", _CUTS), T.StructField("tail", _CUTS)])
@@ -41,7 +41,7 @@ def cuts(text: str, begin: int, offsets: list[tuple[int, int]], ids: list[int],
 
 def _count_small(df: DataFrame, text: str, path: str) -> DataFrame:
     def factory():
-        cache = UnitCache(path, counts=True)
+        cache = unit_cache(path, counts=True)
         return lambda batch: [pa.array([sum(x) for x in cache.of_texts(batch.column(text).to_pylist())], pa.int64())]
 
     return append_columns(df, {"n_tokens": T.LongType()}, factory)

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.common import append_columns, shared_dir, ship_package, written
 from factloom.llm.rans import Frequencies, crc32_combine, decode_block, encode_block
-from factloom.llm.units import UnitCache, tokenizer
+from factloom.llm.units import tokenizer, unit_cache
 
 _TABLES: dict[str, Frequencies] = {}
 
@@ -44,7 +44,7 @@ def tokenise(docs: DataFrame, path: str, text: str = "text", end_id: int | None
     end = b"" if end_id is None else np.asarray([end_id], "<u2" if narrow else "<u4").tobytes()
 
     def factory():
-        cache = UnitCache(path, width=2 if narrow else 4)
+        cache = unit_cache(path, width=2 if narrow else 4)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             return [pa.array([b"".join(x) + end for x in cache.of_texts(batch.column("__text").to_pylist())], pa.binary())]
@@ -186,7 +186,7 @@ def _joined(pieces: pd.Series) -> pd.Series:
 
 def read_documents(spark: SparkSession, path: str, vocabulary: int, *, scale_bits: int = 20) -> DataFrame:
     """A row for each document of a token file: key, start, n_tokens, ids_crc32."""
-    pieces = read_pieces(spark, path, vocabulary, scale_bits=scale_bits)
+    pieces = written(read_pieces(spark, path, vocabulary, scale_bits=scale_bits), "pieces")  # decoded once
     out = pieces.select("key", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "whole", "part", "row")
     whole = out.where("whole").select("key", "start", "n_tokens", "ids_crc32")
     # of documents that cross blocks

@@ -94,7 +94,7 @@ class UnitCache:
     a blank, and as many of the others.
     """
 
-    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 800_000, longest: int = 48):
+    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 500_000, longest: int = 48):
         self.tokenizer, self.counts, self.most, self.longest = tokenizer(path), counts, most, longest
         self.kind = {2: "H", 4: "I"}[width]
         self.merge = self.tokenizer.model.tokenize
@@ -143,3 +143,9 @@ class UnitCache:
 
     def of_texts(self, texts: list[str | None]) -> list[list]:
         return [self.of_text(t) for t in texts]
+
+
+@lru_cache(maxsize=2)
+def unit_cache(path: str, counts: bool = False, width: int = 4) -> UnitCache:
+    """The cache of a worker process, which serves all of its tasks."""
+    return UnitCache(path, counts, width)
