@@ -4,7 +4,8 @@ Documents with equal sets are joined through the set's signature, and one stands
 in one global order: n-grams whose hash lies in the lowest ``zone`` of the range first, rarest first;
 then the rest by hash.  Two sets of n and m elements with similarity of at least t have their first
 common element among the first n - ceil(t n) + 1 of either, so only those prefixes are compared, and
-of them only elements that some other document has in its own: most documents have none.
+of them only elements that some other document has in its own: most documents have none.  The documents left are put in order once more, by how many of them have each
+of all their elements, which leaves those that have nearly all of their elements in common with others.
 
 Two passes then find the links.  First each document is compared with one leader, the smallest
 document with which it shares the most prefix elements; large groups of near copies become one
@@ -94,48 +95,53 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 class PrefixTree:
-    """Ordered prefixes of sets; a node knows the least and most elements of the sets below it."""
+    """Sets of one group, as what follows the group's element in their prefixes.
+
+    An element is (place, order): its place in its own set, and what orders it among all.  A node
+    knows the least and most elements of the sets below it, and the least place at which its element
+    stands in them, so that subtrees without a set that can still reach the overlap are left out.
+    """
 
     def __init__(self) -> None:
-        self.root: dict = {"next": {}, "sets": [], "least": 1 << 62, "most": 0}
-
-    def add(self, prefix: list, n: int, name) -> None:
-        node = self.root
-        for x in prefix:
-            node["least"], node["most"] = min(node["least"], n), max(node["most"], n)
-            node = node["next"].setdefault(x, {"next": {}, "sets": [], "least": 1 << 62, "most": 0})
-        node["least"], node["most"] = min(node["least"], n), max(node["most"], n)
-        node["sets"].append((name, n, prefix[-1][0] if prefix else -1))
-
-    def candidates(self, prefix: list, n: int, percent: int) -> Iterator:
-        """Names of sets that may be similar to the set of n elements with this prefix.
-
-        Elements are (place, order...) with the place of the element in its own set first; for the
-        comparison only the order counts.
-        """
-        mine = [x[1:] for x in prefix]
-        places = [x[0] for x in prefix]
-        # node, elements of mine passed, overlap so far
-        stack = [(self.root, 0, 0, -1)]
+        self.root = self._node(0)
+
+    @staticmethod
+    def _node(place: int) -> dict:
+        return {"next": {}, "sets": [], "least": 1 << 62, "most": 0, "place": place}
+
+    def add(self, prefix: list, n: int, name, place: int) -> None:
+        """A set of n elements with the group's element at a place, followed by prefix."""
+        path, node = [self.root], self.root
+        self.root["place"] = min(self.root["place"], place) if self.root["sets"] or self.root["next"] else place
+        for at, order in prefix:
+            node = node["next"].setdefault(order, self._node(at))
+            node["place"] = min(node["place"], at)
+            path.append(node)
+        for x in path:
+            x["least"], x["most"] = min(x["least"], n), max(x["most"], n)
+        node["sets"].append((name, n, prefix[-1][0] if prefix else place))
+
+    def candidates(self, prefix: list, n: int, percent: int, place: int) -> Iterator:
+        """Names of the sets that may be similar to such a set, the group's element being the first in common."""
+        both = 100 + percent
+        stack = [(self.root, 0, 1)]  # node, elements of the probe passed, overlap so far
         while stack:
-            node, at, overlap, depth = stack.pop()
-            if node["most"] * 100 < n * percent or node["least"] * percent > n * 100:
+            node, at, overlap = stack.pop()
+            least = max(node["least"], -(-n * percent // 100))  # shorter ones can't be similar
+            if node["most"] < least or least * percent > n * 100:
                 continue
-            # what is left of either set after the places passed bounds the overlap
-            left_mine = n - (places[at - 1] + 1 if at else 0)
-            if (overlap + min(left_mine, node["most"] - depth - 1)) * (100 + percent) < percent * (n + node["least"]):
+            mine = n - 1 - (prefix[at - 1][0] if at else place)
+            if (overlap + min(mine, node["most"] - 1 - node["place"])) * both < percent * (n + least):
                 continue
-            if overlap:
-                for name, m, _ in node["sets"]:
-                    if n * percent <= m * 100 and m * percent <= n * 100 and (overlap + min(left_mine, m - depth - 1)) * (100 + percent) >= percent * (n + m):
-                        yield name
-            for element, child in node["next"].items():
+            for name, m, last in node["sets"]:
+                if n * percent <= m * 100 and m * percent <= n * 100 and (overlap + min(mine, m - 1 - last)) * both >= percent * (n + m):
+                    yield name
+            for order, child in node["next"].items():
                 k = at
-                order = element[1:]
-                while k < len(mine) and mine[k] < order:
+                while k < len(prefix) and prefix[k][1] < order:
                     k += 1
-                same = k < len(mine) and mine[k] == order
-                stack.append((child, k + same, overlap + same, element[0]))
+                same = k < len(prefix) and prefix[k][1] == order
+                stack.append((child, k + same, overlap + same))
 
 
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -147,17 +153,19 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
         found: list[tuple[int, int]] = []
-        for (_, left, right), group in groupby(each(), key=lambda r: r[:3]):
+        for (token, left, right), group in groupby(each(), key=lambda r: r[:3]):
             tree, probes, of = PrefixTree(), [], {}
             for _, _, _, key, block, n, component, prefix in group:
-                elements = [tuple(x.values()) for x in prefix]
+                elements = [(x["place"], (x["late"], x["df"], x["token"])) for x in prefix]
+                first = next(k for k, x in enumerate(elements) if x[1][2] == token)
+                place, elements = elements[first][0], elements[first + 1 :]
                 of[key] = component
                 if block == left:
-                    tree.add(elements, n, key)
+                    tree.add(elements, n, key, place)
                 if block == right:
-                    probes.append((elements, n, key))
-            for elements, n, key in probes:
-                for other in tree.candidates(elements, n, percent):
+                    probes.append((elements, n, key, place))
+            for elements, n, key, place in probes:
+                for other in tree.candidates(elements, n, percent, place):
                     if of[other] != of[key] and (left != right or other < key):
                         found.append((min(key, other), max(key, other)))
             if len(found) > 100_000:
@@ -178,6 +186,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("shared") * 100 >= F.col("all") * percent).select("a", "b")
 
 
+def _prefixes(elements: DataFrame, sizes: DataFrame, limit: int, percent: int) -> DataFrame:
+    """elements(key, n, at, token), sizes(key, inside) to key, n, prefix: the elements of the prefix that others have.
+
+    Elements below the limit come first, rarest first, and of them ``inside`` are in the set; the rest
+    follows by hash, at is the place among all by hash.
+    """
+    inner = F.col("token") < limit
+    counts = elements.groupBy("token").count().where("count > 1").withColumnRenamed("count", "df")
+    shared = elements.join(counts, "token").select("key", "n", F.struct(F.when(inner, 0).otherwise(1).alias("late"), F.when(inner, F.col("df")).otherwise(0).alias("df"), "token", F.col("at").cast("long").alias("at")).alias("x"))
+    lists = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("x")).join(sizes, "key")
+    # inner elements that no other document has stand before all shared ones
+    first = F.col("inside") - F.size(F.filter("x", lambda e: e["late"] == 0))
+    placed = F.transform("x", lambda e, i: F.struct(F.when(e["late"] == 0, first + i).otherwise(e["at"]).cast("long").alias("place"), e["late"].alias("late"), e["df"].alias("df"), e["token"].alias("token")))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    prefixes = lists.select("key", "n", placed.alias("p"), length.alias("length")).select("key", "n", F.filter("p", lambda e: e["place"] < F.col("length")).alias("prefix"))
+    return prefixes.where(F.size("prefix") > 0)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -206,39 +232,34 @@ def near_duplicates(
     classes = prepared.where("n > 0").groupBy(*same).agg(F.min("key").alias("key"), F.min("id").alias("least"))
     classes = written(classes, "classes")
     alone = prepared.join(classes.select("key"), "key", "left_semi").select("key", "n", F.posexplode("low").alias("at", "token"))
-    inner = F.col("token") < limit
-    counts = alone.select("token").groupBy("token").count().where("count > 1").withColumnRenamed("count", "df")
-    shared = alone.join(counts, "token").select("key", "n", F.struct(F.when(inner, 0).otherwise(1).alias("late"), F.when(inner, F.col("df")).otherwise(0).alias("df"), "token", F.col("at").cast("long").alias("at")).alias("x"))
-    # zone elements that no other document has stand before all shared ones
     sizes = prepared.select("key", F.size(F.filter("low", lambda h: h < limit)).alias("inside"))
-    lists = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("x")).join(sizes, "key")
-    held = F.size(F.filter("x", lambda e: e["late"] == 0))
-    first = F.col("inside") - held
-    placed = F.transform("x", lambda e, i: F.struct(F.when(e["late"] == 0, first + i).otherwise(e["at"]).cast("long").alias("place"), e["late"].alias("late"), e["df"].alias("df"), e["token"].alias("token")))
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    prefixes = lists.select("key", "n", placed.alias("p"), length.alias("length")).select("key", "n", F.filter("p", lambda e: e["place"] < F.col("length")).alias("prefix"))
-    prefixes = written(prefixes.where(F.size("prefix") > 0), "prefixes")
-
-    postings = prefixes.select("key", F.explode("prefix.token").alias("token"))
-    groups = postings.groupBy("token").agg(F.min("key").alias("leader"), F.count("*").alias("k"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("k > 1")
-    # elements with the same documents find the same pairs; one of them is enough
-    groups = written(groups, "groups")
-    kept = groups.groupBy("leader", "k", "who").agg(F.min("token").alias("token"))
-    led = postings.join(groups.select("token", "leader"), "token").where("key <> leader").groupBy("key", "leader").count()
-    pairs = led.groupBy("key").agg(F.max(F.struct("count", (-F.col("leader")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("key").alias("b"))
+    first = _prefixes(alone, sizes, limit, percent).select("key", F.explode("prefix.token").alias("token"))
+    first = written(first, "first")
+    met = first.groupBy("token").count().where("count > 1").select("token")
+    may = first.join(met, "token", "left_semi").select("key").distinct()
 
-    # whole sets of the documents that may have a link
-    may = postings.join(groups.select("token"), "token", "left_semi").select("key").distinct()
+    # whole sets of the documents that may have a link, put in order once more among themselves
     wanted = written(may.join(prepared.drop("low"), "key"), "wanted")
     texts = given.join(wanted.select(F.col("id").alias("w")).distinct(), F.col("id").eqNullSafe(F.col("w")), "left_semi")
     match: Column = F.col("id").eqNullSafe(F.col("w")) & (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2"))
     named = wanted.select("key", F.col("id").alias("w"), F.col("s1").alias("z1"), F.col("s2").alias("z2"))
     sets = written(_sets(texts, size).dropDuplicates(["id", "s1", "s2"]).join(named, match).select("key", "items"), "items")
+    n = F.size("items").cast("long")
+    every = sets.select("key", n.alias("n"), F.posexplode("items").alias("at", "token"))
+    prefixes = written(_prefixes(every, sets.select("key", n.alias("inside")), (1 << 63) - 1, percent), "prefixes")
+
+    postings = prefixes.select("key", F.explode("prefix").alias("x")).select("key", "x.token", F.struct("x.df", "x.token").alias("order"))
+    groups = postings.groupBy("token").agg(F.min("order").alias("order"), F.min("key").alias("leader"), F.count("*").alias("k"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("k > 1")
+    groups = written(groups, "groups")
+    # of elements with the same documents the first one is enough: no other is the first in common
+    kept = groups.groupBy("leader", "k", "who").agg(F.min("order").alias("order")).select("k", "order.token")
+    led = postings.join(groups.select("token", "leader"), "token").where("key <> leader").groupBy("key", "leader").count()
+    pairs = led.groupBy("key").agg(F.max(F.struct("count", (-F.col("leader")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("key").alias("b"))
 
     links = written(_verified(pairs, sets, percent), "links")
     so_far = components(links)
     label = F.coalesce("component", "key")
-    open_ = postings.join(kept.select("token", "k"), "token").join(so_far, "key", "left").select("token", "k", "key", label.alias("component"))
+    open_ = postings.select("key", "token").join(kept, "token").join(so_far, "key", "left").select("token", "k", "key", label.alias("component"))
     mixed = open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     blocks = F.ceil(F.col("k") / block).cast("int")
     rows = open_.join(mixed, "token").join(prefixes, "key").withColumn("blocks", blocks)
