@@ -80,7 +80,7 @@ def match_level(specific: Column, generic: Column, query_specific: Column) -> Co
 
 def sentences(x: Column | str) -> Column:
     """Parts after the sentence marks, without empty ones; an ASCII period ends none."""
-    return F.filter(F.transform(F.split(collapse(x), r"(?<=[。！？!?；;])\s*"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(collapse(x), r"(?<=[。！？!?；;])\s*"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def long_parts(x: Column | str, size: int = 300, overlap: int = 60, least: int = 8) -> Column:
