@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
@@ -70,9 +69,8 @@ def unit_offsets(spark, sf):
 
 @query("pair_decisions")
 def pair_decisions(spark, sf):
-    m = memories(spark, sf).select("id", "subject", (F.col("id") % 211).alias("slot"))
-    turn = Window.partitionBy("slot").orderBy("id")
-    p = m.withColumns({"other": F.lead("id").over(turn), "text": F.lead("subject").over(turn)}).where("other is not null")
+    m = memories(spark, sf).select("id", "subject")
+    p = m.join(m.select((F.col("id") - 67).alias("id"), F.col("id").alias("other"), F.col("subject").alias("text")), "id")
     return p.select("id", "other", D.pair_decision(F.col("subject"), F.col("text")).alias("d"), D.coexistence_veto(F.col("subject"), F.col("text")).alias("veto")).select("id", "other", "d.*", "veto")
 
 
