@@ -195,9 +195,10 @@ def _prefixes(elements: DataFrame, sizes: DataFrame, limit: int, percent: int) -
     inner = F.col("token") < limit
     counts = elements.groupBy("token").count().where("count > 1").withColumnRenamed("count", "df")
     shared = elements.join(counts, "token").select("key", "n", F.struct(F.when(inner, 0).otherwise(1).alias("late"), F.when(inner, F.col("df")).otherwise(0).alias("df"), "token", F.col("at").cast("long").alias("at")).alias("x"))
-    lists = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("x")).join(sizes, "key")
-    # inner elements that no other document has stand before all shared ones
-    first = F.col("inside") - F.size(F.filter("x", lambda e: e["late"] == 0))
+    lists = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("x"), F.count_if(F.col("x.late") == 0).alias("held")).join(sizes, "key")
+    # inner elements that no other document has stand before all shared ones; held is counted by the
+    # aggregation, as an expression over x here would be worked out anew for each element
+    first = F.col("inside") - F.col("held")
     placed = F.transform("x", lambda e, i: F.struct(F.when(e["late"] == 0, first + i).otherwise(e["at"]).cast("long").alias("place"), e["late"].alias("late"), e["df"].alias("df"), e["token"].alias("token")))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     prefixes = lists.select("key", "n", placed.alias("p"), length.alias("length")).select("key", "n", F.filter("p", lambda e: e["place"] < F.col("length")).alias("prefix"))
