@@ -63,8 +63,11 @@ def numbers(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda v: F.replace(F.regexp_replace(v, r"(?U)\s+", ""), F.lit("gb"), F.lit("g")))))
 
 
-def pair_decision(a: Column, b: Column) -> Column:
-    """struct(action, reason) for two short texts; the first rule that holds decides."""
+def pair_decision(a: Column, b: Column, names: Sequence[tuple[str, str]] = ()) -> Column:
+    """struct(action, reason) for two short texts; the first rule that holds decides.
+
+    names: two names of one thing each; statements about such a pair of names say the same.
+    """
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     la, lb = F.lower(a), F.lower(b)
     na, nb = normal(a), normal(b)
@@ -82,7 +85,9 @@ def pair_decision(a: Column, b: Column) -> Column:
     polar = (has(a, NEGATION_TERMS) != has(b, NEGATION_TERMS)) & (common > 0)
     both = F.concat_ws("\n", a, b)
     ma, mb = numbers(a), numbers(b)
-    alias = has(F.lower(both), ["mema"]) & has(both, ["迷码"]) & has(F.lower(both), ["alias", "cli", "命令", "中文名"])
+    alias = F.lit(False)
+    for one, other in names:
+        alias = alias | (has(F.lower(both), [one]) & has(both, [other]) & has(F.lower(both), ["alias", "cli", "命令", "中文名"]))
     duplicate = ((F.size(ma) > 0) & (ma == mb) & (like >= 0.45)) | alias
     compatible = polar & ~has(both, REPLACEMENT_TERMS) & (common >= 2) & (F.size(F.array_except(tb, ta)) > 0) & ~contains
     out = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
