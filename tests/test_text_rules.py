@@ -50,7 +50,7 @@ def test_pair_decision(spark, a, b, action, reason):
         assert tuple(one(spark, D.pair_decision(F.lit(x), F.lit(y)))) == (action, reason)
 
 
-@pytest.mark.parametrize("value,quote,good", [("5s", "接口超时为 5 秒。", True), ("PostgreSQL", "数据库采用 pgsql。", True), ("关系数据库", "数据库采用 PostgreSQL。", False), ("", "x", False), ("8GB", "内存 8G", True)])
+@pytest.mark.parametrize("value,quote,good", [("5s", "接口超时为 5 秒。", True), ("PostgreSQL", "数据库采用 pgsql。", True), ("关系数据库", "数据库采用 PostgreSQL。", False), ("", "x", False), ("8G", "内存 8GB", True)])
 def test_grounded(spark, value, quote, good):
     assert one(spark, D.grounded(F.lit(value), F.lit(quote))) is good
 
