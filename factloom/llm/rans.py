@@ -49,7 +49,7 @@ class Frequencies:
         return self._symbol
 
 
-def encode_block(ids: np.ndarray, table: Frequencies, lanes: int = 512, every: int = 64) -> bytes:
+def encode_block(ids: np.ndarray, table: Frequencies, lanes: int = 1024, every: int = 64) -> bytes:
     """A block of ids as bytes, with a checkpoint before each ``every``-th step."""
     ids = np.asarray(ids, np.int64)
     bits = np.uint64(table.scale_bits)

@@ -76,7 +76,7 @@ def write_token_file(
     order: Sequence[str] | None = None,
     end_id: int | None = 2,
     block_ids: int = 1 << 17,
-    lanes: int = 256,
+    lanes: int = 1024,
     scale_bits: int = 20,
 ) -> str:
     """Write a token file of all rows of docs in ascending order of ``order`` (the key by default); its path.
