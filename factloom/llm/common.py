@@ -45,7 +45,14 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors when their Python would not find it by itself."""
+    """Ready the session for tasks that run this package's Python.
+
+    Batches of texts are kept small (2,000 rows, unless the session has set fewer), and the package is
+    sent to the executors when their Python would not find it by itself.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 2_000:
+        spark.conf.set(rows, "2000")
     places = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in places or os.path.realpath(os.getcwd()) == str(ROOT):
         return
