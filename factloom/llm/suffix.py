@@ -133,18 +133,63 @@ def _windows(held: DataFrame, length: int, reach: int) -> DataFrame:
     return held.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("open", T.ArrayType(_SPAN))]))
 
 
-def _strings(texts: DataFrame, length: int) -> DataFrame:
-    """texts(key, t, open) to a row for each string: two hashes, key, position."""
+def _strings(texts: DataFrame, length: int, reach: int) -> DataFrame:
+    """texts(key, t, open) to a row for each string: two hashes, key, position.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Strings travel together: neighbours with the same first sync position inside are one stretch of
+    text, sent under a hash of what surrounds that position, which equal strings share; they are told
+    apart where they arrive.  A string without such a position is sent as its hashes.
+    """
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out: list[list] = [[], [], [], [], [], []]
             for key, t, spans in zip(*(c.to_pylist() for c in b.columns)):
-                data = np.frombuffer(t.encode(), np.uint8)
+                raw = t.encode()
+                data = np.frombuffer(raw, np.uint8)
+                sync, one = sync_positions(data, reach), prefix_sums(data)
                 at = np.concatenate([np.arange(s["a"], s["b"]) for s in spans])
-                one, two = (string_hashes(prefix_sums(data, w), at, at + length, w) for w in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(33)).astype(np.int32)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], names=["h", "g", "key", "at"])
-
-    return texts.select("key", "t", "open").mapInArrow(run, "h long, g int, key long, at int")
+                first = np.searchsorted(sync, at + reach)
+                x = np.append(sync, 1 << 40)[first]
+                inside = x + reach + GRAM <= at + length
+                lone = at[~inside]
+                if len(lone):
+                    two = string_hashes(prefix_sums(data, 1), lone, lone + length, 1)
+                    h = string_hashes(one, lone, lone + length)
+                    for column, v in zip(out, (h.view(np.int64).tolist(), [key] * len(lone), lone.tolist(), [None] * len(lone), h.view(np.int64).tolist(), (two >> np.uint64(33)).astype(np.int64).tolist())):
+                        column += v
+                near, x = at[inside], x[inside]
+                if len(near):
+                    cut = np.flatnonzero((np.diff(near) != 1) | (np.diff(x) != 0)) + 1
+                    begin, end = near[np.concatenate([[0], cut])], near[np.concatenate([cut, [len(near)]]) - 1]
+                    x = x[np.concatenate([[0], cut])]
+                    names = string_hashes(one, x - reach, x + reach + GRAM).view(np.int64).tolist()
+                    for column, v in zip(out, (names, [key] * len(x), begin.tolist(), [raw[p : q + length] for p, q in zip(begin.tolist(), end.tolist())], [None] * len(x), [None] * len(x))):
+                        column += v
+            if out[0]:
+                kinds = pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["name", "key", "at", "data", "h", "g"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "g", "key", "at"]
+        for b in batches:
+            held: list[list[np.ndarray]] = []
+            for key, at, data, h, g in zip(*(b.column(c).to_pylist() for c in ("key", "at", "data", "h", "g"))):
+                if data is None:
+                    held.append([np.array([h], np.int64), np.array([g], np.int32), np.array([key]), np.array([at], np.int32)])
+                    continue
+                x = np.frombuffer(data, np.uint8)
+                p = np.arange(len(x) - length + 1)
+                one, two = (string_hashes(prefix_sums(x, w), p, p + length, w) for w in (0, 1))
+                held.append([one.view(np.int64), (two >> np.uint64(33)).astype(np.int32), np.full(len(p), key), (p + at).astype(np.int32)])
+                if len(held) >= 2_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+
+    sent = texts.select("key", "t", "open").mapInArrow(stretches, "name long, key long, at int, data binary, h long, g int")
+    return sent.repartition("name").mapInArrow(apart, "h long, g int, key long, at int")
 
 
 def _repeated(strings: DataFrame) -> DataFrame:
@@ -169,7 +214,8 @@ def _repeated(strings: DataFrame) -> DataFrame:
             last = (h[-1], g[-1]), (key[-1], at[-1]), bool(told[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(ats), pa.int32())], names=["key", "at"])
 
-    return strings.repartition("h").sortWithinPartitions("h", "g").mapInArrow(run, "key long, at int")
+    # equal strings are in one partition already
+    return strings.sortWithinPartitions("h", "g").mapInArrow(run, "key long, at int")
 
 
 def _spans(repeated: DataFrame, length: int) -> DataFrame:
@@ -233,7 +279,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = written(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     # one text of each class; rows that share an id and a text are the same text
     long_texts = given.where(F.col("n") >= length)
-    chosen = keep_matching(long_texts, classes.drop("k"), ["id", *name]).dropDuplicates(["key"]).select("key", "t")
+    # only where rows share both is there something to drop, for which whole texts are shuffled
+    once = facts.where(F.col("n") >= length).groupBy("id", *name).count().where("count > 1").isEmpty()
+    single = (lambda df: df) if once else (lambda df: df.dropDuplicates(["key"]))
+    chosen = single(keep_matching(long_texts, classes.drop("k"), ["id", *name])).select("key", "t")
     blocks = written(_blocks(chosen, length, reach), "blocks")
 
     places = blocks.select("key", F.posexplode("names").alias("i", "first")).withColumn("i", F.col("i").cast("long"))
@@ -258,8 +307,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         held = held.join(breaks.groupBy("key").agg(F.collect_list(F.struct(F.col("x").alias("a"), F.col("y").alias("b"))).alias("breaks")), "key", "left")
     open_ = written(_windows(held.select("key", "n", "at", "alive", "breaks"), length, reach), "open")
     wanted = classes.join(open_, "key").select("key", "id", *name, "open")
-    some = keep_matching(long_texts, wanted, ["id", *name]).dropDuplicates(["key"])
-    spans = written(_spans(_repeated(_strings(some, length)), length), "spans")
+    some = single(keep_matching(long_texts, wanted, ["id", *name]))
+    spans = written(_spans(_repeated(_strings(some, length, reach)), length), "spans")
 
     # whole texts that occur again are gone; of others the spans
     found = classes.join(spans, "key", "left").select(*name, "k", "spans")
