@@ -1,25 +1,35 @@
 """Mixing sources to target weights by Pfair scheduling, with dataframe operations only.
 
 Each source's documents are laid end to end in a pseudo-random order and cut into blocks of
-``block_bytes``; a document belongs to the block in which it begins.  The weights are rounded to
-shares q of a period of Q slots.  Block k (from 1) of a source is released at slot
-floor((k-1) Q / q) and due before slot ceil(k Q / q).  Earliest-deadline-first over one period
-meets every deadline, since the shares sum to Q; the schedule then repeats.  So after any number of
-slots a source has had its share of them to within less than one block.
-
-The schedule of a period depends on the weights alone: it has Q rows, whatever the data, and gives
-the slot of block k as a table lookup.  Places in a source are prefix sums in two levels, so that a
-source with most of the rows is worked on by many tasks.
+``block_bytes``; a document belongs to the block in which it begins.  Block k (from 1) of a source of
+weight w, a fraction of all weights taken exactly, is released at slot floor((k-1) / w) and due before
+slot ceil(k / w).  Earliest-deadline-first meets every deadline, since the weights sum to 1.  So after
+any number of slots a source has had its weight of them to within less than one block.
+
+The schedule is made on the driver from the weights and the sources' numbers of blocks: one row for
+each ``block_bytes`` of the input, in pieces of bounded size.  It gives the slot of block k as a table
+lookup.  Places in a source are prefix sums in two levels, so that a source with most of the rows is
+worked on by many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-
-from pyspark.sql import Column, DataFrame, Window
+import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import written
+
+_LAST = 1 << 62  # the slot of what has no weight
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -35,33 +45,73 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pfair_period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """Slot by slot over one period: the source, the number of its block, and the block's deadline."""
-    period = sum(parts.values())
-    waiting = [(0, k, 1) for k in sorted(parts)]  # release, source, block
+def pfair_slots(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """Source, number of its block, slot, release and deadline of every block, in the order of slots.
+
+    Slots of sources that have run out stay empty where no other block is released.
+    """
+    exact = {k: Fraction(w) for k, w in weights.items() if w > 0}
+    whole = math.lcm(*(x.denominator for x in exact.values()))
+    part = {k: int(x * whole) for k, x in exact.items()}
+    total = sum(part.values())
+    waiting = [(0, k, 1) for k in sorted(part) if blocks.get(k, 0) > 0]  # release, source, block
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(period):
+    ready: list[tuple[int, str, int, int]] = []  # deadline, source, block, release
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, k, n = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-n * period // parts[k]), k, n))
-        due, k, n = heapq.heappop(ready)
+            release, k, n = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-n * total // part[k]), k, n, release))
+        due, k, n, release = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((k, n, due))
-        if n < parts[k]:
-            heapq.heappush(waiting, (n * period // parts[k], k, n + 1))
-    return out
+        yield k, n, slot, release, due
+        if n < blocks[k]:
+            heapq.heappush(waiting, (n * total // part[k], k, n + 1))
+        slot += 1
+
+
+def pfair_period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
+    """Slot by slot over one period of whole shares: the source, the number of its block, and the block's deadline."""
+    return [(k, n, due) for k, n, _, _, due in pfair_slots(parts, parts)]
+
+
+def slot_table(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], piece: int = 1 << 20) -> DataFrame:
+    """s, n, slot, release, due of every block; broadcast if it has one piece, else written piece by piece."""
+    plan, one, out = pfair_slots(weights, blocks), sum(n for k, n in blocks.items() if weights.get(k, 0) > 0) <= piece, []
+    while True:
+        names, columns = [], [array("q") for _ in range(4)]
+        for k, *values in islice(plan, piece):
+            names.append(k)
+            for column, x in zip(columns, values):
+                column.append(min(x, _LAST - 1))
+        if out and not names:
+            return reduce(DataFrame.unionByName, out)
+        # arrow, so that no task runs Python for it
+        df = spark.createDataFrame(pa.table([pa.array(names, pa.string()), *(pa.array(np.frombuffer(c, np.int64)) for c in columns)], names=["s", "n", "slot", "release", "due"]))
+        if one:
+            return F.broadcast(df)
+        out.append(written(df, "slots"))
 
 
 def natural_weights(docs: DataFrame, length: Column, *, source: str = "source", power: float = 1.0, most: int = 100_000) -> dict[str, float]:
     """Weights in proportion to the sources' bytes to a power: 1 as they are, 0 all alike."""
+    return _to_power(source_bytes(docs, length, source=source, most=most), power)
+
+
+def _to_power(sizes: dict[str, int], power: float) -> dict[str, float]:
+    return {s: max(1.0, float(n)) ** power for s, n in sizes.items()}
+
+
+def source_bytes(docs: DataFrame, length: Column, *, source: str = "source", most: int = 100_000) -> dict[str, int]:
+    """Each source's bytes; a null source is the source ''."""
     sizes = docs.groupBy(F.coalesce(source, F.lit("")).alias("s")).agg(F.sum(length).alias("n"))
     rows = sizes.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"over {most} sources; group them first")
-    return {s: max(1.0, float(n)) ** power for s, n in rows}
+    return {s: n for s, n in rows}
 
 
 def mix(
@@ -86,17 +136,19 @@ def mix(
     source ''; a null text has no bytes.  ``size`` may name a column of sizes to take instead of the
     text's bytes.  Rows that are alike get places next to one another in any
     order.  An empty table gives an empty one.  Columns of docs with the new names are replaced.
+    ``period`` is taken for callers that give one; the weights are exact and nothing repeats.
     """
     new = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_place")
     docs = docs.drop(*new)
     length = F.coalesce(F.col(size) if size else F.octet_length(text), F.lit(0)).cast("long")
     if weights is None:
-        weights = natural_weights(docs, length, source=source, power=power)
-    weights = {("" if k is None else k): w for k, w in weights.items()}
-    while period < 4 * len(weights):
-        period *= 2
-    parts = shares(weights, period) if any(w > 0 for w in weights.values()) else {}
-    plan = pfair_period(parts) if parts else []
+        sizes = source_bytes(docs, length, source=source)
+        weights = _to_power(sizes, power)
+    else:
+        weights = {("" if k is None else k): w for k, w in weights.items()}
+        mine = F.coalesce(source, F.lit("")).isin([k for k, w in weights.items() if w > 0])
+        sizes = source_bytes(docs.where(mine), length, source=source, most=len(weights))
+    blocks = {s: n // block_bytes + 1 for s, n in sizes.items()}  # a text without bytes may begin at the very end
 
     draw = F.xxhash64(F.col(key).cast("string"), length)
     given = docs.select(F.struct("*").alias("row"), F.coalesce(source, F.lit("")).alias("s"), length.alias("b"), draw.alias("draw"))
@@ -112,20 +164,10 @@ def mix(
     placed = given.withColumn("mix_place", before).join(sums, ["s", "bucket"]).withColumn("mix_place", F.col("mix_place") + F.col("earlier"))
     placed = placed.withColumn("mix_block", F.floor(F.col("mix_place") / block_bytes) + 1)
 
-    # the schedule of one period: period rows, so a broadcast of it is bounded by a parameter
-    session = docs.sparkSession
-    text_of = json.dumps([{"s": s, "n": n, "slot": i, "due": due, "q": parts[s]} for i, (s, n, due) in enumerate(plan)])
-    table = session.range(1).select(F.inline(F.from_json(F.lit(text_of), "array<struct<s string, n long, slot long, due long, q long>>")))
-    share = table.select("s", "q").distinct().withColumnRenamed("s", "s_")
-    placed = placed.join(F.broadcast(share), F.col("s") == F.col("s_"), "left").drop("s_")
-    turn = F.floor((F.col("mix_block") - 1) / F.col("q"))
-    placed = placed.withColumn("turn", turn).withColumn("n_", F.col("mix_block") - F.col("turn") * F.col("q"))
-    lookup = table.select(F.col("s").alias("s_"), F.col("n").alias("m_"), "slot", "due")
-    placed = placed.join(F.broadcast(lookup), (F.col("s") == F.col("s_")) & (F.col("n_") == F.col("m_")), "left")
-    last = F.lit((1 << 62))
-    slot = F.coalesce(F.col("turn") * period + F.col("slot"), last)
-    release = F.floor((F.col("mix_block") - 1) * period / F.col("q"))
-    return placed.select("row.*", "mix_block", slot.alias("mix_slot"), release.alias("mix_release"), (F.col("turn") * period + F.col("due")).alias("mix_deadline"), "mix_place")
+    slots = slot_table(docs.sparkSession, weights, blocks).withColumnsRenamed({"s": "s_", "n": "n_"})
+    placed = placed.join(slots, (F.col("s") == F.col("s_")) & (F.col("mix_block") == F.col("n_")), "left")
+    slot = F.coalesce("slot", F.lit(_LAST))
+    return placed.select("row.*", "mix_block", slot.alias("mix_slot"), F.col("release").alias("mix_release"), F.col("due").alias("mix_deadline"), "mix_place")
 
 
 def in_mixed_order(mixed: DataFrame, *, source: str = "source", key: str = "doc_id") -> DataFrame:

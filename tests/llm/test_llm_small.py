@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -181,6 +182,27 @@ def test_mix(spark):
     assert mixing.mix(given.limit(0)).count() == 0
 
 
+def test_mix_keeps_exact_weights(spark):
+    few = {str(i): (1 / 3 if i == 0 else 2 / 57) ** 0.5 for i in range(20)}
+    for weights, first, slots in (({"hot": 0.9, **{f"s{i:02}": 0.1 / 99 for i in range(99)}}, "hot", 900), (few, "0", 4_000)):
+        total = sum(map(Fraction, weights.values()))
+        share = {k: Fraction(w) / total for k, w in weights.items()}
+        rows = [(i, k) for k, w in share.items() for i in range(int(slots * w) + 2)]  # none runs out before
+        docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("b", F.lit(16))
+        got = mixing.mix(docs, weights, size="b", block_bytes=16).select("source", "mix_slot", "mix_release", "mix_deadline").collect()
+        had = Counter()
+        for t, x in enumerate(sorted(got, key=lambda x: x.mix_slot)[:slots], 1):
+            had[x.source] += 1
+            assert x.mix_slot == t - 1 and x.mix_release < t <= x.mix_deadline
+            assert all(abs(had[k] - t * share[k]) < 1 for k in (x.source, first))
+
+
+def test_slots_in_pieces_agree(spark):
+    weights, blocks = {"a": 0.3, "b": 0.6, "c": 0.1}, {"a": 9, "b": 4, "c": 5}
+    one, many = (sorted(map(tuple, mixing.slot_table(spark, weights, blocks, piece=p).collect())) for p in (100, 4))
+    assert one == many and len(one) == 18
+
+
 # ---- 6 class bigrams
 
 
