@@ -80,13 +80,24 @@ def value_grounding(spark, sf):
     return memories(spark, sf).where(F.col("subject").rlike("^[A-Za-z]+ [a-z]+ [A-Za-z ]+$")).select("id", value.alias("value"), D.grounded(value, F.col("subject")).alias("grounded"))
 
 
+# The reference asks for its 10 neighbours and one more, with the anchor's memory left out, and judges them all.
+SCAN_NEIGHBOURS = 11
+
+
+def _scan_units(spark, sf):
+    """Live text units with their own whole texts; a unit of which the memory has no such text is not indexed."""
+    u = units(spark, sf).where("kind = 'text'")
+    m = memories(spark, sf).where("status = 'active'").join(u.select(F.col("memory_id").alias("id")), "id", "left_semi")
+    texts = segment(m).select("memory_id", "unit_index", "text")
+    live = u.join(m.select(F.col("id").alias("memory_id"), "version"), "memory_id")
+    return live.join(texts, ["memory_id", "unit_index"]).select("unit_id", "memory_id", "version", "text", "embedding")
+
+
 @query("scan_candidates")
 def scan_candidates(spark, sf):
     """Pairs of memories with near units whose texts may disagree, by a batch search over all text units."""
-    u = units(spark, sf).where("kind = 'text'")
-    m = memories(spark, sf).where("status = 'active'").select(F.col("id").alias("memory_id"), "version", F.col("subject").alias("text"))
-    live = u.join(m, "memory_id")
-    near = V.batch_knn(live.select("unit_id", "memory_id", "embedding"), live, 5)
+    live = _scan_units(spark, sf)
+    near = V.batch_knn(live, live, SCAN_NEIGHBOURS)
     recorded = conflicts(spark, sf).where("status in ('open', 'applying', 'not_a_conflict')").select("members")
     return D.scan_candidates(live.select("unit_id", "memory_id", "version", "text"), near.select("anchor_id", "unit_id", "distance"), recorded, similar_too=True).select("x", "y", "state", "reasons", F.round("distance", 6).alias("distance"), "members")
 
