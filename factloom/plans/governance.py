@@ -82,6 +82,7 @@ def value_grounding(spark, sf):
 
 # The reference asks for its 10 neighbours and one more, with the anchor's memory left out, and judges them all.
 SCAN_NEIGHBOURS = 11
+SCAN_BLOCK = 8_192  # units; so many against as many are one task's group
 
 
 def _scan_units(spark, sf):
@@ -95,9 +96,10 @@ def _scan_units(spark, sf):
 
 @query("scan_candidates")
 def scan_candidates(spark, sf):
-    """Pairs of memories with near units whose texts may disagree, by a batch search over all text units."""
+    """Pairs of memories with near units whose texts may disagree, by a search of all text units among themselves."""
     live = _scan_units(spark, sf)
-    near = V.batch_knn(live, live, SCAN_NEIGHBOURS)
+    blocks = -(-table(spark, sf, "embeddings").count() // SCAN_BLOCK) or 1
+    near = V.self_knn(live, SCAN_NEIGHBOURS, blocks)
     recorded = conflicts(spark, sf).where("status in ('open', 'applying', 'not_a_conflict')").select("members")
     return D.scan_candidates(live.select("unit_id", "memory_id", "version", "text"), near.select("anchor_id", "unit_id", "distance"), recorded, similar_too=True).select("x", "y", "state", "reasons", F.round("distance", 6).alias("distance"), "members")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import pairs as D
+from factloom.operators import vector as V
 from factloom.operators.segment import units as units_of
 from factloom.plans import CORE_QUERIES
 from factloom.sources import views
@@ -51,3 +52,20 @@ def by_hand(spark, sf, k=11):
 def test_scan_sees_whole_texts_of_all_neighbours(spark, tables):
     got = {(x.x, x.y, x.reasons, x.distance) for x in CORE_QUERIES["scan_candidates"](spark, tables).collect()}
     assert got == by_hand(spark, tables) and any("numeric" in r for _, _, r, _ in got)
+
+
+def test_scan_sends_no_vector_through_the_driver(spark, tables, monkeypatch):
+    monkeypatch.setattr(V, "batch_knn", None)
+    monkeypatch.setattr("factloom.plans.governance.SCAN_BLOCK", 30)
+    got = {(x.x, x.y, x.reasons, x.distance) for x in CORE_QUERIES["scan_candidates"](spark, tables).collect()}
+    assert got == by_hand(spark, tables)
+
+
+def test_self_knn_is_batch_knn(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, i // 3, [1.0, 2.0, 3.0] if i % 4 == 0 else r.normal(size=3).round(1).tolist()) for i in range(150)]  # ties, and copies
+    u = spark.createDataFrame(rows, "unit_id long, memory_id long, embedding array<double>")
+    want = sorted(map(tuple, V.batch_knn(u, u, 4).collect()))
+    for blocks in (1, 5):
+        assert sorted(map(tuple, V.self_knn(u, 4, blocks).collect())) == want
+    assert V.self_knn(u.limit(0), 4, 2).count() == 0
