@@ -3,8 +3,9 @@
 Words are counted over all training texts.  The ``clustered`` most frequent words are put into
 classes by exchange: starting from ranks dealt out in turn, each word is moved to the class that most
 raises the likelihood of the class bigrams, given where all others are; words are worked on by many
-tasks at once, and in each round one half of them, chosen by a hash, may move.  All other words have
-the class of their ending.  Then
+tasks at once, and in each round one half of them may move: a half chosen by a hash, then the other
+one.  Rounds go on until such a pair of them brings less than a thousandth of the rise so far.  All
+other words have the class of their ending.  Then
 
     p(w | previous) = p(class(w) | class(previous)) * p(w | class(w)),
 
@@ -17,6 +18,7 @@ bounded by that parameter); what other words contribute is added by a join with
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 import zlib
@@ -194,6 +196,11 @@ def exchange_gains(left: np.ndarray, right: np.ndarray, own: int, bigrams: np.nd
     return gain
 
 
+def may_move(word: int, turn: int) -> bool:
+    """Turns come in pairs: in each a fresh half of the words, then the other half."""
+    return (hashlib.blake2b(b"%d,%d" % (word, turn // 2), digest_size=1).digest()[0] + turn) % 2 == 1
+
+
 def _moves(packed: DataFrame, shared, words: int, classes: int, size: int, turn: int) -> list[tuple[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, bigrams = shared.value
@@ -202,7 +209,7 @@ def _moves(packed: DataFrame, shared, words: int, classes: int, size: int, turn:
             mine, place = np.unique(w, return_inverse=True)
             context = np.bincount((place * 2 + right) * size + of[o], n, len(mine) * 2 * size).reshape(len(mine), 2, size)
             for k, word in enumerate(mine):
-                if word < words and zlib.crc32(b"%d,%d" % (word, turn)) % 2:
+                if word < words and may_move(int(word), turn):
                     gain = exchange_gains(context[k, 0], context[k, 1], int(of[word]), bigrams, classes)
                     best = int(gain.argmax())
                     if gain[best] > 1e-9:
@@ -224,13 +231,14 @@ def fit_classes(
     clustered: int = 8_192,
     classes: int = 128,
     endings: int = 64,
-    rounds: int = 6,
+    rounds: int | None = None,
     smoothing: float = 8.0,
     buckets: int = 64,
 ) -> ClassModel:
     """The model of training texts(t), given their word counts(word, n).
 
     ``clustered``, ``classes`` and ``endings`` bound the model; what it learns from is not bounded.
+    ``rounds`` ends the exchange early.
     """
     spark = texts.sparkSession
     ship_package(spark)
@@ -238,15 +246,20 @@ def fit_classes(
     packed = written(_packed(_bigrams(texts, spark.sparkContext.broadcast(words), endings), buckets), "bigrams")
     size = classes + endings + 1
     of = np.concatenate([np.arange(len(words)) % classes, np.arange(classes, size)])  # endings and the end keep their class
-    best, table = None, None
-    for turn in range(rounds + 1):
+    best, table, rises, turn = None, None, [], 0
+    while True:
         bigrams = _class_bigrams(packed, spark.sparkContext.broadcast(of), size)
-        if best is None or likelihood(bigrams) > best[0]:
-            best, table = (likelihood(bigrams), of.copy()), bigrams
-        if turn < rounds and words:
-            of = of.copy()
-            for w, c in _moves(packed, spark.sparkContext.broadcast((of, bigrams)), len(words), classes, size, turn):
-                of[w] = c
+        now = likelihood(bigrams)
+        if best is None or now > best[0]:
+            best, table = (now, of.copy()), bigrams
+        rises.append(best[0])  # by turn, the most so far
+        settled = turn and turn % 2 == 0 and rises[-1] - rises[-3] <= 1e-3 * (rises[-1] - rises[0])
+        if settled or turn == rounds or not words:
+            break
+        of = of.copy()
+        for w, c in _moves(packed, spark.sparkContext.broadcast((of, bigrams)), len(words), classes, size, turn):
+            of[w] = c
+        turn += 1
     of = best[1]
     n_class = table.sum(0)
     prior = (n_class + 1) / (n_class.sum() + size)

@@ -226,6 +226,24 @@ def test_class_model(spark):
     assert class_lm.score_texts(docs.limit(0), model, counts).count() == 0
 
 
+def test_exchange_goes_on_while_the_likelihood_rises(spark, monkeypatch):
+    train = table(spark, [(i, "a b c d e f"[: 2 * (i % 6) + 1]) for i in range(20)], "doc_id long, t string")
+    turns, values = [], iter([*map(float, range(13)), *[12.0] * 9])
+    monkeypatch.setattr(class_lm, "likelihood", lambda b: next(values))
+    monkeypatch.setattr(class_lm, "_moves", lambda *a: turns.append(a[-1]) or [])
+    monkeypatch.setattr(class_lm, "_class_bigrams", lambda packed, shared, size: np.ones((size, size)))
+    class_lm.fit_classes(train, class_lm.count_words(train), clustered=4, classes=2, endings=2, buckets=2)
+    assert turns == list(range(14))  # 12 that rise, and a pair that doesn't
+
+
+def test_halves_that_move():
+    halves = [{w for w in range(4_000) if class_lm.may_move(w, t)} for t in range(8)]
+    assert all(a.isdisjoint(b) and len(a | b) == 4_000 for a, b in zip(halves[::2], halves[1::2]))
+    for i in range(0, 8, 2):
+        for j in range(0, i, 2):
+            assert 800 < len(halves[i] & halves[j]) < 1_200  # neither the same half nor its opposite
+
+
 # ---- 7 near duplicates
 
 
