@@ -1,20 +1,24 @@
 """Near-duplicate groups by an exact Jaccard join of word n-gram sets, through prefix trees.
 
-Documents with equal sets are joined through the set's signature, and one stands for all.  Sets are
-in one global order: n-grams whose hash lies in the lowest ``zone`` of the range first, rarest first;
-then the rest by hash.  Two sets of n and m elements with similarity of at least t have their first
-common element among the first n - ceil(t n) + 1 of either, so only those prefixes are compared, and
-of them only elements that some other document has in its own: most documents have none.  The documents left are put in order once more, by how many of them have each
-of all their elements, which leaves those that have nearly all of their elements in common with others.
-
-Two passes then find the links.  First each document is compared with one leader, the smallest
-document with which it shares the most prefix elements; large groups of near copies become one
-component by that.  Then, for elements whose documents are still in several components, the
-documents' prefixes are put into a prefix tree, which is traversed for each document, sharing the
-overlap counted so far among all sets below a node, and leaving subtrees that are too short, too long
-or too far on to reach the needed overlap.  An element with many documents is dealt out as pairs of
-blocks.  Candidates of both passes are verified on the whole sets; pairs within a component found
-before need no test, as they change nothing.
+Two sets of n and m elements with similarity of at least t, both in one global order, have their
+first common element among the first n - ceil(t n) + 1 of either.  Documents with equal sets are
+joined through the set's signature, and one stands for all.  For the others the order is used twice:
+
+1. First come the n-grams of the lower half of the hash range, those of one document alone before
+   all others.  Each task sends every n-gram of that half once, packed by hash range; a range tells
+   which of them other tasks have too, and a document whose first elements are all its own has no
+   partner and is done.  Most are.
+2. The documents left are put in order among themselves, by how many of them have each element.
+
+A prefix element with the documents that hold it is a group.  The documents' prefixes are put into a
+prefix tree, which is traversed for each of them, sharing the overlap counted so far among all sets
+below a node, and leaving subtrees that are too short, too long or too far on to reach the needed
+overlap; at a leaf, sketches of both whole sets bound what may still be common.  The first traversal
+ends at a document's first candidate and deals a large group out in blocks; it makes one component
+of a large group of copies.  The second takes the groups whose documents are still in several
+components, and every candidate of another component; a large group is dealt out as pairs of blocks.
+Candidates of both are verified on the whole sets.  Pairs within a component need no test: they
+change nothing.
 """
 
 from __future__ import annotations
@@ -29,26 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import keep_matching, ship_package, written
+from factloom.llm.common import discard, keep_matching, ship_package, written
 from factloom.llm.components import components
+from factloom.llm.words import shingle_sets, text_slices
 
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """The sorted distinct 63-bit hashes of a text's word n-grams; of all words if there are fewer."""
-    words = text.encode().translate(_FOLD).split() if text else []
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
-    return np.unique((out >> np.uint64(1)).astype(np.int64))
+#: n-grams that a task packs together, at most (but for a single document).
+_PACK = 1 << 20
+#: Stands for an n-gram that several documents of a pack have.
+_SEVERAL = 0xFFFF
 
 
 def prefix_length(n: int | np.ndarray, percent: int):
@@ -56,126 +48,246 @@ def prefix_length(n: int | np.ndarray, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def _prepared(docs: DataFrame, size: int, percent: int, zone: int) -> DataFrame:
-    """A row for each document: key, id, hash of the text, n, two signatures of the set, and its lowest hashes."""
-    schema = "key long, id long, h long, n long, s1 long, s2 long, low array<long>"
+def _signature(items: np.ndarray) -> tuple[int, int]:
+    data = items.tobytes()
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63)
+
+
+def _packs(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """docs(id, t, h) to two kinds of rows, told apart by bucket.
+
+    Without a bucket, a document: pack, key, id, h, n, two signatures of its set, how many elements
+    it has in the lower half of the hash range (low), and how many of those another document of the
+    pack has (met).  With a bucket, one of 2**bits ranges of that half: the pack's distinct n-grams
+    in it as 32-bit tokens, and the number within the pack of the document of each.
+    """
+    names = ["pack", "bucket", "key", "id", "h", "n", "s1", "s2", "low", "met", "tokens", "owners"]
+    kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 8 + [pa.binary()] * 2
+
+    def packed(pack: int, rows: list, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        items = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order].astype(np.uint16)
+        fresh = np.concatenate([[True], items[1:] != items[:-1]]) if len(items) else np.zeros(0, bool)
+        several = ~(fresh & np.concatenate([fresh[1:], [True]])) if len(items) else fresh
+        met = np.bincount(owner[several], minlength=len(sets))
+        columns = list(zip(*(r + (len(s), int(m)) for r, s, m in zip(rows, sets, met))))
+        none = [None] * len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([[pack] * len(rows), none, *columns, none, none], kinds)], names=names)
+        owner[several] = _SEVERAL
+        items, owner = items[fresh], owner[fresh]
+        ranges = (items >> np.uint64(63 - bits)).astype(np.int64)
+        tokens = ((items << np.uint64(bits + 1)) >> np.uint64(32)).astype("<u4")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1, [len(ranges)]]) if len(ranges) else np.zeros(1, int)
+        parts = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        none = [None] * len(parts)
+        values = [[pack] * len(parts), ranges[cut[:-1]].tolist() if parts else [], *[none] * 8, [tokens[a:b].tobytes() for a, b in parts], [owner[a:b].astype("<u2").tobytes() for a, b in parts]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 40
-        for b in batches:
-            rows = []
-            for i, t, of in zip(*(c.to_pylist() for c in b.columns)):
-                h = shingle_hashes(t, size)
-                data, n = h.tobytes(), len(h)
-                keep = max(int(np.searchsorted(h, zone)), prefix_length(n, percent)) if n else 0
-                rows.append((key, i, of, n, xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63), h[:keep]))
-                key += 1
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["key", "id", "h", "n", "s1", "s2", "low"])
-
-    return docs.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(run, schema)
+        key = pack = TaskContext.get().partitionId() << 40
+        rows, sets, held = [], [], 0
+        for batch in batches:
+            for b in text_slices(batch, 1):
+                for i, h, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(1), size)):
+                    rows.append((key, i, h, len(s), *_signature(s)))
+                    low = s[: np.searchsorted(s, np.uint64(1 << 63))]
+                    sets.append(low)
+                    key, held = key + 1, held + len(low)
+                    if held >= _PACK or len(rows) == _SEVERAL:
+                        yield from packed(pack, rows, sets)
+                        pack, rows, sets, held = key, [], [], 0
+        if rows:
+            yield from packed(pack, rows, sets)
+
+    schema = "pack long, bucket int, key long, id long, h long, n long, s1 long, s2 long, low long, met long, tokens binary, owners binary"
+    return docs.select("id", "t", "h").mapInArrow(run, schema)
+
+
+def _met_elsewhere(packs: DataFrame) -> DataFrame:
+    """The packs to (key, elsewhere): how many of a document's own n-grams some other pack has."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            _, packs_, tokens, owners = zip(*group)
+            tokens = [np.frombuffer(x, "<u4") for x in tokens]
+            sizes = [len(x) for x in tokens]
+            token, owner = np.concatenate(tokens), np.concatenate([np.frombuffer(x, "<u2") for x in owners])
+            order = np.argsort(token, kind="stable")
+            same = token[order[1:]] == token[order[:-1]]
+            again = np.zeros(len(token), bool)
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            again &= owner != _SEVERAL
+            edges = np.concatenate([[0], np.cumsum(sizes)])
+            out = [(p, owner[a:b][again[a:b]].tobytes()) for p, a, b in zip(packs_, edges[:-1].tolist(), edges[1:].tolist())]
+            out = [x for x in out if x[1]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), pa.binary()))], names=["pack", "owners"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for pack, group in groupby(rows, key=lambda r: r[0]):
+            total = np.zeros(_SEVERAL, np.int64)
+            for _, owners in group:
+                total += np.bincount(np.frombuffer(owners, "<u2"), minlength=_SEVERAL)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(pack + at), pa.array(total[at])], names=["key", "elsewhere"])
+
+    ranges = packs.where("bucket is not null").select("bucket", "pack", "tokens", "owners")
+    found = ranges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "pack long, owners binary")
+    return found.repartition("pack").sortWithinPartitions("pack").mapInArrow(count, "key long, elsewhere long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """The whole sets of documents(id, t): id, signatures, items."""
+    """docs(key, t, s1, s2) to (key, items, sketch), of those whose set has these signatures.
+
+    The sketch tells for each of a power of two of hash values whether an odd number of elements has
+    it; as many sketch bits as two sets differ in, so many elements at least are not common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = shingle_hashes(t, size)
-                data = h.tobytes()
-                rows.append((i, xxhash.xxh3_64_intdigest(data) - (1 << 63), xxhash.xxh64_intdigest(data, 1) - (1 << 63), h))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["id", "s1", "s2", "items"])
+        for batch in batches:
+            for b in text_slices(batch, 1):
+                rows = []
+                for key, s1, s2, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), shingle_sets(b.column(1), size)):
+                    if (s1, s2) == _signature(s):
+                        rows.append((key, s.view(np.int64), sketch(s)))
+                kinds = pa.int64(), pa.list_(pa.int64()), pa.binary()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["key", "items", "sketch"])
+
+    return docs.select("key", "t", "s1", "s2").mapInArrow(run, "key long, items array<long>, sketch binary")
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """Parities of a set's elements by the low bits of their hashes, about a bit an element."""
+    width = max(6, min(15, int(len(items)).bit_length()))
+    odd = np.bincount((items & np.uint64((1 << width) - 1)).astype(np.int64), minlength=1 << width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    return docs.select(F.col("id").cast("long"), "t").mapInArrow(run, "id long, s1 long, s2 long, items array<long>")
+
+def _differing(a: int, wide_a: int, b: int, wide_b: int) -> int:
+    """How many elements at least are in one of two sets only, by their sketches of so many bits."""
+    while wide_a > wide_b:
+        wide_a >>= 1
+        a = (a >> wide_a) ^ (a & ((1 << wide_a) - 1))
+    while wide_b > wide_a:
+        wide_b >>= 1
+        b = (b >> wide_b) ^ (b & ((1 << wide_b) - 1))
+    return (a ^ b).bit_count()
 
 
 class PrefixTree:
     """Sets of one group, as what follows the group's element in their prefixes.
 
-    An element is (place, order): its place in its own set, and what orders it among all.  A node
-    knows the least and most elements of the sets below it, and the least place at which its element
-    stands in them, so that subtrees without a set that can still reach the overlap are left out.
+    A set is given as its number of elements n, the place of the group's element in it, and the
+    elements that follow it within the prefix, in the global order, at the next places.  A node knows
+    the least and most elements of the sets below it, and the least place of the group's element in
+    them, so that subtrees without a set that can still reach the overlap are left out.
     """
 
+    __slots__ = ("root",)
+
     def __init__(self) -> None:
-        self.root = self._node(0)
-
-    @staticmethod
-    def _node(place: int) -> dict:
-        return {"next": {}, "sets": [], "least": 1 << 62, "most": 0, "place": place}
-
-    def add(self, prefix: list, n: int, name, place: int) -> None:
-        """A set of n elements with the group's element at a place, followed by prefix."""
-        path, node = [self.root], self.root
-        self.root["place"] = min(self.root["place"], place) if self.root["sets"] or self.root["next"] else place
-        for at, order in prefix:
-            node = node["next"].setdefault(order, self._node(at))
-            node["place"] = min(node["place"], at)
-            path.append(node)
-        for x in path:
-            x["least"], x["most"] = min(x["least"], n), max(x["most"], n)
-        node["sets"].append((name, n, prefix[-1][0] if prefix else place))
-
-    def candidates(self, prefix: list, n: int, percent: int, place: int) -> Iterator:
-        """Names of the sets that may be similar to such a set, the group's element being the first in common."""
-        both = 100 + percent
-        stack = [(self.root, 0, 1)]  # node, elements of the probe passed, overlap so far
+        self.root = [{}, [], 1 << 62, 0, 1 << 62]  # children, sets, least n, most n, least place
+
+    def add(self, name, n: int, place: int, prefix: list[int]) -> None:
+        node = self.root
+        for element in [None, *prefix]:
+            if element is not None:
+                child = node[0].get(element)
+                if child is None:
+                    child = node[0][element] = [{}, [], n, n, place]
+                node = child
+            if n < node[2]:
+                node[2] = n
+            if n > node[3]:
+                node[3] = n
+            if place < node[4]:
+                node[4] = place
+        node[1].append((name, n, place))
+
+    def candidates(self, n: int, place: int, prefix: list[int], percent: int) -> Iterator:
+        """Names of sets that may be similar to such a set, shared elements first.
+
+        The group's element counts as the first in common.
+        """
+        both, length = 100 + percent, len(prefix)
+        # node, elements of the probe passed, elements of the sets below passed, overlap so far
+        stack = [(self.root, 0, 0, 1)]
         while stack:
-            node, at, overlap = stack.pop()
-            least = max(node["least"], -(-n * percent // 100))  # shorter ones can't be similar
-            if node["most"] < least or least * percent > n * 100:
+            (children, sets, least, most, first), k, depth, overlap = stack.pop()
+            least = max(least, -(-n * percent // 100))  # shorter ones can't be similar
+            if most < least or least * percent > n * 100:
                 continue
-            mine = n - 1 - (prefix[at - 1][0] if at else place)
-            if (overlap + min(mine, node["most"] - 1 - node["place"])) * both < percent * (n + least):
+            mine = n - 1 - place - k
+            if (overlap + min(mine, most - 1 - first - depth)) * both < percent * (n + least):
                 continue
-            for name, m, last in node["sets"]:
-                if n * percent <= m * 100 and m * percent <= n * 100 and (overlap + min(mine, m - 1 - last)) * both >= percent * (n + m):
+            for name, m, at in sets:
+                if n * percent <= m * 100 and m * percent <= n * 100 and (overlap + min(mine, m - 1 - at - depth)) * both >= percent * (n + m):
                     yield name
-            for order, child in node["next"].items():
-                k = at
-                while k < len(prefix) and prefix[k][1] < order:
-                    k += 1
-                same = k < len(prefix) and prefix[k][1] == order
-                stack.append((child, k + same, overlap + same))
-
-
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of rows(token, left, right, key, side, n, component, places, orders), by tree, a group at a time."""
+            shared = []
+            for element, child in children.items():
+                j = k
+                while j < length and prefix[j] < element:
+                    j += 1
+                if j == length:  # past the probe's prefix, elements of the sets may still be common
+                    stack.append((child, j, depth, overlap))
+                elif prefix[j] == element:
+                    shared.append((child, j + 1, depth + 1, overlap + 1))
+                else:
+                    stack.append((child, j, depth + 1, overlap))
+            stack += shared  # on top: they are followed first
+
+
+def _tree_pairs(rows: DataFrame, percent: int, first_only: bool) -> DataFrame:
+    """Candidate pairs of rows(token, left, right, block, key, component, n, unique, prefix, sketch), by tree.
+
+    With ``first_only`` the first candidate of each document alone, among those of smaller keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each():
-            for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns))
-
-        found: list[tuple[int, int]] = []
-        for (token, left, right), group in groupby(each(), key=lambda r: r[:3]):
-            tree, probes, of = PrefixTree(), [], {}
-            for _, _, _, key, block, n, component, prefix in group:
-                elements = [(x["place"], (x["late"], x["df"], x["token"])) for x in prefix]
-                first = next(k for k, x in enumerate(elements) if x[1][2] == token)
-                place, elements = elements[first][0], elements[first + 1 :]
-                of[key] = component
+        # names of documents are (key, component, n, sketch, its bits)
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found: set[tuple[int, int]] = set()
+
+        def may(one: tuple, two: tuple) -> bool:
+            if one[1] == two[1]:
+                return False
+            n = one[2] + two[2]
+            return n - _differing(one[3], one[4], two[3], two[4]) >= 2 * -(-n * percent // (100 + percent))
+
+        for (token, left, right), group in groupby(each, key=lambda r: r[:3]):
+            tree, probes = PrefixTree(), []
+            for _, _, _, block, key, component, n, unique, prefix, bits in group:
+                at = prefix.index(token)
+                name = key, key if component is None else component, n, int.from_bytes(bits, "little"), 8 * len(bits)
+                given = n, unique + at, prefix[at + 1 :]
+                if first_only:
+                    for other in tree.candidates(*given, percent):
+                        if may(name, other):
+                            found.add((other[0], key))
+                            break
                 if block == left:
-                    tree.add(elements, n, key, place)
-                if block == right:
-                    probes.append((elements, n, key, place))
-            for elements, n, key, place in probes:
-                for other in tree.candidates(elements, n, percent, place):
-                    if of[other] != of[key] and (left != right or other < key):
-                        found.append((min(key, other), max(key, other)))
+                    tree.add(name, *given)
+                if block == right and not first_only:
+                    probes.append((name, given))
+            for name, given in probes:
+                for other in tree.candidates(*given, percent):
+                    if (left != right or other[0] < name[0]) and may(name, other):
+                        found.add((min(name[0], other[0]), max(name[0], other[0])))
             if len(found) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*set(found))], names=["a", "b"])
-                found = []
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], names=["a", "b"])
+                found.clear()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*set(found))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], names=["a", "b"])
 
-    ordered = rows.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right")
-    return ordered.select("token", "left", "right", "key", "block", "n", "component", "prefix").mapInArrow(run, "a long, b long").distinct()
+    ordered = rows.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "key")
+    ordered = ordered.select("token", "left", "right", "block", "key", "component", "n", "unique", "prefix", "sketch")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,23 +298,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("shared") * 100 >= F.col("all") * percent).select("a", "b")
 
 
-def _prefixes(elements: DataFrame, sizes: DataFrame, limit: int, percent: int) -> DataFrame:
-    """elements(key, n, at, token), sizes(key, inside) to key, n, prefix: the elements of the prefix that others have.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(key, items) to (key, n, unique, prefix).
 
-    Elements below the limit come first, rarest first, and of them ``inside`` are in the set; the rest
-    follows by hash, at is the place among all by hash.
+    In the global order elements of one set alone come first, ``unique`` of them in this set; then
+    those that occur again, rarest first, as numbers that tell how many sets have them (up to half a
+    million) and the upper bits of their hash.  Two elements of the same number count as one, which
+    may only add a candidate.
     """
-    inner = F.col("token") < limit
-    counts = elements.groupBy("token").count().where("count > 1").withColumnRenamed("count", "df")
-    shared = elements.join(counts, "token").select("key", "n", F.struct(F.when(inner, 0).otherwise(1).alias("late"), F.when(inner, F.col("df")).otherwise(0).alias("df"), "token", F.col("at").cast("long").alias("at")).alias("x"))
-    lists = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list("x")).alias("x"), F.count_if(F.col("x.late") == 0).alias("held")).join(sizes, "key")
-    # inner elements that no other document has stand before all shared ones; held is counted by the
-    # aggregation, as an expression over x here would be worked out anew for each element
-    first = F.col("inside") - F.col("held")
-    placed = F.transform("x", lambda e, i: F.struct(F.when(e["late"] == 0, first + i).otherwise(e["at"]).cast("long").alias("place"), e["late"].alias("late"), e["df"].alias("df"), e["token"].alias("token")))
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    prefixes = lists.select("key", "n", placed.alias("p"), length.alias("length")).select("key", "n", F.filter("p", lambda e: e["place"] < F.col("length")).alias("prefix"))
-    return prefixes.where(F.size("prefix") > 0)
+    n = F.size("items").cast("long")
+    elements = sets.select("key", n.alias("n"), F.explode("items").alias("item"))
+    counts = elements.groupBy("item").count().where("count > 1")
+    order = F.shiftleft(F.least("count", F.lit((1 << 19) - 1)), 44).bitwiseOR(F.shiftrightunsigned("item", 20))
+    shared = elements.join(counts, "item").groupBy("key", "n").agg(F.array_sort(F.collect_list(order)).alias("x"))
+    unique = F.col("n") - F.size("x")
+    length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - unique)
+    return shared.select("key", "n", unique.alias("unique"), F.slice("x", F.lit(1), length.cast("int")).alias("prefix")).where(F.size("prefix") > 0)
 
 
 def near_duplicates(
@@ -212,7 +323,6 @@ def near_duplicates(
     text: str = "text",
     size: int = 4,
     percent: int = 85,
-    zone: float = 0.25,
     block: int = 512,
 ) -> DataFrame:
     """A row for each row of docs: key, row_id (a number of the row), text_hash, n_shingles, group_id
@@ -221,63 +331,71 @@ def near_duplicates(
     The component is the smallest key that can be reached over links of at least ``percent``
     similarity.  Rows without a text or words have no n-grams and no links; their component is their
     own key.  Equal rows, of one key or of several, are linked as equal sets.  A null key never names
-    a component that has another key.  An empty table gives an empty result.
+    a component that has another key.  Texts of any length are taken whole.  Other columns of docs
+    play no part, whatever their names.  An empty table gives an empty result.
+
+    N-grams are told apart by 64-bit hashes: a set of 100,000 has two that are taken for one with a
+    chance of about 1 in 4 thousand million.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    limit = int(zone * (1 << 63))
-    prepared = written(_prepared(given, size, percent, limit), "sets")
+    given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    volume = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = max(0, (volume // (16 << 20)).bit_length())  # hash ranges of a million n-grams or so
+    packs = written(_packs(given, size, min(31, bits)), "packs")
+    prepared = packs.where("bucket is null").select("key", "id", "h", "n", "s1", "s2", "low", "met")
     # equal sets: the row of the smallest key stands for all
     same = ["n", "s1", "s2"]
     classes = prepared.where("n > 0").groupBy(*same).agg(F.min("key").alias("key"), F.min("id").alias("least"))
     classes = written(classes, "classes")
-    alone = prepared.join(classes.select("key"), "key", "left_semi").select("key", "n", F.posexplode("low").alias("at", "token"))
-    sizes = prepared.select("key", F.size(F.filter("low", lambda h: h < limit)).alias("inside"))
-    first = _prefixes(alone, sizes, limit, percent).select("key", F.explode("prefix.token").alias("token"))
-    first = written(first, "first")
-    met = first.groupBy("token").count().where("count > 1").select("token")
-    may = first.join(met, "token", "left_semi").select("key").distinct()
+    alone = F.col("low") - F.col("met") - F.coalesce("elsewhere", F.lit(0))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    may = prepared.join(classes.select("key"), "key", "left_semi").join(_met_elsewhere(packs), "key", "left").where(alone < length)
+    wanted = written(may.select("key", "id", "h", *same), "wanted")
 
     # whole sets of the documents that may have a link, put in order once more among themselves
-    wanted = written(may.join(prepared.drop("low"), "key"), "wanted")
-    texts = given.join(wanted.select(F.col("id").alias("w")).distinct(), F.col("id").eqNullSafe(F.col("w")), "left_semi")
-    match: Column = F.col("id").eqNullSafe(F.col("w")) & (F.col("s1") == F.col("z1")) & (F.col("s2") == F.col("z2"))
-    named = wanted.select("key", F.col("id").alias("w"), F.col("s1").alias("z1"), F.col("s2").alias("z2"))
-    sets = written(_sets(texts, size).dropDuplicates(["id", "s1", "s2"]).join(named, match).select("key", "items"), "items")
-    n = F.size("items").cast("long")
-    every = sets.select("key", n.alias("n"), F.posexplode("items").alias("at", "token"))
-    prefixes = written(_prefixes(every, sets.select("key", n.alias("inside")), (1 << 63) - 1, percent), "prefixes")
-
-    postings = prefixes.select("key", F.explode("prefix").alias("x")).select("key", "x.token", F.struct("x.df", "x.token").alias("order"))
-    groups = postings.groupBy("token").agg(F.min("order").alias("order"), F.min("key").alias("leader"), F.count("*").alias("k"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("k > 1")
-    groups = written(groups, "groups")
+    sides = wanted.select("id", "h", "key", "s1", "s2")
+    sets = _sets(keep_matching(given, sides, ["id", "h"]), size)
+    rows_alike = prepared.join(wanted.select("id", "h"), ["id", "h"], "left_semi").groupBy("id", "h").count().where("count > 1")
+    if not rows_alike.isEmpty():  # rows that share key and text have one set
+        sets = sets.dropDuplicates(["key"])
+    sets = written(sets, "items")
+    prefixes = written(_prefixes(sets, percent).join(sets.select("key", "sketch"), "key"), "prefixes")
+
+    postings = prefixes.select("key", F.explode(F.array_distinct("prefix")).alias("token"))
+    groups = postings.groupBy("token").agg(F.min("key").alias("least"), F.count("*").alias("k"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("k > 1")
     # of elements with the same documents the first one is enough: no other is the first in common
-    kept = groups.groupBy("leader", "k", "who").agg(F.min("order").alias("order")).select("k", "order.token")
-    led = postings.join(groups.select("token", "leader"), "token").where("key <> leader").groupBy("key", "leader").count()
-    pairs = led.groupBy("key").agg(F.max(F.struct("count", (-F.col("leader")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("key").alias("b"))
+    kept = groups.groupBy("least", "k", "who").agg(F.min("token").alias("token")).select("k", "token")
+    members = written(postings.join(kept, "token"), "members")
+    blocks = F.ceil(F.col("k") / block).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"))
 
+    tried = dealt.withColumns({"left": F.col("block"), "right": F.col("block"), "component": F.lit(None).cast("long")}).join(prefixes, "key")
+    best = _tree_pairs(tried, percent, True).groupBy("a", "b").count()
+    pairs = best.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
     links = written(_verified(pairs, sets, percent), "links")
+
     so_far = components(links)
-    label = F.coalesce("component", "key")
-    open_ = postings.select("key", "token").join(kept, "token").join(so_far, "key", "left").select("token", "k", "key", label.alias("component"))
+    label: Column = F.coalesce("component", "key")
+    open_ = dealt.join(so_far, "key", "left").withColumn("component", label)
     mixed = open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    rows = open_.join(mixed, "token").join(prefixes, "key").withColumn("blocks", blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("*", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"))
-    more = _tree_pairs(rows, percent).join(pairs, ["a", "b"], "left_anti")
+    rows = open_.join(mixed, "token").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("*", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")).join(prefixes, "key")
+    more = _tree_pairs(rows, percent, False).distinct()
     found = written(links.unionByName(_verified(more, sets, percent)), "links")
 
     ids = components(found)
-    rep = classes.join(ids, "key", "left").select(*same, "least", F.coalesce("component", "key").alias("component"))
+    rep = classes.join(ids, "key", "left").select(*same, "least", label.alias("component"))
     names = rep.groupBy("component").agg(F.min("least").alias("component_id"))
     rep = rep.join(names, "component").select(*same, "component", "component_id")
-    out = prepared.select("key", "id", "h", *same).join(rep, same, "left")
     linked = F.col("n") > 0
-    return out.select(
+    out = prepared.select("key", "id", "h", *same).join(rep, same, "left")
+    out = out.select(
         F.col("id").alias(key), F.col("key").alias("row_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"),
         F.when(linked, F.col("component")).otherwise(F.col("key")).alias("group_id"), F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = written(out, "groups")
+    discard(packs, classes, wanted, sets, prefixes, members, links, found)
+    return out
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
