@@ -163,8 +163,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """Parities of a set's elements by the low bits of their hashes, about a bit an element."""
-    width = max(6, min(15, int(len(items)).bit_length()))
+    """Parities of a set's elements by the low bits of their hashes, four to eight bits an element."""
+    width = max(6, min(17, int(len(items)).bit_length() + 2))
     odd = np.bincount((items & np.uint64((1 << width) - 1)).astype(np.int64), minlength=1 << width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -250,13 +250,15 @@ def _tree_pairs(rows: DataFrame, percent: int, first_only: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # names of documents are (key, component, n, sketch, its bits)
+        # names of documents are (key, component, n, sketch, its bits, elements before the group's)
         each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         found: set[tuple[int, int]] = set()
 
         def may(one: tuple, two: tuple) -> bool:
             if one[1] == two[1]:
                 return False
+            if not one[5].isdisjoint(two[5]):
+                return False  # the group of an element before this one has the pair
             n = one[2] + two[2]
             return n - _differing(one[3], one[4], two[3], two[4]) >= 2 * -(-n * percent // (100 + percent))
 
@@ -264,7 +266,7 @@ def _tree_pairs(rows: DataFrame, percent: int, first_only: bool) -> DataFrame:
             tree, probes = PrefixTree(), []
             for _, _, _, block, key, component, n, unique, prefix, bits in group:
                 at = prefix.index(token)
-                name = key, key if component is None else component, n, int.from_bytes(bits, "little"), 8 * len(bits)
+                name = key, key if component is None else component, n, int.from_bytes(bits, "little"), 8 * len(bits), frozenset(prefix[:at])
                 given = n, unique + at, prefix[at + 1 :]
                 if first_only:
                     for other in tree.candidates(*given, percent):
@@ -381,7 +383,7 @@ def near_duplicates(
     mixed = open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     rows = open_.join(mixed, "token").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("*", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")).join(prefixes, "key")
-    more = _tree_pairs(rows, percent, False).distinct()
+    more = _tree_pairs(rows, percent, False)
     found = written(links.unionByName(_verified(more, sets, percent)), "links")
 
     ids = components(found)
