@@ -5,8 +5,12 @@ content alone, so equal strings have equal positions inside.  The text between t
 block.  Spark ranks the blocks, then pairs of ranks at growing offsets (1, 2, 4 ... blocks), sorting
 the pairs and reranking those that occur again; a run of blocks that is unique, or whose neighbour
 is, is not followed further, nor one longer than the threshold.  A string of the threshold's length
-that holds a unique run is unique itself.  What is left, the strings all of whose runs occur again,
-is put in order by hashes of the whole string, and those equal to a neighbour are repeated.
+that holds a unique run is unique itself.  What is left, strings all of whose runs occur again, goes
+in stretches: neighbouring strings with the same blocks inside.  Stretches that are equal as a whole
+are repeated, with one comparison for all their strings; where stretches have the blocks in common
+but not what is around them, as at the ends of a passage, their strings are compared one by one.
+Comparisons are of 128-bit digests of all the bytes; a task sends each digest once, so a passage that
+a third of all texts hold is a row a task.
 
 Texts that are equal as a whole are ranked once: all their strings are repeated.
 """
@@ -15,14 +19,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import keep_matching, ship_package, written
+from factloom.llm.common import discard, keep_matching, ship_package, written
 
 GRAM = 8
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
@@ -133,121 +139,149 @@ def _windows(held: DataFrame, length: int, reach: int) -> DataFrame:
     return held.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("open", T.ArrayType(_SPAN))]))
 
 
-def _strings(texts: DataFrame, length: int, reach: int) -> DataFrame:
-    """texts(key, t, open) to a row for each string: two hashes, key, position.
+def _stretches(texts: DataFrame, length: int, reach: int) -> DataFrame:
+    """texts(key, t, open) to stretches: neighbouring strings with the same first and last sync position inside.
 
-    Strings travel together: neighbours with the same first sync position inside are one stretch of
-    text, sent under a hash of what surrounds that position, which equal strings share; they are told
-    apart where they arrive.  A string without such a position is sent as its hashes.
+    Equal strings have both at the same places, so they lie in stretches with the same ``middle``, the
+    bytes around and between the two positions, by whose digest (m1, m2) stretches are grouped; what
+    is before and after it (head, tail) tells the strings of a stretch apart.  Three kinds of rows:
+    each stretch, with its key, where it begins (a), how many strings it has (n) and the digest of
+    all its bytes (c1, c2); for each task once, what is to be known of each digest (with head, tail
+    and how often the task met it, times); and places (key, a, n) already known to be repeated.
+
+    A string without a sync position inside is a stretch of its own; they come from runs of few
+    different bytes, so those that a text has several times are told at once, and sent once.
     """
+    names = ["key", "a", "n", "c1", "c2", "m1", "m2", "head", "tail", "times"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int32()]
+
+    def halves(data: bytes) -> tuple[int, int]:
+        d = xxhash.xxh3_128_intdigest(data)
+        return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list] = {}
+        rows: list[tuple] = []
+
+        def out(all_: bool) -> Iterator[pa.RecordBatch]:
+            if all_ or len(known) > 100_000:
+                rows.extend((None, None, n, *c, *halves(middle), head, tail, times) for c, (n, middle, head, tail, times) in known.items())
+                known.clear()
+            if rows and (all_ or len(rows) > 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
+                rows.clear()
+
+        def meet(key: int, raw: bytes, p: int, n: int, x: int, y: int, times: int) -> None:
+            """The stretch of n strings from p on, of which x to y is the middle."""
+            end = p + n - 1 + length
+            c = halves(b"%d %d " % (n, x - p) + raw[p:end])
+            if c in known:
+                known[c][4] += times
+            else:
+                known[c] = [n, raw[x:y], raw[p:x], raw[y:end], times]
+            if times == 1:
+                rows.append((key, p, n, *c, None, None, None, None, None))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
             for key, t, spans in zip(*(c.to_pylist() for c in b.columns)):
                 raw = t.encode()
                 data = np.frombuffer(raw, np.uint8)
-                sync, one = sync_positions(data, reach), prefix_sums(data)
+                sync = sync_positions(data, reach)
                 at = np.concatenate([np.arange(s["a"], s["b"]) for s in spans])
                 first = np.searchsorted(sync, at + reach)
-                x = np.append(sync, 1 << 40)[first]
-                inside = x + reach + GRAM <= at + length
+                last = np.searchsorted(sync, at + (length - reach - GRAM), "right") - 1
+                inside = first <= last
                 lone = at[~inside]
                 if len(lone):
-                    two = string_hashes(prefix_sums(data, 1), lone, lone + length, 1)
-                    h = string_hashes(one, lone, lone + length)
-                    for column, v in zip(out, (h.view(np.int64).tolist(), [key] * len(lone), lone.tolist(), [None] * len(lone), h.view(np.int64).tolist(), (two >> np.uint64(33)).astype(np.int64).tolist())):
-                        column += v
-                near, x = at[inside], x[inside]
-                if len(near):
-                    cut = np.flatnonzero((np.diff(near) != 1) | (np.diff(x) != 0)) + 1
-                    begin, end = near[np.concatenate([[0], cut])], near[np.concatenate([cut, [len(near)]]) - 1]
-                    x = x[np.concatenate([[0], cut])]
-                    names = string_hashes(one, x - reach, x + reach + GRAM).view(np.int64).tolist()
-                    for column, v in zip(out, (names, [key] * len(x), begin.tolist(), [raw[p : q + length] for p, q in zip(begin.tolist(), end.tolist())], [None] * len(x), [None] * len(x))):
-                        column += v
-            if out[0]:
-                kinds = pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["name", "key", "at", "data", "h", "g"])
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "g", "key", "at"]
-        for b in batches:
-            held: list[list[np.ndarray]] = []
-            for key, at, data, h, g in zip(*(b.column(c).to_pylist() for c in ("key", "at", "data", "h", "g"))):
-                if data is None:
-                    held.append([np.array([h], np.int64), np.array([g], np.int32), np.array([key]), np.array([at], np.int32)])
-                    continue
-                x = np.frombuffer(data, np.uint8)
-                p = np.arange(len(x) - length + 1)
-                one, two = (string_hashes(prefix_sums(x, w), p, p + length, w) for w in (0, 1))
-                held.append([one.view(np.int64), (two >> np.uint64(33)).astype(np.int32), np.full(len(p), key), (p + at).astype(np.int32)])
-                if len(held) >= 2_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
-
-    sent = texts.select("key", "t", "open").mapInArrow(stretches, "name long, key long, at int, data binary, h long, g int")
-    return sent.repartition("name").mapInArrow(apart, "h long, g int, key long, at int")
-
-
-def _repeated(strings: DataFrame) -> DataFrame:
-    """The strings (key, at) that are equal to a neighbour in the order of their hashes."""
+                    h = string_hashes(prefix_sums(data), lone, lone + length) ^ (string_hashes(prefix_sums(data, 1), lone, lone + length, 1) << np.uint64(1))
+                    _, place, back, k = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    for p, times in zip(lone[place].tolist(), k.tolist()):
+                        meet(key, raw, p, 1, p, p + length, times)
+                    again = lone[k[back] > 1]
+                    if len(again):
+                        cut = np.flatnonzero(np.diff(again) != 1) + 1
+                        rows.extend((key, int(r[0]), len(r), None, None, None, None, None, None, None) for r in np.split(again, cut))
+                at, first, last = at[inside], first[inside], last[inside]
+                if len(at):
+                    cut = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0) | (np.diff(last) != 0)) + 1])
+                    n = np.diff(np.concatenate([cut, [len(at)]]))
+                    for p, k, x, y in zip(at[cut].tolist(), n.tolist(), (sync[first[cut]] - reach).tolist(), (sync[last[cut]] + reach + GRAM).tolist()):
+                        meet(key, raw, p, k, x, y, 1)
+                yield from out(False)
+        yield from out(True)
+
+    schema = "key long, a int, n int, c1 long, c2 long, m1 long, m2 long, head binary, tail binary, times int"
+    return texts.select("key", "t", "open").mapInArrow(run, schema)
+
+
+def _each_string(stretches: DataFrame, length: int) -> DataFrame:
+    """Stretches (m1, m2, c1, c2, n, head, tail) to a row for each string: its digest (s1, s2), c1, c2, i."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # of the batch before: hashes, place, whether told
         for b in batches:
-            if not b.num_rows:
-                continue
-            h, g, key, at = (c.to_numpy() for c in b.columns)
-            same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-            told = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            keys, ats = [], []
-            if last is not None and last[0] == (h[0], g[0]):
-                told[0] = True
-                if not last[2]:
-                    keys.append([last[1][0]])
-                    ats.append([last[1][1]])
-            keys.append(key[told])
-            ats.append(at[told])
-            last = (h[-1], g[-1]), (key[-1], at[-1]), bool(told[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(ats), pa.int32())], names=["key", "at"])
-
-    # equal strings are in one partition already
-    return strings.sortWithinPartitions("h", "g").mapInArrow(run, "key long, at int")
+            digests, owners, places = [], [], []
+            for j, (m1, m2, n, head, tail) in enumerate(zip(*(b.column(c).to_pylist() for c in ("m1", "m2", "n", "head", "tail")))):
+                seed = b"%d %d " % (m1, m2)
+                for i in range(n):
+                    digests.append(xxhash.xxh3_128_digest(b"%s%d " % (seed, len(head) - i) + head[i:] + tail[: len(tail) - (n - 1 - i)]))
+                owners += [j] * n
+                places += range(n)
+            if digests:
+                s = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                owner = pa.array(owners)
+                columns = [pa.array(s[:, 0]), pa.array(s[:, 1]), b.column("c1").take(owner), b.column("c2").take(owner), pa.array(places, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "c1", "c2", "i"])
+
+    return stretches.select("m1", "m2", "c1", "c2", "n", "head", "tail").mapInArrow(run, "s1 long, s2 long, c1 long, c2 long, i int")
+
+
+def _repeated(stretches: DataFrame, length: int) -> DataFrame:
+    """The written rows of _stretches to (key, a, b): repeated strings begin from a up to, but not with, b."""
+    told = stretches.where("head is not null")
+    digest, middle, string = ["c1", "c2"], ["m1", "m2"], ["s1", "s2"]
+    met = written(told.groupBy(*digest, *middle).agg(F.sum("times").alias("times")), "met")
+    # where a middle has several stretches, their strings are compared one by one; each stretch is taken once
+    several = met.groupBy(*middle).count().where("count > 1").drop("count")
+    # some task's row of each digest will do, the rest are alike
+    open_ = told.join(several, middle, "left_semi").dropDuplicates(digest)
+    strings = written(_each_string(open_, length), "strings")
+    again = strings.groupBy(*string).count().where("count > 1").drop("count")
+    some = strings.join(again, string).groupBy(*digest).agg(F.array_sort(F.collect_list("i")).alias("at"))
+    sure = met.where("times > 1").select(*digest, F.lit(None).cast("array<int>").alias("at"))
+    verdict = sure.unionByName(some.join(sure, digest, "left_anti"))
+    each = stretches.where("key is not null")
+    known = each.where("c1 is null").select("key", F.col("a").cast("long").alias("a"), (F.col("a") + F.col("n")).cast("long").alias("b"))
+    found = written(each.where("c1 is not null").select("key", "a", "n", *digest).join(verdict, digest).select("key", "a", "n", "at"), "repeated")
+    whole = found.where("at is null").select("key", F.col("a").cast("long").alias("a"), (F.col("a") + F.col("n")).cast("long").alias("b"))
+    partly = found.where("at is not null").select("key", "a", F.explode("at").alias("i")).select("key", (F.col("a") + F.col("i")).cast("long").alias("a"))
+    discard(met, strings)
+    return known.unionByName(whole).unionByName(partly.select("key", "a", (F.col("a") + 1).alias("b")))
 
 
 def _spans(repeated: DataFrame, length: int) -> DataFrame:
-    """(key, at) to (key, spans): the maximal runs of covered bytes."""
+    """(key, a, b) to (key, spans): the maximal runs of covered bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        pack = lambda k, s: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([[{"a": a, "b": z} for a, z in x] for x in s], kind)], names=["key", "spans"])
-        key, spans = None, []
-        for b in batches:
-            keys, lists = [], []
-            k, at = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-            if not len(k):
-                continue
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (at[1:] > at[:-1] + length)) + 1
-            for first, end in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])):
-                a, z = int(at[first]), int(at[end - 1]) + length
-                if key == k[first] and spans and a <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], z)
-                elif key == k[first]:
-                    spans.append((a, z))
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        keys, lists = [], []
+        for key, group in groupby(rows, key=lambda r: r[0]):
+            spans: list[dict] = []
+            for _, a, b in group:
+                end = b - 1 + length
+                if spans and a <= spans[-1]["b"]:
+                    spans[-1]["b"] = max(end, spans[-1]["b"])
                 else:
-                    if key is not None:
-                        keys.append(key)
-                        lists.append(spans)
-                    key, spans = int(k[first]), [(a, z)]
-            if keys:
-                yield pack(keys, lists)
-        if key is not None:
-            yield pack([key], [spans])
-
-    ordered = repeated.repartition("key").sortWithinPartitions("key", "at")
+                    spans.append({"a": a, "b": end})
+            keys.append(key)
+            lists.append(spans)
+            if len(keys) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, kind)], names=["key", "spans"])
+                keys, lists = [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, kind)], names=["key", "spans"])
+
+    ordered = repeated.repartition("key").sortWithinPartitions("key", "a")
     return ordered.mapInArrow(run, T.StructType([T.StructField("key", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN))]))
 
 
@@ -308,7 +342,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     open_ = written(_windows(held.select("key", "n", "at", "alive", "breaks"), length, reach), "open")
     wanted = classes.join(open_, "key").select("key", "id", *name, "open")
     some = single(keep_matching(long_texts, wanted, ["id", *name]))
-    spans = written(_spans(_repeated(_strings(some, length, reach)), length), "spans")
+    stretches = written(_stretches(some, length, reach), "stretches")
+    spans = written(_spans(_repeated(stretches, length), length), "spans")
+    discard(stretches, open_, blocks)
 
     # whole texts that occur again are gone; of others the spans
     found = classes.join(spans, "key", "left").select(*name, "k", "spans")
