@@ -121,6 +121,13 @@ def decode_block(data: bytes, table: Frequencies, first: int = 0, last: int | No
     return out
 
 
+def checkpoint_places(data: bytes) -> list[int]:
+    """The numbers of ids before each checkpoint of a block, and of all its ids."""
+    _, _, lanes, size, _, _, n_marks = _HEAD.unpack_from(data)
+    steps = [struct.unpack_from("<I", data, _HEAD.size + (8 + 8 * lanes) * k)[0] for k in range(n_marks)]
+    return [s * lanes for s in steps] + [size] if steps else [0, size]
+
+
 def crc32_combine(a: int, b: int, size_b: int) -> int:
     """The crc32 of two pieces from the crc32 of each and the second one's bytes."""
 

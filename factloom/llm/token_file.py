@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.common import append_columns, shared_dir, ship_package, written
-from factloom.llm.rans import Frequencies, crc32_combine, decode_block, encode_block
+from factloom.llm.rans import Frequencies, checkpoint_places, crc32_combine, decode_block, encode_block
 from factloom.llm.units import tokenizer, unit_cache
 
 _TABLES: dict[str, Frequencies] = {}
@@ -98,7 +98,7 @@ def write_token_file(
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, _load_counts(spark, path, vocabulary), scale_bits))
     key_type = given.schema["key"].dataType
     piece = T.StructType([T.StructField("key", key_type), T.StructField("row", T.LongType()), T.StructField("count", T.LongType()), T.StructField("whole", T.BooleanType())])
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("pieces", T.ArrayType(piece))])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("n_marks", T.IntegerType()), T.StructField("payload", T.BinaryType()), T.StructField("pieces", T.ArrayType(piece))])
     types = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,8 @@ def write_token_file(
 
         def cut() -> pa.RecordBatch:
             ids = np.concatenate(held) if held else np.zeros(0, width)
-            values = [part], [block], [len(ids)], [encode_block(ids, table, lanes)], [pieces]
+            payload = encode_block(ids, table, lanes)
+            values = [part], [block], [len(ids)], [len(checkpoint_places(payload)) - 1], [payload], [pieces]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=schema.names)
 
         for batch in batches:
@@ -142,7 +143,9 @@ def _load_counts(spark: SparkSession, path: str, vocabulary: int) -> np.ndarray:
 def read_pieces(spark: SparkSession, path: str, vocabulary: int, *, scale_bits: int = 20, with_ids: bool = False) -> DataFrame:
     """The pieces of a token file, decoded: key, part, row, start (ids before it in the stream), n, crc, whole.
 
-    With ``with_ids`` the ids too.  A damaged block raises an error.
+    With ``with_ids`` the ids too.  The unit of work is what follows one of a block's checkpoints, up
+    to the next, so that a block may be decoded by several tasks; a document that crosses such a
+    place comes in several pieces.  A damaged block raises an error.
     """
     ship_package(spark)
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -155,13 +158,20 @@ def read_pieces(spark: SparkSession, path: str, vocabulary: int, *, scale_bits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
         for batch in batches:
-            for part, block, payload, pieces in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload", "pieces"))):
-                ids, at, rows = decode_block(payload, table).astype("<u4"), 0, []
+            for part, block, payload, pieces, mark in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "payload", "pieces", "mark"))):
+                places = checkpoint_places(payload)
+                first, last, final = places[mark], places[mark + 1], mark + 2 == len(places)
+                ids, at, rows = decode_block(payload, table, mark, mark + 1).astype("<u4"), 0, []
                 for p in pieces:
-                    own = ids[at : at + p["count"]]
-                    rows.append((p["key"], part, block, p["row"], at, p["count"], zlib.crc32(own), p["whole"]) + ((own.tolist(),) if with_ids else ()))
-                    at += p["count"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=schema.names)
+                    begin, at = at, at + p["count"]
+                    if begin >= last and p["count"]:
+                        break
+                    low, high = max(begin, first), min(at, last)
+                    if low < high or (not p["count"] and first <= begin and (begin < last or final)):
+                        own = ids[low - first : high - first]
+                        rows.append((p["key"], part, block, p["row"], low, len(own), zlib.crc32(own), p["whole"] and len(own) == p["count"]) + ((own.tolist(),) if with_ids else ()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=schema.names)
 
     # ids before each part: a row a part, summed along the parts; then along the blocks of a part
     sizes = blocks.groupBy("part", "block").agg(F.sum("n_ids").alias("n"))
@@ -169,7 +179,8 @@ def read_pieces(spark: SparkSession, path: str, vocabulary: int, *, scale_bits:
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = sizes.select("part", "block", within.alias("within")).join(parts, "part").select("part", "block", (F.col("before") + F.col("within")).alias("first"))
-    pieces = blocks.mapInArrow(run, schema).join(first, ["part", "block"])
+    units_ = blocks.withColumn("mark", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), "n_marks") - 1)))
+    pieces = units_.mapInArrow(run, schema).join(first, ["part", "block"])
     return pieces.select("key", "part", "row", (F.col("first") + F.col("at")).alias("start"), "n", "crc", "whole", *["ids"] * with_ids)
 
 

@@ -61,28 +61,34 @@ def _plain(text: str) -> bool:
 
 
 class _Pieces(dict):
-    """The value of each piece met before, a blank (or nothing) in front of it; others are made on demand."""
+    """The value of each piece met twice or more, a blank (or nothing) in front of it; others are made on demand.
+
+    Most distinct pieces of a corpus come once, so a piece waits in ``young``, which is emptied when
+    full, until it comes again.
+    """
 
     def __init__(self, front: str, cache: UnitCache):
         super().__init__()
-        self.front, self.cache, self.spent = front, cache, 0
+        self.front, self.cache, self.young = front, cache, {}
         self.mark = front.translate(_BYTES)
 
     def __missing__(self, piece: str):
-        cache = self.cache
+        cache, young = self.cache, self.young
+        value = young.pop(piece, None)
+        if value is not None:
+            if len(self) >= cache.most:
+                self.clear()
+            self[piece] = value
+            return value
         if cache.direct and piece.isascii() and piece.isalpha() and self is not cache.whole:
-            ids = [t.id for t in cache.merge(piece.lower() if cache.lower else self.mark + piece)]
-            value = len(ids) if cache.counts else array(cache.kind, ids).tobytes()
+            tokens = cache.merge(piece.lower() if cache.lower else self.mark + piece)
+            value = len(tokens) if cache.counts else array(cache.kind, [t.id for t in tokens]).tobytes()
         else:
             value = cache.make(piece, self)
-        if len(piece) <= self.cache.longest:
-            if len(self) < self.cache.most:
-                self[piece] = value
-            else:  # full: serve as it is for a while, then start anew
-                self.spent += 1
-                if self.spent > 2 * self.cache.most:
-                    self.clear()
-                    self.spent = 0
+        if len(piece) <= cache.longest:
+            if len(young) >= cache.most:
+                young.clear()
+            young[piece] = value
         return value
 
 
@@ -91,20 +97,20 @@ class UnitCache:
 
     Words of Latin letters are one pre-token, which the library's model merges as it is; whatever
     else comes is encoded by the library as a text.  At most ``most`` pieces are kept of those after
-    a blank, and as many of the others.
+    a blank, and as many of the others, and as many again of those met once.
     """
 
-    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 500_000, longest: int = 48):
         self.tokenizer, self.counts, self.most, self.longest = tokenizer(path), counts, most, longest
         self.kind = {2: "H", 4: "I"}[width]
         self.merge = self.tokenizer.model.tokenize
-        self.nothing: bytes | int = 0 if counts else b""
         lower = self.tokenizer.normalizer is not None
         #: whether the library gives single words what its model gives them; else they are encoded as texts
         self.direct = all(self._merged(w, f, lower) == self._encoded(f + w) for w in ("A", "word", "\u00c9t\u00e9", "Stra\u00dfe", "\u00f1andu") for f in (" ", ""))
         self.lower = lower
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced, self.bare, self.whole = _Pieces(" ", self), _Pieces("", self), _Pieces("", self)
+        self.line_end = self._encoded("\n")
 
     def _value(self, ids: list[int]) -> bytes | int:
         return len(ids) if self.counts else array(self.kind, ids).tobytes()
@@ -117,17 +123,14 @@ class UnitCache:
         return self._value([t.id for t in self.merge(text.encode().decode("latin-1").translate(_BYTES))])
 
     def make(self, piece: str, among: _Pieces) -> bytes | int:
-        m = _LETTERS.fullmatch(piece) if among is not self.whole else None
-        if m:
-            if m[2]:
-                return among[m[1]] + self.bare[m[2]]
-            return self._merged(piece, among.front, self.lower) if self.direct else self._encoded(among.front + piece)
-        if "\n" in piece and among is not self.whole and len(piece) > 1:
-            first, *rest = piece.split("\n")
-            out, end = among[first], self.bare["\n"]
-            for x in rest:
-                out = out + end + self.bare[x]
-            return out
+        if among is not self.whole:
+            if piece[0] == "\n":  # a line end, and a piece without a blank in front of it
+                return self.line_end + self.bare[piece[1:]]
+            m = _LETTERS.fullmatch(piece)
+            if m:
+                if m[2]:
+                    return among[m[1]] + self.bare[m[2]]
+                return self._merged(piece, among.front, self.lower) if self.direct else self._encoded(among.front + piece)
         return self._encoded(among.front + piece)
 
     def of_text(self, text: str | None) -> list:
@@ -138,7 +141,7 @@ class UnitCache:
             return [self._encoded(text)]
         if not _plain(text):
             return list(map(self.whole.__getitem__, units(text)))
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         return [self.bare[first], *map(self.spaced.__getitem__, rest)]
 
     def of_texts(self, texts: list[str | None]) -> list[list]:
