@@ -1,39 +1,107 @@
 """Governed changes as events: the state is a fold of an append-only log, changes are checked against it.
 
-An event is (seq, id, kind, expect_version, ...).  Of events on one record those that expect the
-version that is current when their turn comes are applied; others are stale.  With one change a
-version, that is the first event for each expected version, as long as no version before is missing.
+A log is folded a record at a time in the order of ``seq``: each event sees the state that the events
+before it have left, and is refused without effect if that state doesn't allow it.  Spark deals the
+records and their events by key and puts them in order; a task passes over them once and holds the
+state of one record, however long its log is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import hashlib
+from collections.abc import Callable, Iterator
 
-from factloom.operators.ranking import protected
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+
+def fold_log(records: DataFrame, log: DataFrame, key: str, step: Callable[[dict | None, dict], tuple[dict | None, tuple]], result: T.StructType) -> DataFrame:
+    """log with the columns of ``result``, by ``step(state, event) -> (state, values)``; the first state is the record, or None."""
+    of_record, of_log = F.struct(*records.columns), F.struct(*log.columns)
+    void = lambda df, name: F.lit(None).cast(df.select(F.struct(*df.columns).alias(name)).schema[name].dataType)
+    first = records.select(F.col(key).alias("k"), F.lit(None).cast("long").alias("seq"), of_record.alias("record"), void(log, "event").alias("event"))
+    then = log.select(F.col(key).alias("k"), F.col("seq").cast("long").alias("seq"), void(records, "record").alias("record"), of_log.alias("event"))
+    ordered = first.unionByName(then).repartition("k").sortWithinPartitions(F.col("k"), F.col("seq").asc_nulls_first())
+    schema = T.StructType([T.StructField("event", then.schema["event"].dataType), *result.fields])
+    kinds = [to_arrow_type(f.dataType) for f in result.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for b in batches:
+            rows, values = [], []
+            for i, (k, record, event) in enumerate(zip(*(b.column(c).to_pylist() for c in ("k", "record", "event")))):
+                if k != at or record is not None:
+                    at, state = k, record
+                if event is not None:
+                    state, out = step(state, event)
+                    rows.append(i)
+                    values.append(out)
+            if rows:
+                columns = [pa.array(v, t) for v, t in zip(zip(*values), kinds)]
+                yield pa.RecordBatch.from_arrays([b.column("event").take(pa.array(rows)), *columns], names=schema.names)
+
+    return ordered.select("k", "record", "event").mapInArrow(run, schema).select("event.*", *result.names)
+
+
+_EDIT = T.StructType([T.StructField("outcome", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("version_after", T.IntegerType()), T.StructField("content_before", T.StringType()), T.StructField("content_after", T.StringType())])
+
+
+def edit_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
+    """One edit against a record's present version, content and protection."""
+    refused = lambda outcome, reason=None: (state, (outcome, reason, None, None, None))
+    if state is None:
+        return refused("missing")
+    if state["status"] != "active":
+        return refused("not_active", state["status"])
+    if (state["protection_level"] == "locked" or state["source_type"] == "user_confirmed") and not e["authorized"]:
+        return refused("protected")
+    if e["expect_version"] is not None and e["expect_version"] != state["version"]:
+        return refused("stale", "version_mismatch")
+    old = state["content"] or ""
+    if e["expect_hash"] is not None and e["expect_hash"] != hashlib.sha256(old.encode()).hexdigest():
+        return refused("stale", "content_hash_mismatch")
+    partial = e["old_text"] is not None or e["new_text"] is not None
+    if e["content"] is not None:
+        if partial or not e["content"].strip():
+            return refused("invalid", "full_and_partial" if partial else "empty_content")
+        new = e["content"]
+    elif e["old_text"] is None or e["new_text"] is None:
+        return refused("invalid", "no_content")
+    elif e["old_text"] not in old:
+        return refused("stale", "old_text_not_found")
+    else:
+        new = old.replace(e["old_text"], e["new_text"], 1)
+    return {**state, "content": new, "version": state["version"] + 1}, ("applied", None, state["version"] + 1, old, new)
 
 
 def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(seq, id, expect_version, content) with outcome applied, stale, protected or missing, and the version after."""
-    base = records.select("id", F.col("version").alias("base"), (protected() & (F.col("protection_level").isin("locked") | (F.col("source_type") == "user_confirmed"))).alias("guard"))
-    joined = edits.join(base, "id", "left")
-    first = F.row_number().over(Window.partitionBy("id", "expect_version").orderBy("seq"))
-    j = joined.withColumn("turn", first)
-    # steps follow one another only if each comes after the one that makes its version
-    heads = j.where("turn = 1 and expect_version >= base and not guard").select("id", "expect_version", "seq", "base")
-    by = Window.partitionBy("id").orderBy("expect_version")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    run = heads.withColumn("k", F.row_number().over(by)).withColumn("latest", F.max("seq").over(before))
-    run = run.withColumn("step", (F.col("expect_version") == F.col("base") + F.col("k") - 1) & F.coalesce(F.col("seq") > F.col("latest"), F.lit(True)))
-    whole = run.withColumn("ok", F.min(F.col("step").cast("int")).over(by) == 1).where("ok").select("seq", F.lit(True).alias("ok"))
-    out = j.join(whole, "seq", "left")
-    state = F.when(F.col("base").isNull(), "missing").when(F.col("guard"), "protected").when(F.col("ok"), "applied").otherwise("stale")
-    return out.select("seq", "id", "expect_version", state.alias("outcome"), F.when(state == "applied", F.col("expect_version") + 1).alias("version_after"))
-
-
-def current_state(records: DataFrame, outcomes: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits with outcome (applied, stale, protected, not_active, invalid or missing), reason, and for applied
+    ones version_after, content_before and content_after.
+
+    edits(seq, id, expect_version, content) replace a record's content as a whole; with old_text and
+    new_text instead of content its first occurrence.  Optional columns: expect_hash (sha256 of the
+    content that is expected), authorized (lets a protected record be edited).
+    """
+    given = edits
+    for name, kind in (("expect_version", "int"), ("expect_hash", "string"), ("content", "string"), ("old_text", "string"), ("new_text", "string"), ("authorized", "boolean")):
+        if name not in edits.columns:
+            given = given.withColumn(name, F.lit(None).cast(kind))
+    status = F.col("status") if "status" in records.columns else F.lit("active")
+    state = records.select("id", F.col("version").cast("int").alias("version"), "content", status.alias("status"), "protection_level", "source_type")
+    return fold_log(state, given, "id", edit_step, _EDIT).select(*edits.columns, *[c for c in _EDIT.names if c not in edits.columns])
+
+
+def history_rows(outcomes: DataFrame) -> DataFrame:
+    """What each applied edit has replaced: id, version, content, seq."""
+    return outcomes.where("outcome = 'applied'").select("id", (F.col("version_after") - 1).alias("version"), F.col("content_before").alias("content"), "seq")
+
+
+def current_state(records: DataFrame, outcomes: DataFrame) -> DataFrame:
     """id, version and content after all applied edits."""
-    last = outcomes.where("outcome = 'applied'").join(edits.select("seq", "content"), "seq").groupBy("id").agg(F.max("version_after").alias("v"), F.max_by("content", "version_after").alias("c"))
+    last = outcomes.where("outcome = 'applied'").groupBy("id").agg(F.max("version_after").alias("v"), F.max_by("content_after", "version_after").alias("c"))
     return records.join(last, "id", "left").select("id", F.coalesce("v", "version").cast("int").alias("version"), F.coalesce("c", "content").alias("content"))
 
 
@@ -57,10 +125,36 @@ def rename_workspace(records: DataFrame, old: str, new: str) -> DataFrame:
     return records.withColumns({c: swap(c) for c in ("workspace", "workspace_canonical", "ws")})
 
 
-def conflict_step(conflicts: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(seq, conflict_id, action, revision): judge opens work, resolve ends it; each by compare-and-set on the revision."""
-    first = F.row_number().over(Window.partitionBy("conflict_id", "revision").orderBy("seq"))
-    r = requests.withColumn("turn", first).join(conflicts.select("conflict_id", "status", F.col("revision").alias("now")), "conflict_id", "left")
-    moves = ((F.col("action") == "judge") & (F.col("status") == "open")) | ((F.col("action") == "resolve") & (F.col("status") == "applying"))
-    outcome = F.when(F.col("status").isNull(), "missing").when((F.col("revision") != F.col("now")) | (F.col("turn") > 1), "stale_conflict").when(~moves, "not_open").otherwise(F.when(F.col("action") == "judge", "applying").otherwise("resolved"))
-    return r.select("seq", "conflict_id", "action", outcome.alias("outcome"))
+_STEP = T.StructType([T.StructField("outcome", T.StringType()), T.StructField("revision_after", T.IntegerType())])
+
+
+def review_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
+    """One request on a conflict: judge, apply (to one member), replan or resolve, each pinned to a revision."""
+    action, needed = e["action"], "open" if e["action"] == "judge" else "applying"
+    if state is None:
+        return state, ("missing", None)
+    if state["status"] != needed:
+        return state, (f"not_{needed}", None)
+    if e["revision"] != state["revision"]:
+        return state, ("stale_conflict", None)
+    if action == "apply":
+        if e["memory_id"] not in state["pending"]:
+            return state, ("invalid_action", None)
+        change, outcome = {"pending": [m for m in state["pending"] if m != e["memory_id"]]}, "completed"
+    elif action == "resolve":
+        if state["pending"]:
+            return state, ("apply_incomplete", None)
+        change, outcome = {"status": "resolved"}, "resolved"
+    else:  # judge and replan put all members back on the plan
+        change, outcome = {"status": "applying", "pending": state["members"]}, "applying" if action == "judge" else "replanned"
+    return {**state, **change, "revision": state["revision"] + 1}, (outcome, state["revision"] + 1)
+
+
+def conflict_steps(conflicts: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests(seq, conflict_id, action, revision, memory_id) with outcome and, of those that had effect, revision_after.
+
+    judge turns an open conflict into one being applied, with every member on its plan; apply takes
+    one member off the plan; replan puts all back; resolve ends a conflict whose plan is done.
+    """
+    state = conflicts.select("conflict_id", "status", "revision", "members", F.col("members").alias("pending"))
+    return fold_log(state, requests, "conflict_id", review_step, _STEP)

@@ -150,32 +150,46 @@ def ws_rule(spark, sf):
     return W.rule(resolved.withColumn("hint", F.when(F.col("ws") == "team de", "reference notes").otherwise("")), similar)
 
 
-_EDITS = "e AS (SELECT event_id AS seq, user_id AS id, CAST(1 + event_id % 3 AS INTEGER) AS expect_version, event_type || ':' || event_id AS content FROM events WHERE event_id % 2 = 0)"
+# Edits from events: half of them pinned to a version, some to the hash of the first content, some partial.
+_EDITS = """e AS (SELECT event_id AS seq, user_id AS id, CASE WHEN event_id % 2 = 0 THEN CAST(1 + event_id % 7 AS INTEGER) END AS expect_version,
+ CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 31 = 0 THEN ' ' ELSE event_type || ':' || event_id END AS content,
+ CASE WHEN event_id % 5 = 0 THEN ':' END AS old_text, CASE WHEN event_id % 5 = 0 THEN '/' || event_id || ':' END AS new_text, event_id % 3 = 0 AS authorized FROM events)"""
 
 
 def _edits(spark, sf):
-    return table(spark, sf, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), (F.col("event_id") % 3 + 1).cast("int").alias("expect_version"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("content"))
-
-
-@query("edit_outcomes", f"""WITH RECURSIVE {MEMORIES_SQL}, {_EDITS}, g AS (SELECT id, version, protection_level = 'locked' OR source_type = 'user_confirmed' AS guard FROM m),
-f AS (SELECT id, expect_version, min(seq) AS seq FROM e GROUP BY ALL),
-r AS (SELECT f.id, f.seq, f.expect_version FROM f JOIN g ON f.id = g.id AND f.expect_version = version AND NOT guard
-      UNION ALL SELECT f.id, f.seq, f.expect_version FROM r JOIN f ON f.id = r.id AND f.expect_version = r.expect_version + 1 AND f.seq > r.seq)
-SELECT e.seq, e.id, e.expect_version, CASE WHEN g.id IS NULL THEN 'missing' WHEN guard THEN 'protected' WHEN r.seq IS NOT NULL THEN 'applied' ELSE 'stale' END AS outcome,
- CASE WHEN r.seq IS NOT NULL THEN e.expect_version + 1 END AS version_after FROM e LEFT JOIN g ON e.id = g.id LEFT JOIN r ON e.seq = r.seq""")
+    k = F.col("event_id")
+    part = k % 5 == 0
+    return table(spark, sf, "events").select(
+        k.alias("seq"), F.col("user_id").alias("id"), F.when(k % 2 == 0, k % 7 + 1).cast("int").alias("expect_version"),
+        F.when(part, None).when(k % 31 == 0, " ").otherwise(F.concat_ws(":", "event_type", k.cast("string"))).alias("content"),
+        F.when(part, ":").alias("old_text"), F.when(part, F.concat(F.lit("/"), k.cast("string"), F.lit(":"))).alias("new_text"), (k % 3 == 0).alias("authorized"))
+
+
+# The rule itself, event after event: what an event finds is what the one before it has left.
+_FOLDED = f"""{MEMORIES_SQL}, {_EDITS}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM e),
+w AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, version, content, CAST(NULL AS VARCHAR) AS outcome FROM m WHERE id IN (SELECT id FROM e)
+ UNION ALL SELECT id, k, seq, CASE outcome WHEN 'applied' THEN version + 1 ELSE version END, CASE outcome WHEN 'applied' THEN after ELSE content END, outcome FROM (
+  SELECT w.id, o.k, o.seq, w.version, w.content, CASE WHEN m.status <> 'active' THEN 'not_active' WHEN (protection_level = 'locked' OR source_type = 'user_confirmed') AND NOT o.authorized THEN 'protected'
+   WHEN o.expect_version <> w.version THEN 'stale' WHEN trim(o.content) = '' THEN 'invalid' WHEN o.content IS NULL AND NOT contains(w.content, o.old_text) THEN 'stale' ELSE 'applied' END AS outcome,
+   coalesce(o.content, substr(w.content, 1, instr(w.content, o.old_text) - 1) || o.new_text || substr(w.content, instr(w.content, o.old_text) + length(o.old_text))) AS after
+  FROM w JOIN o ON o.id = w.id AND o.k = w.k + 1 JOIN m ON m.id = w.id))"""
+
+
+@query("edit_outcomes", f"""WITH RECURSIVE {_FOLDED} SELECT e.seq, e.id, coalesce(w.outcome, 'missing') AS outcome, CASE WHEN w.outcome = 'applied' THEN w.version END AS version_after
+ FROM e LEFT JOIN w ON w.seq = e.seq""")
 def edit_outcomes(spark, sf):
-    return G.apply_edits(memories(spark, sf), _edits(spark, sf))
+    return G.apply_edits(memories(spark, sf), _edits(spark, sf)).select("seq", "id", "outcome", "version_after")
 
 
-@query("ledger_current", f"""WITH RECURSIVE {MEMORIES_SQL}, {_EDITS}, g AS (SELECT id, version, protection_level = 'locked' OR source_type = 'user_confirmed' AS guard FROM m),
-f AS (SELECT id, expect_version, min(seq) AS seq FROM e GROUP BY ALL),
-r AS (SELECT f.id, f.seq, f.expect_version FROM f JOIN g ON f.id = g.id AND f.expect_version = version AND NOT guard
-      UNION ALL SELECT f.id, f.seq, f.expect_version FROM r JOIN f ON f.id = r.id AND f.expect_version = r.expect_version + 1 AND f.seq > r.seq),
-l AS (SELECT r.id, max(r.expect_version + 1) AS v, arg_max(e.content, r.expect_version) AS c FROM r JOIN e ON e.seq = r.seq GROUP BY r.id)
-SELECT m.id, CAST(coalesce(v, version) AS INTEGER) AS version, coalesce(c, content) AS content FROM m LEFT JOIN l USING (id)""")
+@query("ledger_current", f"WITH RECURSIVE {_FOLDED}, l AS (SELECT id, max(version) AS v, arg_max(content, k) AS c FROM w GROUP BY id) SELECT m.id, CAST(coalesce(v, version) AS INTEGER) AS version, coalesce(c, content) AS content FROM m LEFT JOIN l USING (id)")
 def ledger_current(spark, sf):
-    m, e = memories(spark, sf), _edits(spark, sf)
-    return G.current_state(m, G.apply_edits(m, e), e)
+    m = memories(spark, sf)
+    return G.current_state(m, G.apply_edits(m, _edits(spark, sf)))
+
+
+@query("ledger_history", f"""WITH RECURSIVE {_FOLDED} SELECT now.id, before.version, before.content, now.seq FROM w now JOIN w before ON before.id = now.id AND before.k = now.k - 1 WHERE now.outcome = 'applied'""")
+def ledger_history(spark, sf):
+    return G.history_rows(G.apply_edits(memories(spark, sf), _edits(spark, sf)))
 
 
 @query("edit_tags", f"{M} SELECT id, CASE WHEN id % 4 = 0 THEN list_sort(list_distinct(list_concat(list_filter(tags, lambda t: t NOT IN ('en', 'todo')), ['kept', 'fr']))) ELSE list_sort(list_distinct(tags)) END AS tags, version FROM m")
@@ -202,9 +216,25 @@ def workspace_rename(spark, sf):
     return G.rename_workspace(memories(spark, sf), "src4", "src3").groupBy("ws").agg(F.count("*").alias("n"))
 
 
-@query("conflict_steps", f"""WITH {CONFLICTS_SQL}, q AS (SELECT event_id AS seq, event_id % 300 AS conflict_id, CASE WHEN event_id % 2 = 0 THEN 'judge' ELSE 'resolve' END AS action, CAST(1 + event_id % 4 AS INTEGER) AS revision FROM events),
-t AS (SELECT *, row_number() OVER (PARTITION BY conflict_id, revision ORDER BY seq) AS turn FROM q)
-SELECT seq, t.conflict_id, action, CASE WHEN c.status IS NULL THEN 'missing' WHEN t.revision <> c.revision OR turn > 1 THEN 'stale_conflict' WHEN action = 'judge' AND status = 'open' THEN 'applying' WHEN action = 'resolve' AND status = 'applying' THEN 'resolved' ELSE 'not_open' END AS outcome FROM t LEFT JOIN c ON c.conflict_id = t.conflict_id""")
+_REQUESTS = """q AS (SELECT event_id AS seq, user_id * 11 AS conflict_id, (['judge', 'apply', 'apply', 'resolve', 'apply', 'replan', 'resolve'])[event_id % 7 + 1] AS action,
+ CAST(1 + event_id % 9 AS INTEGER) AS revision, user_id * 11 + 1 + event_id % 3 AS memory_id FROM events)"""
+
+
+@query("conflict_steps", f"""WITH RECURSIVE {CONFLICTS_SQL}, {_REQUESTS}, o AS (SELECT *, row_number() OVER (PARTITION BY conflict_id ORDER BY seq) AS k FROM q),
+w AS (SELECT conflict_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, status, revision, members, members AS pending, CAST(NULL AS VARCHAR) AS outcome FROM c
+ UNION ALL SELECT conflict_id, k, seq, CASE outcome WHEN 'applying' THEN 'applying' WHEN 'resolved' THEN 'resolved' ELSE status END,
+  CASE WHEN outcome IN ('applying', 'completed', 'replanned', 'resolved') THEN revision + 1 ELSE revision END, members,
+  CASE WHEN outcome IN ('applying', 'replanned') THEN members WHEN outcome = 'completed' THEN list_filter(pending, lambda x: x <> memory_id) ELSE pending END, outcome FROM (
+  SELECT w.conflict_id, o.k, o.seq, w.status, w.revision, w.members, w.pending, o.memory_id,
+   CASE WHEN o.action = 'judge' AND w.status <> 'open' THEN 'not_open' WHEN o.action <> 'judge' AND w.status <> 'applying' THEN 'not_applying' WHEN o.revision <> w.revision THEN 'stale_conflict'
+    WHEN o.action = 'judge' THEN 'applying' WHEN o.action = 'replan' THEN 'replanned' WHEN o.action = 'apply' THEN CASE WHEN list_contains(w.pending, o.memory_id) THEN 'completed' ELSE 'invalid_action' END
+    WHEN len(w.pending) > 0 THEN 'apply_incomplete' ELSE 'resolved' END AS outcome
+  FROM w JOIN o ON o.conflict_id = w.conflict_id AND o.k = w.k + 1))
+SELECT q.seq, q.conflict_id, q.action, coalesce(w.outcome, 'missing') AS outcome, CASE WHEN w.outcome IN ('applying', 'completed', 'replanned', 'resolved') THEN w.revision END AS revision_after
+FROM q LEFT JOIN w ON w.seq = q.seq""")
 def conflict_steps(spark, sf):
-    q = table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 300).alias("conflict_id"), F.when(F.col("event_id") % 2 == 0, "judge").otherwise("resolve").alias("action"), (F.col("event_id") % 4 + 1).cast("int").alias("revision"))
-    return G.conflict_step(conflicts(spark, sf), q)
+    k = F.col("event_id")
+    action = F.get(X.strings(["judge", "apply", "apply", "resolve", "apply", "replan", "resolve"]), (k % 7).cast("int"))
+    owner = F.col("user_id") * 11
+    q = table(spark, sf, "events").select(k.alias("seq"), owner.alias("conflict_id"), action.alias("action"), (k % 9 + 1).cast("int").alias("revision"), (owner + 1 + k % 3).alias("memory_id"))
+    return G.conflict_steps(conflicts(spark, sf), q).select("seq", "conflict_id", "action", "outcome", "revision_after")

@@ -15,7 +15,7 @@ def test_edits_compare_and_set(spark):
     edits = spark.createDataFrame([(1, 1, 1, "x"), (2, 1, 1, "y"), (3, 1, 2, "z"), (4, 2, 1, "q"), (5, 9, 1, "r"), (6, 1, 5, "s")], "seq long, id long, expect_version int, content string")
     out = G.apply_edits(records, edits)
     assert {r.seq: r.outcome for r in out.collect()} == {1: "applied", 2: "stale", 3: "applied", 4: "protected", 5: "missing", 6: "stale"}
-    now = {r.id: (r.version, r.content) for r in G.current_state(records, out, edits).collect()}
+    now = {r.id: (r.version, r.content) for r in G.current_state(records, out).collect()}
     assert now == {1: (3, "z"), 2: (1, "b")}
 
 
@@ -25,6 +25,30 @@ def test_edit_before_its_version_is_stale(spark):
     assert {r.seq: r.outcome for r in G.apply_edits(records, edits).collect()} == {1: "stale", 2: "applied"}
 
 
+def test_edit_sees_what_the_one_before_it_left(spark):
+    records = spark.createDataFrame([(1, 1, "normal", "unknown", "port 80, port 80", "active"), (2, 1, "normal", "unknown", "b", "deleted")], "id long, version int, protection_level string, source_type string, content string, status string")
+    good = "4f1f1a8c3b0e"
+    edits = spark.createDataFrame(
+        [(1, 1, 2, "early", None, None, None), (2, 1, 1, None, "80", "90", None), (3, 1, 2, "port 1", None, None, None), (4, 1, None, None, "80", "x", None), (5, 1, None, "  ", None, None, None),
+         (6, 1, None, "c", "port", "p", None), (7, 1, None, None, "port", None, None), (8, 1, None, "d", None, None, good), (9, 2, 1, "z", None, None, None)],
+        "seq long, id long, expect_version int, content string, old_text string, new_text string, expect_hash string")
+    out = G.apply_edits(records, edits)
+    got = {r.seq: (r.outcome, r.reason, r.version_after) for r in out.collect()}
+    assert got == {
+        1: ("stale", "version_mismatch", None), 2: ("applied", None, 2), 3: ("applied", None, 3), 4: ("stale", "old_text_not_found", None), 5: ("invalid", "empty_content", None),
+        6: ("invalid", "full_and_partial", None), 7: ("invalid", "no_content", None), 8: ("stale", "content_hash_mismatch", None), 9: ("not_active", "deleted", None)}
+    assert sorted((r.version, r.content) for r in G.history_rows(out).collect()) == [(1, "port 80, port 80"), (2, "port 90, port 80")]
+    assert {r.id: r.content for r in G.current_state(records, out).collect()} == {1: "port 1", 2: "b"}
+
+
+def test_review_sees_what_the_request_before_it_left(spark):
+    conflicts = spark.createDataFrame([(1, "open", 1, [5, 6]), (2, "resolved", 3, [7])], "conflict_id long, status string, revision int, members array<long>")
+    steps = [(1, "resolve", 1, None), (1, "judge", 2, None), (1, "judge", 1, None), (1, "judge", 2, None), (1, "resolve", 2, None), (1, "apply", 2, 5), (1, "apply", 2, 6), (1, "apply", 3, 5), (1, "replan", 3, None), (1, "apply", 4, 6), (1, "apply", 5, 5), (1, "resolve", 6, None), (2, "judge", 3, None), (3, "judge", 1, None)]
+    requests = spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "seq long, conflict_id long, action string, revision int, memory_id long")
+    got = [(r.outcome, r.revision_after) for r in G.conflict_steps(conflicts, requests).orderBy("seq").collect()]
+    assert got == [("not_applying", None), ("stale_conflict", None), ("applying", 2), ("not_open", None), ("apply_incomplete", None), ("completed", 3), ("stale_conflict", None), ("invalid_action", None), ("replanned", 4), ("completed", 5), ("completed", 6), ("resolved", 7), ("not_open", None), ("missing", None)]
+
+
 def test_replay(spark):
     lines = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "b", False), (4, "c", True)], "line_no long, replay_key string, valid boolean")
     known = spark.createDataFrame([("c",)], "replay_key string")
