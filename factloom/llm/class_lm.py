@@ -1,19 +1,22 @@
 """Language-model scoring with Brown's class-based bigrams and exchange clustering.
 
-Words are counted over all training texts.  The ``clustered`` most frequent words are put into
+Words are counted over all training texts.  The ``core``, the most frequent words, is put into
 classes by exchange: starting from ranks dealt out in turn, each word is moved to the class that most
 raises the likelihood of the class bigrams, given where all others are; words are worked on by many
 tasks at once, and in each round one half of them may move: a half chosen by a hash, then the other
-one.  Rounds go on until such a pair of them brings less than a thousandth of the rise so far.  All
-other words have the class of their ending.  Then
+one.  Rounds go on until such a pair of them brings less than a thousandth of the rise so far.  Every
+other training word then joins the class that most raises the same likelihood, by the classes that it
+stands between in all of its occurrences.  Class bigrams are counted over all words' classes, and
 
-    p(w | previous) = p(class(w) | class(previous)) * p(w | class(w)),
+    p(w | previous) = (1 - new) p(class(w) | class(previous)) n(w) / n(class(w)),
 
-with transitions smoothed by the classes' own frequencies and add-one emissions in the classes of
-endings, whose words may be new.  Every count is taken over the whole training corpus.
+with transitions smoothed by the classes' own frequencies.  ``new`` is the chance of a word that
+training has not seen, by Good and Turing from the words seen once; it is shared out evenly among as
+many words as training has and one more.  Every count is taken over the whole training corpus.
 
-Scoring reads each text once.  The counts of the ``head`` most frequent words are broadcast (a table
-bounded by that parameter); what other words contribute is added by a join with the counts table.
+Scoring reads each text once.  The ``head``, the most frequent words with their classes, is broadcast
+(a table bounded by that parameter); the classes of other words are joined from the vocabulary and
+put into their places of the text's row of classes.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ship_package, written
+from factloom.llm.common import discard, ship_package, written
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Stands for a word whose class is not known yet.
+_HOLE = 255
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,30 +48,31 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def ending(word: bytes, endings: int) -> int:
-    """The class of a word outside the clustered ones: by its last two characters."""
-    return zlib.crc32(word.decode()[-2:].encode()) % endings
+class _Numbers(dict):
+    """Numbers of words; one number for all others."""
+
+    def __init__(self, words, other: int):
+        super().__init__(words)
+        self.other = other
+
+    def __missing__(self, word: bytes) -> int:
+        return self.other
 
 
 @dataclass
 class ClassModel:
-    """Classes 0.. are clustered, then those of endings, then the end of a text."""
+    """Classes 0.. hold all training words; the class after them is the end of a text."""
 
     name: str
-    words: list[bytes]  # clustered, by number
-    word_class: np.ndarray
+    vocabulary: DataFrame  # word, n, class
     classes: int
-    endings: int
-    transition: np.ndarray  # log10 p(class | previous class)
-    emission: np.ndarray  # log10 of the denominator of p(word | class), by class
+    transition: np.ndarray  # log10 p(class | previous class); the last row is for a new word before
+    emission: np.ndarray  # log10 of how often a class occurs, by class
+    new: float
     n_tokens: int
     n_types: int
     n_texts: int
 
-    @property
-    def end(self) -> int:
-        return self.classes + self.endings
-
 
 def count_words(texts: DataFrame, most: int = 150_000) -> DataFrame:
     """texts(t) to (word, n): summed in each task first, then by Spark."""
@@ -90,51 +97,38 @@ def count_words(texts: DataFrame, most: int = 150_000) -> DataFrame:
     return texts.select("t").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _numbers(words: list[bytes], known: dict[bytes, int], first: int, endings: int, memo: dict[bytes, int]) -> list[int]:
-    out = []
-    for w in words:
-        k = known.get(w)
-        if k is None:
-            k = memo.get(w)
-            if k is None:
-                k = first + ending(w, endings)
-                if len(memo) < 100_000:
-                    memo[w] = k
-        out.append(k)
-    return out
-
-
-def _bigrams(texts: DataFrame, shared, endings: int) -> DataFrame:
-    """texts(t) to (u, v, n): bigrams of word numbers, endings and the end, which also begins a text."""
+def _bigrams(texts: DataFrame, shared) -> DataFrame:
+    """texts(t) to (u, v, n): bigrams of the core's numbers, one for all other words, and the end, which also begins a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        known, first = {w: i for i, w in enumerate(words)}, len(words)
-        end, size, memo = first + endings, np.int64(first + endings + 1), {}
-        held: list[np.ndarray] = []
+        other = len(words)
+        number = _Numbers(((w, i) for i, w in enumerate(words)), other).__getitem__
+        end, size = other + 1, np.int64(other + 2)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            code = np.concatenate([c for c, _ in held])
-            n = np.concatenate([n for _, n in held])
-            code, place = np.unique(code, return_inverse=True)
-            n = np.bincount(place, n).astype(np.int64)
+            code, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["u", "v", "n"])
 
+        def count() -> None:
+            x = np.array(line, np.int64)
+            held.append(np.unique(x[:-1] * size + x[1:], return_counts=True))
+
         line = [end]
         for b in batches:
             for t in b.column(0).to_pylist():
-                line += _numbers(tokens(t), known, first, endings, memo)
+                line += map(number, tokens(t))
                 line.append(end)
                 if len(line) > 200_000:
-                    x = np.array(line, np.int64)
-                    held.append(np.unique(x[:-1] * size + x[1:], return_counts=True))
+                    count()
                     line = [end]
                 if sum(len(c) for c, _ in held) > 500_000:
                     yield out()
                     held.clear()
         if len(line) > 1:
-            x = np.array(line, np.int64)
-            held.append(np.unique(x[:-1] * size + x[1:], return_counts=True))
+            count()
         if held:
             yield out()
 
@@ -181,7 +175,8 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 def exchange_gains(left: np.ndarray, right: np.ndarray, own: int, bigrams: np.ndarray, classes: int) -> np.ndarray:
     """The change of the likelihood if a word moved from its class to each clustered class.
 
-    left and right: how often the word follows and precedes each class.
+    left and right: how often the word follows and precedes each class.  bigrams also has rows and
+    columns for what is in no class to move to.
     """
     rows, cols = np.flatnonzero(right), np.flatnonzero(left)
     before, after = bigrams[:classes][:, rows], bigrams[cols][:, :classes].T
@@ -224,28 +219,134 @@ def likelihood(bigrams: np.ndarray) -> float:
     return float(_xlogx(bigrams).sum() - _xlogx(bigrams.sum(1)).sum() - _xlogx(bigrams.sum(0)).sum())
 
 
+def _contexts(texts: DataFrame, shared, classes: int) -> DataFrame:
+    """Occurrences of words outside the core: (word, codes) with the classes on both sides of each, and
+    (word, following, n) where the next word is outside too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other, end, size = classes, classes + 1, classes + 2
+        of = _Numbers(shared.value, other).__getitem__
+        held: dict[bytes, list[int]] = {}
+        pairs: Counter = Counter()
+        have = 0
+
+        def out() -> pa.RecordBatch:
+            word = [w.decode() for w in held] + [w.decode() for w, _ in pairs]
+            following = [None] * len(held) + [v.decode() for _, v in pairs]
+            codes = [array("H", c).tobytes() for c in held.values()] + [None] * len(pairs)
+            n = [None] * len(held) + list(pairs.values())
+            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(following, pa.string()), pa.array(codes, pa.binary()), pa.array(n, pa.int64())], names=["word", "following", "codes", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words = tokens(t)
+                c = np.array([end, *map(of, words), end], np.int64)
+                at = np.flatnonzero(c == other)
+                for i, code in zip((at - 1).tolist(), (c[at - 1] * size + c[at + 1]).tolist()):
+                    w = words[i]
+                    if w in held:
+                        held[w].append(code)
+                    else:
+                        held[w] = [code]
+                pairs.update((words[i - 1], words[i]) for i in at[c[at + 1] == other].tolist())
+                have += len(at)
+                if have > 200_000:
+                    yield out()
+                    held.clear()
+                    pairs.clear()
+                    have = 0
+        if held:
+            yield out()
+
+    return texts.select("t").mapInArrow(run, "word string, following string, codes binary, n long")
+
+
+def join_gains(entries: np.ndarray, word: np.ndarray, n: np.ndarray, words: int, before: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The change of one side's part of the likelihood if each word joined each class.
+
+    entries: the class on that side, word: whose, n: how often.  before[x]: how often each class has x
+    on that side; total: how often each class occurs.
+    """
+    gain = np.zeros((words, len(total)))
+    for k in range(0, len(entries), 4_096):
+        x = before[entries[k : k + 4_096]]
+        np.add.at(gain, word[k : k + 4_096], _xlogx(x + n[k : k + 4_096, None]) - _xlogx(x))
+    own = np.bincount(word, n, words)
+    return gain - (_xlogx(total + own[:, None]) - _xlogx(total))
+
+
+def _joined(contexts: DataFrame, shared, classes: int) -> DataFrame:
+    """(word, codes) to (word, n, class); and rows without a word: how often two classes (a code) follow one another there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, size = shared.value, classes + 2
+        before, after = np.ascontiguousarray(table[:, :classes]), np.ascontiguousarray(table[:classes].T)
+        in_n, out_n = table.sum(0)[:classes], table.sum(1)[:classes]
+        met = np.zeros((size, size), np.int64)
+
+        def sums() -> Iterator[tuple[str, np.ndarray]]:
+            """Each word with how often it has each pair of classes around it."""
+            rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            for word, group in groupby(rows, key=lambda r: r[0]):
+                codes = [np.frombuffer(c, "<u2") for _, c in group]
+                yield word, codes[0] if len(codes) == 1 else np.concatenate(codes)
+
+        def out(words: list[str], codes: list[np.ndarray]) -> pa.RecordBatch:
+            n = np.array([len(c) for c in codes])
+            every, whose = np.concatenate(codes).astype(np.int64), np.repeat(np.arange(len(words)), n)
+            gain, sides = 0, []
+            for at, seen, total in ((every // size, before, in_n), (every % size, after, out_n)):
+                code, k = np.unique(whose * size + at, return_counts=True)
+                gain = gain + join_gains(code % size, code // size, k, len(words), seen, total)
+                sides.append((code % size, code // size, k))
+            best = gain.argmax(1)
+            (l, lw, lk), (r, rw, rk) = sides
+            np.add.at(met, (l, best[lw]), np.where(l == classes, 0, lk))
+            np.add.at(met, (best[rw], r), np.where(r == classes, 0, rk))
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(best)], names=["word", "n", "class"])
+
+        words, codes, have = [], [], 0
+        for word, c in sums():
+            words.append(word)
+            codes.append(c)
+            have += len(c)
+            if len(words) == 2_000 or have > 500_000:
+                yield out(words, codes)
+                words, codes, have = [], [], 0
+        if words:
+            yield out(words, codes)
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(met.ravel()[at]), pa.array(at)], names=["word", "n", "class"])
+
+    ordered = contexts.where("codes is not null").select("word", "codes").repartition("word").sortWithinPartitions("word")
+    return ordered.mapInArrow(run, "word string, n long, class long")
+
+
 def fit_classes(
     texts: DataFrame,
     counts: DataFrame,
     *,
-    clustered: int = 8_192,
+    core: int = 8_192,
     classes: int = 128,
-    endings: int = 64,
     rounds: int | None = None,
     smoothing: float = 8.0,
     buckets: int = 64,
 ) -> ClassModel:
     """The model of training texts(t), given their word counts(word, n).
 
-    ``clustered``, ``classes`` and ``endings`` bound the model; what it learns from is not bounded.
-    ``rounds`` ends the exchange early.
+    ``core`` words find their classes together, by exchange, all others one by one; ``rounds`` ends
+    the exchange early.
     """
+    if not 0 < classes < _HOLE:
+        raise ValueError(f"classes must be fewer than {_HOLE}")
     spark = texts.sparkSession
     ship_package(spark)
-    words = [r["word"].encode() for r in counts.orderBy(F.desc("n"), "word").limit(clustered).collect()]
-    packed = written(_packed(_bigrams(texts, spark.sparkContext.broadcast(words), endings), buckets), "bigrams")
-    size = classes + endings + 1
-    of = np.concatenate([np.arange(len(words)) % classes, np.arange(classes, size)])  # endings and the end keep their class
+    n_types, n_once, n_words = counts.agg(F.count("*"), F.count_if(F.col("n") == 1), F.coalesce(F.sum("n"), F.lit(0))).first()
+    first = counts.orderBy(F.desc("n"), "word").limit(core).collect()
+    words = [r["word"].encode() for r in first]
+    packed = written(_packed(_bigrams(texts, spark.sparkContext.broadcast(words)), buckets), "bigrams")
+    other, end, size = classes, classes + 1, classes + 2
+    of = np.concatenate([np.arange(len(words)) % classes, [other, end]])
     best, table, rises, turn = None, None, [], 0
     while True:
         bigrams = _class_bigrams(packed, spark.sparkContext.broadcast(of), size)
@@ -260,110 +361,121 @@ def fit_classes(
         for w, c in _moves(packed, spark.sparkContext.broadcast((of, bigrams)), len(words), classes, size, turn):
             of[w] = c
         turn += 1
-    of = best[1]
-    n_class = table.sum(0)
-    prior = (n_class + 1) / (n_class.sum() + size)
-    transition = np.log10((table + smoothing * prior[None, :]) / (table.sum(1, keepdims=True) + smoothing))
-    # types of each class of endings; clustered words don't count there
-    by = {w: i for i, w in enumerate(words)}
-    known = spark.sparkContext.broadcast(by)
-
-    def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(endings, np.int64)
-        for b in batches:
-            for w in b.column(0).to_pylist():
-                w = w.encode()
-                if w not in known.value:
-                    total[ending(w, endings)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(endings)), pa.array(total)], names=["c", "n"])
-
-    emission = np.log10(np.maximum(n_class, 1.0))
-    n_types = len(words)
-    for c, n in counts.select("word").mapInArrow(types, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        emission[classes + c] = math.log10(n_class[classes + c] + n + 1)
-        n_types += n
-    n_texts = int(table[size - 1].sum())
-    return ClassModel(uuid.uuid4().hex, words, of[: len(words)], classes, endings, transition, emission, int(n_class.sum()), n_types + bool(n_texts), n_texts)
+    discard(packed)
+    of = best[1][: len(words)].tolist()
+
+    # the other words, and all class bigrams that they are part of
+    contexts = written(_contexts(texts, spark.sparkContext.broadcast(dict(zip(words, of))), classes), "contexts")
+    joined = written(_joined(contexts, spark.sparkContext.broadcast(table), classes), "joined")
+    known = spark.createDataFrame([(r["word"], r["n"], c) for r, c in zip(first, of)], "word string, n long, class long")
+    vocabulary = written(joined.where("word is not null").unionByName(known), "vocabulary")
+    whole = table.copy()
+    whole[other] = 0
+    whole[:, other] = 0
+    for code, n in joined.where("word is null").groupBy("class").agg(F.sum("n")).collect():
+        whole[code // size, code % size] += n
+    side = vocabulary.select("word", "class")
+    pairs = contexts.where("codes is null").groupBy("word", "following").agg(F.sum("n").alias("n"))
+    pairs = pairs.join(side.withColumnRenamed("class", "a"), "word").join(side.select(F.col("word").alias("following"), F.col("class").alias("b")), "following")
+    for a, b, n in pairs.groupBy("a", "b").agg(F.sum("n")).collect():
+        whole[a, b] += n
+    discard(contexts, joined)
+    whole = np.delete(np.delete(whole, other, 0), other, 1)
+    n_class = whole.sum(0)
+    prior = (n_class + 1) / (n_class.sum() + classes + 1)
+    transition = (whole + smoothing * prior) / (whole.sum(1, keepdims=True) + smoothing)
+    n_texts = int(n_class[classes])
+    new = (n_once + 1) / (n_words + n_texts + 2)
+    return ClassModel(uuid.uuid4().hex, vocabulary, classes, np.log10(np.vstack([transition, prior])), np.log10(np.maximum(n_class, 1.0)), new, n_words + n_texts, n_types + bool(n_texts), n_texts)
 
 
 _HEADS: dict[str, tuple] = {}
 
 
 def _head(shared) -> tuple:
-    """Numbers of the head's words; by number the class, and log10 of the count for the model and for the base."""
-    model, joined, counts = shared.value
-    if model.name not in _HEADS:
+    """Numbers of the head's words; by number the class, and the count; the last is that of all others."""
+    name, joined, classes, counts = shared.value
+    if name not in _HEADS:
         _HEADS.clear()
-        clustered = dict(zip(model.words, model.word_class.tolist()))
         words = joined.split(b"\n") if joined else []
-        of = np.fromiter((clustered[w] if w in clustered else model.classes + ending(w, model.endings) for w in words), np.int64, len(words))
-        exact = np.fromiter((w in clustered for w in words), bool, len(words))  # words of endings have one added
-        _HEADS[model.name] = {w: i for i, w in enumerate(words)}, of, np.log10(np.maximum(1, counts + ~exact)), np.log10(counts + 1)
-    return _HEADS[model.name]
+        _HEADS[name] = _Numbers(((w, i) for i, w in enumerate(words)), len(words)), np.append(classes, _HOLE).astype(np.uint8), np.append(counts, 0)
+    return _HEADS[name]
 
 
-def score_texts(docs: DataFrame, model: ClassModel, counts: DataFrame, *, text: str = "text", head: int = 200_000) -> DataFrame:
+def score_texts(docs: DataFrame, model: ClassModel, *, text: str = "text", head: int = 200_000) -> DataFrame:
     """docs without their text, with n_tokens, n_known, train_tokens, base_score and score.
 
     One row comes out for each row that goes in; columns of docs with the new names are replaced.  A
-    null text is empty: its only token is the end.  Without training texts every token is unknown.
+    null text is empty: its only token is the end.  Without training texts every token is new.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    levels = sorted((r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).toLocalIterator())
+    vocabulary = model.vocabulary
+    levels = sorted((r["n"], r["k"]) for r in vocabulary.groupBy("n").agg(F.count("*").alias("k")).toLocalIterator())
     most, least = 0, 1
     for n, k in reversed(levels):
         most, least = most + k, n
         if most > head:
             least = n + 1
             break
-    clustered = spark.createDataFrame([(w.decode(),) for w in model.words], "word string")  # bounded by a parameter
-    table = counts.where(F.col("n") >= least).unionByName(counts.where(F.col("n") < least).join(F.broadcast(clustered), "word", "left_semi"))
-    head_words = [(r["word"].encode(), r["n"]) for r in table.toLocalIterator()]
-    shared = spark.sparkContext.broadcast((model, b"\n".join(w for w, _ in head_words), np.array([n for _, n in head_words], np.int64)))
+    top = [(r["word"].encode(), r["class"], r["n"]) for r in vocabulary.where(F.col("n") >= least).toLocalIterator()]
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, b"\n".join(w for w, _, _ in top), np.array([c for _, c, _ in top], np.uint8), np.array([n for _, _, n in top], np.int64)))
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (text, *names)]
     given = docs.select(F.struct(*others).alias("row"), F.col(text).alias("t"))
-    schema = "row " + given.schema["row"].dataType.simpleString() + ", key long, n_tokens long, n_known long, base double, score double, rest array<struct<word:string,k:long>>"
+    kind = given.schema["row"].dataType.simpleString()
+    end, n_texts = model.classes, model.n_texts
+    hole = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value[0]
-        number, of, model_log, base_log = _head(shared)
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, of, counts = _head(shared)
+        base_log, model_log = np.log10(counts + 1), np.log10(np.maximum(counts, 1))
         key = TaskContext.get().partitionId() << 40
-        denominator = math.log10(model.n_tokens + model.n_types + 1)
-        end_base = math.log10(model.n_texts + 1)
-        # an unknown number stands for the ending's class, with the count still to be added
-        n_head = len(of)
-        of = np.concatenate([of, np.arange(model.classes, model.end + 1)])
-        model_log = np.concatenate([model_log, np.zeros(model.endings), [math.log10(max(1, model.n_texts))]])
-        base_log = np.concatenate([base_log, np.zeros(model.endings), [end_base]])
-        end = n_head + model.endings
-        memo: dict[bytes, int] = {}
-        rest_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
         for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            out: list[list] = [[], [], [], [], [], []]
+            keys, rows, holes, base, own = [], [], [], [], []
             for t in b.column("t").to_pylist():
                 words = tokens(t)
-                x = np.array([*_numbers(words, number, n_head, model.endings, memo), end], np.int64)
+                x = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
                 c = of[x]
-                before = np.concatenate([[model.end], c[:-1]])
-                score = model.transition[before, c].sum() + model_log[x].sum() - model.emission[c].sum()
-                unsure = np.flatnonzero((x >= n_head) & (x < end))
-                rest = Counter(words[i] for i in unsure.tolist())
-                values = key, len(x), len(x) - len(unsure) - (model.n_texts == 0), base_log[x].sum() - len(x) * denominator, score, [{"word": w.decode(), "k": k} for w, k in rest.items()]
+                keys.append(key)
+                rows.append(c.tobytes() + bytes([end if n_texts else _HOLE]))
+                holes.append([{"word": words[i].decode(), "at": i} for i in np.flatnonzero(c == _HOLE).tolist()])
+                base.append(base_log[x].sum())
+                own.append(model_log[x].sum())
                 key += 1
-                for column, v in zip(out, values):
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(keys), pa.array(rows, pa.binary()), pa.array(holes, hole), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["row", "key", "classes", "holes", "base", "own"])
+
+    looked = written(given.mapInArrow(look_up, f"row {kind}, key long, classes binary, holes array<struct<word:string,at:int>>, base double, own double"), "looked")
+    rest = looked.select("key", F.inline("holes")).join(vocabulary.where(F.col("n") < least), "word")
+    filled = rest.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("class").cast("int")).alias("class"), F.collect_list("n").alias("n"))
+    transition, emission, new = model.transition, model.emission, model.new
+    denominator, n_types, train = math.log10(model.n_tokens + model.n_types + 1), model.n_types, model.n_tokens
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_log, new_log = math.log10(1 - new), math.log10(new / (n_types + 1))
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for data, base, own, at, of, n in zip(*(b.column(c).to_pylist() for c in ("classes", "base", "own", "at", "class", "n"))):
+                c = np.frombuffer(data, np.uint8).astype(np.int64)
+                total = base + math.log10(n_texts + 1) - len(c) * denominator
+                own += math.log10(max(1, n_texts))
+                if at:  # in the order in which the join gave them; each place has one
+                    c[at] = of
+                    total += np.log10(np.array(n) + 1.0).sum()
+                    own += np.log10(np.array(n, np.float64)).sum()
+                seen = c != _HOLE
+                before = np.where(seen, c, end + 1)
+                before = np.concatenate([[end], before[:-1]])[seen]
+                k = int(seen.sum())
+                c = c[seen]
+                model_score = own + transition[before, c].sum() - emission[c].sum() + k * known_log + (len(seen) - k) * new_log
+                for column, v in zip(out, (len(seen), k, train, total, model_score)):
                     column.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rest_type)
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, kind) for v, kind in zip(out, types))], names=["row", "key", "n_tokens", "n_known", "base", "score", "rest"])
-
-    scored = written(given.mapInArrow(run, schema), "scored")
-    rest = scored.select("key", F.inline("rest")).join(counts.where(F.col("n") < least), "word")
-    gain = rest.groupBy("key").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("gain"), F.sum("k").alias("more"))
-    gain_ = F.coalesce("gain", F.lit(0.0))
-    return scored.drop("rest").join(gain, "key", "left").select(
-        "row.*", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + gain_).alias("base_score"), (F.col("score") + gain_).alias("score"))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, t) for v, t in zip(out, types))], names=["row", *names])
+
+    schema = f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return looked.drop("holes").join(filled, "key", "left").mapInArrow(score, schema).select("row.*", *names)
 
 
 def held_out(rest: Column) -> Column:

@@ -15,4 +15,4 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = docs.where(~out).select(F.col("text").alias("t"))
     counts = written(count_words(train), "words")
     model = fit_classes(train, counts)
-    return score_texts(docs.withColumn("held_out", out), model, counts)
+    return score_texts(docs.withColumn("held_out", out), model)

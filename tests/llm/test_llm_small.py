@@ -206,24 +206,79 @@ def test_slots_in_pieces_agree(spark):
 # ---- 6 class bigrams
 
 
+def classes_by_hand(train, of, classes, smoothing=8.0):
+    """Transitions and emissions of training texts, given every word's class; the end is the class after them."""
+    pair, n, end = defaultdict(float), Counter(), classes
+    words = Counter(w for t in train for w in class_lm.tokens(t))
+    for t in train:
+        line = [end, *(of[w] for w in class_lm.tokens(t)), end]
+        for a, b in zip(line, line[1:]):
+            pair[a, b] += 1
+            n[b] += 1
+    total = sum(n.values())
+    prior = {c: (n[c] + 1) / (total + classes + 1) for c in range(classes + 1)}
+    p = lambda a, b: (pair[a, b] + smoothing * prior[b]) / (sum(pair[a, c] for c in range(classes + 1)) + smoothing) if a is not None else prior[b]
+    new = (sum(v == 1 for v in words.values()) + 1) / (total + 2)
+
+    def score(text):
+        out, before = 0.0, end
+        for w in [*class_lm.tokens(text), None]:
+            c, k = (end, n[end]) if w is None else (of.get(w), words[w])
+            out += math.log10((1 - new) * p(before, c) * k / n[c]) if c is not None else math.log10(new / (len(words) + 2))
+            before = c
+        return out
+
+    return score, p
+
+
 def test_class_model(spark):
     r = random.Random(6)
     texts = [" ".join(r.choice(["le la", "the of"][i % 2].split() + [f"w{r.randint(0, 60)}"]) for _ in range(r.randint(0, 40))) for i in range(120)]
     train = table(spark, list(enumerate(texts[:100])), "doc_id long, t string")
     counts = class_lm.count_words(train).cache()
-    model = class_lm.fit_classes(train, counts, clustered=20, classes=4, endings=5, rounds=3, buckets=3)
+    model = class_lm.fit_classes(train, counts, core=20, classes=4, rounds=3, buckets=3)
     assert np.allclose((10**model.transition).sum(1), 1)
-    docs = table(spark, [*enumerate(texts), (500, None), (501, "never seen The")]).withColumn("score", F.lit("clash"))
+    odd = [(500, None), (501, "never seen The"), (502, "new " * 5_000 + "the of " * 5_000), (0, texts[0])]
+    docs = table(spark, [*enumerate(texts), *odd]).withColumn("score", F.lit("clash"))
     c = Counter(w for t in texts[:100] for w in class_lm.tokens(t))
     total, kinds = sum(c.values()) + 100, len(c) + 1
-    by = dict([*enumerate(texts), (500, None), (501, "never seen The")])
+    by = dict([*enumerate(texts), *odd])
+    of = {x.word.encode(): x["class"] for x in model.vocabulary.collect()}
+    assert {x.word.encode(): x.n for x in model.vocabulary.collect()} == c and set(of.values()) <= set(range(4))
+    score, p = classes_by_hand(texts[:100], of, 4)
     for head in (200_000, 5):
-        for x in class_lm.score_texts(docs, model, counts, head=head).collect():
+        got = class_lm.score_texts(docs, model, head=head).collect()
+        assert sorted(x.doc_id for x in got) == sorted([*range(120), 500, 501, 502, 0])
+        for x in got:
             w = class_lm.tokens(by[x.doc_id])
             assert (x.n_tokens, x.n_known, x.train_tokens) == (len(w) + 1, sum(c[y] > 0 for y in w) + 1, total)
             want = sum(math.log10((c[y] + 1) / (total + kinds + 1)) for y in w) + math.log10(101 / (total + kinds + 1))
-            assert abs(x.base_score - want) < 1e-6 and x.score < 0
-    assert class_lm.score_texts(docs.limit(0), model, counts).count() == 0
+            assert abs(x.base_score - want) < 1e-5 and abs(x.score - score(by[x.doc_id])) < 1e-5 * len(w) + 1e-6
+    assert class_lm.score_texts(docs.limit(0), model).count() == 0
+    none = class_lm.fit_classes(train.limit(0), counts.limit(0), core=20, classes=4)
+    assert [(x.n_tokens, x.n_known, x.train_tokens, x.base_score) for x in class_lm.score_texts(table(spark, odd[:2]), none).orderBy("doc_id").collect()] == [(1, 0, 0, 0.0), (4, 0, 0, 0.0)]
+
+
+def test_a_word_joins_the_class_of_the_most_likelihood():
+    r = np.random.default_rng(4)
+    table_, xlogx = r.integers(0, 9, (5, 5)).astype(float), lambda x: x * np.log(np.maximum(x, 1.0))  # three classes, other words, the end
+    left, right = np.array([2, 0, 1, 0, 3]), np.array([0, 0, 4, 1, 1])
+    whole = lambda t: xlogx(t).sum() - xlogx(t.sum(1)).sum() - xlogx(t.sum(0)).sum()
+    gain = 0
+    for side, before, total in ((left, table_[:, :3], table_.sum(0)[:3]), (right, table_[:3].T, table_.sum(1)[:3])):
+        at = np.flatnonzero(side)
+        gain = gain + class_lm.join_gains(at, np.zeros(len(at), int), side[at], 1, before, total)[0]
+    want = []
+    for c in range(3):
+        # the sums of the contexts' own rows and columns do not depend on the class joined
+        t = table_.copy()
+        t[:, c] += left
+        t[c] += right
+        rest = xlogx(t.sum(1)) - xlogx(table_.sum(1)), xlogx(t.sum(0)) - xlogx(table_.sum(0))
+        inner = xlogx(t).sum() - xlogx(table_).sum()
+        both = xlogx(table_[c, c] + left[c] + right[c]) - xlogx(table_[c, c] + left[c]) - xlogx(table_[c, c] + right[c]) + xlogx(table_[c, c])
+        want.append(inner - both - (xlogx(table_.sum(1)[c] + right.sum()) - xlogx(table_.sum(1)[c])) - (xlogx(table_.sum(0)[c] + left.sum()) - xlogx(table_.sum(0)[c])))
+    assert np.allclose(gain, want)
 
 
 def test_exchange_goes_on_while_the_likelihood_rises(spark, monkeypatch):
@@ -232,7 +287,7 @@ def test_exchange_goes_on_while_the_likelihood_rises(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "likelihood", lambda b: next(values))
     monkeypatch.setattr(class_lm, "_moves", lambda *a: turns.append(a[-1]) or [])
     monkeypatch.setattr(class_lm, "_class_bigrams", lambda packed, shared, size: np.ones((size, size)))
-    class_lm.fit_classes(train, class_lm.count_words(train), clustered=4, classes=2, endings=2, buckets=2)
+    class_lm.fit_classes(train, class_lm.count_words(train), core=4, classes=2, buckets=2)
     assert turns == list(range(14))  # 12 that rise, and a pair that doesn't
 
 
