@@ -7,9 +7,11 @@ body text comes from one range of the source, of which it is the text with white
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Fixed values of the unit rules.
@@ -18,45 +20,46 @@ LONG, PART, OVERLAP, PART_LEAST = 400, 300, 60, 8
 _HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*")
 _END = re.compile(r"[。！？!?；;]\s*")
 
-Source = list[tuple[str, int, int]]  # a character of the collapsed text, and its range in the source
+_WORD = re.compile(r"\S+")
 
+Range = tuple[int, int]  # of characters of a body's text
 
-def collapsed(content: str, start: int, end: int) -> Source:
-    """content[start:end] with white space runs as one blank, none at the ends, with the ranges they stand for."""
-    out: Source = []
-    for m in re.finditer(r"\s+|\S", content[start:end]):
-        a, b = m.start() + start, m.end() + start
-        if m[0].isspace():
-            if out and b < end:
-                out.append((" ", a, b))
-        else:
-            out.append((m[0], a, b))
-    return trimmed(out)
 
+class Body:
+    """A range of the source as its text with white space collapsed, and where each word comes from."""
 
-def trimmed(x: Source) -> Source:
-    first, last = 0, len(x)
-    while first < last and x[first][0] == " ":
-        first += 1
-    while last > first and x[last - 1][0] == " ":
-        last -= 1
-    return x[first:last]
+    __slots__ = ("text", "at", "source")
 
+    def __init__(self, content: str, start: int, end: int):
+        found = list(_WORD.finditer(content, start, end))
+        words = [m[0] for m in found]
+        self.text = " ".join(words)
+        self.source = [m.start() for m in found]
+        self.at = list(accumulate((len(w) + 1 for w in words[:-1]), initial=0))
 
-def words_of(x: Source) -> str:
-    return "".join(c for c, _, _ in x)
+    def trimmed(self, first: int, end: int) -> Range:
+        """The range without a blank at either end; neighbouring blanks are one already."""
+        if first < end and self.text[first] == " ":
+            first += 1
+        if first < end and self.text[end - 1] == " ":
+            end -= 1
+        return first, end
 
+    def place(self, at: int) -> int:
+        """Where in the source a character other than a blank is."""
+        k = bisect_right(self.at, at) - 1
+        return self.source[k] + at - self.at[k]
 
-def sentences(x: Source) -> list[Source]:
-    text, out, at = words_of(x), [], 0
-    for m in _END.finditer(text):
-        out.append(trimmed(x[at : m.start() + 1]))
-        at = m.end()
-    out.append(trimmed(x[at:]))
-    return [s for s in out if s]
+    def sentences(self) -> list[Range]:
+        out, at = [], 0
+        for m in _END.finditer(self.text):
+            out.append(self.trimmed(at, m.start() + 1))
+            at = m.end()
+        out.append(self.trimmed(at, len(self.text)))
+        return [(a, b) for a, b in out if a < b]
 
 
-def paragraphs(content: str) -> tuple[list[tuple[str, int, int]], list[Source]]:
+def paragraphs(content: str) -> tuple[list[tuple[str, int, int]], list[Body]]:
     """Headings (title and range) and paragraphs; a very short paragraph joins its neighbour unless a heading is between."""
     heads: list[tuple[str, int, int]] = []
     spans: list[tuple[int, int, int]] = []  # start, end, headings before
@@ -72,28 +75,30 @@ def paragraphs(content: str) -> tuple[list[tuple[str, int, int]], list[Source]]:
         elif bare.strip() and start is None:
             start = at
         at += len(line)
-    kept: list[tuple[int, int, int, Source]] = []
+    kept: list[tuple[int, int, int, Body]] = []
     for a, b, before in spans:
-        text = collapsed(content, a, b)
-        if text and kept and kept[-1][2] == before and (len(text) < MERGE_BELOW or len(kept[-1][3]) < MERGE_BELOW):
-            kept[-1] = (kept[-1][0], b, before, collapsed(content, kept[-1][0], b))
-        elif text:
-            kept.append((a, b, before, text))
+        body = Body(content, a, b)
+        if body.text and kept and kept[-1][2] == before and (len(body.text) < MERGE_BELOW or len(kept[-1][3].text) < MERGE_BELOW):
+            kept[-1] = (kept[-1][0], b, before, Body(content, kept[-1][0], b))
+        elif body.text:
+            kept.append((a, b, before, body))
     return heads, [x for *_, x in kept]
 
 
-def groups(content: str, paragraph: Source) -> list[Source]:
+def groups(body: Body) -> list[Range]:
     """Groups of sentences; one sentence is shared by neighbours, so a last sentence may stand alone again."""
-    parts = sentences(paragraph)
+    parts = body.sentences()
     if len(parts) < 2:
-        return [paragraph]
+        return [(0, len(body.text))]
     out, first = [], 0
     while first < len(parts):
         size, end = 0, first
-        while end < len(parts) and (size < GROUP_LEAST or (size + len(parts[end]) <= GROUP_MOST and end - first < GROUP_SENTENCES)):
-            size += len(parts[end])
-            end += 1
-        out.append(collapsed(content, parts[first][0][1], parts[end - 1][-1][2]))
+        while end < len(parts):
+            more = parts[end][1] - parts[end][0]
+            if size >= GROUP_LEAST and (size + more > GROUP_MOST or end - first >= GROUP_SENTENCES):
+                break
+            size, end = size + more, end + 1
+        out.append((parts[first][0], parts[end - 1][1]))
         first = max(first + 1, end - 1)
     return out
 
@@ -108,21 +113,25 @@ def units(subject: str | None, content: str | None) -> list[tuple[str, str, int,
     heads, bodies = paragraphs(content)
     out += [("heading", t, a, b) for t, a, b in heads if t]
     for body in bodies:
-        for g in groups(content, body):
-            pieces = [g]
-            if len(g) > LONG:
-                stops = range(0, max(1, len(g) - OVERLAP), PART - OVERLAP)
-                pieces = [p for p in (trimmed(g[k : k + PART]) for k in stops) if len(p) >= PART_LEAST]
-            out += [("text", words_of(p), p[0][1], p[-1][2]) for p in pieces if p]
+        for a, b in groups(body):
+            pieces = [(a, b)]
+            if b - a > LONG:
+                cuts = (body.trimmed(k, min(b, k + PART)) for k in range(a, a + max(1, b - a - OVERLAP), PART - OVERLAP))
+                pieces = [(x, y) for x, y in cuts if y - x >= PART_LEAST]
+            out += [("text", body.text[x:y], body.place(x), body.place(y - 1) + 1) for x, y in pieces]
     return out
 
 
 def segment(memories: DataFrame) -> DataFrame:
     """memories(id, version, subject, content) to a row for each unit: memory_id, memory_version, unit_index, kind, text, start, end."""
+    names = ["memory_id", "memory_version", "unit_index", "kind", "text", "start_offset", "end_offset"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, v, k, *u) for i, v, s, c in zip(f["id"], f["version"], f["subject"], f["content"]) for k, u in enumerate(units(s, c))]
-            yield pd.DataFrame(rows, columns=["memory_id", "memory_version", "unit_index", "kind", "text", "start_offset", "end_offset"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, v, k, *u) for i, v, s, c in zip(*(c.to_pylist() for c in b.columns)) for k, u in enumerate(units(s, c))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
 
-    return memories.select("id", "version", "subject", "content").mapInPandas(run, "memory_id long, memory_version int, unit_index int, kind string, text string, start_offset int, end_offset int")
+    given = memories.selectExpr("CAST(id AS BIGINT) AS id", "CAST(version AS INT) AS version", "subject", "content")
+    return given.mapInArrow(run, "memory_id long, memory_version int, unit_index int, kind string, text string, start_offset int, end_offset int")
