@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, ship_package, written
+from factloom.llm.common import discard, ship_package, worker_value, written
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands for a word whose class is not known yet.
@@ -389,17 +389,15 @@ def fit_classes(
     return ClassModel(uuid.uuid4().hex, vocabulary, classes, np.log10(np.vstack([transition, prior])), np.log10(np.maximum(n_class, 1.0)), new, n_words + n_texts, n_types + bool(n_texts), n_texts)
 
 
-_HEADS: dict[str, tuple] = {}
-
-
 def _head(shared) -> tuple:
     """Numbers of the head's words; by number the class, and the count; the last is that of all others."""
     name, joined, classes, counts = shared.value
-    if name not in _HEADS:
-        _HEADS.clear()
+
+    def build() -> tuple:
         words = joined.split(b"\n") if joined else []
-        _HEADS[name] = _Numbers(((w, i) for i, w in enumerate(words)), len(words)), np.append(classes, _HOLE).astype(np.uint8), np.append(counts, 0)
-    return _HEADS[name]
+        return _Numbers(((w, i) for i, w in enumerate(words)), len(words)), np.append(classes, _HOLE).astype(np.uint8), np.append(counts, 0)
+
+    return worker_value(name, build)
 
 
 def score_texts(docs: DataFrame, model: ClassModel, *, text: str = "text", head: int = 200_000) -> DataFrame:

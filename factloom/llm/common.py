@@ -54,15 +54,31 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: dict = {}
+
+
+def worker_value(key, build: Callable):
+    """build(), once a worker process, and kept until another key is asked for.
+
+    A worker that goes on to the next stage does not carry the last one's tables along.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Ready the session for tasks that run this package's Python.
 
-    Batches of texts are kept small (2,000 rows, unless the session has set fewer), and the package is
-    sent to the executors when their Python would not find it by itself.
+    Batches of texts are kept small (2,000 rows and 8 MB, unless the session has set less), and the
+    package is sent to the executors when their Python would not find it by itself.
     """
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= 2_000:
         spark.conf.set(rows, "2000")
+    if spark.conf.get(size, "64m") in ("64m", "67108864b"):  # as Spark has it
+        spark.conf.set(size, "8m")
     places = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in places or os.path.realpath(os.getcwd()) == str(ROOT):
         return

@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import append_columns
+from factloom.llm.common import append_columns, worker_value
 
 #: Maps bytes of UTF-8: A-Z to a-z, digits, a-z and non-ASCII to themselves, the rest to a blank.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-_BUILT: dict[str, tuple[ahocorasick.Automaton, list[list[str]]]] = {}
 
 _HITS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -50,16 +49,17 @@ def item_windows(text: str | None, width: int) -> set[str]:
 
 def _automaton(shared) -> tuple[ahocorasick.Automaton, list[list[str]]]:
     key, patterns = shared.value
-    if key not in _BUILT:
-        _BUILT.clear()  # one automaton a worker at a time
+
+    def build() -> tuple[ahocorasick.Automaton, list[list[str]]]:
         built, owners = ahocorasick.Automaton(), []
         for pattern, items in patterns:
             built.add_word(pattern, (len(owners), len(pattern), pattern.count(" ") - 1))
             owners.append(items)
         if owners:
             built.make_automaton()
-        _BUILT[key] = built, owners
-    return _BUILT[key]
+        return built, owners
+
+    return worker_value(key, build)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import append_columns, ship_package, written
+from factloom.llm.common import append_columns, ship_package, worker_value, written
 
 BITS, ORDER = 6, 4
 SPACE, DIGIT, OTHER, SCRIPT, LETTER = 1, 2, 3, 4, 8  # symbol 0 is the boundary
@@ -191,14 +191,8 @@ class Scorer:
         return [(self.fitted.languages[b], float(s), bool(r)) if x else ("und", 0.0, True) for b, s, r, x in zip(best, share, high, letter)]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(fitted: LanguageModels) -> Scorer:
-    if fitted.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[fitted.name] = Scorer(fitted)
-    return _SCORERS[fitted.name]
+    return worker_value(fitted.name, lambda: Scorer(fitted))
 
 
 def fit_languages(

@@ -22,20 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from factloom.llm.common import append_columns, shared_dir, ship_package, written
+from factloom.llm.common import append_columns, shared_dir, ship_package, worker_value, written
 from factloom.llm.rans import Frequencies, checkpoint_places, crc32_combine, decode_block, encode_block
 from factloom.llm.units import tokenizer, unit_cache
 
-_TABLES: dict[str, Frequencies] = {}
-
-
 def _table(shared) -> Frequencies:
     """The table of a broadcast (its name, counts, scale_bits), built once a worker."""
     key, counts, scale_bits = shared.value
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = Frequencies(counts, scale_bits)
-    return _TABLES[key]
+    return worker_value(key, lambda: Frequencies(counts, scale_bits))
 
 
 def tokenise(docs: DataFrame, path: str, text: str = "text", end_id: int | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ import re
 from array import array
 from functools import lru_cache
 
+from factloom.llm.common import worker_value
+
 #: Characters that every engine agrees are not white space.
 _SOLID = r"[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 _LETTER = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
@@ -148,7 +150,6 @@ class UnitCache:
         return [self.of_text(t) for t in texts]
 
 
-@lru_cache(maxsize=2)
 def unit_cache(path: str, counts: bool = False, width: int = 4) -> UnitCache:
-    """The cache of a worker process, which serves all of its tasks."""
-    return UnitCache(path, counts, width)
+    """The cache of a worker process, which serves all tasks of a stage."""
+    return worker_value(("units", path, counts, width), lambda: UnitCache(path, counts, width))
