@@ -91,9 +91,13 @@ def long_parts(x: Column | str, size: int = 300, overlap: int = 60, least: int =
     return F.filter(parts, lambda p: F.length(p) >= least)
 
 
+# Fixed value of the rules: a number with its unit.
+VALUE = r"(?<![\w.])v?\d+(?:\.\d+){0,2}\s*(?:ms|s|秒|分钟|小时|天|%|mb|gb|kb|条|次|核|g)?"
+
+
 def numeric_values(x: Column | str) -> Column:
     """Numbers with their units, in order, repeats kept; a v in front is dropped."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(_col(x), F.lit(""))), F.lit(r"(?<![\w.])v?\d+(?:\.\d+){0,2}\s*(?:ms|s|秒|分钟|小时|天|%|mb|gb|kb|条|次|核|g)?"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(_col(x), F.lit(""))), F.lit(VALUE), F.lit(0))
     return F.transform(found, lambda v: F.regexp_replace(F.replace(F.regexp_replace(v, r"(?U)\s+", ""), F.lit("秒"), F.lit("s")), r"^v(?=\d)", ""))
 
 

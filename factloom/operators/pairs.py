@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import distinct_windows, numeric_values, set_cosine, strings
+from factloom.functions.text import VALUE, distinct_windows, numeric_values, set_cosine, strings
 
 # Fixed values of the rules.
 EXPLICIT_SCOPES = [("测试环境", "生产环境"), ("移动端", "管理后台"), ("公开api", "内部api"), ("中国区", "海外区")]
@@ -26,8 +26,14 @@ VETOES = {
     "coexist_metric_mismatch": [("平均", "峰值"), ("总计", "单项"), ("总数", "其中")],
 }
 EVOLUTION = ["替换为", "替换成", "升级为", "升级到", "迁移到", "迁移至", "不再采用", "改为", "改成", "切换到", "切换为", "换成", "变为", "变更为", "调整为", "更新为", "更改为"]
+TODO_TERMS, HOLDS_TERMS, LACKS_TERMS = ["待办", "todo"], ["包含"], ["不包含", "移除"]
+NAMING_TERMS = ["alias", "cli", "命令", "中文名"]
+LIKE, LIKE_AT_ALL = 0.45, 0.20
+TOKEN = r"[A-Za-z0-9_\-.]+|[一-鿿]{2,}"
+NUMBER = r"\d+(?:\.\d+)?\s*(?:mb|gb|kb|%|ms|s|秒|核|g)?"
+PIECE = r"[A-Za-z][A-Za-z0-9_.-]*|\d[\d,_.]*\s*(?:ms|s|秒|毫秒|%|mb|gb|kb)?|[一-鿿]{1,24}"
+EVIDENCE_ALIASES = [("pgsql", "postgresql"), ("postgres", "postgresql"), ("sqlite_vec", "sqlite-vec")]
 TIME_MARKS = ["旧", "新", "此前", "现在", "当前", "之前", "原来", "原先"]
-_VALUE = r"(?<![\w.])v?\d+(?:\.\d+){0,2}\s*(?:ms|s|秒|分钟|小时|天|%|mb|gb|kb|条|次|核|g)?"
 
 
 def has(x: Column, terms: Sequence[str]) -> Column:
@@ -47,63 +53,77 @@ def opposite(a: Column, b: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 def normal(x: Column) -> Column:
     """Evidence text without case, separators and aliases."""
     out = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"(\d+(?:\.\d+)?)\s*秒", "$1s")
-    for alias, name in (("pgsql", "postgresql"), ("postgres", "postgresql"), ("sqlite_vec", "sqlite-vec")):
+    for alias, name in EVIDENCE_ALIASES:
         out = F.regexp_replace(out, rf"(?U)\b{alias}\b", name)
     return F.regexp_replace(F.regexp_replace(out, r"(?U)[\s_\-]+", ""), r"[^a-z0-9一-鿿.%]+", "")
 
 
 def tokens(x: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[A-Za-z0-9_\-.]+|[一-鿿]{2,}"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(TOKEN), F.lit(0))
     bare = F.transform(found, lambda t: F.btrim(t, F.lit("_.-")))
     return F.array_distinct(F.filter(bare, lambda t: (F.length(t) >= 2) & ~F.array_contains(strings(STOPWORDS), t)))
 
 
 def numbers(x: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(x), F.lit(r"\d+(?:\.\d+)?\s*(?:mb|gb|kb|%|ms|s|秒|核|g)?"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(x), F.lit(NUMBER), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, lambda v: F.replace(F.regexp_replace(v, r"(?U)\s+", ""), F.lit("gb"), F.lit("g")))))
 
 
-def pair_decision(a: Column, b: Column, names: Sequence[tuple[str, str]] = ()) -> Column:
-    """struct(action, reason) for two short texts; the first rule that holds decides.
-
-    names: two names of one thing each; statements about such a pair of names say the same.
-    """
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
-    la, lb = F.lower(a), F.lower(b)
-    na, nb = normal(a), normal(b)
-    va, vb = numeric_values(a), numeric_values(b)
-    sa, sb = F.regexp_replace(la, _VALUE, ""), F.regexp_replace(lb, _VALUE, "")
-    bare_common = F.size(F.array_intersect(tokens(sa), tokens(sb))) > 0
-    bare_like = set_cosine(distinct_windows(sa, 3), distinct_windows(sb, 3))
-    numeric = (F.size(va) > 0) & (F.size(vb) > 0) & (va != vb) & (bare_common | (bare_like >= 0.45))
-    ta, tb = tokens(a), tokens(b)
-    common = F.size(F.array_intersect(ta, tb))
-    like = set_cosine(distinct_windows(a, 3), distinct_windows(b, 3))
-    todo_a, todo_b = has(la, ["待办", "todo"]), has(lb, ["待办", "todo"])
-    resolved = (common > 0) & ((todo_a & has(b, DONE_TERMS)) | (todo_b & has(a, DONE_TERMS)))
-    contains = (has(a, ["包含"]) & has(b, ["不包含", "移除"])) | (has(b, ["包含"]) & has(a, ["不包含", "移除"]))
-    polar = (has(a, NEGATION_TERMS) != has(b, NEGATION_TERMS)) & (common > 0)
-    both = F.concat_ws("\n", a, b)
-    ma, mb = numbers(a), numbers(b)
-    alias = F.lit(False)
-    for one, other in names:
-        alias = alias | (has(F.lower(both), [one]) & has(both, [other]) & has(F.lower(both), ["alias", "cli", "命令", "中文名"]))
-    duplicate = ((F.size(ma) > 0) & (ma == mb) & (like >= 0.45)) | alias
-    compatible = polar & ~has(both, REPLACEMENT_TERMS) & (common >= 2) & (F.size(F.array_except(tb, ta)) > 0) & ~contains
+def features(x: Column, names: Sequence[tuple[str, str]] = ()) -> Column:
+    """struct of all that pair_rule asks of one text; names: two names of one thing each."""
+    x = F.coalesce(x, F.lit(""))
+    low = F.lower(x)
+    bare = F.regexp_replace(low, VALUE, "")
+    flags = {"todo": (low, TODO_TERMS), "done": (x, DONE_TERMS), "holds": (x, HOLDS_TERMS), "lacks": (x, LACKS_TERMS), "negative": (x, NEGATION_TERMS), "replaced": (x, REPLACEMENT_TERMS), "naming": (low, NAMING_TERMS)}
+    every = lambda found: F.array(*found) if found else F.array().cast("array<boolean>")
+    return F.struct(
+        normal(x).alias("normal"), numeric_values(x).alias("values"), numbers(x).alias("numbers"),
+        tokens(x).alias("tokens"), distinct_windows(x, 3).alias("grams"), tokens(bare).alias("bare_tokens"), distinct_windows(bare, 3).alias("bare_grams"),
+        every([has(low, [term]) for pair in EXPLICIT_SCOPES for term in pair]).alias("scopes"),
+        every([has(t, [term]) for one, other in names for t, term in ((low, one), (x, other))]).alias("names"),
+        *[has(t, terms).alias(k) for k, (t, terms) in flags.items()])
+
+
+def pair_rule(a: Column, b: Column, n_names: int = 0) -> Column:
+    """struct(action, reason) from the features of two texts; the first rule that holds decides."""
+    either = lambda k: a[k] | b[k]
+    crossed = lambda one, other: (a[one] & b[other]) | (b[one] & a[other])
+    other_scope, same_thing = F.lit(False), F.lit(False)
+    for i in range(0, 2 * len(EXPLICIT_SCOPES), 2):
+        other_scope = other_scope | (a["scopes"][i] & b["scopes"][i + 1]) | (a["scopes"][i + 1] & b["scopes"][i])
+    for i in range(0, 2 * n_names, 2):
+        same_thing = same_thing | ((a["names"][i] | b["names"][i]) & (a["names"][i + 1] | b["names"][i + 1]) & either("naming"))
+    common = F.size(F.array_intersect(a["tokens"], b["tokens"]))
+    like = set_cosine(a["grams"], b["grams"])
+    alike = (F.size(F.array_intersect(a["bare_tokens"], b["bare_tokens"])) > 0) | (set_cosine(a["bare_grams"], b["bare_grams"]) >= LIKE)
+    numeric = (F.size(a["values"]) > 0) & (F.size(b["values"]) > 0) & (a["values"] != b["values"]) & alike
+    dropped = crossed("holds", "lacks")
+    polar = (a["negative"] != b["negative"]) & (common > 0)
+    duplicate = ((F.size(a["numbers"]) > 0) & (a["numbers"] == b["numbers"]) & (like >= LIKE)) | same_thing
+    compatible = polar & ~either("replaced") & (common >= 2) & (F.size(F.array_except(b["tokens"], a["tokens"])) > 0) & ~dropped
     out = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
     return (
-        F.when((na != "") & (na == nb), out("ignore", "equivalent_value"))
-        .when(opposite(la, lb, EXPLICIT_SCOPES), out("ignore", "explicit_scope_mismatch"))
+        F.when((a["normal"] != "") & (a["normal"] == b["normal"]), out("ignore", "equivalent_value"))
+        .when(other_scope, out("ignore", "explicit_scope_mismatch"))
         .when(numeric, out("check", "numeric_value_candidate"))
-        .when(resolved, out("notify", "todo_resolved"))
-        .when(contains | (polar & (like >= 0.45)), out("notify", "polarity_changed"))
+        .when((common > 0) & crossed("todo", "done"), out("notify", "todo_resolved"))
+        .when(dropped | (polar & (like >= LIKE)), out("notify", "polarity_changed"))
         .when(duplicate, out("ignore", "equivalent_value"))
         .when(compatible, out("ignore", "compatible_evidence"))
-        .when((like >= 0.20) | (common > 0), out("check", "semantic_similarity_only"))
+        .when((like >= LIKE_AT_ALL) | (common > 0), out("check", "semantic_similarity_only"))
         .otherwise(out("ignore", "insufficient_local_evidence"))
     )
 
 
+def pair_decision(a: Column, b: Column, names: Sequence[tuple[str, str]] = ()) -> Column:
+    """struct(action, reason) for two short texts.
+
+    names: two names of one thing each; statements about such a pair of names say the same.  Over
+    many pairs take ``features`` in a projection (or before a join) and ``pair_rule`` of them.
+    """
+    return pair_rule(features(a, names), features(b, names), len(names))
+
+
 def coexistence_veto(a: Column, b: Column) -> Column:
     """A code if both statements may hold at once; null if nothing says so."""
     la, lb = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
@@ -135,7 +155,7 @@ def grounded(value: Column, quote: Column) -> Column:
     v = F.trim(value)
     short = (v != "") & (F.length(v) <= 64) & (F.size(F.regexp_extract_all(v, F.lit(r"(?U)\S+"), F.lit(0))) <= 12)
     short = short & (mechanical(v) != "") & (mechanical(v) != mechanical(F.trim(quote))) & ~v.rlike(r"[。！？!?；;](?:[\"'”’）)]*)$")
-    pieces = F.regexp_extract_all(quote, F.lit(r"[A-Za-z][A-Za-z0-9_.-]*|\d[\d,_.]*\s*(?:ms|s|秒|毫秒|%|mb|gb|kb)?|[一-鿿]{1,24}"), F.lit(0))
+    pieces = F.regexp_extract_all(quote, F.lit(PIECE), F.lit(0))
     return F.coalesce((quote != "") & short & (F.contains(F.lower(quote), F.lower(value)) | F.exists(pieces, lambda p: normal_value(p) == normal_value(value))), F.lit(False))
 
 
@@ -147,7 +167,8 @@ def scan_candidates(units: DataFrame, near: DataFrame, recorded: DataFrame, *, s
     """
     a = units.select(F.col("unit_id").alias("anchor_id"), F.col("memory_id").alias("ma"), F.col("text").alias("ta"), F.concat_ws("@", F.col("memory_id").cast("string"), F.col("version").cast("string")).alias("ka"))
     b = units.select("unit_id", F.col("memory_id").alias("mb"), F.col("text").alias("tb"), F.concat_ws("@", F.col("memory_id").cast("string"), F.col("version").cast("string")).alias("kb"))
-    found = near.join(a, "anchor_id").join(b, "unit_id").where("ma <> mb").withColumn("d", pair_decision(F.col("ta"), F.col("tb"))).where("d.action <> 'ignore'")
+    found = near.join(a, "anchor_id").join(b, "unit_id").where("ma <> mb")
+    found = found.withColumns({"fa": features(F.col("ta")), "fb": features(F.col("tb"))}).withColumn("d", pair_rule(F.col("fa"), F.col("fb"))).where("d.action <> 'ignore'")
     if not similar_too:
         found = found.where("d.reason <> 'semantic_similarity_only'")
     found = found.withColumns({"x": F.least("ma", "mb"), "y": F.greatest("ma", "mb"), "members": F.array_sort(F.array("ka", "kb"))})

@@ -69,9 +69,10 @@ def unit_offsets(spark, sf):
 
 @query("pair_decisions")
 def pair_decisions(spark, sf):
-    m = memories(spark, sf).select("id", "subject")
-    p = m.join(m.select((F.col("id") - 67).alias("id"), F.col("id").alias("other"), F.col("subject").alias("text")), "id")
-    return p.select("id", "other", D.pair_decision(F.col("subject"), F.col("text")).alias("d"), D.coexistence_veto(F.col("subject"), F.col("text")).alias("veto")).select("id", "other", "d.*", "veto")
+    """Each memory and the one of the next id, by their subjects."""
+    m = memories(spark, sf).select("id", "subject", D.features(F.col("subject")).alias("f"))
+    p = m.join(m.select((F.col("id") - 1).alias("id"), F.col("id").alias("other"), F.col("subject").alias("text"), F.col("f").alias("g")), "id")
+    return p.select("id", "other", D.pair_rule(F.col("f"), F.col("g")).alias("d"), D.coexistence_veto(F.col("subject"), F.col("text")).alias("veto")).select("id", "other", "d.*", "veto")
 
 
 @query("value_grounding", f"{M} SELECT id, split_part(subject, ' ', 2) AS value, contains(lower(subject), lower(split_part(subject, ' ', 2))) AND regexp_replace(lower(split_part(subject, ' ', 2)), '[^\\w\\x80-\\x{{10FFFF}}]+', '', 'g') NOT IN ('') AS grounded FROM m WHERE regexp_matches(subject, '^[A-Za-z]+ [a-z]+ [A-Za-z ]+$')")
