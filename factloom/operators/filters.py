@@ -34,16 +34,17 @@ def has_any_tag(tags: Sequence[str]) -> Column:
     return F.arrays_overlap("tags", F.array(*map(F.lit, tags))) if tags else F.lit(False)
 
 
+def has_tag_text(tag: str) -> Column:
+    """A tag, or a part of one, in the tags as JSON text."""
+    return F.contains(F.to_json("tags"), F.lit(tag))
+
+
 def between(column: str, after: str | None = None, before: str | None = None) -> Column:
-    """Inclusive bounds; bounds that exclude one another are ignored; null fails any bound."""
-    if after and before and after > before:
-        return F.lit(True)
-    out = F.lit(True)
-    if after:
-        out = out & (F.col(column) >= F.lit(after).cast("date"))
-    if before:
-        out = out & (F.col(column) <= F.lit(before).cast("date"))
-    return out
+    """Inclusive bounds; one that can't be parsed is ignored, as are two that exclude one another; null fails any bound."""
+    low, high = (F.lit(x).try_cast("timestamp") for x in (after, before))
+    at = F.col(column).cast("timestamp")
+    out = F.coalesce((low.isNull() | (at >= low)) & (high.isNull() | (at <= high)), F.lit(False))
+    return F.coalesce(low > high, F.lit(False)) | out
 
 
 def user_protected() -> Column:
