@@ -14,11 +14,12 @@ A prefix element with the documents that hold it is a group.  The documents' pre
 prefix tree, which is traversed for each of them, sharing the overlap counted so far among all sets
 below a node, and leaving subtrees that are too short, too long or too far on to reach the needed
 overlap; at a leaf, sketches of both whole sets bound what may still be common.  The first traversal
-ends at a document's first candidate and deals a large group out in blocks; it makes one component
+ends at a document's first candidate and deals a large group out in blocks; it leaves few components
 of a large group of copies.  The second takes the groups whose documents are still in several
-components, and every candidate of another component; a large group is dealt out as pairs of blocks.
-Candidates of both are verified on the whole sets.  Pairs within a component need no test: they
-change nothing.
+components, and as many pairs as would join them; the third every pair of what is still apart then,
+so that a pair that turned out to be no link keeps nothing apart.  A large group is dealt out as
+pairs of blocks.  Candidates are verified on the whole sets.  Pairs within a component need no test:
+they change nothing.
 """
 
 from __future__ import annotations
@@ -243,19 +244,26 @@ class PrefixTree:
             stack += shared  # on top: they are followed first
 
 
-def _tree_pairs(rows: DataFrame, percent: int, first_only: bool) -> DataFrame:
+def _tree_pairs(rows: DataFrame, percent: int, which: str) -> DataFrame:
     """Candidate pairs of rows(token, left, right, block, key, component, n, unique, prefix, sketch), by tree.
 
-    With ``first_only`` the first candidate of each document alone, among those of smaller keys.
+    which: "first", the first candidate of each document alone, among those of smaller keys;
+    "joining", of components those pairs that make one of them if all hold; "all".
     """
+    first_only = which == "first"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # names of documents are (key, component, n, sketch, its bits, elements before the group's)
         each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         found: set[tuple[int, int]] = set()
 
+        def top(component: int) -> int:
+            while joined.get(component, component) != component:
+                component = joined[component]
+            return component
+
         def may(one: tuple, two: tuple) -> bool:
-            if one[1] == two[1]:
+            if top(one[1]) == top(two[1]):
                 return False
             if not one[5].isdisjoint(two[5]):
                 return False  # the group of an element before this one has the pair
@@ -264,6 +272,7 @@ def _tree_pairs(rows: DataFrame, percent: int, first_only: bool) -> DataFrame:
 
         for (token, left, right), group in groupby(each, key=lambda r: r[:3]):
             tree, probes = PrefixTree(), []
+            joined: dict[int, int] = {}  # components, by those that they were joined to
             for _, _, _, block, key, component, n, unique, prefix, bits in group:
                 at = prefix.index(token)
                 name = key, key if component is None else component, n, int.from_bytes(bits, "little"), 8 * len(bits), frozenset(prefix[:at])
@@ -281,6 +290,8 @@ def _tree_pairs(rows: DataFrame, percent: int, first_only: bool) -> DataFrame:
                 for other in tree.candidates(*given, percent):
                     if (left != right or other[0] < name[0]) and may(name, other):
                         found.add((min(name[0], other[0]), max(name[0], other[0])))
+                        if which == "joining":
+                            joined[top(name[1])] = top(other[1])
             if len(found) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], names=["a", "b"])
                 found.clear()
@@ -373,18 +384,19 @@ def near_duplicates(
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"))
 
     tried = dealt.withColumns({"left": F.col("block"), "right": F.col("block"), "component": F.lit(None).cast("long")}).join(prefixes, "key")
-    best = _tree_pairs(tried, percent, True).groupBy("a", "b").count()
+    best = _tree_pairs(tried, percent, "first").groupBy("a", "b").count()
     pairs = best.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
-    links = written(_verified(pairs, sets, percent), "links")
+    found = written(_verified(pairs, sets, percent), "links")
 
-    so_far = components(links)
+    # then between components: enough pairs to join them if all hold, and all pairs of what is still apart
     label: Column = F.coalesce("component", "key")
-    open_ = dealt.join(so_far, "key", "left").withColumn("component", label)
-    mixed = open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = open_.join(mixed, "token").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("*", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")).join(prefixes, "key")
-    more = _tree_pairs(rows, percent, False)
-    found = written(links.unionByName(_verified(more, sets, percent)), "links")
+    for which in ("joining", "all"):
+        open_ = dealt.join(components(found), "key", "left").withColumn("component", label)
+        mixed = open_.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+        rows = open_.join(mixed, "token").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("*", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right")).join(prefixes, "key")
+        links, found = found, written(found.unionByName(_verified(_tree_pairs(rows, percent, which).distinct(), sets, percent)), "links")
+        discard(links)
 
     ids = components(found)
     rep = classes.join(ids, "key", "left").select(*same, "least", label.alias("component"))
@@ -396,7 +408,7 @@ def near_duplicates(
         F.col("id").alias(key), F.col("key").alias("row_id"), F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"),
         F.when(linked, F.col("component")).otherwise(F.col("key")).alias("group_id"), F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     out = written(out, "groups")
-    discard(packs, classes, wanted, sets, prefixes, members, links, found)
+    discard(packs, classes, wanted, sets, prefixes, members, found)
     return out
 
 
