@@ -97,14 +97,13 @@ def _blocks(texts: DataFrame, length: int, reach: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long, at binary, names array<long>")
 
 
-def _rerank(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """runs(key, i, x, y, first, second) split into those that occur again, reranked, and the unique ones."""
-    runs = written(runs, "runs")
+def _rerank(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written runs(key, i, x, y, first, second) split into those that occur again, reranked, and the unique ones; and the ranks."""
     again = runs.groupBy("first", "second").count().where("count > 1").drop("count")
     order = again.repartitionByRange("first", "second").sortWithinPartitions("first", "second")
     ranks = written(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
     marked = runs.join(ranks, ["first", "second"], "left")
-    return marked.where("rank is not null").select("key", "i", "x", "y", "rank"), marked.where("rank is null").select("key", "i", "x", "y")
+    return marked.where("rank is not null").select("key", "i", "x", "y", "rank"), marked.where("rank is null").select("key", "x", "y"), ranks
 
 
 def _windows(held: DataFrame, length: int, reach: int) -> DataFrame:
@@ -149,8 +148,8 @@ def _stretches(texts: DataFrame, length: int, reach: int) -> DataFrame:
     all its bytes (c1, c2); for each task once, what is to be known of each digest (with head, tail
     and how often the task met it, times); and places (key, a, n) already known to be repeated.
 
-    A string without a sync position inside is a stretch of its own; they come from runs of few
-    different bytes, so those that a text has several times are told at once, and sent once.
+    A string without a sync position inside is a stretch of its own and all middle, in one row; they
+    come from words said over and over, so those that a text has several times are told at once.
     """
     names = ["key", "a", "n", "c1", "c2", "m1", "m2", "head", "tail", "times"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary(), pa.int32()]
@@ -171,16 +170,15 @@ def _stretches(texts: DataFrame, length: int, reach: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
                 rows.clear()
 
-        def meet(key: int, raw: bytes, p: int, n: int, x: int, y: int, times: int) -> None:
+        def meet(key: int, raw: bytes, p: int, n: int, x: int, y: int) -> None:
             """The stretch of n strings from p on, of which x to y is the middle."""
             end = p + n - 1 + length
             c = halves(b"%d %d " % (n, x - p) + raw[p:end])
             if c in known:
-                known[c][4] += times
+                known[c][4] += 1
             else:
-                known[c] = [n, raw[x:y], raw[p:x], raw[y:end], times]
-            if times == 1:
-                rows.append((key, p, n, *c, None, None, None, None, None))
+                known[c] = [n, raw[x:y], raw[p:x], raw[y:end], 1]
+            rows.append((key, p, n, *c, None, None, None, None, None))
 
         for b in batches:
             for key, t, spans in zip(*(c.to_pylist() for c in b.columns)):
@@ -196,7 +194,8 @@ def _stretches(texts: DataFrame, length: int, reach: int) -> DataFrame:
                     h = string_hashes(prefix_sums(data), lone, lone + length) ^ (string_hashes(prefix_sums(data, 1), lone, lone + length, 1) << np.uint64(1))
                     _, place, back, k = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                     for p, times in zip(lone[place].tolist(), k.tolist()):
-                        meet(key, raw, p, 1, p, p + length, times)
+                        c = halves(raw[p : p + length])
+                        rows.append((*((key, p) if times == 1 else (None, None)), 1, *c, *c, None, None, times))
                     again = lone[k[back] > 1]
                     if len(again):
                         cut = np.flatnonzero(np.diff(again) != 1) + 1
@@ -206,7 +205,7 @@ def _stretches(texts: DataFrame, length: int, reach: int) -> DataFrame:
                     cut = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(first) != 0) | (np.diff(last) != 0)) + 1])
                     n = np.diff(np.concatenate([cut, [len(at)]]))
                     for p, k, x, y in zip(at[cut].tolist(), n.tolist(), (sync[first[cut]] - reach).tolist(), (sync[last[cut]] + reach + GRAM).tolist()):
-                        meet(key, raw, p, k, x, y, 1)
+                        meet(key, raw, p, k, x, y)
                 yield from out(False)
         yield from out(True)
 
@@ -239,7 +238,7 @@ def _repeated(stretches: DataFrame, length: int) -> DataFrame:
     """The written rows of _stretches to (key, a, b): repeated strings begin from a up to, but not with, b."""
     told = stretches.where("head is not null")
     digest, middle, string = ["c1", "c2"], ["m1", "m2"], ["s1", "s2"]
-    met = written(told.groupBy(*digest, *middle).agg(F.sum("times").alias("times")), "met")
+    met = written(stretches.where("m1 is not null").groupBy(*digest, *middle).agg(F.sum("times").alias("times")), "met")
     # where a middle has several stretches, their strings are compared one by one; each stretch is taken once
     several = met.groupBy(*middle).count().where("count > 1").drop("count")
     # some task's row of each digest will do, the rest are alike
@@ -294,7 +293,7 @@ def cut_bytes(text: str, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[last:]])
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, reach: int = 24, with_spans: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, reach: int = 32, with_spans: bool = False) -> DataFrame:
     """A row for each row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 (and spans).
 
     A byte is removed if a string of ``length`` bytes that covers it also begins anywhere else, in the
@@ -325,12 +324,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # where each living block begins and ends, from the positions of its text
     ends = _block_places(alive.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("blocks")).join(blocks.select("key", "at"), "key"))
     now = written(ends, "level")
-    breaks, step = None, 1
+    breaks, step, used = None, 1, []
     while step * (reach + 1) * 2 <= length and not now.isEmpty():
         ahead = now.select("key", (F.col("i") - step).alias("i"), F.col("y").alias("y2"), F.col("rank").alias("second"))
         pairs = now.join(ahead, ["key", "i"]).where(F.col("y2") - F.col("x") <= length - 2 * reach - GRAM).select("key", "i", "x", F.col("y2").alias("y"), F.col("rank").alias("first"), "second")
-        kept, unique = _rerank(pairs)
-        now = written(kept, "level")
+        runs = written(pairs, "runs")
+        kept, unique, ranks = _rerank(runs)
+        last, now, unique = now, written(kept, "level"), written(unique, "unique")
+        discard(last, runs, ranks)
+        used.append(unique)
         breaks = unique if breaks is None else breaks.unionByName(unique)
         step *= 2
     living = alive.groupBy("key").agg(F.collect_list("i").alias("alive"))
@@ -340,11 +342,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     else:
         held = held.join(breaks.groupBy("key").agg(F.collect_list(F.struct(F.col("x").alias("a"), F.col("y").alias("b"))).alias("breaks")), "key", "left")
     open_ = written(_windows(held.select("key", "n", "at", "alive", "breaks"), length, reach), "open")
+    discard(now, alive, blocks, *used)
     wanted = classes.join(open_, "key").select("key", "id", *name, "open")
     some = single(keep_matching(long_texts, wanted, ["id", *name]))
     stretches = written(_stretches(some, length, reach), "stretches")
     spans = written(_spans(_repeated(stretches, length), length), "spans")
-    discard(stretches, open_, blocks)
+    discard(stretches, open_)
 
     # whole texts that occur again are gone; of others the spans
     found = classes.join(spans, "key", "left").select(*name, "k", "spans")
