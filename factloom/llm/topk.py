@@ -1,31 +1,34 @@
 """Exact top-k search by no-random-access aggregation over sorted component lists.
 
-Components are turned into whole numbers, so that scores are exact.  The candidates are dealt out in
+Components are turned into whole numbers, so that scores are exact.  The candidates are packed in
 blocks.  Within a block each dimension is a list of the vectors sorted by that component; a query
 reads a list from the top where its own component is positive and from the bottom where it is
-negative, so that contributions fall along every list.  After each round of sequential reads a
-candidate has a lower bound (what was read, plus the least that each unread list can give) and an
-upper bound (what was read, plus the value at which each unread list now stands).  Candidates whose
-upper bound is below the k-th best lower bound cannot qualify; when no vector outside the seen ones
-can either, or the rest is few, reading stops and the scores of those left are resolved from the
-block.  A task takes its blocks one after another and carries each query's k-th best score along as a
-bound, and gives one list of k for each query; those lists are merged by Spark.
-
-Queries are a stated set, dealt out in groups of at most ``query_rows``: only one group is broadcast
-at a time.
+negative, so that contributions fall along every list.  Lists are read in turn, a stretch of each a
+round, and what is read is added to the candidates' scores so far.  A candidate then has a lower
+bound (what was read, plus the least that each unread list can give) and an upper bound (what was
+read, plus what each unread list gives where it now stands).  Candidates whose upper bound is below
+the k-th best lower bound, or below the k-th best score of the blocks before, cannot qualify and are
+read no further.  When few are left, reading stops and their final scores are resolved from the block.
+
+Queries are a stated set, packed in groups.  Spark deals out groups and blocks: each group meets
+every block once, some blocks of it one after another in a task, which carries each query's best
+along; the lists of k are merged by Spark.  Nothing but counts passes the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ship_package, written
+from factloom.llm.common import discard, ship_package, written
+
+#: Whole numbers below this are exact as doubles.
+_EXACT = 1 << 53
 
 
 class SortedLists:
@@ -36,49 +39,58 @@ class SortedLists:
         self.order = np.argsort(block, axis=0, kind="stable")  # ascending; read from either end
         self.sorted = np.take_along_axis(block, self.order, axis=0)
 
-    def read(self, depth: int, top: bool) -> np.ndarray:
-        """Which (row, dimension) entries are among the first depth of their list."""
-        n = len(self.block)
-        seen = np.zeros(self.block.shape, bool)
-        rows = self.order[n - depth :] if top else self.order[:depth]
-        np.put_along_axis(seen, rows, True, axis=0)
-        return seen
-
-    def search(self, queries: np.ndarray, k: int, least: np.ndarray, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, k: int, least: np.ndarray, skip: list[np.ndarray], at_once: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the rows that may be among its k best, with their exact scores.
 
         least: a score that k candidates elsewhere reach (or a very small number); lower scores can't
-        qualify.  skip: for each query the row that is no candidate, or -1.
+        qualify.  skip: for each query the rows that are no candidates.
         """
-        n, plus, minus = len(self.block), np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-        out: list = [None] * len(queries)
-        active = np.arange(len(queries))
-        low, high = self.sorted[0], self.sorted[-1]
-        depth = max(1, n // 4)
+        out = []
+        for i in range(0, len(queries), at_once):
+            out += self._some(queries[i : i + at_once], k, least[i : i + at_once], skip[i : i + at_once])
+        return out
+
+    def _some(self, queries: np.ndarray, k: int, least: np.ndarray, skip: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        (n, width), m = self.block.shape, len(queries)
+        largest = max(0, int(self.block.max(initial=0)), -int(self.block.min(initial=0))) * int(np.abs(queries.astype(object)).sum(axis=1).max())
+        if largest >= 1 << 63:
+            raise OverflowError("a score does not fit into 64 bits")
+        kind = np.float64 if largest < _EXACT else np.int64
+        nothing = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+        queries, values = queries.astype(kind), self.sorted.astype(kind)
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        sums = np.zeros((m, n), kind)
+        barred = np.zeros((m, n), bool)
+        for q, rows in enumerate(skip):
+            barred[q, rows] = True
+        # which entries were read from the top and from the bottom, by row
+        read = np.zeros((2, n, width), kind)
+        depth, step, open_ = 0, max(1, n // 16), ~barred
+        out: list = [None] * m
+        active = np.arange(m)
         while len(active):
-            depth = min(depth, n)
-            up, down = self.read(depth, True), self.read(depth, False)
-            p, m = plus[active], minus[active]
-            # what was read, and for unread entries the least and the most that the list can give
-            at_top, at_bottom = self.sorted[n - depth], self.sorted[depth - 1]
-            upper = p @ np.where(up, self.block, at_top).T + m @ np.where(down, self.block, at_bottom).T
-            lower = p @ np.where(up, self.block, low).T + m @ np.where(down, self.block, high).T
-            rows = np.flatnonzero(skip[active] >= 0)
-            lower[rows, skip[active][rows]] = -np.inf
-            upper[rows, skip[active][rows]] = -np.inf
-            bound = least[active].copy()
+            end = min(n, depth + step)
+            for d in range(width):
+                for rows, x, own, seen in (
+                    (self.order[n - end : n - depth, d], values[n - end : n - depth, d], plus[active, d], read[0]),
+                    (self.order[depth:end, d], values[depth:end, d], minus[active, d], read[1])):
+                    use = np.flatnonzero(own)
+                    sums[np.ix_(active[use], rows)] += own[use, None] * x
+                    seen[rows, d] = 1
+            depth, step = end, end  # as much again
+            p, q = plus[active], minus[active]
+            left = [(p * x).sum(1)[:, None] - (p * x) @ read[0].T + (q * y).sum(1)[:, None] - (q * y) @ read[1].T for x, y in ((values[n - depth], values[depth - 1]), (values[0], values[-1]))]
+            upper, lower = sums[active] + left[0], sums[active] + left[1]
+            lower[barred[active]] = nothing
+            bound = least[active].astype(kind)
             if n > k:
                 bound = np.maximum(bound, np.partition(lower, n - k, axis=1)[:, n - k])
-            open_ = upper >= bound[:, None]
-            left = open_.sum(axis=1)
-            # every row of the block has bounds, so outsiders are the rows that are not open
-            done = (left <= 2 * k) | (left * 8 <= n) | (depth == n)
-            for i in np.flatnonzero(done):
-                found = np.flatnonzero(open_[i])
-                q = active[i]
-                out[q] = found, self.block[found] @ queries[q]
-            active = active[~done]
-            depth *= 2
+            open_[active] &= upper >= bound[:, None]
+            few = (open_[active].sum(axis=1) <= max(2 * k, n // 8)) | (depth == n)
+            for i in active[few]:
+                rows = np.flatnonzero(open_[i])
+                out[i] = rows, (self.block[rows].astype(kind) @ queries[i]).astype(np.int64)
+            active = active[~few]
         return out
 
 
@@ -87,48 +99,63 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def search_partition(shared, k: int, block_rows: int) -> callable:
-    """For one group of queries: batches of (id, v) in, each query's k best of the partition out."""
+def _packed(rows: DataFrame, width: int, most: int, by: str | None = None) -> DataFrame:
+    """rows(id, v) as (ids, vectors), at most ``most`` in one; with ``by``, in order of that column, none across two of its values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, query_ids, queries, width = shared.value
-        best: list = [(np.zeros(0, np.int64), np.zeros(0)) for _ in query_ids]
-        where = {int(q): i for i, q in enumerate(query_ids)}
-        held_ids, held, have = [], [], 0
-
-        def flush() -> None:
-            ids, block = np.concatenate(held_ids), np.concatenate(held)
-            least = np.array([s[-1] if len(s) == k else -np.inf for _, s in best])
-            skip = [[] for _ in query_ids]
-            for row in np.flatnonzero(np.isin(ids, query_ids)):
-                skip[where[int(ids[row])]].append(row)
-            once = np.array([r[0] if r else -1 for r in skip])
-            for i, (rows, scores) in enumerate(SortedLists(block).search(queries, k + max(0, max(map(len, skip)) - 1), least, once)):
-                keep = ids[rows] != query_ids[i]
-                best[i] = _best(np.concatenate([best[i][0], ids[rows][keep]]), np.concatenate([best[i][1], scores[keep]]), k)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        have, at = 0, None
+
+        def out() -> pa.RecordBatch:
+            ids, dense = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([dense.tobytes()], pa.binary())], names=["part", "ids", "vectors"])
 
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.value_lengths().to_numpy(zero_copy_only=False)
-            dense = np.zeros((len(ids), width))
-            dense[np.arange(width)[None, :] < ends[:, None]] = flat
-            for i in range(0, len(ids), block_rows):
-                held_ids.append(ids[i : i + block_rows])
-                held.append(dense[i : i + block_rows])
-                have += len(held[-1])
-                if have >= block_rows:
-                    flush()
-                    held_ids, held, have = [], [], 0
-        if have:
-            flush()
-        n = [len(x) for x, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, n), pa.int64()), pa.array(np.concatenate([x for x, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]).astype(np.int64), pa.int64())],
-                names=["query_id", "vec_id", "score"],
-            )
-
-    return run
+            ids, lists, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            dense = np.zeros((len(ids), width), np.int64)
+            dense[np.arange(width)[None, :] < lists.value_lengths().to_numpy(zero_copy_only=False)[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(parts)) + 1, [len(ids)]])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                while a < b:
+                    if held and (parts[a] != at or have == most):
+                        yield out()
+                        held, have = [], 0
+                    end, at = min(b, a + most - have), int(parts[a])
+                    held.append((ids[a:end], dense[a:end]))
+                    have, a = have + end - a, end
+        if held:
+            yield out()
+
+    given = rows.select("id", "v", F.col(by).cast("long") if by else F.lit(0).cast("long"))
+    if by:
+        given = given.repartition(given.columns[2]).sortWithinPartitions(given.columns[2])
+    return given.mapInArrow(run, "part long, ids binary, vectors binary")
+
+
+def _found(pairs: DataFrame, k: int, width: int) -> DataFrame:
+    """pairs(group, slot, q_ids, q_vectors, ids, vectors) to query_id, vec_id, score: each query's k best of a slot's blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, blocks in groupby(rows, key=lambda r: r[:2]):
+            best: list | None = None
+            for _, _, q_ids, q_vectors, ids, vectors in blocks:
+                own = np.frombuffer(q_ids, np.int64)
+                queries, ids = np.frombuffer(q_vectors, np.int64).reshape(len(own), width), np.frombuffer(ids, np.int64)
+                best = best or [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
+                least = np.array([s[-1] if len(s) == k else np.iinfo(np.int64).min for _, s in best], np.int64)
+                order = np.argsort(ids, kind="stable")
+                low, high = (np.searchsorted(ids[order], own, side) for side in ("left", "right"))
+                lists = SortedLists(np.frombuffer(vectors, np.int64).reshape(len(ids), width))
+                for i, (at, scores) in enumerate(lists.search(queries, k, least, [order[a:b] for a, b in zip(low, high)])):
+                    best[i] = _best(np.concatenate([best[i][0], ids[at]]), np.concatenate([best[i][1], scores]), k)
+            n = [len(x) for x, _ in best]
+            if sum(n):
+                columns = np.repeat(own, n), np.concatenate([x for x, _ in best]), np.concatenate([s for _, s in best])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    ordered = pairs.repartition("group", "slot").sortWithinPartitions("group", "slot")
+    return ordered.select("group", "slot", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -140,14 +167,16 @@ def top_k(
     vector: str = "embedding",
     scale: int = 1024,
     block_rows: int = 4_096,
-    query_rows: int = 4_096,
+    query_rows: int = 1_024,
+    blocks_a_slot: int = 4,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row the k other rows of highest inner product.
 
     Components become floor(scale * x), x as double; ties go to the smaller id.  Rows with a null id,
     and vectors that are null or hold null or non-finite components, take no part.  A shorter vector
     counts as filled up with zeros.  A query's own id is no candidate, in whatever rows; rows with
-    the same id and vector count once.  An empty table gives an empty result.
+    the same id and vector count once.  Scores are exact; one beyond 64 bits raises an error.  Other
+    columns play no part.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -156,23 +185,15 @@ def top_k(
     whole = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     given = given.select(F.col(key).cast("long").alias("id"), whole.alias("v"), is_query.alias("q")).dropDuplicates(["id", "v"])
     given = written(given, "vectors")
-    width = given.agg(F.max(F.size("v"))).first()[0] or 0
-    # a number for each query, so that a group has at most query_rows of them
-    queries = given.where("q").select("id", "v")
-    n = queries.count()
-    groups = -(-n // query_rows)
-    out = None
-    for g in range(groups):
-        own = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(groups)) == g).toPandas() if groups > 1 else queries.toPandas()
-        if own.empty:
-            continue
-        dense = np.zeros((len(own), width))
-        for i, v in enumerate(own["v"]):
-            dense[i, : len(v)] = v
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, own["id"].to_numpy(np.int64), dense, width))
-        found = given.select("id", "v").mapInArrow(search_partition(shared, k, block_rows), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    rows, n, width = given.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    groups, slots = max(1, -(-n // query_rows)), max(1, -(-rows // (block_rows * blocks_a_slot)))
+    asked = given.where("q").withColumn("group", F.pmod(F.xxhash64("id", "v"), F.lit(groups)))
+    asked = _packed(asked, width, 2 * query_rows, "group").select(F.monotonically_increasing_id().alias("group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = written(asked, "queries")
+    blocks = _packed(given, width, block_rows).select(F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), "ids", "vectors")
+    # each group of queries goes to the blocks of every slot
+    sent = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
+    found = written(_found(blocks.join(sent, "slot"), k, width), "found")
+    discard(given, asked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
