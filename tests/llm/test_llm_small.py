@@ -9,11 +9,13 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import class_lm, decontam, jaccard, langid, mixing, quality, rans, suffix, token_count, token_file, topk, units
 from factloom.llm.components import components
+from factloom.llm.words import shingle_sets
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SF = "/root/testdata/sf0.001"
@@ -338,30 +340,49 @@ def test_near_duplicates(spark):
     texts += ["", None, "  ", "one", "one", "One two"]
     given = table(spark, list(enumerate(texts)))
     want = groups_by_hand(list(range(len(texts))), texts)
-    for options in ({}, {"block": 3, "zone": 0.5}):
+    # columns of any name play no part
+    given = given.withColumns({c: F.lit("clash") for c in ("key", "id", "n", "t", "h", "component_id", "n_shingles")})
+    for options in ({}, {"block": 3}):
         got = jaccard.near_duplicates(given, **options).collect()
         assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
     kept = jaccard.one_of_each(given.unionByName(given.where("doc_id < 3")).withColumn("c0", F.lit(1)))
-    assert kept.columns == ["doc_id", "text", "c0"]
+    assert kept.columns == [*given.columns, "c0"]
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, n, c in want if i == c)
     assert jaccard.near_duplicates(given.limit(0)).count() == 0
 
 
 def test_prefix_tree_misses_none():
     r = random.Random(8)
-    for _ in range(60):
+    for _ in range(400):
         sets = [sorted(r.sample(range(24), r.randint(4, 12))) for _ in range(12)]
         sets = [s for s in sets if s[0] == sets[0][0]]
-        for a in sets:
-            tree = jaccard.PrefixTree()
-            for k, b in enumerate(sets):
-                p = jaccard.prefix_length(len(b), 60)
-                tree.add([(i, x) for i, x in enumerate(b)][1:p], len(b), k, 0)
-            p = jaccard.prefix_length(len(a), 60)
-            found = set(tree.candidates([(i, x) for i, x in enumerate(a)][1:p], len(a), 60, 0))
-            for k, b in enumerate(sets):
-                n = len(set(a) & set(b))
-                assert k in found or 100 * n < 60 * len(set(a) | set(b))
+        for percent in (60, 85):
+            for a in sets:
+                tree = jaccard.PrefixTree()
+                for k, b in enumerate(sets):
+                    tree.add(k, len(b), 0, b[1 : jaccard.prefix_length(len(b), percent)])
+                found = set(tree.candidates(len(a), 0, a[1 : jaccard.prefix_length(len(a), percent)], percent))
+                for k, b in enumerate(sets):
+                    n = len(set(a) & set(b))
+                    assert k in found or 100 * n < percent * len(set(a) | set(b))
+
+
+def test_sketches_bound_what_differs():
+    r = np.random.default_rng(2)
+    for n in (0, 3, 40, 900):
+        common, own = r.integers(0, 1 << 63, n).astype(np.uint64), r.integers(0, 1 << 63, 1 + n // 3).astype(np.uint64)
+        a, b = np.unique(common), np.unique(np.concatenate([common, own]))
+        x, y = jaccard.sketch(a), jaccard.sketch(b)
+        bound = jaccard._differing(int.from_bytes(x, "little"), 8 * len(x), int.from_bytes(y, "little"), 8 * len(y))
+        assert len(own) // 2 <= bound <= len(own)
+
+
+def test_shingles_of_a_batch():
+    texts = [None, "", "a b", "A  b\tc d e", " x y z w x y z w", "é É ünï " * 5, "w" * 100 + " " + "w" * 101 + " q r", "\x00 \x00\x00 a\x00 b c", "long text " * 30_000]
+    for batch in (pa.array(texts), pa.array(["before", *texts])[1:]):
+        for text, s in zip(texts, shingle_sets(batch, 4)):
+            w = class_lm.tokens(text)
+            assert len(s) == len({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))}) * bool(w) and (np.diff(s.astype(object)) > 0).all()
 
 
 def test_components(spark):
@@ -383,12 +404,25 @@ def test_top_k(spark):
     for q in (i for i in live if i % 10 == 0):
         best = sorted((-sum(a * b for a, b in zip(live[q], v)), i) for i, v in live.items() if i != q)[:7]
         want += [(q, k, i, int(-s)) for k, (s, i) in enumerate(best, 1)]
-    for options in ({}, {"block_rows": 20, "query_rows": 4}):
-        got = topk.top_k(given, F.col("vec_id") % 10 == 0, k=7, **options)
+    for options in ({}, {"block_rows": 20, "query_rows": 4, "blocks_a_slot": 2}):
+        got = topk.top_k(given.withColumns({"rank": F.lit("x"), "q": F.lit("x"), "v": F.lit("x")}), F.col("vec_id") % 10 == 0, k=7, **options)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(given.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_large_numbers():
+    """Scores above 2**53 are exact, and lists are read only as far as the bounds ask."""
+    r = np.random.default_rng(3)
+    block = r.integers(-(1 << 30), 1 << 30, (300, 5))
+    queries = r.integers(-(1 << 29), 1 << 29, (4, 5))
+    least = np.full(4, np.iinfo(np.int64).min)
+    for q, (rows, scores) in zip(queries, topk.SortedLists(block).search(queries, 6, least, [np.array([7])] * 4)):
+        exact = sorted(((sum(int(a) * int(b) for a, b in zip(q, v)), i) for i, v in enumerate(block) if i != 7), reverse=True)
+        assert sorted(zip(scores.tolist(), rows.tolist()), reverse=True)[:6] == exact[:6] and len(rows) <= 300 // 8
+    with pytest.raises(OverflowError):
+        topk.SortedLists(block << 32).search(queries, 6, least, [np.zeros(0, int)] * 4)
+
+
 # ---- 9 quality and 10 language
 
 
