@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -128,24 +129,30 @@ def checkpoint_places(data: bytes) -> list[int]:
     return [s * lanes for s in steps] + [size] if steps else [0, size]
 
 
+def _times(matrix: list[int], vector: int) -> int:
+    total, i = 0, 0
+    while vector:
+        if vector & 1:
+            total ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return total
+
+
+@lru_cache(maxsize=64)
+def _zeros(k: int) -> list[int]:
+    """What appending 2**k zero bits does to a crc32."""
+    if not k:
+        return [0xEDB88320] + [1 << i for i in range(31)]
+    half = _zeros(k - 1)
+    return [_times(half, x) for x in half]
+
+
 def crc32_combine(a: int, b: int, size_b: int) -> int:
     """The crc32 of two pieces from the crc32 of each and the second one's bytes."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        total, i = 0, 0
-        while vector:
-            if vector & 1:
-                total ^= matrix[i]
-            vector >>= 1
-            i += 1
-        return total
-
-    power = [0xEDB88320] + [1 << i for i in range(31)]  # appends one zero bit
-    for _ in range(3):
-        power = [times(power, x) for x in power]  # then one zero byte
+    k = 3
     while size_b:
         if size_b & 1:
-            a = times(power, a)
-        power = [times(power, x) for x in power]
-        size_b >>= 1
+            a = _times(_zeros(k), a)
+        size_b, k = size_b >> 1, k + 1
     return a ^ b

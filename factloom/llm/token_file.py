@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from factloom.llm.common import append_columns, shared_dir, ship_package, worker_value, written
+from factloom.llm.common import append_columns, discard, shared_dir, ship_package, worker_value, written
 from factloom.llm.rans import Frequencies, checkpoint_places, crc32_combine, decode_block, encode_block
 from factloom.llm.units import tokenizer, unit_cache
 
@@ -124,6 +124,7 @@ def write_token_file(
     ordered = tokens.withColumn("tie", F.xxhash64("ids"))
     ordered = ordered.repartitionByRange("place", "tie").sortWithinPartitions("place", "tie")
     ordered.select("key", "ids").mapInArrow(run, schema).write.parquet(f"{path}/blocks")
+    discard(tokens)
     return path
 
 
