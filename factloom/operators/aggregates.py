@@ -44,14 +44,21 @@ def orphan_units(memories: DataFrame, units: DataFrame) -> DataFrame:
     return units.join(live, "memory_id", "left_anti").select("unit_id", "memory_id")
 
 
-def active_digest(memories: DataFrame, buckets: int = 64) -> DataFrame:
-    """A digest of the active (id, version) set: bucket digests over ids in order, then one over the buckets.
-
-    No task holds more than a bucket's lines, of a size that the number of buckets sets.
-    """
-    lines = memories.where("status = 'active'").select(F.pmod("id", F.lit(buckets)).alias("bucket"), "id", F.concat_ws("@", F.col("id").cast("string"), F.col("version").cast("string")).alias("line"))
-    parts = lines.groupBy("bucket").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").cast("binary"), 256).alias("digest"))
-    return parts.agg(F.sum("n").alias("active"), F.max("max_id").alias("max_id"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n").cast("binary"), 256).alias("digest"))
+def digests(lines: DataFrame, by: str, rows: int = 10_000) -> DataFrame:
+    """lines(by, id, line), ids from 0, to (by, n, max_id, digest): digests over ranges of ``rows`` ids, over as
+    many ranges in their order, and over those; so no task holds more than ``rows`` lines of a group."""
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "\n").cast("binary"), 256).alias("line")
+    kept = F.max("max_id").alias("max_id")
+    one = lines.groupBy(by, F.floor(F.col("id") / rows).alias("part")).agg(F.count("*").alias("n"), F.max("id").alias("max_id"), joined("id", "line"))
+    two = one.groupBy(by, F.floor(F.col("part") / rows).alias("top")).agg(F.sum("n").alias("n"), kept, joined("part", "line"))
+    return two.groupBy(by).agg(F.sum("n").alias("n"), kept, joined("top", "line")).withColumnRenamed("line", "digest")
+
+
+def active_digest(memories: DataFrame) -> DataFrame:
+    """A digest of the active (id, version) set, with how many there are and the largest id."""
+    line = F.concat_ws("@", F.col("id").cast("string"), F.col("version").cast("string"))
+    all_ = digests(memories.where("status = 'active'").select(F.lit(0).alias("all"), "id", line.alias("line")), "all")
+    return all_.select(F.col("n").alias("active"), "max_id", "digest")
 
 
 def slot_groups(members: DataFrame) -> DataFrame:

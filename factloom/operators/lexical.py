@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,13 @@ def match_any(groups: Sequence[Sequence[str]]) -> Column:
     return out
 
 
+def occurrences(lower: Column, phrase: str) -> Column:
+    """How often a phrase stands in a lower-case text, overlaps counted."""
+    if any(phrase.startswith(phrase[k:]) for k in range(1, len(phrase))):  # it may overlap itself
+        return F.regexp_count(lower, F.lit(f"(?={re.escape(phrase)})"))
+    return ((F.length(lower) - F.length(F.replace(lower, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+
+
 def bm25(memories: DataFrame, groups: Sequence[Sequence[str]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Matching rows with their score.  Lengths and document frequencies are over all rows; a phrase's
     frequency counts overlapping occurrences; a length is the number of trigrams of all surfaces."""
@@ -67,15 +76,19 @@ def bm25(memories: DataFrame, groups: Sequence[Sequence[str]], k1: float = 1.2,
     if not phrases:
         return memories.where("false").withColumn("bm25", F.lit(0.0))
     length = sum((F.greatest(F.length(s) - 2, F.lit(0)) for s in SURFACES), F.lit(0))
-    tf = [sum((F.regexp_count(F.lower(s), F.lit(f"(?={re.escape(p)})")) for s in SURFACES), F.lit(0)) for p in phrases]
-    rows = memories.withColumn("length", length).withColumns({f"tf{i}": x for i, x in enumerate(tf)})
+    low = memories.withColumns({f"low_{s}": F.lower(s) for s in SURFACES} | {"length": length})
+    rows = low.withColumns({f"tf{i}": sum((F.coalesce(occurrences(F.col(f"low_{s}"), p), F.lit(0)) for s in SURFACES), F.lit(0)) for i, p in enumerate(phrases)})
     stats = rows.agg(F.count("*").alias("rows_"), F.avg("length").alias("mean_"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    score = F.lit(0.0)
+    score, met = F.lit(0.0), F.lit(True)
     for i in range(len(phrases)):
         n, t = F.col(f"n{i}"), F.col(f"tf{i}")
         idf = F.greatest(F.log((F.col("rows_") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
         score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("length") / F.col("mean_")))
-    return rows.where(match_all(groups)).join(F.broadcast(stats)).withColumn("bm25", score).select(*memories.columns, "bm25")
+    # a row matches if of each group some phrase occurs; shorter ones are no phrases and have no counts
+    for g in groups:
+        known = [F.col(f"tf{phrases.index(p.lower())}") > 0 for p in g if len(p) >= 3]
+        met = met & (reduce(or_, known) if len(known) == len(g) else match_all([g]))
+    return rows.where(met).join(F.broadcast(stats)).withColumn("bm25", score).select(*memories.columns, "bm25")
 
 
 def like_ascii(column: str, pattern: str) -> Column:

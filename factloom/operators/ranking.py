@@ -104,11 +104,14 @@ def arbitrate_pairs(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
 
 
 def arbitrate_groups(records: DataFrame, by: str) -> DataFrame:
-    """The winner of each group: its one protected record, else the best by the fixed order; none with several protected."""
-    order = F.struct(F.coalesce("event_time", F.lit("0001-01-01").cast("date")).alias("e"), source_rank(F.col("source_type")).alias("s"), F.coalesce("confidence", F.lit(0.0)).alias("c"), F.coalesce("ingest_time", F.lit("0001-01-01").cast("date")).alias("i"), (-F.col("id")).alias("id"))
+    """The winner of each group: its one protected record, else the best by the fixed order; none with several protected, or on a tie."""
+    old = F.lit("0001-01-01").cast("date")
+    order = F.coalesce("event_time", old), source_rank(F.col("source_type")), F.coalesce("confidence", F.lit(0.0)), F.coalesce("ingest_time", old)
     guard = protected()
-    g = records.groupBy(by).agg(F.count("*").alias("records"), F.count_if(guard).alias("protected"), F.max(F.when(guard, F.col("id"))).alias("only"), F.max(order).alias("best"))
-    return g.select(by, "records", "protected", F.when(F.col("protected") > 1, None).when(F.col("protected") == 1, F.col("only")).otherwise(-F.col("best.id")).alias("winner"))
+    # the best by the order, with the largest and with the smallest id: two ids are a tie
+    g = records.groupBy(by).agg(F.count("*").alias("records"), F.count_if(guard).alias("protected"), F.max(F.when(guard, F.col("id"))).alias("only"), F.max(F.struct(*order, F.col("id").alias("id"))).alias("x"), F.max(F.struct(*order, (-F.col("id")).alias("id"))).alias("y"))
+    one = F.when(F.col("protected") == 1, F.col("only")).when((F.col("protected") == 0) & (F.col("x.id") == -F.col("y.id")), F.col("x.id"))
+    return g.select(by, "records", "protected", one.alias("winner"))
 
 
 def pairwise_accuracy(scored: DataFrame) -> DataFrame:

@@ -54,16 +54,20 @@ def orphan_units(spark, sf):
     return A.orphan_units(memories(spark, sf), units(spark, sf))
 
 
-@query("active_digest", f"""{M}, p AS (SELECT id % 64 AS bucket, count(*) AS n, max(id) AS max_id, sha256(string_agg(id || '@' || version, chr(10) ORDER BY id)) AS digest FROM m WHERE status = 'active' GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS active, max(max_id) AS max_id, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS digest FROM p""")
+_DIGESTS = """o AS (SELECT g, id // 10000 AS part, count(*) AS n, max(id) AS max_id, sha256(string_agg(line, chr(10) ORDER BY id)) AS line FROM l GROUP BY ALL),
+w AS (SELECT g, part // 10000 AS top, sum(n) AS n, max(max_id) AS max_id, sha256(string_agg(line, chr(10) ORDER BY part)) AS line FROM o GROUP BY ALL),
+d AS (SELECT g, CAST(sum(n) AS BIGINT) AS n, max(max_id) AS max_id, sha256(string_agg(line, chr(10) ORDER BY top)) AS digest FROM w GROUP BY g)"""
+
+
+@query("active_digest", f"{M}, l AS (SELECT 0 AS g, id, id || '@' || version AS line FROM m WHERE status = 'active'), {_DIGESTS} SELECT n AS active, max_id, digest FROM d")
 def active_digest(spark, sf):
     return A.active_digest(memories(spark, sf))
 
 
-@query("table_fingerprint", f"{M} SELECT ws, count(*) AS rows, sha256(string_agg(id || '|' || version || '|' || sha256(content), chr(10) ORDER BY id)) AS fingerprint FROM m GROUP BY ws")
+@query("table_fingerprint", f"{M}, l AS (SELECT ws AS g, id, id || '|' || version || '|' || sha256(content) AS line FROM m), {_DIGESTS} SELECT g AS ws, n AS rows, digest AS fingerprint FROM d")
 def table_fingerprint(spark, sf):
     line = F.concat_ws("|", F.col("id").cast("string"), F.col("version").cast("string"), F.sha2(F.col("content").cast("binary"), 256))
-    return memories(spark, sf).select("ws", F.struct("id", line.alias("line")).alias("x")).groupBy("ws").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").cast("binary"), 256).alias("fingerprint"))
+    return A.digests(memories(spark, sf).select("ws", "id", line.alias("line")), "ws").select("ws", F.col("n").alias("rows"), F.col("digest").alias("fingerprint"))
 
 
 @query("notice_counts", f"WITH {CONFLICTS_SQL} SELECT CASE WHEN status IN ('open', 'applying') THEN 'open' ELSE status END AS state, severity, count(*) AS n FROM c GROUP BY ALL")

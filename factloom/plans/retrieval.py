@@ -67,15 +67,15 @@ def like_content(spark, sf):
     return memories(spark, sf).where("status = 'active'").where(L.like_ascii("content", "tion%the")).orderBy(F.desc("ingest_time"), F.desc("id")).limit(30).select("id")
 
 
-@query("gated_recall", f"""{M}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM t WHERE status = 'active' AND {_hit('thn')} AND id < 200),
-b AS (SELECT id, row_number() OVER (ORDER BY ingest_time DESC, id DESC) AS pos FROM t WHERE status = 'active' AND {_LIKE.format(c='subject', p='the')} AND id < 400),
+@query("gated_recall", f"""{M}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM t WHERE status = 'active' AND {_hit('thn')}),
+b AS (SELECT id, row_number() OVER (ORDER BY ingest_time DESC, id DESC) AS pos FROM t WHERE status = 'active' AND {_LIKE.format(c='subject', p='the')}),
 x AS (SELECT id, 0 AS channel, pos FROM a UNION ALL SELECT id, 1, pos FROM b), y AS (SELECT id, min((channel, pos)) AS k FROM x GROUP BY id)
 SELECT id, CAST(k[1] AS INTEGER) AS channel, k[2] AS pos FROM y ORDER BY k[1], k[2], id LIMIT 40""")
 def gated_recall(spark, sf):
     t = L.with_tags_text(memories(spark, sf)).where("status = 'active'")
     ranked = lambda df, *by: df.orderBy(*by).limit(40).select("id", F.row_number().over(Window.orderBy(*by)).cast("long").alias("pos"))  # noqa: E731  no channel gives more than the pool holds
-    first = ranked(t.where("id < 200").where(L.match_all([["thn"]])), F.col("id"))
-    second = ranked(t.where("id < 400").where(L.like_ascii("subject", "the")), F.desc("ingest_time"), F.desc("id"))
+    first = ranked(t.where(L.match_all([["thn"]])), F.col("id"))
+    second = ranked(t.where(L.like_ascii("subject", "the")), F.desc("ingest_time"), F.desc("id"))
     return L.gated([first, second], 40)
 
 
@@ -143,13 +143,13 @@ def batch_knn(spark, sf):
     return V.batch_knn(u, u.where("unit_id % 25 = 0"), 5).select("anchor_id", "unit_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("int"))
 
 
-_CENTRES = """ct AS (SELECT label, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4]), avg(e[5]), avg(e[6]), avg(e[7]), avg(e[8])] AS c FROM (SELECT label, embedding AS e FROM u) GROUP BY label),
-cd AS (SELECT b.label, 'topic-' || b.label AS name, 1 - (list_sum(list_transform(range(1, 9), lambda i: a.c[i] * b.c[i])) / (sqrt(list_sum(list_transform(a.c, lambda x: x * x))) * sqrt(list_sum(list_transform(b.c, lambda x: x * x))))) AS d FROM ct a, ct b WHERE a.label = 0 AND b.label <> 0)"""
+_CENTRES = f"""ct AS (SELECT label, [{', '.join(f'avg(e[{i}])' for i in range(1, 65))}] AS c FROM (SELECT label, embedding AS e FROM u) GROUP BY label),
+cd AS (SELECT b.label, 'topic-' || b.label AS name, 1 - (list_sum(list_transform(range(1, 65), lambda i: a.c[i] * b.c[i])) / (sqrt(list_sum(list_transform(a.c, lambda x: x * x))) * sqrt(list_sum(list_transform(b.c, lambda x: x * x))))) AS d FROM ct a, ct b WHERE a.label = 0 AND b.label <> 0)"""
 
 
 def _centres(spark, sf):
-    """Mean of the first eight components by label: as many rows as there are labels."""
-    c = units(spark, sf).groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i]) for i in range(8)]).alias("c"))
+    """Mean vectors by label: as many rows as there are labels."""
+    c = units(spark, sf).groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i]) for i in range(64)]).alias("c"))
     mine = c.where("label = 0").select(F.col("c").alias("mine"))
     return c.where("label <> 0").join(F.broadcast(mine)).select("label", F.concat(F.lit("topic-"), F.col("label").cast("string")).alias("name"), V.cosine_distance(F.col("mine"), F.col("c")).alias("d"))
 
@@ -254,8 +254,8 @@ def arbitrate_pairs(spark, sf):
     return R.arbitrate_pairs(m, m, F.col("r_id") == F.col("l_id") + 365)
 
 
-@query("arbitrate_group", f"""{M}, g AS (SELECT *, id % 150 AS slot, {_GUARD.format(p='')} AS guard, row_number() OVER (PARTITION BY id % 150 ORDER BY event_time DESC, {_RANK.format(p='')} DESC, confidence DESC, ingest_time DESC, id) AS r FROM m WHERE status <> 'deleted')
-SELECT slot, count(*) AS records, count(*) FILTER (guard) AS protected, CASE WHEN count(*) FILTER (guard) > 1 THEN NULL WHEN count(*) FILTER (guard) = 1 THEN max(id) FILTER (guard) ELSE max(id) FILTER (r = 1) END AS winner FROM g GROUP BY slot""")
+@query("arbitrate_group", f"""{M}, g AS (SELECT *, id % 150 AS slot, {_GUARD.format(p='')} AS guard, rank() OVER (PARTITION BY id % 150 ORDER BY event_time DESC, {_RANK.format(p='')} DESC, confidence DESC, ingest_time DESC) AS r FROM m WHERE status <> 'deleted')
+SELECT slot, count(*) AS records, count(*) FILTER (guard) AS protected, CASE WHEN count(*) FILTER (guard) > 1 THEN NULL WHEN count(*) FILTER (guard) = 1 THEN max(id) FILTER (guard) WHEN count(*) FILTER (r = 1) = 1 THEN max(id) FILTER (r = 1) END AS winner FROM g GROUP BY slot""")
 def arbitrate_group(spark, sf):
     return R.arbitrate_groups(memories(spark, sf).where("status <> 'deleted'").withColumn("slot", F.col("id") % 150), "slot")
 

@@ -1,8 +1,8 @@
-"""Scalars and rules on small cases with known results."""
-
-import random
+"""Scalars and rules on small cases worked out by hand, and properties that hold for any text."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
@@ -11,83 +11,125 @@ from factloom.operators import pairs as D
 from factloom.operators import ranking as R
 from factloom.operators import vector as V
 from factloom.operators import workspace as W
-from factloom.operators.segment import units
+from factloom.operators.segment import GROUP_LEAST, LONG, PART, units
+
+
+def all_of(spark, cases, column):
+    """The column's value for each case, in one job: column takes a case's number and gives a value or None."""
+    chosen = F.array(*[column(*c) for c in cases])
+    return spark.range(1).select(chosen.alias("x")).first()[0]
+
+
+def test_tag_levels(spark):
+    cases = [
+        (("release 3.1", ["3.1", "release"]), "strong"), (("release 3.1 notes", ["3.1", "release"]), "medium"), (("Release", ["release"]), "strong"), (("v3.1", ["V3.1"]), "strong"),
+        (("release 3.1", ["3.1", "draft"]), "medium"), (("cache", ["che"]), "none"), (("cache", []), "none"), ((" ", ["cache"]), "none"), (("3.1", ["3.10"]), "none"),
+    ]
+    got = all_of(spark, [c for c, _ in cases], lambda t, tags: R.tag_level(t, X.strings(tags)))
+    assert dict(zip(map(str, [c for c, _ in cases]), got)) == {str(c): want for c, want in cases}
+
+
+def test_match_levels_never_fall_with_more_matches(spark):
+    order = {"none": 0, "weak": 1, "medium": 2, "strong": 3}
+    counts = [(s, g, 4) for s in range(5) for g in range(3)]
+    level = dict(zip(counts, all_of(spark, counts, lambda s, g, n: X.match_level(F.lit(s), F.lit(g), F.lit(n)))))
+    assert level[0, 0, 4] == "none"
+    for s, g, n in counts:
+        if s < 4:
+            assert order[level[s, g, n]] <= order[level[s + 1, g, n]]
+        if g < 2:
+            assert order[level[s, g, n]] <= order[level[s, g + 1, n]]
+
+
+def test_queries_become_groups_of_phrases():
+    assert L.compile_query("  ") == []
+    assert L.compile_query("Cache  ttl") == [["Cache"], ["ttl"]]
+    assert L.compile_query("缓存失效") == [["缓存失", "存失效"]]
+    assert L.compile_query("缓存 redis") == [["redis"]]  # two characters give no trigram
 
 
-def one(spark, column):
-    return spark.range(1).select(column.alias("x")).first()[0]
+@given(st.text("ab", max_size=12), st.text("ab", min_size=1, max_size=3))
+@settings(max_examples=200, deadline=None)
+def test_phrases_that_may_overlap_themselves(text, phrase):
+    plain = (len(text) - len(text.replace(phrase, ""))) // len(phrase)
+    every = sum(text.startswith(phrase, i) for i in range(len(text)))
+    if not any(phrase.startswith(phrase[k:]) for k in range(1, len(phrase))):
+        assert plain == every  # so replacing counts them
 
 
-@pytest.mark.parametrize("text,tags,level", [
-    ("v0.7.2 发版", ["v0.7.2", "发版"], "strong"), ("发版历史", ["发版", "历史"], "strong"), ("v0.7.2 发版历史", ["v0.7.2", "发版", "历史"], "strong"),
-    ("v0.7.2 发版", ["v0.7.2", "技术参考"], "medium"), ("v0.7.2 发版 历史", ["发版", "其它"], "weak"), ("v0.7.2 发版", ["doctor", "bug"], "none"),
-    ("v0.7.2", ["v0.7.0"], "none"), ("0.7.2", ["V0.7.2"], "strong"), ("vue", ["ue"], "none"), ("发版历史", ["版历"], "none"),
-    ("fact-store", ["fact"], "none"), ("v0.7.2发版", ["v0.7.2", "发版"], "none"), ("x", [], "none"), ("", ["x"], "none"),
-])
-def test_tag_level(spark, text, tags, level):
-    assert one(spark, R.tag_level(text, X.strings(tags))) == level
+def test_occurrences(spark):
+    cases = [("banana banana", "ana"), ("aaaa", "aa"), ("xyzxyz", "xyz"), ("", "q")]
+    assert all_of(spark, cases, lambda t, p: L.occurrences(F.lit(t), p)) == [4, 3, 2, 0]
 
 
-@pytest.mark.parametrize("specific,generic,n,level", [(1, 0, 2, "weak"), (2, 0, 2, "medium"), (3, 0, 5, "medium"), (1, 0, 3, "weak"), (1, 1, 3, "medium"), (0, 2, 3, "weak"), (0, 0, 3, "none"), (1, 0, 1, "medium")])
-def test_match_level(spark, specific, generic, n, level):
-    assert one(spark, X.match_level(F.lit(specific), F.lit(generic), F.lit(n))) == level
+@pytest.fixture(scope="module")
+def decided(spark):
+    cases = {
+        "numbers": ("cache ttl is 60 s", "cache ttl is 90 s"),
+        "alias": ("Postgres", "postgresql"),
+        "case and blanks": ("Retry - count", "retry_count"),
+        "scope": ("移动端缓存保留一天", "管理后台缓存保留一天"),
+        "todo": ("TODO rotate signing keys", "rotate signing keys 已完成"),
+        "polarity": ("服务采用 redis 缓存数据", "服务不采用 redis 缓存数据"),
+        "words in common": ("retry budget for uploads", "retry limit for downloads"),
+        "nothing": ("alpha beta", "gamma delta"),
+        "empty": ("", ""),
+    }
+    rows = [(k, *x) for k, (a, b) in cases.items() for x in ((a, b), (b, a))]
+    df = spark.createDataFrame(rows, "k string, a string, b string").select("k", D.features(F.col("a")).alias("fa"), D.features(F.col("b")).alias("fb"))
+    return {k: {tuple(r.d) for r in df.select("k", D.pair_rule(F.col("fa"), F.col("fb")).alias("d")).collect() if r.k == k} for k in cases}
 
 
-def test_compile_query():
-    assert L.compile_query("") == []
-    assert L.compile_query("v0.2.1 release task") == [["v0.2.1"], ["release"], ["task"]]
-    assert L.compile_query("营销交付系统") == [["营销交", "销交付", "交付系", "付系统"]]
-    assert L.compile_query("营销 marketing") == [["marketing"]]
+def test_pair_rule_in_either_order(decided):
+    assert decided == {
+        "numbers": {("check", "numeric_value_candidate")}, "alias": {("ignore", "equivalent_value")}, "case and blanks": {("ignore", "equivalent_value")},
+        "scope": {("ignore", "explicit_scope_mismatch")}, "todo": {("notify", "todo_resolved")}, "polarity": {("notify", "polarity_changed")},
+        "words in common": {("check", "semantic_similarity_only")}, "nothing": {("ignore", "insufficient_local_evidence")}, "empty": {("ignore", "insufficient_local_evidence")}}
 
 
-@pytest.mark.parametrize("a,b,action,reason", [
-    ("PostgreSQL port is 5432", "PostgreSQL port is 3306", "check", "numeric_value_candidate"), ("pgsql", "PostgreSQL", "ignore", "equivalent_value"),
-    ("database connection pool", "database connection policy", "check", "semantic_similarity_only"), ("接口超时为 5 秒。", "接口超时为 30 秒。", "check", "numeric_value_candidate"),
-    ("数据库使用 pgsql。", "数据库使用 PostgreSQL。", "ignore", "equivalent_value"), ("测试环境数据库使用 MySQL。", "生产环境数据库使用 PostgreSQL。", "ignore", "explicit_scope_mismatch"), ("", "", "ignore", "insufficient_local_evidence"),
-])
-def test_pair_decision(spark, a, b, action, reason):
-    for x, y in ((a, b), (b, a)):
-        assert tuple(one(spark, D.pair_decision(F.lit(x), F.lit(y)))) == (action, reason)
+def test_grounding(spark):
+    cases = [(("90s", "ttl 为 90 秒"), True), (("postgres", "storage: PostgreSQL"), True), (("4g", "heap 4GB"), True), (("redis", "storage: memcached"), False), ((" ", "x"), False), (("all of it", "all of it"), False)]
+    assert all_of(spark, [c for c, _ in cases], lambda v, q: D.grounded(F.lit(v), F.lit(q))) == [x for _, x in cases]
 
 
-@pytest.mark.parametrize("value,quote,good", [("5s", "接口超时为 5 秒。", True), ("PostgreSQL", "数据库采用 pgsql。", True), ("关系数据库", "数据库采用 PostgreSQL。", False), ("", "x", False), ("8G", "内存 8GB", True)])
-def test_grounded(spark, value, quote, good):
-    assert one(spark, D.grounded(F.lit(value), F.lit(quote))) is good
+def test_vetoes(spark):
+    cases = [("staging uses a", "production uses b"), ("us-east keeps 3", "eu-west keeps 2"), ("平均延迟 5", "峰值延迟 9"), ("a", "b")]
+    want = ["coexist_environment_mismatch", "coexist_region_mismatch", "coexist_metric_mismatch", None]
+    for swap in (False, True):
+        assert all_of(spark, [c[::-1] if swap else c for c in cases], lambda a, b: F.coalesce(D.coexistence_veto(F.lit(a), F.lit(b)), F.lit("none"))) == [w or "none" for w in want]
 
 
-def test_veto(spark):
-    assert one(spark, D.coexistence_veto(F.lit("测试环境用 A"), F.lit("生产环境用 B"))) == "coexist_environment_mismatch"
-    assert one(spark, D.coexistence_veto(F.lit("API v1"), F.lit("API v2"))) == "coexist_version_mismatch"
-    assert one(spark, D.coexistence_veto(F.lit("a"), F.lit("b"))) is None
+def test_workspace_names(spark):
+    cases = [("  ", "empty"), ("None", "default"), ("Draft", "generic"), ("billing-api", "specific"), ("http://host/x", "suspicious"), ("a\\b", "suspicious"), ("n" * 81, "suspicious")]
+    assert all_of(spark, [(n,) for n, _ in cases], lambda n: W.quality(F.lit(n))) == [q for _, q in cases]
 
 
-@pytest.mark.parametrize("ws,quality", [("", "empty"), ("默认", "default"), ("notes", "generic"), ("月报", "generic"), ("project-x", "specific"), ("/etc/passwd", "suspicious"), ("x" * 90, "suspicious"), (None, "empty")])
-def test_workspace_quality(spark, ws, quality):
-    assert one(spark, W.quality(F.lit(ws).cast("string"))) == quality
+def test_guarded_distances(spark):
+    cases = [("billing", "billing", 0.0), ("billing-api", "ledger-web", 0.2), ("default", "billing", None), ("q", "billing", None)]
+    got = all_of(spark, [c[:2] for c in cases], lambda a, b: F.coalesce(V.guarded_distance(F.lit(a), F.lit(b), F.lit(0.2)), F.lit(-1.0)))
+    assert got == [-1.0 if d is None else d for *_, d in cases]
 
 
-@pytest.mark.parametrize("a,b,d", [("default", "agent", None), ("w", "agent", None), ("main", "other-main", None), ("project-alpha", "project-beta", None), ("agent-lane", "agent-rail", 0.142), ("x-y", "x-y", 0.0)])
-def test_guarded_distance(spark, a, b, d):
-    assert one(spark, V.guarded_distance(F.lit(a), F.lit(b), F.lit(0.142))) == d
+def test_weak_weight_falls_with_the_distance(spark):
+    at = [i / 40 for i in range(20)]
+    got = all_of(spark, [(d,) for d in at], lambda d: V.weak_weight(F.lit(d)))
+    assert got[0] == max(got) > 0 and got[-1] == 0 and got == sorted(got, reverse=True)
 
 
-@pytest.mark.parametrize("d,w", [(0.0, 0.30), (0.15, 0.30), (0.20, 0.20), (0.225, 0.15), (0.30, 0.0), (0.364, 0.0)])
-def test_weak_weight(spark, d, w):
-    assert abs(one(spark, V.weak_weight(F.lit(d))) - w) < 1e-9
+def test_kinds_of_units():
+    got = units("Cache  policy", "intro line that is long enough\n\n## Limits\nttl is 60 s. size is 4 GB.")
+    assert [(k, t) for k, t, *_ in got] == [("subject", "Cache policy"), ("heading", "Limits"), ("text", "intro line that is long enough"), ("text", "ttl is 60 s. size is 4 GB.")]
+    assert units(None, None) == [] and units("\t", " \n\n ") == []
 
 
-def test_segments():
-    got = units("Database policy", "# Runtime\n生产环境数据库使用 PostgreSQL 16。\n接口超时为 5 秒。")
-    assert [k for k, *_ in got][:2] == ["subject", "heading"]
-    assert any(k == "text" and "PostgreSQL" in t for k, t, *_ in got)
-    assert units(None, None) == [] and units(" ", "\n \n") == []
+_PIECES = st.sampled_from(["缓存", "cache ", "　", "\n", "\n\n", "\r", "？", "!", "; ", "y" * 70, "## t\n", "#", "  ", "é"])
 
 
-def test_segment_offsets():
-    r = random.Random(20260820)
-    parts = ["词语", "word ", "\t", "\n", "\n\n", "\r\n", "。", "!", "；", "x" * 50, "# head\n", " ", "重复 重复 "]
-    for _ in range(400):
-        content = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
-        for kind, text, a, b in units("s", content):
-            if kind == "text":
-                assert " ".join(content[a:b].split()) == text
+@given(st.lists(_PIECES, max_size=80).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_a_unit_is_the_text_of_its_range(content):
+    found = [(t, a, b) for k, t, a, b in units("s", content) if k == "text"]
+    for text, a, b in found:
+        assert 0 <= a < b <= len(content) and " ".join(content[a:b].split()) == text
+        assert len(text) <= max(LONG, PART + GROUP_LEAST)
+    assert [a for _, a, _ in found] == sorted(a for _, a, _ in found)
