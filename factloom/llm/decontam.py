@@ -111,7 +111,7 @@ def decontaminate(
     text), n_hit, items (sorted ids of the items found) and contaminated.
 
     One row comes out for each row that goes in, whatever else it holds; columns of docs with those
-    names are replaced.  A null or wordless text has no words and no hits; an item without words or
+    names are replaced.  Texts of any length are taken whole.  A null or wordless text has no words and no hits; an item without words or
     id has no window; repeated items and ids count once.  Either table may be empty.
     """
     spark = docs.sparkSession

@@ -224,11 +224,14 @@ def fit_languages(
     shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, round(1_000_000 * min(1.0, sample_docs / n))))])
     kept = rows.where(draw < shares[F.col("lang")])
     kept = written(kept.withColumn("fold", F.pmod(F.xxhash64("k", F.lit("fold")), F.lit(1000)) < int(1000 * calibration)), "sample")
-    # a language of few rows may have all of them in one fold; then it is calibrated on training texts
+    # a language of few rows may have all of them in one fold; then both folds are the same for it
     train, other = kept.where("not fold"), kept.where("fold")
-    seen = {r["lang"] for r in train.select("lang").distinct().collect()}
-    if seen != set(sizes):
-        train = kept
+    folds = {(r["lang"], r["fold"]) for r in kept.select("lang", "fold").distinct().collect()}
+    untrained, unmeasured = ([k for k in sizes if (k, fold) not in folds] for fold in (False, True))
+    if untrained:
+        train = train.unionByName(other.where(F.col("lang").isin(untrained)))
+    if unmeasured:
+        other = other.unionByName(kept.where(F.col("lang").isin(unmeasured)))
 
     def letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, low = _characters()
@@ -269,7 +272,7 @@ def fit_languages(
                 own = [languages.index(k) for k in b.column("lang").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(h[np.arange(len(h)), own]), pa.array(size, pa.int64())], names=["lang", "h", "size"])
 
-    measured = (other if train is not kept else kept).select("t", "lang").mapInArrow(entropies, "lang string, h double, size long").toPandas()
+    measured = other.select("t", "lang").mapInArrow(entropies, "lang string, h double, size long").toPandas()
     limits = []
     for k in languages:
         own = measured[measured["lang"] == k]
@@ -286,6 +289,7 @@ def identify(docs: DataFrame, fitted: LanguageModels, *, text: str = "text") ->
     One row comes out for each row that goes in; columns of docs with those names are replaced.  A
     text that is null or has no letter gets the language ``und``, score 0, and is rejected; so does
     every text if no language was learned.  A rejected text with letters keeps its best language.
+    Texts of any length are taken whole.  An empty table gives an empty result.
     Ties go to the language whose name sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted)

@@ -134,8 +134,8 @@ def mix(
     among themselves.  Sources without a positive weight follow after all others, in order of their
     names.  Without ``weights`` the sources' sizes to ``power`` are taken.  A null source is the
     source ''; a null text has no bytes.  ``size`` may name a column of sizes to take instead of the
-    text's bytes.  Rows that are alike get places next to one another in any
-    order.  An empty table gives an empty one.  Columns of docs with the new names are replaced.
+    text's bytes.  Rows with the same key and size follow one another in an order that their other
+    columns give.  Texts of any length are taken whole.  An empty table gives an empty one.  Columns of docs with the new names are replaced.
     ``period`` is taken for callers that give one; the weights are exact and nothing repeats.
     """
     new = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_place")
@@ -156,7 +156,7 @@ def mix(
     rows = docs.groupBy(source).count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-rows // bucket_rows))
     given = given.withColumn("bucket", F.pmod("draw", F.lit(buckets)))
-    at = Window.partitionBy("s", "bucket").orderBy("draw", F.col(f"row.`{key}`"))
+    at = Window.partitionBy("s", "bucket").orderBy("draw", F.col(f"row.`{key}`"), F.xxhash64("row"))
     before = F.coalesce(F.sum("b").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = given.groupBy("s", "bucket").agg(F.sum("b").alias("total"))
     earlier = F.coalesce(F.sum("total").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -172,7 +172,7 @@ def mix(
 
 def in_mixed_order(mixed: DataFrame, *, source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows of ``mix`` range-partitioned and sorted into the mixed order."""
-    order: list[Column] = [F.col("mix_slot"), F.coalesce(F.col(source), F.lit("")), F.col("mix_place"), F.col(key)]
+    order: list[Column] = [F.col("mix_slot"), F.coalesce(F.col(source), F.lit("")), F.col("mix_place"), F.col(key), F.xxhash64(*mixed.columns)]
     return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 

@@ -95,6 +95,20 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
+def pu_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with the logistic loss: of positives as such, and of negatives, estimated
+    from unlabelled logits less the positives among them; the second is below zero only by overfitting."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def pu_slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> np.ndarray:
+    """The slope of the risk by each logit, positives first; where the negative part is below zero, that of its rise alone."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    up = -prior * sigmoid(-zp) / len(zp)
+    down = np.concatenate([-prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)])
+    return down + np.concatenate([up, np.zeros(len(zu))]) if pu_risk(zp, zu, prior)[1] >= 0 else -down
+
+
 def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 24, steps: int = 3_000, batch: int = 1_024, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> QualityModel:
     """Minimise the non-negative risk by Adam; deterministic for a seed."""
     r = np.random.default_rng(seed)
@@ -104,21 +118,12 @@ def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior:
     p, u = m._input(positive), m._input(unlabelled)
     theta = [m.w1, m.b1, m.w2, np.array([m.b2])]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
         xp, xu = p[r.integers(0, len(p), min(batch, len(p)))], u[r.integers(0, len(u), min(batch, len(u)))]
         x = np.concatenate([xp, xu])
         h = np.tanh(x @ theta[0] + theta[1])
         z = h @ theta[2] + theta[3][0]
-        zp, zu = z[: len(xp)], z[len(xp) :]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # d/dz of the two parts of the risk
-        up = -prior * sigmoid(-zp) / len(xp)
-        down = np.concatenate([-prior * sigmoid(zp) / len(xp), sigmoid(zu) / len(xu)])
-        if negative >= 0:
-            g = down + np.concatenate([up, np.zeros(len(xu))])
-        else:
-            g = -down
+        g = pu_slopes(z[: len(xp)], z[len(xp) :], prior)
         gh = np.outer(g, theta[2]) * (1 - h * h)
         grads = [x.T @ gh + decay * theta[0], gh.sum(0), h.T @ g + decay * theta[2], np.array([g.sum()])]
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -170,7 +175,8 @@ def score_quality(docs: DataFrame, model: QualityModel | None, *, text: str = "t
     """docs with score (0 to 1, higher: label 1 is likelier) and predicted (1 if score >= 0.5).
 
     One row comes out for each row that goes in; columns of docs with those names are replaced.  A
-    null text counts as empty.  Without a model every score is 0.5.
+    null text counts as empty, and texts of any length are taken whole.  Without a model (no training
+    rows, or none labelled 1) every score is 0.5.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -299,7 +299,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A byte is removed if a string of ``length`` bytes that covers it also begins anywhere else, in the
     same text or another; texts are whole, and strings never cross them.  A null text is empty;
     texts shorter than the threshold lose nothing.  Rows with equal texts lose all of it if it is long
-    enough.  An empty table gives an empty result.
+    enough.  Texts of any length are taken whole; other columns of docs play no part, whatever their
+    names.  An empty table gives an empty result.
     """
     if length < 2 * (2 * reach + GRAM):
         raise ValueError("the threshold must be well above the reach")
