@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from factloom.operators.lifecycle import notice_pairs
+from factloom.operators.pairs import features, pair_rule
 from factloom.operators.segment import segment
+from factloom.operators.vector import batch_knn
 
 
 def latest_versions(batch: DataFrame) -> DataFrame:
@@ -47,3 +50,45 @@ def fresh_only(snapshots: DataFrame) -> DataFrame:
 def attention_volume(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """events(ts, event_type) of a stream counted by windows, with a bound on lateness."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def notices_for(batch: DataFrame, published: DataFrame, *, k: int = 5, most_units: int = 24, most_pairs: int = 2) -> DataFrame:
+    """What a batch of new units may disagree with: anchor, peer, action, distance, reason and place.
+
+    units(unit_id, memory_id, unit_index, text, embedding); of each memory its first ``most_units`` are
+    searched for, of each peer the nearest hit counts, and at most ``most_pairs`` peers are given.
+    """
+    new = batch.where(F.col("unit_index") < most_units)
+    near = batch_knn(published, new, k)
+    a = new.select(F.col("unit_id").alias("anchor_id"), F.col("memory_id").alias("anchor"), features(F.col("text")).alias("fa"))
+    b = published.select("unit_id", F.col("memory_id").alias("peer"), features(F.col("text")).alias("fb"))
+    found = near.join(a, "anchor_id").join(b, "unit_id").withColumn("d", pair_rule(F.col("fa"), F.col("fb"))).where("d.action <> 'ignore'")
+    best = notice_pairs(found.select("anchor", "peer", "d.action", "distance"), most_pairs)
+    reasons = found.groupBy("anchor", "peer").agg(F.min_by("d.reason", F.struct("distance", "d.action")).alias("reason"))
+    return best.join(reasons, ["anchor", "peer"])
+
+
+def notice_stream(units: DataFrame, published_path: str, path: str, checkpoint: str, **options):
+    """For each micro-batch of new units the notices against what is published then, written under its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        published = batch.sparkSession.read.parquet(published_path)
+        notices_for(batch, published, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return units.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scan_page(units: DataFrame, state: dict | None, page: int = 50) -> tuple[DataFrame, dict]:
+    """The next anchors of a resumable scan, and the state to go on from once they are done.
+
+    A scan covers the units up to the largest id at its start, in pages of ascending ids.  If what it
+    has passed has changed since (by a digest of ids and versions), it starts anew with a new epoch.
+    """
+    passed = lambda until: tuple(units.where(F.col("unit_id") <= until).agg(F.count("*"), F.sum(F.xxhash64("unit_id", "memory_version").cast("decimal(38,0)"))).first())
+    if state is None or passed(state["boundary"]) != state["digest"]:
+        last = units.agg(F.max("unit_id")).first()[0]
+        state = {"epoch": 1 + (state or {"epoch": 0})["epoch"], "last": -1 if last is None else last, "boundary": -1, "done": last is None}
+    todo = units.where((F.col("unit_id") > state["boundary"]) & (F.col("unit_id") <= state["last"])).orderBy("unit_id").limit(page)
+    end = todo.agg(F.max("unit_id")).first()[0]
+    boundary = state["last"] if end is None else end
+    return todo, {**state, "boundary": boundary, "done": boundary >= state["last"], "digest": passed(boundary)}

@@ -85,3 +85,32 @@ def test_streams(spark, tmp_path):
     q = S.fresh_only(spark.readStream.schema(schema).parquet(source).select("id", F.col("version").cast("long").alias("version"))).writeStream.format("memory").queryName("fresh").outputMode("update").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.id: r.version for r in spark.table("fresh").collect()} == {1: 2, 2: 1}
+
+
+def test_write_time_notices(spark, tmp_path):
+    schema = "unit_id long, memory_id long, unit_index int, text string, embedding array<double>"
+    old = [(1, 10, 0, "cache ttl is 60 s", [1.0, 0.0]), (2, 11, 0, "cache ttl is 75 s", [0.9, 0.1]), (3, 12, 0, "cache ttl is 80 s", [0.8, 0.2]), (4, 13, 0, "nothing alike", [1.0, 0.1])]
+    new = [(20, 30, 0, "cache ttl is 90 s", [1.0, 0.0]), (21, 30, 1, "cache ttl is 60 s", [0.0, 1.0]), (22, 30, 30, "cache ttl is 1 s", [1.0, 0.0])]
+    published, source = str(tmp_path / "published"), str(tmp_path / "in")
+    spark.createDataFrame(old, schema).write.parquet(published)
+    spark.createDataFrame(new, schema).coalesce(1).write.parquet(source)
+    S.notice_stream(spark.readStream.schema(schema).parquet(source), published, str(tmp_path / "out"), str(tmp_path / "cp"), k=4).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("place").collect()
+    assert [(x.anchor, x.peer, x.action, x.reason, x.place) for x in got] == [(30, 10, "check", "numeric_value_candidate", 1), (30, 11, "check", "numeric_value_candidate", 2)]
+
+
+def test_scan_goes_on_where_it_was_and_starts_anew_on_drift(spark):
+    make = lambda versions: spark.createDataFrame(list(versions.items()), "unit_id long, memory_version int")
+    versions, state, seen = {i: 1 for i in range(0, 14, 2)}, None, []
+    for _ in range(2):
+        rows, state = S.scan_page(make(versions), state, 3)
+        seen.append([r.unit_id for r in rows.collect()])
+    assert seen == [[0, 2, 4], [6, 8, 10]] and not state["done"] and state["epoch"] == 1
+    versions[20] = 1  # behind the boundary of this scan
+    rows, state = S.scan_page(make(versions), state, 3)
+    assert [r.unit_id for r in rows.collect()] == [12] and state["done"]
+    versions[4] = 2
+    rows, state = S.scan_page(make(versions), state, 3)
+    assert [r.unit_id for r in rows.collect()] == [0, 2, 4] and state["epoch"] == 2 and state["last"] == 20
+    none, state = S.scan_page(make(versions).limit(0), None, 3)
+    assert none.count() == 0 and state["done"]
