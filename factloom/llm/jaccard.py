@@ -24,6 +24,7 @@ they change nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -187,29 +188,44 @@ class PrefixTree:
     A set is given as its number of elements n, the place of the group's element in it, and the
     elements that follow it within the prefix, in the global order, at the next places.  A node knows
     the least and most elements of the sets below it, and the least place of the group's element in
-    them, so that subtrees without a set that can still reach the overlap are left out.
+    them, so that subtrees without a set that can still reach the overlap are left out.  Where only
+    one set goes on, it is a leaf; a second one that comes along makes a node of it.
     """
 
     __slots__ = ("root",)
 
     def __init__(self) -> None:
-        self.root = [{}, [], 1 << 62, 0, 1 << 62]  # children, sets, least n, most n, least place
+        self.root = self._node()
+
+    @staticmethod
+    def _node() -> list:
+        return [{}, [], 1 << 62, 0, 1 << 62]  # children (nodes, or sets), sets that end here, least n, most n, least place
 
     def add(self, name, n: int, place: int, prefix: list[int]) -> None:
-        node = self.root
-        for element in [None, *prefix]:
-            if element is not None:
-                child = node[0].get(element)
-                if child is None:
-                    child = node[0][element] = [{}, [], n, n, place]
-                node = child
-            if n < node[2]:
-                node[2] = n
-            if n > node[3]:
-                node[3] = n
-            if place < node[4]:
-                node[4] = place
-        node[1].append((name, n, place))
+        self._put(self.root, 0, (name, n, place, prefix))
+
+    def _put(self, node: list, depth: int, one: tuple) -> None:
+        name, n, place, prefix = one
+        while True:
+            node[2], node[3], node[4] = min(node[2], n), max(node[3], n), min(node[4], place)
+            if depth == len(prefix):
+                node[1].append(one)
+                return
+            element = prefix[depth]
+            child = node[0].get(element)
+            if child is None:
+                node[0][element] = one
+                return
+            depth += 1
+            if type(child) is tuple:
+                leaf, child = child, self._node()
+                node[0][element] = child
+                child[2], child[3], child[4] = leaf[1], leaf[1], leaf[2]
+                if depth == len(leaf[3]):
+                    child[1].append(leaf)
+                else:
+                    child[0][leaf[3][depth]] = leaf
+            node = child
 
     def candidates(self, n: int, place: int, prefix: list[int], percent: int) -> Iterator:
         """Names of sets that may be similar to such a set, shared elements first.
@@ -217,24 +233,27 @@ class PrefixTree:
         The group's element counts as the first in common.
         """
         both, length = 100 + percent, len(prefix)
+        low, high = -(-n * percent // 100), n * 100 // percent  # sizes of similar sets
         # node, elements of the probe passed, elements of the sets below passed, overlap so far
         stack = [(self.root, 0, 0, 1)]
         while stack:
-            (children, sets, least, most, first), k, depth, overlap = stack.pop()
-            least = max(least, -(-n * percent // 100))  # shorter ones can't be similar
-            if most < least or least * percent > n * 100:
-                continue
+            node, k, depth, overlap = stack.pop()
             mine = n - 1 - place - k
-            if (overlap + min(mine, most - 1 - first - depth)) * both < percent * (n + least):
+            if type(node) is tuple:
+                name, m, at, _ = node
+                if low <= m <= high and (overlap + min(mine, m - 1 - at - depth)) * both >= percent * (n + m):
+                    yield name
+                continue
+            children, sets, least, most, first = node
+            least = max(least, low)
+            if most < least or least > high or (overlap + min(mine, most - 1 - first - depth)) * both < percent * (n + least):
                 continue
-            for name, m, at in sets:
-                if n * percent <= m * 100 and m * percent <= n * 100 and (overlap + min(mine, m - 1 - at - depth)) * both >= percent * (n + m):
+            for name, m, at, _ in sets:
+                if low <= m <= high and (overlap + min(mine, m - 1 - at - depth)) * both >= percent * (n + m):
                     yield name
             shared = []
             for element, child in children.items():
-                j = k
-                while j < length and prefix[j] < element:
-                    j += 1
+                j = bisect_left(prefix, element, k)
                 if j == length:  # past the probe's prefix, elements of the sets may still be common
                     stack.append((child, j, depth, overlap))
                 elif prefix[j] == element:
