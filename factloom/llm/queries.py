@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": q_quality.op9_quality,
     "op10_langid": q_langid.op10_langid,
 }
-SQL = {"op1_decontam": q_decontam.OP1_SQL, "op8_topk": q_topk.OP8_SQL}
+SQL = {"op1_decontam": q_decontam.OP1_SQL, "op7_jaccard": q_jaccard.OP7_SQL, "op8_topk": q_topk.OP8_SQL}
