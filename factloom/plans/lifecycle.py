@@ -8,8 +8,9 @@ from factloom.functions import text as X
 from factloom.operators import evidence as E
 from factloom.operators import filters as L
 from factloom.operators import lifecycle as C
+from factloom.operators import vector as V
 from factloom.plans.registry import query
-from factloom.sources.views import CONFLICTS_SQL, MEMORIES_SQL, conflicts, memories, table
+from factloom.sources.views import CONFLICTS_SQL, MEMORIES_SQL, UNITS_SQL, conflicts, memories, table, units
 
 M = "WITH " + MEMORIES_SQL
 _GUARD = "(protection_level = 'locked' OR source_type = 'user_confirmed')"
@@ -158,3 +159,25 @@ def pair_gate(spark, sf):
 SELECT id, title, substr(regexp_replace(para, '^\s+|\s+$', '', 'g'), 1, 400) AS first_para FROM x""")
 def short_evidence(spark, sf):
     return memories(spark, sf).select("id", E.short_evidence(F.col("subject"), F.col("content")).alias("e")).select("id", "e.title", "e.first_para")
+
+
+@query("source_filter", f"{M} SELECT id FROM m WHERE status = 'active' AND source_type = 'user_confirmed' AND ws IN ('src1', 'src2')")
+def source_filter(spark, sf):
+    return L.filter_recall(memories(spark, sf), source_type="user_confirmed", scope=["src1", " src2 ", "", "src1"]).select("id")
+
+
+@query("scope_none", f"{M} SELECT count(*) FILTER (false) AS without, count(*) AS whole FROM m")
+def scope_none(spark, sf):
+    """A notice scope without names holds nothing, another one everything."""
+    return memories(spark, sf).agg(F.count_if(L.in_scope([" "], empty_means_none=True)).alias("without"), F.count_if(L.in_scope(None)).alias("whole"))
+
+
+@query("placement_hints", f"""WITH {UNITS_SQL}, {MEMORIES_SQL}, a AS (SELECT * FROM u WHERE memory_id % 10 = 0),
+d AS (SELECT a.unit_id AS anchor_id, u.unit_id, u.memory_id, round(list_distance(a.embedding, u.embedding), 6) AS distance, row_number() OVER (PARTITION BY a.unit_id ORDER BY list_distance(a.embedding, u.embedding), u.unit_id) AS r FROM a JOIN u ON u.memory_id <> a.memory_id)
+SELECT anchor_id, arg_min(ws, r) AS ws FROM d JOIN m ON m.id = d.memory_id WHERE r <= 8 AND ws <> 'src0' GROUP BY anchor_id""")
+def placement_hints(spark, sf):
+    """For units of every tenth memory the workspace, other than the default one, of the first of eight neighbours that has one."""
+    u = units(spark, sf)
+    near = V.batch_knn(u, u.where("memory_id % 10 = 0"), 8).join(u.select("unit_id", F.col("memory_id").alias("id")), "unit_id")
+    named = near.join(memories(spark, sf).select("id", "ws"), "id").where("ws <> 'src0'")
+    return named.groupBy("anchor_id").agg(F.min_by("ws", "rank").alias("ws"))
