@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -63,11 +65,24 @@ def worker_value(key, build: Callable):
     A worker that goes on to the next stage does not carry the last one's tables along.
     """
     if key not in _HELD:
-        _HELD.clear()
+        drop_worker_value()
         _HELD[key] = build()
     return _HELD[key]
 
 
+def drop_worker_value() -> None:
+    """Give back what the worker holds from another stage, to the system too where its allocator can."""
+    if not _HELD:
+        return
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def ship_package(spark: SparkSession) -> None:
     """Ready the session for tasks that run this package's Python.
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, keep_matching, ship_package, written
+from factloom.llm.common import discard, drop_worker_value, keep_matching, ship_package, written
 from factloom.llm.components import components
 from factloom.llm.words import shingle_sets, text_slices
 
@@ -88,6 +88,7 @@ def _packs(docs: DataFrame, size: int, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_value()
         key = pack = TaskContext.get().partitionId() << 40
         rows, sets, held = [], [], 0
         for batch in batches:
