@@ -250,7 +250,7 @@ def _contexts(texts: DataFrame, shared, classes: int) -> DataFrame:
                         held[w] = [code]
                 pairs.update((words[i - 1], words[i]) for i in at[c[at + 1] == other].tolist())
                 have += len(at)
-                if have > 200_000:
+                if have > 400_000:
                     yield out()
                     held.clear()
                     pairs.clear()
@@ -264,15 +264,22 @@ def _contexts(texts: DataFrame, shared, classes: int) -> DataFrame:
 def join_gains(entries: np.ndarray, word: np.ndarray, n: np.ndarray, words: int, before: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The change of one side's part of the likelihood if each word joined each class.
 
-    entries: the class on that side, word: whose, n: how often.  before[x]: how often each class has x
-    on that side; total: how often each class occurs.
+    entries: the class on that side, word: whose (in order, each word has some), n: how often.
+    before[x]: how often each class has x on that side; total: how often each class occurs.
     """
-    gain = np.zeros((words, len(total)))
-    for k in range(0, len(entries), 4_096):
-        x = before[entries[k : k + 4_096]]
-        np.add.at(gain, word[k : k + 4_096], _xlogx(x + n[k : k + 4_096, None]) - _xlogx(x))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    once = _xlogx(before + 1) - _xlogx(before)  # most contexts come once
+    gain = np.empty((words, len(total)))
+    for k in range(0, words, 1_024):
+        own = slice(first[k], first[k + 1_024] if k + 1_024 < words else len(word))
+        rise = once[entries[own]]
+        more = np.flatnonzero(n[own] > 1)
+        x = before[entries[own][more]]
+        rise[more] = _xlogx(x + n[own][more, None]) - _xlogx(x)
+        gain[k : k + 1_024] = np.add.reduceat(rise, first[k : k + 1_024] - first[k])
     own = np.bincount(word, n, words)
-    return gain - (_xlogx(total + own[:, None]) - _xlogx(total))
+    sizes, which = np.unique(own, return_inverse=True)
+    return gain - (_xlogx(total + sizes[:, None]) - _xlogx(total))[which]
 
 
 def _joined(contexts: DataFrame, shared, classes: int) -> DataFrame:
