@@ -151,18 +151,18 @@ class Scorer:
 
     def __init__(self, fitted: LanguageModels):
         self.fitted, self.table = fitted, symbol_table(fitted.letters)
-        self.place = np.full(1 << (BITS * ORDER), -1, np.int32)
+        self.place = np.zeros(1 << (BITS * ORDER), np.int32)  # from 1; pages that no text touches take no memory
         self.known = np.zeros((0, len(fitted.languages)), np.float32)
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: nats a symbol by language, its symbols, and whether it has a letter."""
         code, begin, line = grams(texts, self.table)
-        new = np.unique(code[self.place[code] < 0])
+        new = np.unique(code[self.place[code] == 0])
         if len(new):
             rows = np.stack([m.log_probability(new.astype(np.uint64)) for m in self.fitted.models], 1).astype(np.float32)
-            self.place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.place[new] = np.arange(len(self.known), len(self.known) + len(new)) + 1
             self.known = np.concatenate([self.known, rows])
-        at = self.place[code]
+        at = self.place[code] - 1
         sums = np.stack([np.add.reduceat(self.known[:, j][at], begin, dtype=np.float64) for j in range(self.known.shape[1])], 1)
         size = np.diff(np.append(begin, len(code)))
         return -sums / size[:, None], size, np.logical_or.reduceat(line >= SCRIPT, begin)

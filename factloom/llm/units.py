@@ -102,7 +102,7 @@ class UnitCache:
     a blank, and as many of the others, and as many again of those met once.
     """
 
-    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, counts: bool = False, width: int = 4, most: int = 200_000, longest: int = 48):
         self.tokenizer, self.counts, self.most, self.longest = tokenizer(path), counts, most, longest
         self.kind = {2: "H", 4: "I"}[width]
         self.merge = self.tokenizer.model.tokenize
