@@ -212,12 +212,12 @@ def test_intervals_hold_every_score():
         turn = hard_negatives.rotation(width)
         for scale in (1, 300, 1 << 20):
             rows, anchors = (r.normal(0, scale, (n, width)).astype(np.int64) for n in (200, 20))
-            rows[:3], anchors[0], rows[3:6] = 0, 0, anchors[1]
+            rows[:3], anchors[0], rows[3:8] = 0, 0, anchors[5]
             low, high = hard_negatives.Codes(rows, turn).intervals(anchors, turn)
             scores = anchors @ rows.T
             assert (low <= scores).all() and (scores <= high).all()
-            if width == 64 and scale > 1:  # and shut most rows out of the best
-                assert np.mean(high[5] >= np.sort(scores[5])[-5]) < 0.9
+            if width >= 64 and scale > 1:  # beside five copies most others can't be among the best
+                assert np.mean(high[5] >= np.sort(scores[5])[-5]) < 0.1
 
 
 def test_hard_negatives_against_brute_force(spark):
