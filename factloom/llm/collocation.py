@@ -18,6 +18,7 @@ doubling, and nodes inside a path of candidates are dropped with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ _LOWER[65:91] += 32
 _AT_ONCE = 1 << 20
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes of all words in order, their offsets, and for each word its row and whether it is the last of its piece."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -58,65 +59,181 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     piece = signs[starts] if len(starts) else np.zeros(0, np.int64)
     last = np.ones(len(starts), bool)
     last[:-1] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
-    return _LOWER[line[inside]], np.concatenate([[0], np.cumsum(ends - starts)]), row, last, starts
+    return _LOWER[line[inside]], np.concatenate([[0], np.cumsum(ends - starts)]), row, last
 
 
-def edge_counts(texts: pa.Array, langs: pa.Array, size: int = 3) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): equal edges and piece ends of a batch, counted; words of a gram stand between blanks."""
-    body, offsets, row, last, _ = split_words(texts)
+def edge_counts(texts: pa.Array, langs: pa.Array, size: int = 3) -> Iterator[tuple[pa.LargeBinaryArray, np.ndarray]]:
+    """Equal edges and piece ends of a batch, and how often they are there: words between blanks, a line end, the language."""
+    body, offsets, row, last = split_words(texts)
     names = pc.dictionary_encode(langs)
     lang = names.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64)
     for a in range(0, len(row), _AT_ONCE):
         b, end = min(len(row), a + _AT_ONCE), min(len(row), a + _AT_ONCE + size - 1)
         at = (offsets[a : end + 1] - offsets[a]).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(end - a, pa.py_buffer(at.tobytes()), pa.py_buffer(body[offsets[a] : offsets[end]].tobytes()))
+        words = _binary(body[offsets[a] : offsets[end]], at)
         coded = words.dictionary_encode()
         ids = coded.indices.to_numpy().astype(np.int64)
         none = len(coded.dictionary)  # stands where the piece is over
-        width = none + 1
+        width, place = none + 1, np.arange(b - a)
         _, keys = np.unique(lang[a:b] * width + ids[: b - a], return_inverse=True)
-        over = np.zeros(b - a, bool)
-        columns = []
+        over, columns = np.zeros(b - a, bool), []
         for k in range(1, size):
-            there = np.minimum(np.arange(b - a) + k, end - a - 1)
-            over |= last[a + there - 1] | (np.arange(b - a) + k > end - a - 1)
-            ids_k = np.where(over, none, ids[there])
+            there = np.minimum(place + k, end - a - 1)
+            over |= last[a + there - 1] | (place + k > end - a - 1)
+            columns.append(np.where(over, none, ids[there]))
             if k > 2:  # numbers of three words fit, of more they are made dense again
                 _, keys = np.unique(keys, return_inverse=True)
-            columns.append(ids_k)
-            keys = keys * width + ids_k
+            keys = keys * width + columns[-1]
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        dictionary = pa.concat_arrays([coded.dictionary.cast(pa.large_string()), pa.nulls(1, pa.large_string())])
-        parts = [dictionary.take(pa.array(ids[: b - a][first]))] + [dictionary.take(pa.array(c[first])) for c in columns]
-        gram = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
-        whose = names.dictionary.take(pa.array(lang[a:b][first]))
-        yield pa.RecordBatch.from_arrays([whose, gram.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+        dictionary = pa.concat_arrays([coded.dictionary, pa.nulls(1, pa.large_binary())])
+        parts = [dictionary.take(pa.array(c[first])) for c in (ids[: b - a], *columns)]
+        gram = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()), null_handling="skip")
+        whose = names.dictionary.cast(pa.large_binary()).take(pa.array(lang[a:b][first]))
+        yield pc.binary_join_element_wise(gram, whose, pa.scalar(b"\n", pa.large_binary())), counts
 
 
-def _n_words(gram: str | Column = "gram") -> Column:
-    gram = F.col(gram) if isinstance(gram, str) else gram
-    return F.length(gram) - F.length(F.translate(gram, " ", "")) + 1
+def _binary(body: np.ndarray, offsets: np.ndarray) -> pa.LargeBinaryArray:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())])
 
 
-def count_grams(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: int = 3, least: int = 10) -> DataFrame:
-    """lang, gram, n: all runs of 1 to ``size`` words that occur ``least`` times or more, and under the empty gram all words of a language."""
-    ship_package(docs.sparkSession)
+def _raw(keys: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all keys in order, and their offsets."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    body = keys.buffers()[2]
+    line = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body else np.zeros(0, np.uint8)
+    return line, offsets - offsets[0]
+
+
+def _summed(keys: pa.LargeBinaryArray, counts: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """Equal keys once, with the sums of their counts."""
+    coded = keys.dictionary_encode()
+    sums = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(sums, coded.indices.to_numpy(), counts)
+    return coded.dictionary, sums
+
+
+#: Odd numbers that the bytes of a key are weighed with, by their places.
+_WEIGHTS = np.random.default_rng(12).integers(1 << 62, size=1 << 12, dtype=np.uint64) * 2 + 1
+
+
+def _dealt(keys: pa.LargeBinaryArray, counts: np.ndarray, buckets: int) -> Iterator[dict]:
+    """The keys by a hash of their bytes, those of one bucket in one row."""
+    if not len(keys):
+        return
+    line, offsets = _raw(keys)
+    place = np.arange(len(line)) - np.repeat(offsets[:-1], np.diff(offsets))
+    mixed = np.add.reduceat(_WEIGHTS[place % len(_WEIGHTS)] * (line + np.uint64(1)), offsets[:-1])
+    bucket = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, counts = bucket[order].astype(np.int64), counts[order]
+    line, offsets = _raw(keys.take(pa.array(order)))
+    cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield {"bucket": int(bucket[a]), "done": False, "sizes": np.diff(offsets[a : b + 1]).astype(np.int32).tobytes(), "counts": counts[a:b].tobytes(), "body": line[offsets[a] : offsets[b]].tobytes()}
+
+
+_DEALT = "bucket long, done boolean, sizes binary, counts binary, body binary"
+
+
+def _dealt_batch(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int64(), "done": pa.bool_(), "sizes": pa.binary(), "counts": pa.binary(), "body": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
+
+
+def _joined(rows: list[dict]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
+    body = np.frombuffer(b"".join(r["body"] for r in rows), np.uint8)
+    return _binary(body, np.concatenate([[0], np.cumsum(sizes)])), np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+
+
+def _without(line: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.LargeBinaryArray:
+    """The keys without their bytes a to b (places in line)."""
+    step = np.zeros(len(line) + 1, np.int64)
+    np.add.at(step, a, 1)
+    np.add.at(step, b, -1)
+    keep = np.cumsum(step[:-1]) == 0
+    return _binary(line[keep], np.concatenate([[0], np.cumsum(np.diff(offsets) - (b - a))]))
+
+
+def _bounds(line: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each key where its words end, how many they are, and where the last of them begins, with the blank before it."""
+    start = offsets[:-1]
+    ends, blanks = np.flatnonzero(line == 10), np.flatnonzero(line == 32)
+    stop = ends[np.searchsorted(ends, start)] if len(start) else start
+    until, since = np.searchsorted(blanks, stop), np.searchsorted(blanks, start)
+    n = np.where(stop > start, until - since + 1, 0)
+    tail = np.where(until > since, blanks[until - 1] if len(blanks) else 0, start)
+    return stop, n, tail
+
+
+def flow(keys: pa.LargeBinaryArray, counts: np.ndarray, k: int, least: int) -> tuple[tuple[pa.LargeBinaryArray, np.ndarray], tuple[pa.LargeBinaryArray, np.ndarray]]:
+    """Those of k words that occur least times or more; and all, those of k words as the node that they begin with."""
+    keys, counts = _summed(keys, counts)
+    line, offsets = _raw(keys)
+    stop, n, tail = _bounds(line, offsets)
+    frequent = pa.array(np.flatnonzero((n == k) & (counts >= least)))
+    nodes = _without(line, offsets, np.where(n == k, tail, stop), stop)
+    return (keys.take(frequent), counts[frequent.to_numpy()]), _summed(nodes, counts)
+
+
+def _texts(keys: pa.LargeBinaryArray, counts: np.ndarray) -> pa.RecordBatch:
+    line, offsets = _raw(keys)
+    stop, _, _ = _bounds(line, offsets)
+    gram, lang = _without(line, offsets, stop, offsets[1:]), _without(line, offsets, offsets[:-1], stop + 1)
+    return pa.RecordBatch.from_arrays([lang.cast(pa.large_string()).cast(pa.string()), gram.cast(pa.large_string()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
+
+
+def _n_words() -> Column:
+    return F.length("gram") - F.length(F.translate("gram", " ", "")) + 1
+
+
+def count_grams(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: int = 3, least: int = 10, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """lang, gram, n: all runs of 1 to ``size`` words that occur ``least`` times or more, and under the empty gram all words of a language.
+
+    Equal edges meet in buckets by a hash of the whole edge, so that no frequent node makes one large; there are as
+    many as keep the words of ``bucket_bytes`` of text in each.  A bucket is summed in arrays; it keeps
+    its frequent edges and sends what flows into the nodes on, in sums again, to the buckets of the nodes.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
     given = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
+    buckets = max(1, -(-(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from edge_counts(batch.column(0), batch.column(1), size)
+            for keys, counts in edge_counts(batch.column(0), batch.column(1), size):
+                yield _dealt_batch(list(_dealt(keys, counts, buckets)))
+
+    def onward(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple | dict]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (bucket, done), lot in groupby(rows, key=lambda r: (r["bucket"], r["done"])):
+            if done:
+                yield from lot
+            else:
+                yield bucket, *flow(*_joined(list(lot)), k, least)
+
+    def level(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in onward(batches, k):
+                if isinstance(x, dict):
+                    yield _dealt_batch([x])
+                    continue
+                bucket, own, nodes = x  # what is done stays in its bucket
+                yield _dealt_batch([r | {"bucket": bucket, "done": True} for r in _dealt(*own, 1)] + list(_dealt(*nodes, buckets)))
+
+        return run
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in onward(batches, 1):
+            for keys, counts in [_joined([x])] if isinstance(x, dict) else x[1:]:
+                yield _texts(keys, counts)
 
-    total = F.sum("n").alias("n")
-    grams = given.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(total)
+    dealt = given.mapInArrow(edges, _DEALT)
     for k in range(size, 0, -1):
-        # runs of k words flow into the node that they begin with; rare ones end there
-        own = F.struct(F.col("gram"))
-        node = F.struct((F.substring_index("gram", " ", k - 1) if k > 1 else F.lit("")).alias("gram"))
-        both = F.when(_n_words() != k, F.array(own)).when(F.col("n") >= least, F.array(own, node)).otherwise(F.array(node))
-        both = both if k > 1 else F.when(_n_words() != k, F.array(own)).otherwise(F.array(own, node))
-        grams = grams.select("lang", "n", F.inline(both)).groupBy("lang", "gram").agg(total)
-    return grams.where((F.col("n") >= least) | (F.col("gram") == ""))
+        met = dealt.repartition("bucket", "done").sortWithinPartitions("bucket", "done")
+        dealt = met.mapInArrow(level(k), _DEALT) if k > 1 else met.mapInArrow(finish, "lang string, gram string, n long")
+    # what is left are frequent runs, and each bucket's share of a language's words
+    return dealt.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def cut_candidates(grams: DataFrame) -> DataFrame:
