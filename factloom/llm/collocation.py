@@ -35,7 +35,7 @@ _KIND[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Words that are numbered at once, so that numbers of three fit into 64 bits.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 19
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts, ends = np.flatnonzero(inside & (before > 0)), np.flatnonzero(inside & (after > 0)) + 1
     row = np.searchsorted(offsets, starts, "right") - 1
     # pieces before each word: signs and bounds of texts passed so far
-    signs = np.cumsum(kind == 2)
+    signs = np.cumsum(kind == 2, dtype=np.int32)
     piece = signs[starts] if len(starts) else np.zeros(0, np.int64)
     last = np.ones(len(starts), bool)
     last[:-1] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
@@ -116,42 +116,56 @@ def _summed(keys: pa.LargeBinaryArray, counts: np.ndarray) -> tuple[pa.LargeBina
 _WEIGHTS = np.random.default_rng(12).integers(1 << 62, size=1 << 12, dtype=np.uint64) * 2 + 1
 
 
+def _buckets(line: np.ndarray, offsets: np.ndarray, buckets: int, at_once: int = 1 << 16) -> np.ndarray:
+    """A bucket for each key by a hash of its bytes; some keys at a time, as it takes eight bytes for each of theirs."""
+    out = []
+    for a in range(0, len(offsets) - 1, at_once):
+        at = offsets[a : a + at_once + 1]
+        part = line[at[0] : at[-1]]
+        place = np.arange(len(part)) - np.repeat(at[:-1] - at[0], np.diff(at))
+        mixed = np.add.reduceat(_WEIGHTS[place % len(_WEIGHTS)] * (part + np.uint64(1)), at[:-1] - at[0])
+        out.append(((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets))
+    return np.concatenate(out).astype(np.int64)
+
+
 def _dealt(keys: pa.LargeBinaryArray, counts: np.ndarray, buckets: int) -> Iterator[dict]:
-    """The keys by a hash of their bytes, those of one bucket in one row."""
+    """The keys by their buckets, those of one bucket in one row of compressed arrays."""
     if not len(keys):
         return
-    line, offsets = _raw(keys)
-    place = np.arange(len(line)) - np.repeat(offsets[:-1], np.diff(offsets))
-    mixed = np.add.reduceat(_WEIGHTS[place % len(_WEIGHTS)] * (line + np.uint64(1)), offsets[:-1])
-    bucket = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
+    bucket = _buckets(*_raw(keys), buckets)
     order = np.argsort(bucket, kind="stable")
-    bucket, counts = bucket[order].astype(np.int64), counts[order]
+    bucket, counts = bucket[order], counts[order]
     line, offsets = _raw(keys.take(pa.array(order)))
     cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for a, b in zip(cut[:-1], cut[1:]):
-        yield {"bucket": int(bucket[a]), "done": False, "sizes": np.diff(offsets[a : b + 1]).astype(np.int32).tobytes(), "counts": counts[a:b].tobytes(), "body": line[offsets[a] : offsets[b]].tobytes()}
+        sizes = np.diff(offsets[a : b + 1]).astype(np.int32)
+        parts = sizes, counts[a:b], line[offsets[a] : offsets[b]]
+        sizes, numbers, body = (pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts)
+        yield {"bucket": int(bucket[a]), "done": False, "n": b - a, "length": int(offsets[b] - offsets[a]), "sizes": sizes, "counts": numbers, "body": body}
 
 
-_DEALT = "bucket long, done boolean, sizes binary, counts binary, body binary"
+_DEALT = "bucket long, done boolean, n long, length long, sizes binary, counts binary, body binary"
 
 
 def _dealt_batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int64(), "done": pa.bool_(), "sizes": pa.binary(), "counts": pa.binary(), "body": pa.binary()}
+    kinds = {"bucket": pa.int64(), "done": pa.bool_(), "n": pa.int64(), "length": pa.int64(), "sizes": pa.binary(), "counts": pa.binary(), "body": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
 
 def _joined(rows: list[dict]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
-    body = np.frombuffer(b"".join(r["body"] for r in rows), np.uint8)
-    return _binary(body, np.concatenate([[0], np.cumsum(sizes)])), np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+    whole = lambda r, c, size: pa.decompress(r[c], size, "zstd", asbytes=True)
+    sizes = np.concatenate([np.frombuffer(whole(r, "sizes", 4 * r["n"]), np.int32) for r in rows]).astype(np.int64)
+    counts = np.concatenate([np.frombuffer(whole(r, "counts", 8 * r["n"]), np.int64) for r in rows])
+    body = np.frombuffer(b"".join(whole(r, "body", r["length"]) for r in rows), np.uint8)
+    return _binary(body, np.concatenate([[0], np.cumsum(sizes)])), counts
 
 
 def _without(line: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.LargeBinaryArray:
     """The keys without their bytes a to b (places in line)."""
-    step = np.zeros(len(line) + 1, np.int64)
-    np.add.at(step, a, 1)
-    np.add.at(step, b, -1)
-    keep = np.cumsum(step[:-1]) == 0
+    step = np.zeros(len(line) + 1, np.int8)
+    step[a] += 1
+    step[b] -= 1
+    keep = np.cumsum(step[:-1], dtype=np.int8) == 0
     return _binary(line[keep], np.concatenate([[0], np.cumsum(np.diff(offsets) - (b - a))]))
 
 
