@@ -59,27 +59,40 @@ def update_metadata(records: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def trust_actions(records: DataFrame, actions: DataFrame) -> DataFrame:
-    """actions(id, action, authorized) with outcome and the record's fields after it.
+    """actions(id, action, authorized, confidence, superseded_by) with outcome and the record's fields after it.
 
-    confirm makes an active record user-confirmed and locked; retire supersedes an active one;
-    activate lets a pending one in.
+    All three need authorisation, before anything else is looked at.  confirm makes an active record
+    user-confirmed and locked, with the confidence given (from 0 to 1).  retire supersedes any record that is
+    not superseded or deleted yet and lifts its lock; a replacement, if one is named, must be another record
+    and active.  activate lets a pending one in.  The version grows if a field has changed.
     """
-    j = actions.join(records.select("id", "status", "source_type", "protection_level", "version"), "id", "left")
-    action, live = F.col("action"), F.col("status") == "active"
+    own = records.select("id", "status", "source_type", "protection_level", "confidence", "version")
+    given = actions.withColumnRenamed("confidence", "wanted")
+    other = records.select(F.col("id").alias("superseded_by"), F.col("status").alias("other"))
+    j = given.join(own, "id", "left").join(other, "superseded_by", "left")
+    confirm, retire, activate = (F.col("action") == x for x in ("confirm", "retire", "activate"))
+    replaced = retire & F.col("superseded_by").isNotNull()
     outcome = (
-        F.when(F.col("status").isNull(), "not_found")
-        .when((action == "activate") & (F.col("status") != "pending"), "not_pending")
-        .when((action != "activate") & ~live, "not_active")
-        .when((action == "retire") & guarded() & ~F.coalesce("authorized", F.lit(False)), "forbidden")
-        .when((action == "confirm") & (F.col("source_type") == "user_confirmed") & (F.col("protection_level") == "locked"), "no_change")
+        F.when(~F.coalesce("authorized", F.lit(False)), "forbidden")
+        .when(confirm & ~F.coalesce(F.col("wanted").between(0, 1), F.lit(False)), "invalid_confidence")
+        .when(replaced & (F.col("superseded_by") == F.col("id")), "invalid_replacement")
+        .when(F.col("status").isNull(), "not_found")
+        .when(confirm & (F.col("status") != "active"), "not_active")
+        .when(activate & (F.col("status") != "pending"), "not_pending")
+        .when(retire & F.col("status").isin("superseded", "deleted"), F.concat(F.lit("already_"), "status"))
+        .when(replaced & F.col("other").isNull(), "replacement_not_found")
+        .when(replaced & (F.col("other") != "active"), "replacement_not_active")
         .otherwise("done"))
-    done, confirmed = outcome == "done", action == "confirm"
-    return j.select(
-        "id", "action", outcome.alias("outcome"),
-        F.when(done & (action == "retire"), "superseded").when(done, "active").otherwise(F.col("status")).alias("status"),
-        F.when(done & confirmed, "user_confirmed").otherwise(F.col("source_type")).alias("source_type"),
-        F.when(done & confirmed, "locked").otherwise(F.col("protection_level")).alias("protection_level"),
-        (F.col("version") + done.cast("int")).alias("version"))
+    done = outcome == "done"
+    after = {
+        "status": F.when(done & retire, "superseded").when(done & activate, "active"),
+        "source_type": F.when(done & confirm, "user_confirmed"),
+        "protection_level": F.when(done & confirm, "locked").when(done & retire, "normal"),
+        "confidence": F.when(done & confirm, F.col("wanted"))}
+    changed = F.lit(False)
+    for c, new in after.items():
+        changed = changed | F.coalesce(new != F.col(c), F.lit(False))
+    return j.select("id", "action", outcome.alias("outcome"), *[F.coalesce(new, c).alias(c) for c, new in after.items()], (F.col("version") + changed.cast("int")).alias("version"))
 
 
 def freshness(notices: DataFrame, records: DataFrame) -> DataFrame:

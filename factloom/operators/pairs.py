@@ -159,22 +159,57 @@ def grounded(value: Column, quote: Column) -> Column:
     return F.coalesce((quote != "") & short & (F.contains(F.lower(quote), F.lower(value)) | F.exists(pieces, lambda p: normal_value(p) == normal_value(value))), F.lit(False))
 
 
-def scan_candidates(units: DataFrame, near: DataFrame, recorded: DataFrame, *, similar_too: bool = False) -> DataFrame:
-    """units(unit_id, memory_id, version, text), near(anchor_id, unit_id, distance), recorded(members) to candidate pairs.
+def canonical_json(value: Column) -> Column:
+    """JSON without blanks, of a struct whose fields are in order of their names."""
+    return F.to_json(value)
 
-    Each pair of memories with the reasons found, the least distance, and the members as frozen by the
-    first qualifying pair of units; pairs within a recorded group are left out.
+
+def candidate_key(detector: Column, evidence: Column) -> Column:
+    """Canonical JSON of a candidate's identity; evidence: (memory_id, version, unit, start, end, hash), put in order of id and version."""
+    ordered = F.array_sort(evidence)
+    ref = lambda e: F.concat_ws("@", e["memory_id"].cast("string"), e["version"].cast("string"))
+    shown = lambda e: F.struct(e["hash"].alias("hash"), ref(e).alias("member"), F.array(e["start"], e["end"]).alias("span"), e["unit"].alias("unit"))
+    return canonical_json(F.struct(detector.alias("detector_version"), F.transform(ordered, shown).alias("evidence"), F.transform(ordered, ref).alias("members")))
+
+
+def within_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs(one, other) of refs that both stand in one of groups(refs), by an index of refs to groups."""
+    refs = groups.select(F.array_sort(F.array_distinct("refs")).alias("refs")).distinct()
+    index = refs.select(F.sha2(F.concat_ws(",", "refs").cast("binary"), 256).alias("group"), F.explode("refs").alias("ref"))
+    left = pairs.select("one", "other").distinct().join(index.withColumnRenamed("ref", "one"), "one")
+    return left.join(index.withColumnRenamed("ref", "other"), ["group", "other"], "left_semi").select("one", "other").distinct()
+
+
+def scan_candidates(units: DataFrame, near: DataFrame, recorded: DataFrame, *, detector: str = "rules", similar_too: bool = False) -> DataFrame:
+    """Candidate pairs of memories: x, y, state, reasons, distance, members, candidate (its key's sha256).
+
+    units(unit_id, memory_id, version, text, start_offset, end_offset, content_hash) are text units with their features
+    taken by ``featured``, near(anchor_id, unit_id, distance) their neighbours.  Every pair of units is judged by itself.  It is left
+    out if recorded(status, refs, candidate) holds just this candidate in an open, applying or dismissed (not_a_conflict) group, or if an
+    open or applying group holds both snapshots, id@version; so a new version of a memory comes up again.
+    A pair of memories comes with all reasons and the least distance; members and candidate are those of the
+    first qualifying pair of units.
     """
-    a = units.select(F.col("unit_id").alias("anchor_id"), F.col("memory_id").alias("ma"), F.col("text").alias("ta"), F.concat_ws("@", F.col("memory_id").cast("string"), F.col("version").cast("string")).alias("ka"))
-    b = units.select("unit_id", F.col("memory_id").alias("mb"), F.col("text").alias("tb"), F.concat_ws("@", F.col("memory_id").cast("string"), F.col("version").cast("string")).alias("kb"))
-    found = near.join(a, "anchor_id").join(b, "unit_id").where("ma <> mb")
-    found = found.withColumns({"fa": features(F.col("ta")), "fb": features(F.col("tb"))}).withColumn("d", pair_rule(F.col("fa"), F.col("fb"))).where("d.action <> 'ignore'")
+    side = lambda s: units.select(*[F.col(c).alias(c + s) for c in ("unit_id", "memory_id", "version", "start_offset", "end_offset", "content_hash", "f")])
+    pairs = near.select(F.col("anchor_id").alias("unit_id_a"), F.col("unit_id").alias("unit_id_b"), "distance").join(side("_a"), "unit_id_a").join(side("_b"), "unit_id_b").where("memory_id_a <> memory_id_b")
+    found = pairs.withColumn("d", pair_rule(F.col("f_a"), F.col("f_b"))).drop("f_a", "f_b").where("d.action <> 'ignore'")
     if not similar_too:
         found = found.where("d.reason <> 'semantic_similarity_only'")
-    found = found.withColumns({"x": F.least("ma", "mb"), "y": F.greatest("ma", "mb"), "members": F.array_sort(F.array("ka", "kb"))})
-    known = recorded.select(F.explode(F.transform("members", lambda m: F.struct(m.alias("m"), F.col("members").alias("all")))).alias("e")).select(F.col("e.m").alias("x"), F.explode("e.all").alias("y")).where("x < y").distinct()
-    fresh = found.join(known, ["x", "y"], "left_anti")
+    proof = lambda s: F.struct(*[F.col(c + s).alias(n) for c, n in (("memory_id", "memory_id"), ("version", "version"), ("unit_id", "unit"), ("start_offset", "start"), ("end_offset", "end"), ("content_hash", "hash"))])
+    ref = lambda s: F.concat_ws("@", F.col("memory_id" + s).cast("string"), F.col("version" + s).cast("string"))
+    first = F.col("memory_id_a") < F.col("memory_id_b")
+    found = found.withColumns({
+        "x": F.least("memory_id_a", "memory_id_b"), "y": F.greatest("memory_id_a", "memory_id_b"), "one": F.when(first, ref("_a")).otherwise(ref("_b")), "other": F.when(first, ref("_b")).otherwise(ref("_a")),
+        "candidate": F.sha2(candidate_key(F.lit(detector), F.array(proof("_a"), proof("_b"))).cast("binary"), 256)})
+    known = recorded.where("status in ('open', 'applying', 'not_a_conflict') and candidate is not null").select("candidate").distinct()
+    held = within_groups(found, recorded.where("status in ('open', 'applying')"))
+    fresh = found.join(known, "candidate", "left_anti").join(held, ["one", "other"], "left_anti")
     return fresh.groupBy("x", "y").agg(
         F.max(F.when(F.col("d.action") == "notify", "notice_ready").otherwise("candidate")).alias("state"),
         F.array_join(F.array_sort(F.collect_set("d.reason")), ",").alias("reasons"), F.min("distance").alias("distance"),
-        F.array_join(F.min_by("members", F.struct("anchor_id", "distance", "unit_id")), ",").alias("members"))
+        F.min_by(F.struct(F.concat_ws(",", "one", "other").alias("members"), "candidate"), F.struct("memory_id_a", "unit_id_a", "distance", "unit_id_b")).alias("first")).select("x", "y", "state", "reasons", "distance", "first.*")
+
+
+def featured(units: DataFrame) -> DataFrame:
+    """units with ``f``, all that the pair rule asks of a text, worked out once a unit: write it before it is joined."""
+    return units.withColumn("f", features(F.col("text"))).drop("text")

@@ -1,8 +1,7 @@
 """Exact nearest neighbours over evidence units, and distances between workspace names.
 
 One query, or a few, is a driver-side literal: a filter and a projection with a top-k.  Batch search
-takes a stated, bounded set of anchors through the driver.  A table against itself is a grid of blocks
-that Spark deals out: every pair is looked at, but no vector passes the driver.
+takes a stated, bounded set of anchors through the driver.  For all units of a table see ``nearest``.
 """
 
 from __future__ import annotations
@@ -60,7 +59,7 @@ def batch_knn(units: DataFrame, anchors: DataFrame, k: int, block: int = 1_024)
 
     Anchors are broadcast in blocks of at most ``block``; each task keeps k candidates an anchor from
     its own rows by one matrix product a batch, and Spark merges those.  For a bounded set of anchors:
-    they pass the driver, and each block is a scan of its own.  ``self_knn`` takes all units.
+    they pass the driver, and each block is a scan of its own.  ``nearest.nearest_units`` takes all units.
     """
     spark = units.sparkSession
     ids = anchors.select("unit_id", "memory_id", "embedding").orderBy("unit_id")
@@ -93,51 +92,6 @@ def batch_knn(units: DataFrame, anchors: DataFrame, k: int, block: int = 1_024)
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _nearest(a: pd.DataFrame, x: pd.DataFrame, k: int, strip: int = 64, chunk: int = 1 << 16) -> pd.DataFrame:
-    """For each row of a its k nearest rows of x of other memories; ties by unit_id."""
-    columns = ["anchor_id", "unit_id", "distance"]
-    if not len(a) or not len(x):
-        return pd.DataFrame({c: np.zeros(0, t) for c, t in zip(columns, (np.int64, np.int64, np.float64))})
-    va, vx = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (a, x))
-    ia, ix, ma, mx = a["unit_id"].to_numpy(), x["unit_id"].to_numpy(), a["memory_id"].to_numpy(), x["memory_id"].to_numpy()
-    qa, qx = (va * va).sum(1), (vx * vx).sum(1)
-    slack, n, out = 1e-9 * (qa.max() + qx.max()), min(k, len(x)), []
-    for at in range(0, len(a), strip):
-        rows = slice(at, at + strip)
-        # squares by one matrix product, good enough to leave out what is not among the nearest
-        g = qa[rows, None] + qx[None, :] - 2 * (va[rows] @ vx.T)
-        g[ma[rows, None] == mx[None, :]] = np.inf
-        r, c = np.nonzero((g <= np.partition(g, n - 1, axis=1)[:, n - 1, None] + slack) & (g < np.inf))
-        d = np.zeros(len(r))
-        for i in range(0, len(r), chunk):
-            d[i : i + chunk] = np.sqrt(((va[at + r[i : i + chunk]] - vx[c[i : i + chunk]]) ** 2).sum(1))
-        order = np.lexsort((ix[c], d, r))
-        r, c, d = r[order], c[order], d[order]
-        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-        out.append(pd.DataFrame({"anchor_id": ia[at + r[keep]], "unit_id": ix[c[keep]], "distance": d[keep]}))
-    return pd.concat(out)
-
-
-def self_knn(units: DataFrame, k: int, blocks: int) -> DataFrame:
-    """For each unit its k nearest units of other memories: anchor_id, unit_id, distance, rank.
-
-    Units are dealt into ``blocks`` by a hash of their ids, and each pair of blocks is one group of an
-    equi-join on the blocks' numbers.  It gives k candidates an anchor, which Spark merges.  The number
-    of groups is the square of ``blocks``, the plan is the same for any.
-    """
-    u = units.select("unit_id", "memory_id", "embedding").withColumn("own", F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = u.withColumnRenamed("own", "i").withColumn("j", every)
-    right = u.toDF("unit_id", "memory_id", "embedding", "j").withColumn("i", every)
-
-    def cell(a: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(a, x, k)
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, "anchor_id long, unit_id long, distance double")
-    rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy("distance", "unit_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def _fold(x: Column) -> Column:
     return F.lower(F.regexp_replace(x, r"(?U)[\W_]+", ""))
 

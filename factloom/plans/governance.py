@@ -10,7 +10,9 @@ from factloom.operators import pairs as D
 from factloom.operators import vector as V
 from factloom.operators import workspace as W
 from factloom.operators.segment import segment
+from factloom.operators.nearest import nearest_units
 from factloom.plans.registry import query
+from factloom.sources.commits import written
 from factloom.sources.views import CONFLICTS_SQL, MEMORIES_SQL, conflicts, memories, table, units
 
 M = "WITH " + MEMORIES_SQL
@@ -81,28 +83,34 @@ def value_grounding(spark, sf):
     return memories(spark, sf).where(F.col("subject").rlike("^[A-Za-z]+ [a-z]+ [A-Za-z ]+$")).select("id", value.alias("value"), D.grounded(value, F.col("subject")).alias("grounded"))
 
 
-# The reference asks for its 10 neighbours and one more, with the anchor's memory left out, and judges them all.
+# Ten neighbours and one more, with the anchor's memory left out; all are judged.
 SCAN_NEIGHBOURS = 11
-SCAN_BLOCK = 8_192  # units; so many against as many are one task's group
 
 
 def _scan_units(spark, sf):
-    """Live text units with their own whole texts; a unit of which the memory has no such text is not indexed."""
-    u = units(spark, sf).where("kind = 'text'")
-    m = memories(spark, sf).where("status = 'active'").join(u.select(F.col("memory_id").alias("id")), "id", "left_semi")
-    texts = segment(m).select("memory_id", "unit_index", "text")
-    live = u.join(m.select(F.col("id").alias("memory_id"), "version"), "memory_id")
-    return live.join(texts, ["memory_id", "unit_index"]).select("unit_id", "memory_id", "version", "text", "embedding")
+    """Live units with their own whole texts; a unit of which the memory has no such text is not indexed."""
+    m = memories(spark, sf).where("status = 'active'").join(units(spark, sf).select(F.col("memory_id").alias("id")), "id", "left_semi")
+    own = m.select(F.col("id").alias("memory_id"), "version", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+    live = units(spark, sf).join(own, "memory_id")
+    return live.join(segment(m).select("memory_id", "unit_index", "text", "start_offset", "end_offset"), ["memory_id", "unit_index"])
+
+
+def recorded_groups(spark, sf):
+    """Groups with their members' snapshots; those of every second group are of versions that are no more."""
+    e = conflicts(spark, sf).select("conflict_id", "status", F.explode("members").alias("id"))
+    now = e.join(memories(spark, sf).select("id", "version"), "id", "left")
+    ref = F.concat_ws("@", F.col("id").cast("string"), (F.coalesce("version", F.lit(1)) + F.col("conflict_id") % 2).cast("string"))
+    return now.groupBy("conflict_id", "status").agg(F.array_sort(F.collect_list(ref)).alias("refs")).withColumn("candidate", F.lit(None).cast("string"))
 
 
 @query("scan_candidates")
 def scan_candidates(spark, sf):
-    """Pairs of memories with near units whose texts may disagree, by a search of all text units among themselves."""
-    live = _scan_units(spark, sf)
-    blocks = -(-table(spark, sf, "embeddings").count() // SCAN_BLOCK) or 1
-    near = V.self_knn(live, SCAN_NEIGHBOURS, blocks)
-    recorded = conflicts(spark, sf).where("status in ('open', 'applying', 'not_a_conflict')").select("members")
-    return D.scan_candidates(live.select("unit_id", "memory_id", "version", "text"), near.select("anchor_id", "unit_id", "distance"), recorded, similar_too=True).select("x", "y", "state", "reasons", F.round("distance", 6).alias("distance"), "members")
+    """Pairs of memories with near units whose texts may disagree, by a search of the text units among all units."""
+    live = written(_scan_units(spark, sf), "live")
+    near = nearest_units(live.select("unit_id", "memory_id", "embedding", (F.col("kind") == "text").alias("asked")), SCAN_NEIGHBOURS)
+    texts = live.where("kind = 'text'").select("unit_id", "memory_id", "version", "text", "start_offset", "end_offset", "content_hash")
+    found = D.scan_candidates(written(D.featured(texts), "texts"), near.select("anchor_id", "unit_id", "distance"), recorded_groups(spark, sf), similar_too=True)
+    return found.select("x", "y", "state", "reasons", F.round("distance", 6).alias("distance"), "members")
 
 
 _NAMES = """n AS (SELECT DISTINCT ws FROM (SELECT source AS ws FROM documents UNION ALL SELECT upper(source) FROM documents UNION ALL SELECT replace(source, 'src', 'src-') FROM documents UNION ALL SELECT 'team ' || lang FROM documents

@@ -64,15 +64,22 @@ def metadata_updates(spark, sf):
     return out.select("id", "outcome", F.col("metadata")["scope"].alias("scope"), F.try_element_at("metadata", F.lit("entity")).alias("entity"), "version")
 
 
-@query("trust_actions", f"""{M}, a AS (SELECT id + 5 AS id, (['confirm', 'retire', 'activate'])[id % 3 + 1] AS action, id % 2 = 0 AS authorized FROM m),
-o AS (SELECT a.id, action, status, source_type, protection_level, version, CASE WHEN m.id IS NULL THEN 'not_found' WHEN action = 'activate' AND status <> 'pending' THEN 'not_pending' WHEN action <> 'activate' AND status <> 'active' THEN 'not_active'
- WHEN action = 'retire' AND {_GUARD} AND NOT authorized THEN 'forbidden' WHEN action = 'confirm' AND protection_level = 'locked' AND source_type = 'user_confirmed' THEN 'no_change' ELSE 'done' END AS outcome FROM a LEFT JOIN m ON a.id = m.id)
-SELECT id, action, outcome, CASE WHEN outcome = 'done' THEN CASE action WHEN 'retire' THEN 'superseded' ELSE 'active' END ELSE status END AS status, CASE WHEN outcome = 'done' AND action = 'confirm' THEN 'user_confirmed' ELSE source_type END AS source_type,
- CASE WHEN outcome = 'done' AND action = 'confirm' THEN 'locked' ELSE protection_level END AS protection_level, CAST(version + CASE outcome WHEN 'done' THEN 1 ELSE 0 END AS INTEGER) AS version FROM o""")
+@query("trust_actions", f"""{M}, a AS (SELECT id + 5 AS id, (['confirm', 'retire', 'activate', 'retire'])[id % 4 + 1] AS action, id % 7 <> 0 AS authorized, CASE WHEN id % 11 = 0 THEN 1.5 WHEN id % 3 <> 0 THEN 1.0 ELSE 0.5 END AS wanted,
+  CASE id % 8 WHEN 1 THEN CASE WHEN id % 5 = 0 THEN id + 5 ELSE id + 9 END WHEN 3 THEN CASE WHEN id % 5 = 0 THEN -id END END AS superseded_by FROM m),
+o AS (SELECT a.id, action, wanted, m.status, m.source_type, m.protection_level, m.confidence, m.version, CASE
+  WHEN NOT authorized THEN 'forbidden' WHEN action = 'confirm' AND (wanted < 0 OR wanted > 1) THEN 'invalid_confidence' WHEN action = 'retire' AND superseded_by = a.id THEN 'invalid_replacement' WHEN m.id IS NULL THEN 'not_found'
+  WHEN action = 'confirm' AND m.status <> 'active' THEN 'not_active' WHEN action = 'activate' AND m.status <> 'pending' THEN 'not_pending' WHEN action = 'retire' AND m.status IN ('superseded', 'deleted') THEN 'already_' || m.status
+  WHEN action = 'retire' AND superseded_by IS NOT NULL AND x.id IS NULL THEN 'replacement_not_found' WHEN action = 'retire' AND superseded_by IS NOT NULL AND x.status <> 'active' THEN 'replacement_not_active' ELSE 'done' END AS outcome
+  FROM a LEFT JOIN m ON a.id = m.id LEFT JOIN m x ON x.id = a.superseded_by),
+n AS (SELECT *, CASE WHEN outcome = 'done' AND action = 'retire' THEN 'superseded' WHEN outcome = 'done' AND action = 'activate' THEN 'active' ELSE status END AS s, CASE WHEN outcome = 'done' AND action = 'confirm' THEN 'user_confirmed' ELSE source_type END AS t,
+  CASE WHEN outcome = 'done' AND action = 'confirm' THEN 'locked' WHEN outcome = 'done' AND action = 'retire' THEN 'normal' ELSE protection_level END AS p, CASE WHEN outcome = 'done' AND action = 'confirm' THEN wanted ELSE confidence END AS c FROM o)
+SELECT id, action, outcome, s AS status, t AS source_type, p AS protection_level, c AS confidence, CAST(version + CASE WHEN s <> status OR t <> source_type OR p <> protection_level OR c <> confidence THEN 1 ELSE 0 END AS INTEGER) AS version FROM n""")
 def trust_actions(spark, sf):
     m = memories(spark, sf)
     k = F.col("id")
-    return C.trust_actions(m, m.select((k + 5).alias("id"), F.get(X.strings(["confirm", "retire", "activate"]), (k % 3).cast("int")).alias("action"), (k % 2 == 0).alias("authorized")))
+    by = F.when(k % 8 == 1, F.when(k % 5 == 0, k + 5).otherwise(k + 9)).when((k % 8 == 3) & (k % 5 == 0), -k)
+    wanted = F.when(k % 11 == 0, 1.5).when(k % 3 != 0, 1.0).otherwise(0.5)
+    return C.trust_actions(m, m.select((k + 5).alias("id"), F.get(X.strings(["confirm", "retire", "activate", "retire"]), (k % 4).cast("int")).alias("action"), (k % 7 != 0).alias("authorized"), wanted.alias("confidence"), by.alias("superseded_by")))
 
 
 @query("notice_freshness", f"""WITH {MEMORIES_SQL}, {CONFLICTS_SQL}, e AS (SELECT conflict_id, ws, unnest(members) AS id FROM c), j AS (SELECT e.conflict_id, coalesce(m.status = 'active' AND m.version = CAST((e.id - 1) % 4 + 1 AS INTEGER) AND m.ws = e.ws, false) AS ok FROM e LEFT JOIN m ON m.id = e.id)

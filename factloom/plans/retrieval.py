@@ -116,7 +116,9 @@ def knn_l2(spark, sf):
     return V.knn(_live_units(spark, sf), _query_vector(spark, sf), 20).select("unit_id", "memory_id", F.round("distance", 6).alias("distance"))
 
 
-_EVIDENCE = f"""k AS (SELECT *, 1 - d AS score FROM live ORDER BY d, unit_id LIMIT 100),
+# Units that stand behind the pool of 50 memories: eight for each, so that memories of many units leave room.
+EVIDENCE_POOL = 8 * 50
+_EVIDENCE = f"""k AS (SELECT *, 1 - d AS score FROM live ORDER BY d, unit_id LIMIT 400),
 rk AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY d, unit_id) AS r FROM k),
 mo AS (SELECT *, row_number() OVER (PARTITION BY memory_id, kind ORDER BY r) AS turn FROM rk WHERE r BETWEEN 2 AND 4),
 ex AS (SELECT memory_id, sum(greatest(0.0, score - 0.45)) AS extra FROM mo WHERE turn = 1 GROUP BY memory_id),
@@ -125,7 +127,7 @@ evr AS (SELECT id, row_number() OVER (ORDER BY round(total, 6) DESC, id) AS rank
 
 
 def _evidence(spark, sf):
-    hits = V.knn(_live_units(spark, sf), _query_vector(spark, sf), 100)
+    hits = V.knn(_live_units(spark, sf), _query_vector(spark, sf), EVIDENCE_POOL)
     return V.memory_scores(hits.select("memory_id", "unit_id", "kind", "distance"))
 
 

@@ -76,19 +76,3 @@ def notice_stream(units: DataFrame, published_path: str, path: str, checkpoint:
         notices_for(batch, published, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return units.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def scan_page(units: DataFrame, state: dict | None, page: int = 50) -> tuple[DataFrame, dict]:
-    """The next anchors of a resumable scan, and the state to go on from once they are done.
-
-    A scan covers the units up to the largest id at its start, in pages of ascending ids.  If what it
-    has passed has changed since (by a digest of ids and versions), it starts anew with a new epoch.
-    """
-    passed = lambda until: tuple(units.where(F.col("unit_id") <= until).agg(F.count("*"), F.sum(F.xxhash64("unit_id", "memory_version").cast("decimal(38,0)"))).first())
-    if state is None or passed(state["boundary"]) != state["digest"]:
-        last = units.agg(F.max("unit_id")).first()[0]
-        state = {"epoch": 1 + (state or {"epoch": 0})["epoch"], "last": -1 if last is None else last, "boundary": -1, "done": last is None}
-    todo = units.where((F.col("unit_id") > state["boundary"]) & (F.col("unit_id") <= state["last"])).orderBy("unit_id").limit(page)
-    end = todo.agg(F.max("unit_id")).first()[0]
-    boundary = state["last"] if end is None else end
-    return todo, {**state, "boundary": boundary, "done": boundary >= state["last"], "digest": passed(boundary)}

@@ -99,23 +99,6 @@ def test_write_time_notices(spark, tmp_path):
     assert [(x.anchor, x.peer, x.action, x.reason, x.place) for x in got] == [(30, 10, "check", "numeric_value_candidate", 1), (30, 11, "check", "numeric_value_candidate", 2)]
 
 
-def test_scan_goes_on_where_it_was_and_starts_anew_on_drift(spark):
-    make = lambda versions: spark.createDataFrame(list(versions.items()), "unit_id long, memory_version int")
-    versions, state, seen = {i: 1 for i in range(0, 14, 2)}, None, []
-    for _ in range(2):
-        rows, state = S.scan_page(make(versions), state, 3)
-        seen.append([r.unit_id for r in rows.collect()])
-    assert seen == [[0, 2, 4], [6, 8, 10]] and not state["done"] and state["epoch"] == 1
-    versions[20] = 1  # behind the boundary of this scan
-    rows, state = S.scan_page(make(versions), state, 3)
-    assert [r.unit_id for r in rows.collect()] == [12] and state["done"]
-    versions[4] = 2
-    rows, state = S.scan_page(make(versions), state, 3)
-    assert [r.unit_id for r in rows.collect()] == [0, 2, 4] and state["epoch"] == 2 and state["last"] == 20
-    none, state = S.scan_page(make(versions).limit(0), None, 3)
-    assert none.count() == 0 and state["done"]
-
-
 def test_a_slot_has_one_group_that_grows_by_revision(spark):
     records = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 1, "b")], "id long, version int, ws string")
     m = lambda *x: [(i, v, f"v{i}") for i, v in x]

@@ -1,13 +1,16 @@
 """The candidate scan against brute force."""
 
+import hashlib
 import itertools
+import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import pairs as D
-from factloom.operators import vector as V
+from factloom.operators.nearest import nearest_units
 from factloom.operators.segment import units as units_of
 from factloom.plans import CORE_QUERIES
 from factloom.sources import views
@@ -30,16 +33,17 @@ def tables(spark, tmp_path_factory):
 def by_hand(spark, sf, k=11):
     m = {x.id: x for x in views.memories(spark, sf).where("status = 'active'").collect()}
     live = []
-    for x in views.units(spark, sf).where("kind = 'text'").collect():
+    for x in views.units(spark, sf).collect():
         own = units_of(m[x.memory_id].subject, m[x.memory_id].content) if x.memory_id in m else []
         if x.unit_index < len(own):
-            live.append((x.unit_id, x.memory_id, own[x.unit_index][1], np.array(x.embedding)))
+            live.append((x.unit_id, x.memory_id, own[x.unit_index][1], np.array(x.embedding), x.kind))
     near = []
-    for a in live:
+    for a in (x for x in live if x[4] == "text"):
         others = sorted((float(np.sqrt(((a[3] - b[3]) ** 2).sum())), b[0], b) for b in live if b[1] != a[1])[:k]
-        near += [(a[0], a[1], b[0], b[1], d, a[2], b[2]) for d, _, b in others]
+        near += [(a[0], a[1], b[0], b[1], d, a[2], b[2]) for d, _, b in others if b[4] == "text"]
     judged = spark.createDataFrame(near, "a long, ma long, b long, mb long, distance double, ta string, tb string").withColumn("d", D.pair_decision(F.col("ta"), F.col("tb")))
-    known = {p for c in views.conflicts(spark, sf).where("status <> 'resolved'").collect() for p in itertools.combinations(sorted(c.members), 2)}
+    version = {x.id: x.version for x in views.memories(spark, sf).collect()}
+    known = {p for c in views.conflicts(spark, sf).where("status in ('open', 'applying')").collect() if c.conflict_id % 2 == 0 for p in itertools.combinations(sorted(i for i in c.members if i in version), 2)}
     out = {}
     for x in judged.where("d.action <> 'ignore'").collect():
         pair = min(x.ma, x.mb), max(x.ma, x.mb)
@@ -49,23 +53,52 @@ def by_hand(spark, sf, k=11):
     return {(*p, ",".join(sorted(r)), round(d, 6)) for p, (r, d) in out.items()}
 
 
-def test_scan_sees_whole_texts_of_all_neighbours(spark, tables):
+def test_scan_sees_whole_texts_of_all_neighbours(spark, tables, monkeypatch):
     got = {(x.x, x.y, x.reasons, x.distance) for x in CORE_QUERIES["scan_candidates"](spark, tables).collect()}
     assert got == by_hand(spark, tables) and any("numeric" in r for _, _, r, _ in got)
 
 
-def test_scan_sends_no_vector_through_the_driver(spark, tables, monkeypatch):
-    monkeypatch.setattr(V, "batch_knn", None)
-    monkeypatch.setattr("factloom.plans.governance.SCAN_BLOCK", 30)
-    got = {(x.x, x.y, x.reasons, x.distance) for x in CORE_QUERIES["scan_candidates"](spark, tables).collect()}
-    assert got == by_hand(spark, tables)
+UNITS = "unit_id long, memory_id long, version int, text string, start_offset int, end_offset int, content_hash string"
+
+
+def scanned(spark, rows, recorded):
+    units = D.featured(spark.createDataFrame(rows, UNITS))
+    near = spark.createDataFrame([(a[0], b[0], 0.5) for a in rows for b in rows if a[1] != b[1]], "anchor_id long, unit_id long, distance double")
+    groups = spark.createDataFrame(recorded, "status string, refs array<string>, candidate string")
+    return {(r.x, r.y): r for r in D.scan_candidates(units, near, groups).collect()}
+
+
+def test_what_is_recorded_is_recorded_by_snapshot(spark):
+    rows = [(i, m, v, f"cache ttl is {n} s", 0, 17, f"h{m}") for i, m, v, n in ((1, 1, 1, 60), (2, 2, 1, 75), (3, 3, 2, 90))]
+    every = scanned(spark, rows, [])
+    assert set(every) == {(1, 2), (1, 3), (2, 3)} and every[1, 3].members == "1@1,3@2"
+    key = {"detector_version": "rules", "members": ["1@1", "3@2"], "evidence": [{"member": "1@1", "unit": 1, "span": [0, 17], "hash": "h1"}, {"member": "3@2", "unit": 3, "span": [0, 17], "hash": "h3"}]}
+    assert every[1, 3].candidate == hashlib.sha256(json.dumps(key, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    # a dismissed candidate alone, not other pairs of its group
+    assert set(scanned(spark, rows, [("not_a_conflict", ["1@1", "2@1", "3@2"], every[1, 3].candidate)])) == {(1, 2), (2, 3)}
+    assert set(scanned(spark, rows, [("resolved", ["1@1", "2@1", "3@2"], every[1, 3].candidate)])) == set(every)
+    # an active group holds all pairs of its snapshots, and no others
+    assert set(scanned(spark, rows, [("open", ["1@1", "2@1"], None)])) == {(1, 3), (2, 3)}
+    assert not scanned(spark, rows, [("applying", ["1@1", "2@1", "3@2", "9@1"], None)])
+    assert set(scanned(spark, rows, [("open", ["1@1", "3@1"], None), ("open", ["1@1", "2@2"], None), ("open", ["3@2"], None)])) == set(every)
+    moved = [(*r[:2], 2, *r[3:]) if r[1] == 1 else r for r in rows]
+    assert set(scanned(spark, moved, [("applying", ["1@1", "2@1", "3@2"], every[1, 3].candidate)])) == {(1, 2), (1, 3)}
 
 
-def test_self_knn_is_batch_knn(spark):
-    r = np.random.default_rng(5)
-    rows = [(i, i // 3, [1.0, 2.0, 3.0] if i % 4 == 0 else r.normal(size=3).round(1).tolist()) for i in range(150)]  # ties, and copies
-    u = spark.createDataFrame(rows, "unit_id long, memory_id long, embedding array<double>")
-    want = sorted(map(tuple, V.batch_knn(u, u, 4).collect()))
-    for blocks in (1, 5):
-        assert sorted(map(tuple, V.self_knn(u, 4, blocks).collect())) == want
-    assert V.self_knn(u.limit(0), 4, 2).count() == 0
+@pytest.mark.parametrize("a_memory", [3, 40])
+def test_nearest_units_against_all_distances(spark, a_memory):
+    r = np.random.default_rng(a_memory)
+    centres = r.normal(0, 4, (5, 3))
+    point = lambda i: [1.0, 2.0, 3.0] if i % 4 == 0 else (centres[i % 5] + r.normal(size=3)).round(1 + i % 3).tolist()
+    rows = [(i, i // a_memory, point(i), i % 3 > 0) for i in range(400)] + [(400, 1000, None, True)]  # copies, ties, nulls
+    u = spark.createDataFrame(rows, "unit_id long, memory_id long, embedding array<double>, asked boolean")
+    want = set()
+    for i, m, v, asked in rows[:-1]:
+        others = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(v, w))), j) for j, n, w, _ in rows[:-1] if n != m)[:4]
+        want |= {(i, j, k, round(d, 9)) for k, (d, j) in enumerate(others, 1)} if asked else set()
+    for options in ({}, {"pivots": 8, "block_rows": 16, "strip": 7}):
+        got = nearest_units(u, 4, **options).collect()
+        assert {(x.anchor_id, x.unit_id, x.rank, round(x.distance, 9)) for x in got} == want
+        vectors = {x.anchor_id: x.evaluated for x in got}
+        assert sum(vectors.values()) < 0.6 * len(vectors) * 400
+    assert nearest_units(u.limit(0), 4).count() == 0 and nearest_units(u.where("unit_id < 3"), 4).count() == 0
