@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.sources.commits import written
 
+#: Most pivots.
 PIVOTS = 64
 #: Rows of a block, and the most blocks that are told to all tasks; with more rows than both allow, blocks grow.
 BLOCK_ROWS, MOST_BLOCKS = 4_096, 100_000
@@ -120,21 +121,23 @@ def _found_batch(vids: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["vid", "unit_id", "memory_id", "distance", "evaluated"])
 
 
-def nearest_units(units: DataFrame, k: int, *, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, strip: int = 256) -> DataFrame:
+def nearest_units(units: DataFrame, k: int, *, pivots: int | None = None, block_rows: int = BLOCK_ROWS, strip: int = 256) -> DataFrame:
     """For each unit that is ``asked`` its k nearest units of other memories: anchor_id, unit_id, distance, rank, evaluated.
 
     units(unit_id, memory_id, embedding, asked); ties go to the smaller unit_id.  evaluated is the number of
     distances worked out for the unit's vector, which units with equal vectors share.  Vectors are of one
-    length; null ones take no part.
+    length; null ones take no part.  There is a pivot for each 1,024 units, up to 64, unless a number is given.
+    units are read twice: best a written table.
     """
     spark = units.sparkSession
-    given = written(units.where("embedding is not null").select("unit_id", "memory_id", "embedding", "asked"), "units")
+    given = units.where("embedding is not null").select("unit_id", "memory_id", "embedding", "asked")
     vectors = given.groupBy("embedding").agg(F.min("unit_id").alias("vid"), F.bool_or("asked").alias("vector_asked"), F.count("*").alias("copies"))
     named = written(given.join(vectors, "embedding"), "named")
     by = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy("unit_id"))
     # of equal vectors the first 2 k units, and of one memory the first k of them
     some = named.withColumn("own", by("vid", "memory_id")).where(F.col("own") <= k).withColumn("turn", by("vid")).where(F.col("turn") <= 2 * k)
-    chosen = [r.embedding for r in vectors.orderBy(F.xxhash64("vid"), "vid").limit(pivots).select("embedding").collect()]
+    pivots = pivots or min(PIVOTS, 1 + named.count() // 1_024)
+    chosen = [r.embedding for r in named.where("vid = unit_id").orderBy(F.xxhash64("vid"), "vid").limit(pivots).select("embedding").collect()]
     if not chosen:
         return spark.createDataFrame([], "anchor_id long, unit_id long, distance double, rank int, evaluated long")
     centres = spark.sparkContext.broadcast(np.array(chosen, float))

@@ -109,6 +109,7 @@ def scan_candidates(spark, sf):
     live = written(_scan_units(spark, sf), "live")
     near = nearest_units(live.select("unit_id", "memory_id", "embedding", (F.col("kind") == "text").alias("asked")), SCAN_NEIGHBOURS)
     texts = live.where("kind = 'text'").select("unit_id", "memory_id", "version", "text", "start_offset", "end_offset", "content_hash")
+    texts = texts.repartition(max(live.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))  # few rows, much work
     found = D.scan_candidates(written(D.featured(texts), "texts"), near.select("anchor_id", "unit_id", "distance"), recorded_groups(spark, sf), similar_too=True)
     return found.select("x", "y", "state", "reasons", F.round("distance", 6).alias("distance"), "members")
 
