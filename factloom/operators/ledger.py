@@ -158,52 +158,3 @@ def conflict_steps(conflicts: DataFrame, requests: DataFrame) -> DataFrame:
     """
     state = conflicts.select("conflict_id", "status", "revision", "members", F.col("members").alias("pending"))
     return fold_log(state, requests, "conflict_id", review_step, _STEP)
-
-
-_RECORD = T.StructType([T.StructField("outcome", T.StringType()), T.StructField("revision_after", T.IntegerType())])
-
-
-def record_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
-    """One request to record a conflict of a slot; the state is the slot's group, if it has one."""
-    members, values = set(e["refs"] or ()), set(e["values"] or ())
-    if e["problem"] is not None:
-        return state, (e["problem"], None)
-    if state is not None and state["status"] in ("open", "applying"):
-        now = state["revision"]
-        if not e["is_conflict"]:
-            return state, ("open_group_exists", now)
-        if e["expect_revision"] is not None and e["expect_revision"] != now:
-            return state, ("stale_conflict", now)
-        if state["status"] == "applying":
-            return state, ("applying", now)
-        if members <= state["refs"] if e["expect_revision"] is not None else members == state["refs"]:
-            return state, ("deduped", now)
-        if e["expect_revision"] is None:
-            return state, ("stale_conflict", now)
-        return {**state, "refs": state["refs"] | members, "values": state["values"] | values, "revision": now + 1}, ("appended", now + 1)
-    if e["expect_revision"] is not None:
-        return state, ("stale_conflict", None)
-    if state is not None and members == state["refs"]:
-        return state, ("deduped", state["revision"])
-    if e["is_conflict"] and len(values) < 2:
-        return state, ("invalid_input", None)
-    return {"status": "open" if e["is_conflict"] else "not_a_conflict", "revision": 1, "refs": members, "values": values}, ("inserted", 1)
-
-
-def record_conflicts(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(seq, slot, members of (memory_id, version, value), is_conflict, expect_revision) with outcome and revision_after.
-
-    Members must be there in the version given and of one workspace; a slot of a workspace has one
-    group at a time, which grows by requests that name its revision.  A request with what a group
-    holds already is a duplicate.
-    """
-    member = requests.select("seq", F.explode_outer("members").alias("m"))
-    live = records.select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "ws")
-    found = member.join(live, (F.col("m.memory_id") == F.col("m_id")) & (F.col("m.version") == F.col("m_version")), "left")
-    told = found.groupBy("seq").agg(F.count("m").alias("given"), F.count("ws").alias("known"), F.count_distinct("ws").alias("spaces"), F.min("ws").alias("ws"))
-    problem = F.when(F.col("given") == 0, "invalid_input").when(F.col("known") < F.col("given"), "stale_snapshot").when(F.col("spaces") > 1, "workspace_mismatch")
-    ref = lambda m: F.concat_ws("@", m["memory_id"].cast("string"), m["version"].cast("string"))
-    log = requests.join(told, "seq").withColumns({"problem": problem, "refs": F.transform("members", ref), "values": F.transform("members", lambda m: m["value"])})
-    log = log.withColumn("key", F.when(F.col("problem").isNull(), F.concat_ws("/", "ws", "slot")).otherwise(F.concat(F.lit("?"), F.col("seq").cast("string"))))
-    none = records.select(F.lit("").alias("key")).limit(0)
-    return fold_log(none, log, "key", record_step, _RECORD).select(*requests.columns, *_RECORD.names)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators import groups as Q
 from factloom.operators import ledger as G
 from factloom.operators import pairs as D
 from factloom.operators import vector as V
 from factloom.operators import workspace as W
-from factloom.operators.segment import segment
 from factloom.operators.nearest import nearest_units
+from factloom.operators.segment import segment
 from factloom.plans.registry import query
 from factloom.sources.commits import written
 from factloom.sources.views import CONFLICTS_SQL, MEMORIES_SQL, conflicts, memories, table, units
@@ -250,32 +251,39 @@ def conflict_steps(spark, sf):
     return G.conflict_steps(conflicts(spark, sf), q).select("seq", "conflict_id", "action", "outcome", "revision_after")
 
 
-_RECORDS = """q AS (SELECT event_id AS seq, 'slot' || user_id % 5 AS slot, user_id % 30 + 1 AS a, user_id % 30 + 21 + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS b, user_id % 30 + 41 AS c, event_id % 4 = 0 AS three,
- CAST((user_id % 30) % 3 + 1 + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS INTEGER) AS va, event_id % 6 <> 5 AS is_conflict, CASE WHEN event_id % 3 = 0 THEN CAST(1 + event_id // 3 % 3 AS INTEGER) END AS expect_revision, event_id % 19 = 0 AS alike FROM events),
-k AS (SELECT q.*, CASE WHEN x.id IS NULL OR y.id IS NULL OR (three AND z.id IS NULL) THEN 'stale_snapshot' WHEN x.ws <> y.ws OR (three AND x.ws <> z.ws) THEN 'workspace_mismatch' END AS problem, x.ws,
+# Requests of a few slots of a workspace, some without a slot, of old versions, of other workspaces' memories or of one value, by two detectors.
+_RECORDS = """q AS (SELECT event_id AS seq, CASE WHEN event_id % 23 <> 0 THEN 'slot' || event_id % 3 END AS slot, user_id % 30 + 1 AS a, user_id % 30 + 21 + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS b, user_id % 30 + 41 AS c, event_id % 4 = 0 AS three,
+ CAST((user_id % 30) % 3 + 1 + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS INTEGER) AS va, event_id % 6 < 4 AS is_conflict, CASE WHEN event_id % 5 < 2 THEN CAST(1 + event_id // 5 % 3 AS INTEGER) END AS expect, event_id % 19 = 0 AS alike, 'd' || CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END AS det FROM events),
+r AS (SELECT q.*, CASE WHEN is_conflict AND slot IS NULL THEN 'invalid_slot_key' WHEN x.id IS NULL OR y.id IS NULL OR (three AND z.id IS NULL) THEN 'stale_snapshot' WHEN x.ws <> y.ws OR (three AND x.ws <> z.ws) THEN 'workspace_mismatch' END AS problem, x.ws,
  list_sort(CASE WHEN three THEN [a || '@' || va, b || '@' || y.version, c || '@' || z.version] ELSE [a || '@' || va, b || '@' || y.version] END) AS refs FROM q LEFT JOIN m x ON x.id = a AND x.version = va LEFT JOIN m y ON y.id = b LEFT JOIN m z ON z.id = c),
-o AS (SELECT *, row_number() OVER (PARTITION BY ws, slot ORDER BY seq) AS n FROM k WHERE problem IS NULL),
-w AS (SELECT DISTINCT ws, slot, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INTEGER) AS revision, CAST([] AS VARCHAR[]) AS refs, CAST(NULL AS VARCHAR) AS outcome FROM o
- UNION ALL SELECT ws, slot, n, seq, CASE WHEN outcome = 'inserted' THEN CASE WHEN is_conflict THEN 'open' ELSE 'not_a_conflict' END ELSE status END,
-  CASE outcome WHEN 'inserted' THEN 1 WHEN 'appended' THEN revision + 1 ELSE revision END, CASE outcome WHEN 'inserted' THEN new WHEN 'appended' THEN list_sort(list_distinct(list_concat(refs, new))) ELSE refs END, outcome FROM (
-  SELECT o.ws, o.slot, o.n, o.seq, o.is_conflict, w.status, w.revision, w.refs, o.refs AS new, CASE WHEN w.status = 'open' THEN CASE WHEN NOT o.is_conflict THEN 'open_group_exists' WHEN o.expect_revision <> w.revision THEN 'stale_conflict'
-    WHEN o.expect_revision IS NULL THEN CASE WHEN o.refs = w.refs THEN 'deduped' ELSE 'stale_conflict' END WHEN list_has_all(w.refs, o.refs) THEN 'deduped' ELSE 'appended' END
-   WHEN o.expect_revision IS NOT NULL THEN 'stale_conflict' WHEN o.refs = w.refs THEN 'deduped' WHEN o.is_conflict AND o.alike THEN 'invalid_input' ELSE 'inserted' END AS outcome
-  FROM w JOIN o ON o.ws = w.ws AND o.slot = w.slot AND o.n = w.n + 1))"""
-
-
-@query("conflict_records", f"""WITH RECURSIVE {MEMORIES_SQL}, {_RECORDS} SELECT k.seq, k.slot, coalesce(k.problem, w.outcome) AS outcome,
- CASE WHEN w.outcome IN ('inserted', 'appended', 'deduped', 'open_group_exists') OR (w.outcome = 'stale_conflict' AND w.status = 'open') THEN w.revision END AS revision_after FROM k LEFT JOIN w ON w.seq = k.seq""")
+o AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY seq) AS n FROM r WHERE problem IS NULL),
+w AS (SELECT DISTINCT ws, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS grp, CAST(NULL AS INTEGER) AS rev,
+  CAST([] AS STRUCT(g VARCHAR, slot VARCHAR, active BOOLEAN, rev INTEGER, det VARCHAR, refs VARCHAR[])[]) AS gs FROM o
+ UNION ALL SELECT ws, n, seq, outcome,
+  CASE WHEN outcome = 'inserted' THEN 'r' || seq WHEN outcome = 'duplicate_event' THEN coalesce(e2.g, e1.g) WHEN outcome = 'deduped' THEN CASE WHEN act.g IS NULL OR expect IS NULL THEN twin.g WHEN list_has_all(act.refs, refs) THEN act.g ELSE other.g END WHEN outcome = 'invalid_input' THEN NULL ELSE act.g END,
+  CASE WHEN outcome = 'inserted' THEN 1 WHEN outcome = 'appended' THEN act.rev + 1 WHEN outcome = 'duplicate_event' THEN coalesce(e2.rev, e1.rev) WHEN outcome = 'deduped' THEN CASE WHEN act.g IS NULL OR expect IS NULL THEN twin.rev WHEN list_has_all(act.refs, refs) THEN act.rev ELSE other.rev END WHEN outcome = 'invalid_input' THEN NULL ELSE act.rev END,
+  CASE outcome WHEN 'inserted' THEN list_append(gs, {'g': 'r' || seq, 'slot': slot, 'active': is_conflict, 'rev': CAST(1 AS INTEGER), 'det': det, 'refs': refs})
+   WHEN 'appended' THEN list_append(list_filter(gs, lambda x: x.g <> act.g), {'g': act.g, 'slot': slot, 'active': true, 'rev': CAST(act.rev + 1 AS INTEGER), 'det': det, 'refs': combined}) ELSE gs END
+  FROM (SELECT *, CASE WHEN act.g IS NOT NULL THEN CASE WHEN NOT is_conflict THEN 'open_group_exists' WHEN expect <> act.rev THEN 'stale_conflict' WHEN expect IS NULL THEN CASE WHEN twin.g IS NULL THEN 'stale_conflict' ELSE 'deduped' END
+     WHEN list_has_all(act.refs, refs) THEN 'deduped' WHEN other.g <> act.g THEN 'deduped' WHEN e2.g <> act.g THEN 'duplicate_event' ELSE 'appended' END
+    WHEN twin.g IS NOT NULL THEN 'deduped' WHEN expect IS NOT NULL THEN 'stale_conflict' WHEN is_conflict AND alike THEN 'invalid_input' WHEN e1.g IS NOT NULL THEN 'duplicate_event' ELSE 'inserted' END AS outcome
+   FROM (SELECT *, list_filter(gs, lambda x: x.det = det AND x.refs = combined)[1] AS other, CASE WHEN act.g IS NOT NULL THEN list_filter(gs, lambda x: x.slot = slot AND x.refs = combined)[1] END AS e2
+    FROM (SELECT *, list_sort(list_distinct(list_concat(act.refs, refs))) AS combined
+     FROM (SELECT o.*, w.gs, list_filter(w.gs, lambda x: x.slot = o.slot AND x.active)[1] AS act, list_filter(w.gs, lambda x: x.det = o.det AND x.refs = o.refs)[1] AS twin, list_filter(w.gs, lambda x: x.slot = o.slot AND x.refs = o.refs)[1] AS e1
+      FROM w JOIN o ON o.ws = w.ws AND o.n = w.n + 1)))))"""
+
+
+@query("conflict_records", f"""WITH RECURSIVE {MEMORIES_SQL}, {_RECORDS} SELECT r.seq, r.slot, coalesce(r.problem, w.outcome) AS outcome, w.grp AS "group", w.rev AS revision_after FROM r LEFT JOIN w ON w.seq = r.seq""")
 def conflict_records(spark, sf):
     k, u = F.col("event_id"), F.col("user_id") % 30
     m = memories(spark, sf)
-    alike = k % 19 == 0
     ids = table(spark, sf, "events").select(
-        k.alias("seq"), F.concat(F.lit("slot"), (F.col("user_id") % 5).cast("string")).alias("slot"), (u + 1).alias("a"), (u + 21 + F.when(k % 17 == 0, 1).otherwise(0)).alias("b"), (u + 41).alias("c"), (k % 4 == 0).alias("three"),
-        (u % 3 + 1 + F.when(k % 13 == 0, 1).otherwise(0)).cast("int").alias("va"), (k % 6 != 5).alias("is_conflict"), F.when(k % 3 == 0, F.floor(k / 3) % 3 + 1).cast("int").alias("expect_revision"), alike.alias("alike"))
+        k.alias("seq"), F.when(k % 23 != 0, F.concat(F.lit("slot"), (k % 3).cast("string"))).alias("slot"), (u + 1).alias("a"), (u + 21 + F.when(k % 17 == 0, 1).otherwise(0)).alias("b"), (u + 41).alias("c"), (k % 4 == 0).alias("three"),
+        (u % 3 + 1 + F.when(k % 13 == 0, 1).otherwise(0)).cast("int").alias("va"), (k % 6 < 4).alias("is_conflict"), F.when(k % 5 < 2, F.floor(k / 5) % 3 + 1).cast("int").alias("expect_revision"), (k % 19 == 0).alias("alike"),
+        F.concat(F.lit("d"), F.when(k % 7 == 0, "2").otherwise("1")).alias("detector"))
     version = lambda name: m.select(F.col("id").alias(name), F.col("version").alias(f"v{name}"))
     j = ids.join(version("b"), "b", "left").join(version("c"), "c", "left")
-    one = lambda i, v, value: F.struct(F.col(i).alias("memory_id"), F.coalesce(v, F.lit(-1)).alias("version"), F.when(F.col("alike"), "x").otherwise(value).alias("value"))
+    one = lambda i, v, value: F.struct(F.col(i).alias("memory_id"), F.coalesce(v, F.lit(-1)).alias("version"), F.when(F.col("alike"), "x").otherwise(value).alias("value"), F.lit("").alias("evidence"))
     two = F.array(one("a", "va", "x"), one("b", "vb", "y"))
-    requests = j.select("seq", "slot", F.when(F.col("three"), F.concat(two, F.array(one("c", "vc", "z")))).otherwise(two).alias("members"), "is_conflict", "expect_revision")
-    return G.record_conflicts(m, requests).select("seq", "slot", "outcome", "revision_after")
+    requests = j.select("seq", "slot", F.when(F.col("three"), F.concat(two, F.array(one("c", "vc", "z")))).otherwise(two).alias("members"), "is_conflict", "expect_revision", "detector")
+    return Q.record_conflicts(m, requests).select("seq", "slot", "outcome", "group", "revision_after")

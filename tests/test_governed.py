@@ -97,16 +97,3 @@ def test_write_time_notices(spark, tmp_path):
     S.notice_stream(spark.readStream.schema(schema).parquet(source), published, str(tmp_path / "out"), str(tmp_path / "cp"), k=4).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("place").collect()
     assert [(x.anchor, x.peer, x.action, x.reason, x.place) for x in got] == [(30, 10, "check", "numeric_value_candidate", 1), (30, 11, "check", "numeric_value_candidate", 2)]
-
-
-def test_a_slot_has_one_group_that_grows_by_revision(spark):
-    records = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 1, "b")], "id long, version int, ws string")
-    m = lambda *x: [(i, v, f"v{i}") for i, v in x]
-    steps = [
-        (m((1, 1), (2, 1)), True, 1), (m((1, 1), (2, 1)), False, None), (m((1, 1), (2, 1)), False, None), (m((1, 1)), True, None), (m((1, 1), (3, 2)), True, None), (m((1, 1), (3, 2)), True, None),
-        (m((2, 1)), True, None), (m((2, 1)), True, 2), (m((2, 1)), True, 1), (m((3, 2)), True, 2), (m((3, 2)), False, None), (m((1, 1), (4, 1)), True, None), (m((1, 2)), True, None), ([], True, None)]
-    requests = spark.createDataFrame([(i, "s", *s) for i, s in enumerate(steps)], "seq long, slot string, members array<struct<memory_id:long,version:int,value:string>>, is_conflict boolean, expect_revision int")
-    got = [(r.outcome, r.revision_after) for r in G.record_conflicts(records, requests).orderBy("seq").collect()]
-    assert got == [
-        ("stale_conflict", None), ("inserted", 1), ("deduped", 1), ("invalid_input", None), ("inserted", 1), ("deduped", 1),
-        ("stale_conflict", 1), ("stale_conflict", 1), ("appended", 2), ("deduped", 2), ("open_group_exists", 2), ("workspace_mismatch", None), ("stale_snapshot", None), ("invalid_input", None)]
