@@ -123,38 +123,3 @@ def publish_units(current: DataFrame, published: DataFrame, new: DataFrame) -> D
 def rename_workspace(records: DataFrame, old: str, new: str) -> DataFrame:
     swap = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c))
     return records.withColumns({c: swap(c) for c in ("workspace", "workspace_canonical", "ws")})
-
-
-_STEP = T.StructType([T.StructField("outcome", T.StringType()), T.StructField("revision_after", T.IntegerType())])
-
-
-def review_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
-    """One request on a conflict: judge, apply (to one member), replan or resolve, each pinned to a revision."""
-    action, needed = e["action"], "open" if e["action"] == "judge" else "applying"
-    if state is None:
-        return state, ("missing", None)
-    if state["status"] != needed:
-        return state, (f"not_{needed}", None)
-    if e["revision"] != state["revision"]:
-        return state, ("stale_conflict", None)
-    if action == "apply":
-        if e["memory_id"] not in state["pending"]:
-            return state, ("invalid_action", None)
-        change, outcome = {"pending": [m for m in state["pending"] if m != e["memory_id"]]}, "completed"
-    elif action == "resolve":
-        if state["pending"]:
-            return state, ("apply_incomplete", None)
-        change, outcome = {"status": "resolved"}, "resolved"
-    else:  # judge and replan put all members back on the plan
-        change, outcome = {"status": "applying", "pending": state["members"]}, "applying" if action == "judge" else "replanned"
-    return {**state, **change, "revision": state["revision"] + 1}, (outcome, state["revision"] + 1)
-
-
-def conflict_steps(conflicts: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests(seq, conflict_id, action, revision, memory_id) with outcome and, of those that had effect, revision_after.
-
-    judge turns an open conflict into one being applied, with every member on its plan; apply takes
-    one member off the plan; replan puts all back; resolve ends a conflict whose plan is done.
-    """
-    state = conflicts.select("conflict_id", "status", "revision", "members", F.col("members").alias("pending"))
-    return fold_log(state, requests, "conflict_id", review_step, _STEP)

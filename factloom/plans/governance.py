@@ -8,6 +8,7 @@ from factloom.functions import text as X
 from factloom.operators import groups as Q
 from factloom.operators import ledger as G
 from factloom.operators import pairs as D
+from factloom.operators import review as A
 from factloom.operators import vector as V
 from factloom.operators import workspace as W
 from factloom.operators.nearest import nearest_units
@@ -227,28 +228,58 @@ def workspace_rename(spark, sf):
     return G.rename_workspace(memories(spark, sf), "src4", "src3").groupBy("ws").agg(F.count("*").alias("n"))
 
 
-_REQUESTS = """q AS (SELECT event_id AS seq, user_id * 11 AS conflict_id, (['judge', 'apply', 'apply', 'resolve', 'apply', 'replan', 'resolve'])[event_id % 7 + 1] AS action,
- CAST(1 + event_id % 9 AS INTEGER) AS revision, user_id * 11 + 1 + event_id % 3 AS memory_id FROM events)"""
-
-
-@query("conflict_steps", f"""WITH RECURSIVE {CONFLICTS_SQL}, {_REQUESTS}, o AS (SELECT *, row_number() OVER (PARTITION BY conflict_id ORDER BY seq) AS k FROM q),
-w AS (SELECT conflict_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, status, revision, members, members AS pending, CAST(NULL AS VARCHAR) AS outcome FROM c
- UNION ALL SELECT conflict_id, k, seq, CASE outcome WHEN 'applying' THEN 'applying' WHEN 'resolved' THEN 'resolved' ELSE status END,
-  CASE WHEN outcome IN ('applying', 'completed', 'replanned', 'resolved') THEN revision + 1 ELSE revision END, members,
-  CASE WHEN outcome IN ('applying', 'replanned') THEN members WHEN outcome = 'completed' THEN list_filter(pending, lambda x: x <> memory_id) ELSE pending END, outcome FROM (
-  SELECT w.conflict_id, o.k, o.seq, w.status, w.revision, w.members, w.pending, o.memory_id,
-   CASE WHEN o.action = 'judge' AND w.status <> 'open' THEN 'not_open' WHEN o.action <> 'judge' AND w.status <> 'applying' THEN 'not_applying' WHEN o.revision <> w.revision THEN 'stale_conflict'
-    WHEN o.action = 'judge' THEN 'applying' WHEN o.action = 'replan' THEN 'replanned' WHEN o.action = 'apply' THEN CASE WHEN list_contains(w.pending, o.memory_id) THEN 'completed' ELSE 'invalid_action' END
-    WHEN len(w.pending) > 0 THEN 'apply_incomplete' ELSE 'resolved' END AS outcome
-  FROM w JOIN o ON o.conflict_id = w.conflict_id AND o.k = w.k + 1))
-SELECT q.seq, q.conflict_id, q.action, coalesce(w.outcome, 'missing') AS outcome, CASE WHEN w.outcome IN ('applying', 'completed', 'replanned', 'resolved') THEN w.revision END AS revision_after
-FROM q LEFT JOIN w ON w.seq = q.seq""")
+# Requests on conflicts and edits of their first members: a revision that is often right, plans of one or two members, values that stand in what is written or not.
+_STEPS = """q AS (SELECT event_id AS seq, user_id * 11 AS conflict_id, CASE WHEN event_id % 48 = 4 THEN 'edit' ELSE (['judge', 'apply', 'apply', 'resolve', 'judge', 'apply', 'replan', 'apply'])[event_id % 8 + 1] END AS action, CAST(event_id % 4 + 1 AS INTEGER) AS revision,
+  (['alpha', 'BETA', 'gamma'])[event_id // 8 % 3 + 1] AS chosen, event_id % 3 = 0 AS two, (['update_current_claim', 'preserve_historical_record', 'append_superseded_context', 'needs_authorization'])[event_id // 8 % 4 + 1] AS act,
+  CASE WHEN event_id % 48 = 4 THEN user_id * 11 + 1 ELSE user_id * 11 + 1 + event_id // 16 % 2 END AS memory_id, 'now it is ' || (['alpha', 'beta', 'delta'])[event_id % 3 + 1] AS content, event_id % 9 <> 0 AS authorized FROM events),
+cc AS (SELECT c.conflict_id, c.ws, c.status, c.revision, list_transform(members, lambda i: CAST(i AS BIGINT)) AS members FROM c),
+mm AS (SELECT conflict_id, unnest(members) AS id FROM cc),
+st AS (SELECT mm.conflict_id, list({'id': m.id, 'ver': m.version, 'rec': m.version + CASE WHEN mm.conflict_id % 2 = 1 AND m.id % 11 = 2 THEN 1 ELSE 0 END, 'live': m.status = 'active' AND m.ws = cc.ws, 'active': m.status = 'active', 'guarded': m.protection_level = 'locked' OR m.source_type = 'user_confirmed'} ORDER BY m.id) AS recs
+  FROM mm JOIN cc USING (conflict_id) JOIN m ON m.id = mm.id GROUP BY mm.conflict_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY conflict_id ORDER BY seq) AS k FROM q),
+w AS (SELECT conflict_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, status, revision, recs, CAST(NULL AS VARCHAR) AS val, CAST([] AS STRUCT(id BIGINT, act VARCHAR, st VARCHAR, ver INTEGER)[]) AS plan, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS INTEGER) AS ver_after FROM cc JOIN st USING (conflict_id)
+ UNION ALL SELECT conflict_id, k, seq, CASE outcome WHEN 'applying' THEN 'applying' WHEN 'resolved' THEN 'resolved' ELSE status END, CASE WHEN outcome IN ('applying', 'replanned', 'completed', 'apply_failed', 'resolved') THEN revision + 1 ELSE revision END,
+  CASE WHEN edits THEN list_transform(recs, lambda x: CASE WHEN x.id = memory_id THEN {'id': x.id, 'ver': CAST(x.ver + 1 AS INTEGER), 'rec': x.rec, 'live': x.live, 'active': x.active, 'guarded': x.guarded} ELSE x END) ELSE recs END,
+  CASE outcome WHEN 'applying' THEN lower(chosen) ELSE val END,
+  CASE WHEN outcome IN ('applying', 'replanned') THEN list_transform(want, lambda x: {'id': x.id, 'act': x.act, 'st': 'pending', 'ver': list_filter(recs, lambda r: r.id = x.id)[1].ver})
+   WHEN outcome IN ('completed', 'apply_failed') THEN list_transform(plan, lambda x: CASE WHEN x.id = memory_id THEN {'id': x.id, 'act': x.act, 'st': outcome, 'ver': x.ver} ELSE x END) ELSE plan END,
+  outcome, CASE WHEN edits THEN CAST(rec.ver + 1 AS INTEGER) END FROM (
+  SELECT *, outcome = 'applied' OR (outcome IN ('completed', 'apply_failed') AND act IN ('update_current_claim', 'append_superseded_context')) AS edits FROM (
+  SELECT *, CASE
+    WHEN action = 'edit' THEN CASE WHEN rec.id IS NULL THEN 'missing' WHEN NOT rec.active THEN 'not_active' WHEN rec.guarded AND NOT authorized THEN 'protected' ELSE 'applied' END
+    WHEN action IN ('apply', 'replan') AND NOT authorized THEN 'unauthorized' WHEN action = 'judge' AND status <> 'open' THEN 'not_open' WHEN action <> 'judge' AND status <> 'applying' THEN 'not_applying' WHEN revision <> asked THEN 'stale_conflict'
+    WHEN action = 'judge' THEN CASE WHEN chosen = 'gamma' THEN 'invalid_chosen_value' WHEN len(list_filter(want, lambda x: NOT coalesce(list_filter(recs, lambda r: r.id = x.id)[1].live AND list_filter(recs, lambda r: r.id = x.id)[1].ver = list_filter(recs, lambda r: r.id = x.id)[1].rec, false))) > 0 THEN 'stale_member' ELSE 'applying' END
+    WHEN action = 'replan' THEN CASE WHEN len(list_filter(want, lambda x: NOT coalesce(list_filter(recs, lambda r: r.id = x.id)[1].live, false))) > 0 THEN 'invalid_plan' ELSE 'replanned' END
+    WHEN action = 'apply' THEN CASE WHEN own.id IS NULL OR own.act <> act OR own.st <> 'pending' THEN 'invalid_action' WHEN rec.ver <> own.ver THEN 'stale_member' WHEN act = 'needs_authorization' THEN 'apply_failed' WHEN act = 'update_current_claim' AND NOT contains(content, val) THEN 'apply_failed' ELSE 'completed' END
+    WHEN len(list_filter(plan, lambda x: x.st <> 'completed')) > 0 THEN 'apply_incomplete' ELSE 'resolved' END AS outcome
+  FROM (SELECT w.conflict_id, o.k, o.seq, w.status, w.revision, w.recs, w.val, w.plan, o.action, o.revision AS asked, o.chosen, o.act, o.memory_id, o.content, o.authorized,
+    CASE WHEN o.two THEN [{'id': w.conflict_id + 1, 'act': o.act}, {'id': w.conflict_id + 2, 'act': 'preserve_historical_record'}] ELSE [{'id': w.conflict_id + 1, 'act': o.act}] END AS want,
+    list_filter(w.recs, lambda r: r.id = o.memory_id)[1] AS rec, list_filter(w.plan, lambda x: x.id = o.memory_id)[1] AS own FROM w JOIN o ON o.conflict_id = w.conflict_id AND o.k = w.k + 1))))"""
+
+
+@query("conflict_steps", f"""WITH RECURSIVE {MEMORIES_SQL}, {CONFLICTS_SQL}, {_STEPS} SELECT q.seq, q.conflict_id, q.action,
+ CASE WHEN w.seq IS NOT NULL THEN w.outcome WHEN q.action IN ('apply', 'replan') AND NOT q.authorized THEN 'unauthorized' ELSE 'not_found' END AS outcome,
+ CASE WHEN w.outcome IN ('applying', 'replanned', 'completed', 'apply_failed', 'resolved') THEN w.revision END AS revision_after, w.ver_after AS version_after FROM q LEFT JOIN w ON w.seq = q.seq 
+WHERE w.seq IS NOT NULL OR q.action <> 'edit'""")
 def conflict_steps(spark, sf):
     k = F.col("event_id")
-    action = F.get(X.strings(["judge", "apply", "apply", "resolve", "apply", "replan", "resolve"]), (k % 7).cast("int"))
-    owner = F.col("user_id") * 11
-    q = table(spark, sf, "events").select(k.alias("seq"), owner.alias("conflict_id"), action.alias("action"), (k % 9 + 1).cast("int").alias("revision"), (owner + 1 + k % 3).alias("memory_id"))
-    return G.conflict_steps(conflicts(spark, sf), q).select("seq", "conflict_id", "action", "outcome", "revision_after")
+    m = memories(spark, sf)
+    c = conflicts(spark, sf)
+    member = c.select("conflict_id", F.explode("members").alias("id")).join(m.select("id", "version"), "id")
+    moved = F.when((F.col("conflict_id") % 2 == 1) & (F.col("id") % 11 == 2), 1).otherwise(0)
+    refs = member.groupBy("conflict_id").agg(F.collect_list(F.struct(F.col("id").alias("memory_id"), (F.col("version") + moved).cast("int").alias("version"))).alias("members"))
+    given = c.drop("members").join(refs, "conflict_id").withColumn("values", X.strings(["alpha", "beta"]))
+    pick = lambda values, at: F.get(X.strings(values), at.cast("int"))
+    lot, owner = F.floor(k / 8), F.col("user_id") * 11
+    act = pick([*A.ACTIONS[:1], "preserve_historical_record", "append_superseded_context", "needs_authorization"], lot % 4)
+    first = F.struct((owner + 1).alias("memory_id"), act.alias("action"))
+    second = F.struct((owner + 2).alias("memory_id"), F.lit("preserve_historical_record").alias("action"))
+    action = F.when(k % 48 == 4, "edit").otherwise(pick(["judge", "apply", "apply", "resolve", "judge", "apply", "replan", "apply"], k % 8))
+    events = table(spark, sf, "events").select(
+        k.alias("seq"), owner.alias("conflict_id"), action.alias("action"), (k % 4 + 1).cast("int").alias("revision"), pick(["alpha", "BETA", "gamma"], lot % 3).alias("chosen_value"), F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("plan"),
+        F.when(k % 48 == 4, owner + 1).otherwise(owner + 1 + F.floor(k / 16) % 2).alias("memory_id"), act.alias("step"), F.concat(F.lit("now it is "), pick(["alpha", "beta", "delta"], k % 3)).alias("content"), (k % 9 != 0).alias("authorized"))
+    events = events.join(given.select("conflict_id", F.lit(True).alias("there")), "conflict_id", "left").where("there or action <> 'edit'").drop("there")
+    return A.conflict_steps(given, m, events).select("seq", "conflict_id", "action", "outcome", "revision_after", "version_after")
 
 
 # Requests of a few slots of a workspace, some without a slot, of old versions, of other workspaces' memories or of one value, by two detectors.

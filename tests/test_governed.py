@@ -41,14 +41,6 @@ def test_edit_sees_what_the_one_before_it_left(spark):
     assert {r.id: r.content for r in G.current_state(records, out).collect()} == {1: "port 1", 2: "b"}
 
 
-def test_review_sees_what_the_request_before_it_left(spark):
-    conflicts = spark.createDataFrame([(1, "open", 1, [5, 6]), (2, "resolved", 3, [7])], "conflict_id long, status string, revision int, members array<long>")
-    steps = [(1, "resolve", 1, None), (1, "judge", 2, None), (1, "judge", 1, None), (1, "judge", 2, None), (1, "resolve", 2, None), (1, "apply", 2, 5), (1, "apply", 2, 6), (1, "apply", 3, 5), (1, "replan", 3, None), (1, "apply", 4, 6), (1, "apply", 5, 5), (1, "resolve", 6, None), (2, "judge", 3, None), (3, "judge", 1, None)]
-    requests = spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "seq long, conflict_id long, action string, revision int, memory_id long")
-    got = [(r.outcome, r.revision_after) for r in G.conflict_steps(conflicts, requests).orderBy("seq").collect()]
-    assert got == [("not_applying", None), ("stale_conflict", None), ("applying", 2), ("not_open", None), ("apply_incomplete", None), ("completed", 3), ("stale_conflict", None), ("invalid_action", None), ("replanned", 4), ("completed", 5), ("completed", 6), ("resolved", 7), ("not_open", None), ("missing", None)]
-
-
 def test_replay(spark):
     lines = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, "b", False), (4, "c", True)], "line_no long, replay_key string, valid boolean")
     known = spark.createDataFrame([("c",)], "replay_key string")
