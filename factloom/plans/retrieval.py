@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.operators import lexical as L
 from factloom.operators import ranking as R
 from factloom.operators import vector as V
+from factloom.operators.postings import PostingsIndex, ranked_by_bm25
 from factloom.plans.registry import query
+from factloom.sources.commits import shared_folder
 from factloom.sources.views import MEMORIES_SQL, UNITS_SQL, memories, table, units
 
 M = "WITH " + MEMORIES_SQL + ", t AS (SELECT *, array_to_string(tags, ' ') AS tags_text FROM m)"
@@ -53,6 +57,17 @@ def bm25_rank(spark, sf):
     return _lexical(spark, sf)
 
 
+@query("postings_bm25", f"{_BM25} SELECT id, rank, bm25 FROM lex WHERE rank <= 50")
+def postings_bm25(spark, sf):
+    """The same ranking from an index of trigrams with places that is built here."""
+    m = L.with_tags_text(memories(spark, sf))
+    index = PostingsIndex(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    index.publish(m.select("id", "content", "tags_text", "subject"))
+    live = m.where("status in ('active', 'superseded')").select("id", "status", "content", "tags_text", "subject", "event_time", "ingest_time")
+    hits = index.bm25(GROUPS).withColumn("bm25", F.round("bm25", 6))
+    return ranked_by_bm25(live, hits, TEXT, limit=50).select("id", F.col("place").alias("rank"), F.col("score").alias("bm25"))
+
+
 _LIKE = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%{p}%'"
 
 
