@@ -19,6 +19,7 @@ from factloom.operators.groups import MOST_MEMBERS, canonical
 from factloom.operators.ledger import edit_step, fold_log
 from factloom.operators.links import components
 from factloom.operators.pairs import PIECE
+from factloom.sources.commits import written
 
 #: What a plan may do with a member, and the most characters of a plan as JSON.
 ACTIONS = ("update_current_claim", "append_superseded_context", "preserve_historical_record", "use_as_resolution", "needs_authorization")
@@ -203,7 +204,10 @@ def conflict_steps(conflicts: DataFrame, records: DataFrame, events: DataFrame)
     whole = components(edges.unionByName(edited).distinct())
     own = lambda df, node: df.withColumn("node", node).join(whole, "node").drop("node")
     held = own(conflicts.select("conflict_id", "ws", "status", "revision", "members", "values"), c(F.col("conflict_id")))
-    kept = own(records.select("id", "version", "ws", "status", "protection_level", "source_type", "content"), r(F.col("id")))
+    kept = own(records.select("id", "version", "ws", "status", "protection_level", "source_type"), r(F.col("id")))
+    # contents of those records alone that some event may edit or quote, in a table so that its size is known
+    named = written(given.where("action in ('apply', 'edit')").select(F.col("memory_id").alias("id")).distinct(), "named")
+    kept = kept.join(records.select("id", "content").join(named, "id", "left_semi"), "id", "left")
     listed = lambda df, name: df.groupBy("component").agg(F.collect_list(F.struct(*[x for x in df.columns if x != "component"])).alias(name))
     state = listed(held, "conflicts").join(listed(kept, "records"), "component", "full")
     node = F.when(F.col("action") == "edit", r(F.col("memory_id"))).otherwise(c(F.col("conflict_id")))
