@@ -182,7 +182,7 @@ def review_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
     return state, (outcome, new["revision"], version, _plan(new), content)
 
 
-def conflict_steps(conflicts: DataFrame, records: DataFrame, events: DataFrame) -> DataFrame:
+def conflict_steps(conflicts: DataFrame, records: DataFrame, events: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """events with outcome, revision_after, version_after, plan_after (canonical JSON, with the plans before it) and content_after.
 
     conflicts(conflict_id, ws, status, revision, members of (memory_id, version), values), records(id, version, ws, status,
@@ -190,7 +190,7 @@ def conflict_steps(conflicts: DataFrame, records: DataFrame, events: DataFrame)
     each of some members, in their present version; apply does one step of it; replan puts another plan in its place
     and keeps the old ones; resolve ends a conflict whose steps are all completed; edit is an edit of a record from
     elsewhere.  A step that edits counts as completed only if the chosen value then stands in the record; otherwise it has
-    failed, with the edit kept.  A record that has moved on makes a step stale, and a resolution that has, the conflict's end.
+    failed, with the edit kept.  contents(id, content) may lie apart from the records.  A record that has moved on makes a step stale, and a resolution that has, the conflict's end.
     """
     given = events
     for name, kind in EVENTS.items():
@@ -207,7 +207,7 @@ def conflict_steps(conflicts: DataFrame, records: DataFrame, events: DataFrame)
     kept = own(records.select("id", "version", "ws", "status", "protection_level", "source_type"), r(F.col("id")))
     # contents of those records alone that some event may edit or quote, in a table so that its size is known
     named = written(given.where("action in ('apply', 'edit')").select(F.col("memory_id").alias("id")).distinct(), "named")
-    kept = kept.join(records.select("id", "content").join(named, "id", "left_semi"), "id", "left")
+    kept = kept.join((records if contents is None else contents).select("id", "content").join(named, "id", "left_semi"), "id", "left")
     listed = lambda df, name: df.groupBy("component").agg(F.collect_list(F.struct(*[x for x in df.columns if x != "component"])).alias(name))
     state = listed(held, "conflicts").join(listed(kept, "records"), "component", "full")
     node = F.when(F.col("action") == "edit", r(F.col("memory_id"))).otherwise(c(F.col("conflict_id")))

@@ -279,7 +279,8 @@ def conflict_steps(spark, sf):
         k.alias("seq"), owner.alias("conflict_id"), action.alias("action"), (k % 4 + 1).cast("int").alias("revision"), pick(["alpha", "BETA", "gamma"], lot % 3).alias("chosen_value"), F.when(k % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("plan"),
         F.when(k % 48 == 4, owner + 1).otherwise(owner + 1 + F.floor(k / 16) % 2).alias("memory_id"), act.alias("step"), F.concat(F.lit("now it is "), pick(["alpha", "beta", "delta"], k % 3)).alias("content"), (k % 9 != 0).alias("authorized"))
     events = events.join(given.select("conflict_id", F.lit(True).alias("there")), "conflict_id", "left").where("there or action <> 'edit'").drop("there")
-    return A.conflict_steps(given, m, events).select("seq", "conflict_id", "action", "outcome", "revision_after", "version_after")
+    texts = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("id"), F.col("text").alias("content"))
+    return A.conflict_steps(given, m, events, texts).select("seq", "conflict_id", "action", "outcome", "revision_after", "version_after")
 
 
 # Requests of a few slots of a workspace, some without a slot, of old versions, of other workspaces' memories or of one value, by two detectors.
