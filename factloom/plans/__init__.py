@@ -1,6 +1,6 @@
 """Registered queries of the fact engine."""
 
-from factloom.plans import audits, durable, governance, lifecycle, listing, retrieval  # noqa: F401
+from factloom.plans import audits, durable, governance, lifecycle, listing, retrieval, upkeep  # noqa: F401
 from factloom.plans.registry import QUERIES as CORE_QUERIES
 from factloom.plans.registry import SQL as CORE_SQL
 
