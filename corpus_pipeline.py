@@ -49,15 +49,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the token file as read back, which holds them in the order of the table's rows."""
-    given = docs.select("doc_id", "text")
-    order = ["doc_id"]
+    """The documents of the token file as read back, which holds them in the order of the table's rows.
+
+    docs must be the rows of a table of Parquet files, as that order is in the files' names and row
+    numbers only; a dataframe that doesn't come straight from one raises.
+    """
     try:
-        places = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("row"))
-        given = places.withColumn("file", F.expr("try_cast(file AS bigint)"))
-        order = ["file", "name", "row"]
-    except AnalysisException:
-        pass  # not rows of a table of files: by document
+        given = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException as error:
+        raise ValueError("the token file needs the mixed documents as a table of files, whose rows are its order") from error
+    given = given.withColumn("file", F.expr("try_cast(file AS bigint)"))
+    order = ["file", "name", "row"]
     path = public_tokenizers.path(VOCABULARY)
     found = read_documents(spark, write_token_file(given, path, key="doc_id", order=order, end_id=2), tokenizer(path).get_vocab_size())
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
