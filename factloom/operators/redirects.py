@@ -28,8 +28,8 @@ def follow(redirects: DataFrame, most_rounds: int = 60) -> DataFrame:
         ahead = now.select(F.col("name").alias("target"), F.col("target").alias("next"), F.col("hops").alias("more"))
         now = written(now.join(ahead, "target", "left").select("name", F.coalesce("next", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("open")), "redirects")
         # no chain without a cycle has more hops than there are names
-        open_ = now.where("open")
-        if open_.isEmpty() or open_.agg(F.min("hops")).first()[0] > names:
+        least = now.where("open").agg(F.min("hops")).first()[0]
+        if least is None or least > names:
             break
         now = now.drop("open")
     else:
