@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.operators import compare as C
+from factloom.operators import notices as N
 from factloom.operators import redirects as R
 from factloom.plans.registry import query
 from factloom.sources import backup as B
 from factloom.sources.commits import shared_folder, written
-from factloom.sources.views import MEMORIES_SQL, memories, table
+from factloom.sources.views import CONFLICTS_SQL, MEMORIES_SQL, conflicts, memories, table
 from factloom.streaming.sidecopy import SideCopy
 
 M = "WITH " + MEMORIES_SQL
@@ -99,3 +100,24 @@ def backup_import(spark, sf):
     receipts = first.where((number % 97 <= 1) & (F.col("status") == "importable")).select("replay_key", F.when(number % 97 == 0, F.col("payload_hash")).otherwise("other").alias("payload_hash")).distinct()
     records, _ = B.replay(lines, B.inspect(lines, written(receipts, "receipts")), 1)
     return records.select("replay_key", "workspace_canonical", "payload_hash")
+
+
+def _notices(spark, sf):
+    k = F.col("conflict_id")
+    pins = F.transform(F.slice("members", F.lit(1), F.when(k % 2 == 0, 1).otherwise(F.size("members"))), lambda i: F.struct(i.alias("memory_id"), ((i - F.when(k % 9 == 0, 0).otherwise(1)) % 3 + 1).cast("int").alias("version")))
+    delivery = F.when(k % 5 == 0, "delivered").when(k % 5 == 1, "dismissed").otherwise("pending")
+    return conflicts(spark, sf).select(k.alias("notice_id"), "ws", F.lit("candidate").alias("status"), delivery.alias("delivery"), "revision", pins.alias("members"))
+
+
+@query("notices_closed", f"""WITH {MEMORIES_SQL}, {CONFLICTS_SQL}, e AS (SELECT conflict_id, ws, unnest(CASE WHEN conflict_id % 2 = 0 THEN members[1:1] ELSE members END) AS id FROM c),
+fr AS (SELECT e.conflict_id, bool_and(coalesce(m.status = 'active' AND m.ws = e.ws AND m.version = (e.id - CASE WHEN e.conflict_id % 9 = 0 THEN 0 ELSE 1 END) % 3 + 1, false)) AS fresh FROM e LEFT JOIN m ON m.id = e.id GROUP BY ALL),
+r AS (SELECT event_id AS seq, user_id * 11 AS notice_id, (['dismissed', 'resolved', 'closed'])[event_id % 3 + 1] AS wanted FROM events), t AS (SELECT *, CASE WHEN wanted <> 'closed' THEN row_number() OVER (PARTITION BY notice_id, wanted <> 'closed' ORDER BY seq) END AS turn FROM r),
+n AS (SELECT conflict_id, conflict_id % 5 <> 1 AS open, fresh, (SELECT wanted FROM t WHERE t.notice_id = c.conflict_id AND turn = 1) AS first FROM c JOIN fr USING (conflict_id))
+SELECT seq, notice_id, CASE WHEN wanted = 'closed' THEN 'invalid_status' WHEN conflict_id IS NULL THEN 'not_found' WHEN open AND turn = 1 THEN CASE WHEN fresh THEN 'updated' ELSE 'stale_snapshot' END ELSE 'already_terminal' END AS outcome,
+ CASE WHEN wanted = 'closed' OR conflict_id IS NULL THEN NULL WHEN NOT open THEN 'dismissed' WHEN fresh THEN first ELSE 'stale' END AS delivery FROM t LEFT JOIN n ON n.conflict_id = t.notice_id""")
+def notices_closed(spark, sf):
+    """Outcomes of requests that close notices, some of them stale, closed before or asked for twice."""
+    e = F.col("event_id")
+    wanted = F.get(F.array(*[F.lit(x) for x in ("dismissed", "resolved", "closed")]), (e % 3).cast("int"))
+    requests = table(spark, sf, "events").select(e.alias("seq"), (F.col("user_id") * 11).alias("notice_id"), wanted.alias("status"), F.lit("seen").alias("reason"))
+    return N.close_notices(_notices(spark, sf), requests, memories(spark, sf).select("id", "version", "status", "ws"))[0]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from factloom.operators.evidence import pair_gate
 from factloom.operators.lifecycle import notice_pairs
 from factloom.operators.pairs import features, pair_rule
 from factloom.operators.segment import segment
@@ -52,17 +53,25 @@ def attention_volume(events: DataFrame, late: str = "1 hour", size: str = "1 day
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def notices_for(batch: DataFrame, published: DataFrame, *, k: int = 5, most_units: int = 24, most_pairs: int = 2) -> DataFrame:
+def notices_for(batch: DataFrame, published: DataFrame, *, k: int = 5, most_units: int = 24, most_pairs: int = 2, extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """What a batch of new units may disagree with: anchor, peer, action, distance, reason and place.
 
     units(unit_id, memory_id, unit_index, text, embedding); of each memory its first ``most_units`` are
     searched for, of each peer the nearest hit counts, and at most ``most_pairs`` peers are given.
+    extract(pairs of quote_a and quote_b) adds what was read out of a pair in either order, ``forward`` and
+    ``reverse`` (structs of the four fields, or null); then only pairs that pass the gate of both directions count.
     """
     new = batch.where(F.col("unit_index") < most_units)
     near = batch_knn(published, new, k)
     a = new.select(F.col("unit_id").alias("anchor_id"), F.col("memory_id").alias("anchor"), features(F.col("text")).alias("fa"))
     b = published.select("unit_id", F.col("memory_id").alias("peer"), features(F.col("text")).alias("fb"))
     found = near.join(a, "anchor_id").join(b, "unit_id").withColumn("d", pair_rule(F.col("fa"), F.col("fb"))).where("d.action <> 'ignore'")
+    if extract is not None:
+        quotes = batch.select(F.col("unit_id").alias("anchor_id"), F.col("text").alias("quote_a"))
+        others = published.select("unit_id", F.col("text").alias("quote_b"))
+        read = extract(found.drop("fa", "fb").join(quotes, "anchor_id").join(others, "unit_id"))
+        gate = pair_gate(F.col("forward"), F.col("reverse"), F.col("quote_a"), F.col("quote_b"))
+        found = read.withColumn("gate", gate).where("gate.state = 'notice_ready'").withColumn("d", F.struct(F.lit("notify").alias("action"), F.col("gate.reason").alias("reason")))
     best = notice_pairs(found.select("anchor", "peer", "d.action", "distance"), most_pairs)
     reasons = found.groupBy("anchor", "peer").agg(F.min_by("d.reason", F.struct("distance", "d.action")).alias("reason"))
     return best.join(reasons, ["anchor", "peer"])
