@@ -3,7 +3,10 @@
 import hashlib
 import json
 import random
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from factloom.operators import compare as C
@@ -178,3 +181,27 @@ def test_queue_of_checks(spark, tmp_path):
     assert ("semantic:401@1", "incomplete", "shutdown") in last and ("semantic:402@1", "incomplete", "shutdown") in last
     tasks = [r[2] for r in rows if r[1] == "q"]
     assert len(tasks) == len(set(tasks)) and {r[5:] for r in rows if r[0] == 2} == {(0, 2, 1)}
+
+
+def test_waiting_too_long(spark, tmp_path):
+    """A task that no one takes ends by its timer, in a later micro-batch; one that is taken doesn't."""
+    import os
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    schema = "queue string, seq long, action string, memory_id long, version long"
+    for i, b in enumerate([[("q", 1, "enqueue", 1, 1), ("q", 2, "enqueue", 2, 1), ("q", 3, "take", None, None)], [("other", 1, "enqueue", 9, 1)]]):
+        columns = [pa.array(c, k) for c, k in zip(zip(*b), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
+        pq.write_table(pa.table(columns, names=["queue", "seq", "action", "memory_id", "version"]), f"{tmp_path}/{i}.parquet")
+        os.utime(f"{tmp_path}/{i}.parquet", (1_700_000_000 + i,) * 2)
+    rows = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*.parquet")
+    q = check_results(stream, most_wait_ms=1).writeStream.outputMode("update").foreachBatch(lambda df, n: rows.extend((n, *r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        end = time.monotonic() + 60  # timers keep such a stream going, so it is stopped
+        while time.monotonic() < end and q.exception() is None and not any(r[4] == "timed_out" for r in rows):
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    told = [(r[1], r[2], r[3], r[4]) for r in rows if r[2]]
+    assert ("q", "semantic:1@1", "checked", None) in told and ("q", "semantic:2@1", "incomplete", "timed_out") in told
+    assert len({t[1] for t in told}) == len(told)
