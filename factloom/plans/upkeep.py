@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from factloom.operators import compare as C
+from factloom.operators import confirm as P
 from factloom.operators import notices as N
 from factloom.operators import redirects as R
 from factloom.plans.registry import query
 from factloom.sources import backup as B
 from factloom.sources.commits import shared_folder, written
+from factloom.sources.reviewed import ReviewedRegistry
 from factloom.sources.views import CONFLICTS_SQL, MEMORIES_SQL, conflicts, memories, table
 from factloom.streaming.sidecopy import SideCopy
 
@@ -123,3 +125,37 @@ def notices_closed(spark, sf):
     wanted = F.get(F.array(*[F.lit(x) for x in ("dismissed", "resolved", "closed")]), (e % 3).cast("int"))
     requests = table(spark, sf, "events").select(e.alias("seq"), (F.col("user_id") * 11).alias("notice_id"), wanted.alias("status"), F.lit("seen").alias("reason"))
     return N.close_notices(_notices(spark, sf), requests, memories(spark, sf).select("id", "version", "status", "ws"))[0]
+
+
+_CHOICES = "[upper(source), 'Team ' || source, 'team_' || source, 'default', 'Crew ' || source]"
+
+
+@query("pending_confirmed", f"""WITH q AS (SELECT doc_id + 1 AS id, (doc_id + 1) * 2 + t AS seq, t, source, {_CHOICES} AS choices, doc_id % 13 = 1 AS pending, doc_id // 13 % 4 = 0 AS authorized, (doc_id // 13 + t * 3) % 5 AS c, doc_id // 13 % 5 AS c0, length(source) % 2 = 0 AS apart
+  FROM documents, (VALUES (0), (1)) v(t)),
+f AS (SELECT source, min(seq) AS first FROM q WHERE pending AND authorized AND apart AND c = 4 AND (t = 0 OR c0 = 3) GROUP BY source),
+o AS (SELECT q.*, CASE WHEN c = 3 THEN 'reserved' WHEN c = 4 AND apart AND NOT authorized AND coalesce(seq < first, true) THEN 'kept_separate' ELSE 'confirmed' END AS said FROM q LEFT JOIN f USING (source)),
+p AS (SELECT *, CASE WHEN NOT pending THEN 'not_pending' WHEN t = 1 AND lag(said) OVER (PARTITION BY id ORDER BY t) = 'confirmed' THEN 'not_pending' ELSE said END AS outcome FROM o)
+SELECT seq, id, outcome, CASE WHEN outcome = 'confirmed' THEN CASE WHEN c = 0 THEN source WHEN c = 4 AND apart THEN 'Crew ' || source ELSE 'Team ' || source END END AS canonical FROM p""")
+def pending_confirmed(spark, sf):
+    """Two requests for each record: its own name in capitals, a registered one, a spelling of that, the common pool, and one that was kept apart or is redirected."""
+    k, source = F.col("doc_id"), F.col("source")
+    choices = F.array(F.upper(source), F.concat(F.lit("Team "), source), F.concat(F.lit("team_"), source), F.lit("default"), F.concat(F.lit("Crew "), source))
+    d = table(spark, sf, "documents").select("doc_id", "source").withColumn("t", F.explode(F.array(F.lit(0), F.lit(1))))
+    lot = F.floor(k / 13)
+    requests = d.select(((k + 1) * 2 + F.col("t")).alias("seq"), (k + 1).alias("id"), F.get(choices, ((lot + F.col("t") * 3) % 5).cast("int")).alias("canonical"), (lot % 4 == 0).alias("authorized"))
+    names = table(spark, sf, "documents").select("source").distinct()
+    team, crew = F.concat(F.lit("Team "), source), F.concat(F.lit("Crew "), source)
+    apart = F.length(source) % 2 == 0
+    aliases = names.select(F.when(apart, source).otherwise(crew).alias("alias"), F.when(apart, crew).otherwise(team).alias("canonical"), F.when(apart, "rejected").otherwise("confirmed").alias("status"), F.lit(0).cast("long").alias("updated_at"))
+    m = memories(spark, sf).select("id", "workspace", "workspace_canonical", "status", "version")
+    return P.confirm_pending(m, requests, names.select(team.alias("name")), aliases).outcomes
+
+
+@query("registry_review", """SELECT 'workspace.review' AS "check", count(*) FILTER (old IS NULL) = 0 AS passed, CASE WHEN count(*) FILTER (old IS NULL) = 0 THEN 'ok' ELSE 'warning' END AS severity, count(old) AS confirmed, count(*) AS "current", count(*) FILTER (old IS NULL) AS "new"
+FROM (SELECT DISTINCT url AS name FROM pages) LEFT JOIN (SELECT DISTINCT url AS name, 1 AS old FROM pages WHERE page_id % 10 <> 3) USING (name)""")
+def registry_review(spark, sf):
+    """The registry of all pages' addresses against the snapshot that was taken before a tenth of them came."""
+    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("name"))
+    reviewed = ReviewedRegistry(spark, f"{shared_folder(spark)}/reviewed-{uuid.uuid4().hex}")
+    reviewed.confirm(pages.where("page_id % 10 <> 3"), authorized=True)
+    return reviewed.finding(pages)
