@@ -5,6 +5,7 @@ identity (detector and members with their evidence), whatever slot and state it
 by connected components: those of one slot belong together, and so do those whose first member is the
 same, as equal identities have the same members, and what is appended to a group never takes its first one away
 from all requests of its slot.  A component's requests are folded one after another by one task, with its groups as the state.
+A request may also escalate a notice: make a conflict of it, or add it to the one that holds its slot.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from factloom.operators.ledger import fold_log
 from factloom.operators.links import components
+from factloom.operators.notices import OPEN
 
 #: Most members of a group, and most characters of its members and of its values as JSON.
 MOST_MEMBERS, MOST_MEMBER_JSON, MOST_VALUE_JSON = 256, 262_144, 131_072
@@ -60,8 +62,9 @@ class _Groups:
     """The groups of a component: by name, by slot while active, by identity, and by slot and members."""
 
     def __init__(self, rows: list[dict]):
-        self.by_name, self.active, self.identities, self.events = {}, {}, {}, {}
+        self.by_name, self.active, self.identities, self.events, self.live = {}, {}, {}, {}, set()
         for r in rows:
+            self.live |= {(r["ws"], m["memory_id"], m["version"]) for m in r.get("live") or []}
             self.put({**r, "members": sorted(map(_member, r["members"]))})
 
     def put(self, g: dict) -> None:
@@ -80,6 +83,40 @@ class _Groups:
         return (outcome, g and g["group"], g and g["revision"])
 
 
+def _escalate(have: _Groups, name: str) -> tuple:
+    """A notice made a conflict of its own, or added to the one that holds its slot."""
+    notice = have.by_name[name]
+    where = (notice["ws"], notice["slot"])
+    if notice["slot"] is None or len(notice["members"]) < 2 or len(_values(notice["members"])) < 2:
+        return "structured_group_required", name, None
+    if not all((notice["ws"], i, v) in have.live for i, v, *_ in notice["members"]):
+        return "stale_snapshot", name, None
+    if notice["status"] != "candidate" or notice["delivery"] not in OPEN:
+        return "already_terminal", name, None
+    g = have.by_name.get(have.active.get(where))
+    if g is None:
+        new = {**notice, "status": "open", "revision": notice["revision"] + 1, "delivery": "resolved"}
+        have.put(new)
+        return have.told("promoted", new)
+    if g["status"] != "open":
+        return have.told("applying_group_exists", g)
+    held = {m[:2] for m in g["members"]}
+    more = [m for m in notice["members"] if m[:2] not in held]
+    if not more:
+        have.put({**notice, "delivery": "resolved"})
+        return have.told("linked", g)
+    new = {**g, "members": sorted(g["members"] + more), "revision": g["revision"] + 1}
+    if _too_large(new["members"]):
+        new["members"] = g["members"]
+        have.put(new)
+        return have.told("overflow", new)
+    if any(key in index for key, index in ((_identity(g["detector"], new["members"]), have.identities), ((*where, _refs(new["members"])), have.events))):
+        return have.told("identity_collision", g)[:2] + (None,)
+    have.put(new)
+    have.put({**notice, "delivery": "resolved", "revision": notice["revision"] + 1})
+    return have.told("appended", new)
+
+
 def record_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
     """One request on the groups of its component."""
     if e["problem"] is not None:
@@ -87,6 +124,9 @@ def record_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
     if state is None or "groups" not in state:
         state = {"groups": _Groups((state or {}).get("known") or [])}
     have: _Groups = state["groups"]
+    if e.get("escalate") is not None:
+        return state, _escalate(have, e["escalate"])
+    have.live |= {(e["ws"], m["memory_id"], m["version"]) for m in e.get("live") or []}
     named = lambda key, index: have.by_name.get(index.get(key))
     members = sorted(map(_member, e["members"]))
     twin, expected = named(_identity(e["detector"], members), have.identities), e["expect_revision"]
@@ -136,12 +176,12 @@ def record_step(state: dict | None, e: dict) -> tuple[dict | None, tuple]:
         return state, have.told("deduped", new)
     if event is not None:
         return state, have.told("duplicate_event", event)
-    new = {"group": f"r{e['seq']}", "ws": e["ws"], "slot": e["slot"], "status": "open" if e["is_conflict"] else "not_a_conflict", "revision": 1, "detector": e["detector"], "notice": False, "members": members}
+    new = {"group": f"r{e['seq']}", "ws": e["ws"], "slot": e["slot"], "status": "open" if e["is_conflict"] else "not_a_conflict", "revision": 1, "detector": e["detector"], "notice": False, "delivery": None, "members": members}
     have.put(new)
     return state, have.told("inserted", new)
 
 
-def record_conflicts(records: DataFrame, requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def record_conflicts(records: DataFrame, requests: DataFrame, known: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """requests with outcome, group and revision_after.
 
     requests(seq, slot, members of (memory_id, version, value, evidence), is_conflict, expect_revision, detector) are taken in the order
@@ -152,17 +192,39 @@ def record_conflicts(records: DataFrame, requests: DataFrame, known: DataFrame |
     revision counts first).  Of a notice (a candidate group) with the same slot and members comes the group; with other
     values or evidence they don't match.  evidence is a text that tells unit, span and hash of a member.
 
-    ``identity_collision`` can't arise, since identities are compared whole.
+    A request whose column ``escalate`` (optional) names a notice makes a conflict of that, and its other columns don't count.
+    Outcomes: ``promoted`` where its slot is free; ``appended`` to the open group of its slot, ``linked`` if
+    that has all its members, ``overflow`` beyond the bounds, ``applying_group_exists``; ``not_found`` (no notice of that name in the scope),
+    ``structured_group_required`` (no slot, one member or one value), ``stale_snapshot`` (a member is not active (records may have a status),
+    not of that version or workspace), ``already_terminal`` (known may have a delivery: pending, delivered or done with),
+    ``identity_collision`` (another group has the members that this one would then have; else that can't arise, as identities are compared
+    whole).  A member that the group has already keeps its value there.  The fold reads all of them in one order with the rest.
     """
+    escalates = "escalate" in requests.columns
+    asked, requests = requests, requests if escalates else requests.withColumn("escalate", F.lit(None).cast("string"))
+    pin = F.struct(F.col("m.memory_id").alias("memory_id"), F.col("m.version").alias("version"))
     member = requests.select("seq", F.explode_outer("members").alias("m"))
-    live = records.select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "ws")
+    active = F.col("status") == "active" if "status" in records.columns else F.lit(True)
+    live = records.select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "ws", F.coalesce(active, F.lit(False)).alias("m_active"))
     found = member.join(live, (F.col("m.memory_id") == F.col("m_id")) & (F.col("m.version") == F.col("m_version")), "left")
-    told = found.groupBy("seq").agg(F.count("m").alias("given"), F.count_distinct("m.memory_id", "m.version").alias("distinct_members"), F.count_if(F.col("m").isNotNull() & F.col("m_id").isNotNull()).alias("there"), F.count_distinct(F.coalesce("ws", F.lit(""))).alias("spaces"), F.min("ws").alias("ws"))
+    told = found.groupBy("seq").agg(F.count("m").alias("given"), F.count_distinct("m.memory_id", "m.version").alias("distinct_members"), F.count_if(F.col("m").isNotNull() & F.col("m_id").isNotNull()).alias("there"), F.count_distinct(F.coalesce("ws", F.lit(""))).alias("spaces"), F.min("ws").alias("ws"), *([F.collect_set(F.when(F.col("m_active"), pin)).alias("live")] if escalates else []))
     problem = (
-        F.when(F.col("is_conflict") & F.col("slot").isNull(), "invalid_slot_key").when((F.col("given") == 0) | (F.col("distinct_members") < F.col("given")), "invalid_input")
+        F.when(F.col("escalate").isNotNull(), F.when(~F.coalesce("there_is", F.lit(False)), "not_found")).when(F.col("is_conflict") & F.col("slot").isNull(), "invalid_slot_key").when((F.col("given") == 0) | (F.col("distinct_members") < F.col("given")), "invalid_input")
         .when(F.col("there") < F.col("given"), "stale_snapshot").when((F.col("spaces") > 1) | (F.coalesce("ws", F.lit("")) == ""), "workspace_mismatch"))
-    log = requests.join(told, "seq").withColumn("problem", problem).drop("given", "distinct_members", "there", "spaces")
     known = records.sparkSession.createDataFrame([], GROUP) if known is None else known
+    if "delivery" not in known.columns:
+        known = known.withColumn("delivery", F.when(F.col("notice"), "pending"))
+    inside = F.lit(True) if scope is None else F.col("ws").isin(scope)
+    log = requests.join(told, "seq")
+    if escalates:
+        of = known.where(F.col("notice") & inside).select(F.col("group").alias("escalate"), F.lit(True).alias("there_is"), F.col("ws").alias("n_ws"), F.col("slot").alias("n_slot"), F.col("members").alias("n_members"))
+        log = log.join(of, "escalate", "left")
+        log = log.withColumn("problem", problem).withColumns({c: F.when(F.col("escalate").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("ws", "slot", "members")}).drop("there_is", "n_ws", "n_slot", "n_members")
+        fresh = known.where("notice").select("group", "ws", F.explode("members").alias("m")).join(live.withColumnRenamed("ws", "m_ws"), (F.col("m.memory_id") == F.col("m_id")) & (F.col("m.version") == F.col("m_version")))
+        known = known.join(fresh.where("m_active and m_ws = ws and ws <> ''").groupBy("group").agg(F.collect_list(pin).alias("live")), "group", "left")
+    else:
+        log = log.withColumn("there_is", F.lit(False)).withColumn("problem", problem).drop("there_is")
+    log = log.drop("given", "distinct_members", "there", "spaces")
     # two nodes of each request and group: its slot, and its first member
     slot = F.when(F.col("slot").isNotNull(), F.concat_ws("/", F.lit("slot"), "ws", "slot"))
     first = F.array_min(F.transform("members", lambda m: F.struct(m["memory_id"].alias("i"), m["version"].alias("v"))))
@@ -172,5 +234,9 @@ def record_conflicts(records: DataFrame, requests: DataFrame, known: DataFrame |
     edges = valid.select(F.col("by").alias("a"), F.col("at").alias("b")).unionByName(known.select(F.col("by").alias("a"), F.col("at").alias("b"))).distinct()
     whole = components(edges).select(F.col("node").alias("at"), F.col("component").alias("key"))
     log = log.join(whole, "at", "left").withColumn("key", F.when(F.col("problem").isNull(), F.col("key")).otherwise(F.concat(F.lit("?"), F.col("seq").cast("string")))).drop("at", "by")
-    state = known.join(whole, "at").groupBy("key").agg(F.collect_list(F.struct(*[x.split()[0] for x in GROUP.split(", ")[:7]], "members")).alias("known"))
-    return fold_log(state, log, "key", record_step, OUTCOME).select(*requests.columns, *OUTCOME.names)
+    parts = [*[x.split()[0] for x in GROUP.split(", ")[:7]], "delivery", "members", *(["live"] if escalates else [])]
+    state = known.join(whole, "at").groupBy("key").agg(F.collect_list(F.struct(*parts)).alias("known"))
+    out = fold_log(state, log, "key", record_step, OUTCOME).select(*requests.columns, *OUTCOME.names)
+    if escalates:  # the slot and members that were given, not the notice's
+        return out.drop("slot", "members").join(asked.select("seq", "slot", "members"), "seq").select(*asked.columns, *OUTCOME.names)
+    return out.select(*asked.columns, *OUTCOME.names)

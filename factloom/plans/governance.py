@@ -319,3 +319,39 @@ def conflict_records(spark, sf):
     two = F.array(one("a", "va", "x"), one("b", "vb", "y"))
     requests = j.select("seq", "slot", F.when(F.col("three"), F.concat(two, F.array(one("c", "vc", "z")))).otherwise(two).alias("members"), "is_conflict", "expect_revision", "detector")
     return Q.record_conflicts(m, requests).select("seq", "slot", "outcome", "group", "revision_after")
+
+
+# Notices of a third of all records over four slots of a workspace, each asked for twice; a formal group holds the first slot of each workspace.
+_ESCALATE = """k AS (SELECT doc_id AS k, source AS ws, CASE WHEN doc_id % 24 <> 0 THEN 's' || doc_id // 20 % 4 END AS slot, doc_id % 3 = 0 AS there, CASE WHEN doc_id % 2 = 0 THEN [doc_id + 1, doc_id + 21, doc_id + 41] ELSE [doc_id + 1, doc_id + 21] END AS ids, CASE WHEN doc_id % 9 = 3 THEN 1 ELSE 0 END AS off FROM documents),
+fr AS (SELECT e.k, bool_and(coalesce(m.status = 'active' AND m.ws = e.ws AND m.version = (e.i - 1) % 3 + 1 + e.off, false)) AS fresh FROM (SELECT k, ws, off, unnest(ids) AS i FROM k WHERE there) e LEFT JOIN m ON m.id = e.i GROUP BY e.k),
+r AS (SELECT k.*, k * 2 + t AS seq, CASE WHEN NOT there THEN 'not_found' WHEN slot IS NULL OR k % 15 = 0 THEN 'structured_group_required' WHEN NOT fresh THEN 'stale_snapshot' WHEN k % 10 = 6 THEN 'already_terminal' END AS problem, list_transform(ids, lambda i: i || '@' || ((i - 1) % 3 + 1 + off)) AS refs
+  FROM k LEFT JOIN fr USING (k), (VALUES (0), (1)) v(t)),
+o AS (SELECT *, row_number() OVER (PARTITION BY ws, slot ORDER BY seq) AS n FROM r WHERE problem IS NULL),
+f AS (SELECT source AS ws, min(doc_id) AS f FROM documents GROUP BY source),
+w AS (SELECT s.ws, s.slot, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS grp, CAST(NULL AS INTEGER) AS rev,
+  CASE WHEN s.slot = 's0' THEN {'g': 'g' || f, 'open': length(s.ws) % 2 = 1, 'rev': CAST(7 AS INTEGER), 'refs': [(f + 1) || '@' || (f % 3 + 1), (f + 21) || '@' || ((f + 20) % 3 + 1), (f + 41) || '@' || ((f + 40) % 3 + 1)]} END AS act, CAST([] AS BIGINT[]) AS done FROM (SELECT DISTINCT ws, slot FROM o) s JOIN f USING (ws)
+ UNION ALL SELECT ws, slot, n, seq, outcome, CASE WHEN outcome IN ('already_terminal', 'promoted') THEN 'n' || k ELSE act.g END,
+  CASE outcome WHEN 'already_terminal' THEN NULL WHEN 'promoted' THEN 2 WHEN 'appended' THEN act.rev + 1 WHEN 'overflow' THEN act.rev + 1 ELSE act.rev END,
+  CASE outcome WHEN 'promoted' THEN {'g': 'n' || k, 'open': true, 'rev': CAST(2 AS INTEGER), 'refs': refs} WHEN 'appended' THEN {'g': act.g, 'open': true, 'rev': CAST(act.rev + 1 AS INTEGER), 'refs': list_distinct(list_concat(act.refs, refs))} WHEN 'overflow' THEN {'g': act.g, 'open': true, 'rev': CAST(act.rev + 1 AS INTEGER), 'refs': act.refs} ELSE act END,
+  CASE WHEN outcome IN ('promoted', 'appended', 'linked') THEN list_append(done, k) ELSE done END
+ FROM (SELECT o.*, w.act, w.done, CASE WHEN list_contains(w.done, o.k) THEN 'already_terminal' WHEN w.act IS NULL THEN 'promoted' WHEN NOT w.act.open THEN 'applying_group_exists' WHEN list_has_all(w.act.refs, o.refs) THEN 'linked' WHEN len(list_distinct(list_concat(w.act.refs, o.refs))) > 256 THEN 'overflow' ELSE 'appended' END AS outcome
+  FROM w JOIN o ON o.ws = w.ws AND o.slot = w.slot AND o.n = w.n + 1))"""
+
+
+@query("notices_escalated", f"""WITH RECURSIVE {MEMORIES_SQL}, {_ESCALATE} SELECT r.seq, r.k AS notice_id, coalesce(r.problem, w.outcome) AS outcome, CASE WHEN r.problem IS NULL THEN w.grp WHEN r.problem <> 'not_found' THEN 'n' || r.k END AS "group", w.rev AS revision_after FROM r LEFT JOIN w ON w.seq = r.seq""")
+def notices_escalated(spark, sf):
+    """Outcomes of requests that escalate notices of one slot in turn; the formal groups that are there before are open or being applied."""
+    k = F.col("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("ws"))
+    pins = lambda ids, off, alike: F.transform(ids, lambda i: F.struct(i.alias("memory_id"), ((i - 1) % 3 + 1 + off).cast("int").alias("version"), F.when(alike, "x").otherwise(F.concat(F.lit("v"), (i % 2).cast("string"), (F.floor(i / 20) % 2).cast("string"))).alias("value"), F.lit("").alias("evidence")))
+    slot = F.when(k % 24 != 0, F.concat(F.lit("s"), (F.floor(k / 20) % 4).cast("string")))
+    ids = F.when(k % 2 == 0, F.array(k + 1, k + 21, k + 41)).otherwise(F.array(k + 1, k + 21))
+    named = lambda x: F.concat(F.lit(x), k.cast("string"))
+    notices = d.where(k % 3 == 0).select(named("n").alias("group"), "ws", slot.alias("slot"), F.lit("candidate").alias("status"), F.lit(1).alias("revision"), F.lit("d").alias("detector"), F.lit(True).alias("notice"), pins(ids, F.when(k % 9 == 3, 1).otherwise(0), k % 15 == 0).alias("members"), F.when(k % 10 == 6, "dismissed").otherwise("delivered").alias("delivery"))
+    first = d.groupBy("ws").agg(F.min("doc_id").alias("doc_id"))
+    formal = first.select(named("g").alias("group"), "ws", F.lit("s0").alias("slot"), F.when(F.length("ws") % 2 == 1, "open").otherwise("applying").alias("status"), F.lit(7).alias("revision"), F.lit("d").alias("detector"), F.lit(False).alias("notice"), pins(F.array(k + 1, k + 21, k + 41), F.lit(0), F.lit(False)).alias("members"), F.lit(None).cast("string").alias("delivery"))
+    known = notices.unionByName(formal)
+    none = F.lit(None)
+    requests = d.withColumn("t", F.explode(F.array(F.lit(0), F.lit(1)))).select((k * 2 + F.col("t")).alias("seq"), none.cast("string").alias("slot"), none.cast(known.schema["members"].dataType).alias("members"), none.cast("boolean").alias("is_conflict"), none.cast("int").alias("expect_revision"), none.cast("string").alias("detector"), named("n").alias("escalate"), k.alias("notice_id"))
+    records = memories(spark, sf).select("id", "version", "ws", "status")
+    return Q.record_conflicts(records, requests, known).select("seq", "notice_id", "outcome", "group", "revision_after")
