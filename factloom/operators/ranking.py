@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -135,3 +137,34 @@ def ranking_quality(scored: DataFrame, k: int = 10) -> DataFrame:
         F.coalesce(F.try_divide(gain("rank"), gain("ideal")), F.lit(0.0)).alias("ndcg"), F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"),
         F.max(F.when((F.col("rank") <= 3) & (F.col("relevance") > 0), 1).otherwise(0)).alias("recall_3"),
         F.max(F.when((F.col("rank") <= k) & (F.col("relevance") > 0), 1).otherwise(0)).alias("recall_k"))
+
+
+def golden_outcomes(rankings: DataFrame, golden: DataFrame, modes: Sequence[str], most: int = 10) -> DataFrame:
+    """How each mode of ranking answers queries of which the right answers are known, a row for each mode and query.
+
+    rankings(mode, query, id, place from 1, fallback): fallback where a row was found by no match but for being recent; places
+    after ``most`` don't count.  golden(query, top1, top3, before of (better, worse)), a query once.  A null top1 is no hit;
+    an empty or null top3 is right without being a hit.  A pair is passed if the better one is there and
+    the worse one is behind it or not there.  A query without results has hit and passed nothing.
+    """
+    shown = rankings.where(F.col("place") <= most).groupBy("mode", "query").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("r"), F.max(F.coalesce("fallback", F.lit(False))).alias("fell"))
+    none = F.array().cast("array<bigint>")
+    asked = golden.select(F.explode(F.array(*map(F.lit, modes))).alias("mode"), "query", "top1", F.coalesce(F.col("top3").cast("array<bigint>"), none).alias("top3"), "before")
+    ids = F.coalesce(F.transform("r", lambda x: x["id"].cast("long")), none)
+    j = asked.join(shown, ["mode", "query"], "left").withColumn("ids", ids)
+    at = lambda x: F.coalesce(F.array_position("ids", x.cast("long")), F.lit(0))
+    passed = F.filter("before", lambda p: (at(p["better"]) > 0) & ((at(p["worse"]) == 0) | (at(p["better"]) < at(p["worse"]))))
+    hit3 = F.coalesce(F.arrays_overlap(F.slice("ids", 1, 3), "top3"), F.lit(False))
+    return j.select(
+        "mode", "query", F.coalesce(F.get("ids", F.lit(0)) == F.col("top1"), F.lit(False)).alias("top1_hit"), hit3.alias("top3_hit"), ((F.size("top3") == 0) | hit3).alias("top3_right"),
+        F.coalesce(F.size("before"), F.lit(0)).alias("pairs"), F.coalesce(F.size(passed), F.lit(0)).alias("passed"), F.coalesce("fell", F.lit(False)).alias("fallback"))
+
+
+def golden_rates(outcomes: DataFrame) -> DataFrame:
+    """By mode: queries, hits and their shares of all queries, pairs passed and their share of all pairs (0 of none), fallbacks."""
+    share = lambda x, of: F.coalesce(F.try_divide(x, of), F.lit(0.0))
+    n, pairs, passed = F.count("*"), F.sum("pairs"), F.sum("passed")
+    top1, top3, fell = F.count_if("top1_hit"), F.count_if("top3_hit"), F.count_if("fallback")
+    return outcomes.groupBy("mode").agg(
+        n.alias("queries"), top1.alias("top1_hits"), share(top1, n).alias("top1_rate"), top3.alias("top3_hits"), share(top3, n).alias("top3_rate"),
+        pairs.alias("pairs"), passed.alias("passed"), share(passed, pairs).alias("pairwise_rate"), share(fell, n).alias("fallback_rate"))

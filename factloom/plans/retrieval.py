@@ -296,3 +296,34 @@ SELECT query, round(coalesce(sum(CASE WHEN rank <= 10 THEN relevance / log2(rank
  round(coalesce(1.0::DOUBLE / min(rank) FILTER (relevance > 0), 0), 6) AS mrr, CAST(max(CASE WHEN rank <= 3 AND relevance > 0 THEN 1 ELSE 0 END) AS INTEGER) AS recall_3, CAST(max(CASE WHEN rank <= 10 AND relevance > 0 THEN 1 ELSE 0 END) AS INTEGER) AS recall_k FROM r GROUP BY query""")
 def ranking_quality(spark, sf):
     return R.ranking_quality(_judged(spark, sf)).select("query", F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"), "recall_3", "recall_k")
+
+
+# Two modes of ranking within each source, by length and by number of the trigram "the", against labelled documents: the first good ones, and each before the first bad ones.
+_GOLDEN = """WITH l AS (SELECT doc_id AS id, source AS query, quality = 1 AND toxic = 0 AS good, n_chars, CASE WHEN text IS NULL THEN 0 ELSE (length(text) - length(replace(lower(text), 'the', ''))) / 3 END AS hits FROM documents LEFT JOIN labels USING (doc_id)),
+b AS (SELECT 'length' AS mode, query, id, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, id) AS place, false AS fallback FROM l UNION ALL SELECT 'matches', query, id, row_number() OVER (PARTITION BY query ORDER BY hits DESC, id), hits = 0 FROM l),
+s AS (SELECT mode, query, list(id ORDER BY place) AS ids, bool_or(fallback) AS fell FROM b WHERE place <= 10 GROUP BY ALL),
+g AS (SELECT query, (list(id ORDER BY id) FILTER (good))[1:3] AS top3, (list(id ORDER BY id) FILTER (NOT good))[1:3] AS bad FROM l GROUP BY query),
+o AS (SELECT mode, query, coalesce(ids[1] = top3[1], false) AS top1_hit, coalesce(list_has_any(ids[1:3], top3), false) AS top3_hit, coalesce(len(top3) * len(bad), 0) AS pairs, fell,
+ coalesce(len(list_filter(flatten(list_transform(top3, lambda x: list_transform(bad, lambda y: {'x': x, 'y': y}))), lambda p: list_contains(ids, p.x) AND (NOT list_contains(ids, p.y) OR list_position(ids, p.x) < list_position(ids, p.y)))), 0) AS passed FROM s JOIN g USING (query))
+SELECT mode, count(*) AS queries, count(*) FILTER (top1_hit) AS top1_hits, round(avg(CAST(top1_hit AS INTEGER)), 6) AS top1_rate, count(*) FILTER (top3_hit) AS top3_hits, round(avg(CAST(top3_hit AS INTEGER)), 6) AS top3_rate,
+ CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(passed) AS BIGINT) AS passed, round(coalesce(sum(passed) / nullif(sum(pairs), 0), 0), 6) AS pairwise_rate, round(avg(CAST(fell AS INTEGER)), 6) AS fallback_rate FROM o GROUP BY mode"""
+
+
+@query("golden_rates", _GOLDEN)
+def golden_rates(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    # texts are counted apart from the labels, so that none takes part in a join
+    lower = F.lower("text")
+    hits = F.coalesce(((F.length("text") - F.length(F.replace(lower, F.lit("the"), F.lit("")))) / 3).cast("long"), F.lit(0))
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("query"), "n_chars", hits.alias("hits")).join(labels, "doc_id", "left").withColumnRenamed("doc_id", "id")
+    modes = F.array(F.struct(F.lit("length").alias("mode"), F.col("n_chars").cast("long").alias("score"), F.lit(False).alias("fallback")), F.struct(F.lit("matches").alias("mode"), F.col("hits").alias("score"), (F.col("hits") == 0).alias("fallback")))
+    scored = d.select("query", "id", F.explode(modes).alias("m")).select("m.*", "query", "id")
+    # Spark limits each group before it shuffles for these windows, so a large source is no large window
+    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("mode", "query").orderBy(F.desc("score"), "id"))).where("place <= 10")
+    few = d.where("good is not null").withColumn("k", F.row_number().over(Window.partitionBy("query", "good").orderBy("id"))).where("k <= 3")
+    of = lambda good: F.sort_array(F.collect_list(F.when(F.col("good") == good, F.col("id"))))
+    sets = d.select("query").distinct().join(few.groupBy("query").agg(of(True).alias("top3"), of(False).alias("bad")), "query", "left")
+    pairs = F.flatten(F.transform("top3", lambda x: F.transform("bad", lambda y: F.struct(x.alias("better"), y.alias("worse")))))
+    golden = sets.select("query", F.get("top3", F.lit(0)).alias("top1"), "top3", pairs.alias("before"))
+    rates = R.golden_rates(R.golden_outcomes(ranked, golden, ["length", "matches"]))
+    return rates.select("mode", "queries", "top1_hits", F.round("top1_rate", 6).alias("top1_rate"), "top3_hits", F.round("top3_rate", 6).alias("top3_rate"), "pairs", "passed", F.round("pairwise_rate", 6).alias("pairwise_rate"), F.round("fallback_rate", 6).alias("fallback_rate"))
