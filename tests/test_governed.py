@@ -1,5 +1,8 @@
 """Ledger, replay, resolution rules, evaluation and streams on small cases."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.operators import aggregates as A
@@ -67,6 +70,26 @@ def test_batch_knn_blocks_agree(spark):
     assert small == large and len(small) == 120
 
 
+def test_batch_knn_in_bounded_memory_and_few_scans(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(5_000, 16)).round(2), np.ones((1_500, 16)), np.full((1, 16), np.nan)])  # ties, many copies
+    ids, memories, few = np.arange(len(x)), np.arange(len(x)) // 3, slice(4_800, 5_200)
+    found = V.Nearest(ids[few], memories[few], x[few], 4, 256)
+    tracemalloc.start()
+    for s in range(0, len(x), 5_000):
+        found.meet(ids[s : s + 5_000], memories[s : s + 5_000], x[s : s + 5_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6, peak
+    d = np.sqrt(((x[few, None, :] - x[None, :-1, :]) ** 2).sum(-1))
+    d[memories[few, None] == memories[None, :-1]] = np.inf
+    want = np.lexsort((np.broadcast_to(ids[:-1], d.shape), d), axis=1)[:, :4]
+    assert (found.unit == want).all() and (found.distance == np.take_along_axis(d, want, 1)).all()
+    u = spark.createDataFrame([(i, i // 2, [float((i * 7) % 5), 1.0]) for i in range(40)] + [(99, 99, None)], "unit_id long, memory_id long, embedding array<double>")
+    plan = V.batch_knn(u, u, 3, block=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, 1, "s", "one two. three"), (1, 2, "s", "newer text here"), (2, 1, None, "other body text")], "id long, version int, subject string, content string").coalesce(1).write.parquet(source)
