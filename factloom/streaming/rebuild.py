@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.segment import segment
-from factloom.sources.commits import CommitLog
+from factloom.sources.commits import CommitLog, written
 
 #: Columns of an index: those of a unit, its vector, and the batch it came with.
 COLUMNS = ["memory_id", "memory_version", "unit_index", "kind", "text", "start_offset", "end_offset", "embedding", "batch"]
@@ -27,7 +27,7 @@ _SCHEMA = "memory_id long, memory_version int, unit_index int, kind string, text
 def indexable(records: DataFrame) -> DataFrame:
     """Records that give a unit: not deleted, with something but blanks in subject or content."""
     text = F.concat(F.coalesce("subject", F.lit("")), F.coalesce("content", F.lit("")))
-    return records.where((F.col("status") != "deleted") & (F.regexp_replace(text, r"(?U)\s+", "") != ""))
+    return records.where((F.col("status") != "deleted") & text.rlike(r"(?U)\S"))
 
 
 def pending(records: DataFrame, units: DataFrame) -> DataFrame:
@@ -101,9 +101,8 @@ class SpaceIndex:
 
     def step(self, records: DataFrame, encode: Callable[[DataFrame], DataFrame], space: str, batch: int = 100_000) -> bool:
         """Publish the next pending records, in order of their ids; False if none were, or another writer came first."""
-        ids = self.pending(records).orderBy("id").limit(batch)
-        chosen = records.join(ids, "id", "left_semi")
-        return chosen.limit(1).count() > 0 and self.publish(chosen, encode, space)
+        ids = written(self.pending(records).orderBy("id").limit(batch), "pending")  # looked for once
+        return not ids.isEmpty() and self.publish(records.join(ids, "id", "left_semi"), encode, space)
 
     def complete(self, records: DataFrame, space: str) -> bool:
         """Switch readers to the rebuilt space, if nothing is pending there and it is still the target."""

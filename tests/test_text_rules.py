@@ -1,5 +1,8 @@
 """Scalars and rules on small cases worked out by hand, and properties that hold for any text."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,7 @@ from factloom.operators import pairs as D
 from factloom.operators import ranking as R
 from factloom.operators import vector as V
 from factloom.operators import workspace as W
-from factloom.operators.segment import GROUP_LEAST, LONG, PART, units
+from factloom.operators.segment import GROUP_LEAST, LONG, PART, pieces, segment, units
 
 
 def all_of(spark, cases, column):
@@ -133,3 +136,18 @@ def test_a_unit_is_the_text_of_its_range(content):
         assert 0 <= a < b <= len(content) and " ".join(content[a:b].split()) == text
         assert len(text) <= max(LONG, PART + GROUP_LEAST)
     assert [a for _, a, _ in found] == sorted(a for _, a, _ in found)
+
+
+def test_units_are_made_a_few_records_at_a_time(spark):
+    rows = [(i, 1, f"t {i}", "One sentence stands  here.\n And another one! " * 40) for i in range(2_000)] + [(9_999, 1, None, None), (9_998, 2, " ", "\t")]
+    u = segment(spark.createDataFrame(rows, "id long, version int, subject string, content string").coalesce(1))
+    assert u.count() == sum(len(units(s, c)) for *_, s, c in rows)
+    own = u.where("memory_id = 7").orderBy("unit_index").collect()
+    assert [tuple(r)[3:] for r in own] == units(*rows[7][2:])
+    # of what is held as Python objects there is a bound beside the Arrow batch
+    tracemalloc.start()
+    for _ in pieces(pa.RecordBatch.from_pylist([dict(zip(("id", "version", "subject", "content"), r)) for r in rows])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6, peak
