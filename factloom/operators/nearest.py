@@ -5,9 +5,13 @@ large group of copies is not compared with itself.  Vectors are dealt to the nea
 pivots, put in order of their distance to it, and cut into blocks of one cell and a narrow range of
 distances.  A vector's own block gives a first bound on its k-th distance.  A vector a with bound t and distance d to a
 block's pivot can have a neighbour there only if the block's range meets d - t to d + t, and if half of what d
-is over a's distance to its own pivot is within t.  So each vector is sent to those blocks alone, and there to those
+is over a's distance to its own pivot is within t.  So each vector meets those blocks alone, and there those
 rows alone; how many distances were worked out comes with the result.
 
+Vectors stay together by neighbouring blocks, in groups, and the blocks that a group needs are dealt out in slots.  A task reads a group
+once for a slot and lets its blocks pass, with bounds that fall as it goes on, so what is sent is a copy of a block for a group, not for a vector,
+and what is found is a vector's best of a slot, not of each block.
+
 Only the pivots and a row for each block pass the driver; both are of bounded number.
 """
 
@@ -26,6 +30,8 @@ from factloom.sources.commits import written
 PIVOTS = 64
 #: Rows of a block, and the most blocks that are told to all tasks; with more rows than both allow, blocks grow.
 BLOCK_ROWS, MOST_BLOCKS = 4_096, 100_000
+#: Asked vectors of a group and rows of a slot, about.
+GROUP_ROWS, SLOT_ROWS = 16_384, 65_536
 _ENTRY = "vid long, cell int, d double, unit_id long, memory_id long, asked boolean, embedding array<double>"
 _BLOCK = "block long, cell int, low double, high double, n long, n_asked long, ids binary, vectors binary, d binary"
 
@@ -39,6 +45,19 @@ def _distances(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - x) ** 2).sum(axis=1))
 
 
+def _thinned(i: np.ndarray, ids: np.ndarray, memories: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Which entries stay, in order of i, distance and id: of each i and memory the first k."""
+    order = np.lexsort((ids, d, i))
+    i, memories = i[order], memories[order]
+    # the place of each entry among those of its memory
+    own = np.lexsort((np.arange(len(i)), memories, i))
+    new = np.ones(len(i), bool)
+    new[1:] = (i[own][1:] != i[own][:-1]) | (memories[own][1:] != memories[own][:-1])
+    place = np.empty(len(i), np.int64)
+    place[own] = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+    return order[place < k]
+
+
 def best_entries(a: np.ndarray, rows: np.ndarray, ids: np.ndarray, memories: np.ndarray, k: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each vector of a the entries it may need: (number of a, number of the row, distance), at most 2 k each.
 
@@ -53,15 +72,8 @@ def best_entries(a: np.ndarray, rows: np.ndarray, ids: np.ndarray, memories: np.
         d = np.concatenate([_distances(a[i[s : s + 65_536]], rows[j[s : s + 65_536]]) for s in range(0, len(i), 65_536)] or [np.zeros(0)])
         fit = d <= within[i]
         i, j, d = i[fit], j[fit], d[fit]
-        order = np.lexsort((ids[j], d, i))
-        i, j, d = i[order], j[order], d[order]
-        # the place of each entry among those of its memory
-        own = np.lexsort((np.arange(len(i)), memories[j], i))
-        new = np.ones(len(i), bool)
-        new[1:] = (i[own][1:] != i[own][:-1]) | (memories[j[own]][1:] != memories[j[own]][:-1])
-        place = np.empty(len(i), np.int64)
-        place[own] = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-        i, j, d = (x[place < k] for x in (i, j, d))
+        kept = _thinned(i, ids[j], memories[j], d, k)
+        i, j, d = i[kept], j[kept], d[kept]
         short = (np.bincount(i, minlength=len(a)) < 2 * k) & (cut < np.square(within))
         if n == len(rows) or not short.any():
             break
@@ -113,6 +125,46 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _FOUND = "vid long, unit_id long, memory_id long, distance double, evaluated long"
 
 
+_STRIP = "grp int, home long, to array<long>, a_vids binary, a_vectors binary, a_bounds binary, a_d binary"
+
+
+class _Strip:
+    """Some asked vectors of one block, with the bounds they have and the best entries that they have met in other blocks."""
+
+    def __init__(self, row: dict, k: int):
+        self.home, self.k = row["block"], k
+        self.vids, self.bounds, self.d = (np.frombuffer(row[c], t) for c, t in (("a_vids", np.int64), ("a_bounds", float), ("a_d", float)))
+        self.bounds = self.bounds.copy()
+        self.x = np.frombuffer(row["a_vectors"], float).reshape(len(self.vids), -1)
+        self.evaluated = np.zeros(len(self.vids), np.int64)
+        none = np.zeros(0, np.int64)
+        self.i, self.units, self.memories, self.distances = none, none, none, np.zeros(0)
+
+    def meet(self, row: dict, ids: np.ndarray, x: np.ndarray, d: np.ndarray, centre: np.ndarray) -> None:
+        if row["block"] == self.home:
+            return
+        reach, to = self.bounds * (1 + 1e-9) + 1e-9, _distances(self.x, centre[None, :])
+        g = np.flatnonzero((to - reach <= row["high"]) & (to + reach >= row["low"]) & (to - self.d <= 2 * reach))
+        if not len(g):
+            return
+        s, e = (int(f(np.searchsorted(d, v, side))) for f, v, side in ((np.min, (to - reach)[g], "left"), (np.max, (to + reach)[g], "right")))
+        if s == e:
+            return
+        i, j, found = best_entries(self.x[g], x[s:e], ids[s:e, 1], ids[s:e, 2], self.k, self.bounds[g])
+        self.evaluated[g] += e - s
+        i, units, memories, distances = (np.concatenate(v) for v in ((self.i, g[i]), (self.units, ids[s:e, 1][j]), (self.memories, ids[s:e, 2][j]), (self.distances, found)))
+        kept = _thinned(i, units, memories, distances, self.k)
+        kept = kept[np.arange(len(kept)) - np.searchsorted(i[kept], i[kept]) < 2 * self.k]
+        self.i, self.units, self.memories, self.distances = i[kept], units[kept], memories[kept], distances[kept]
+        full = np.flatnonzero(np.bincount(self.i, minlength=len(self.vids)) == 2 * self.k)
+        last = self.distances[np.searchsorted(self.i, full, side="right") - 1]
+        self.bounds[full] = np.minimum(self.bounds[full], last)
+
+    def found(self) -> pa.RecordBatch:
+        ids = np.stack([self.vids[self.i], self.units, self.memories], axis=1)
+        return _found_batch(self.vids, ids, self.i, np.arange(len(self.i)), self.distances, self.evaluated)
+
+
 def _found_batch(vids: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, evaluated: np.ndarray) -> pa.RecordBatch:
     """Found entries, and a row without one for each vector with its number of distances."""
     none = [None] * len(vids)
@@ -157,7 +209,10 @@ def nearest_units(units: DataFrame, k: int, *, pivots: int | None = None, block_
     entries = written(first.mapInArrow(to_cells, _ENTRY), "entries")
     size = max(block_rows, -(-entries.count() // MOST_BLOCKS))
     blocks = written(_blocks(entries, size), "blocks")
-    ranges = spark.sparkContext.broadcast(tuple(np.array(x) for x in zip(*blocks.select("block", "cell", "low", "high").collect())))
+    ranges = spark.sparkContext.broadcast(tuple(np.array(x) for x in zip(*sorted(blocks.select("block", "cell", "low", "high").collect(), key=lambda r: (r.cell, r.low, r.block)))))
+    n_blocks = len(ranges.value[0])
+    together = max(1, min(GROUP_ROWS // size, n_blocks // 16))
+    slot = F.pmod(F.xxhash64("block"), F.lit(-(-n_blocks * size // SLOT_ROWS))).cast("int")
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each asked vector within its own block, and the bound on its distances that this gives; and where else it has to go."""
@@ -177,29 +232,38 @@ def nearest_units(units: DataFrame, k: int, *, pivots: int | None = None, block_
                 to = near[:, cell]
                 go = (to - reach[:, None] <= high) & (to + reach[:, None] >= low) & (to - d[own][:, None] <= 2 * reach[:, None]) & (block != row["block"])
                 values = _found_batch(ids[own, 0], ids, i, j, found, np.full(len(own), len(x), np.int64))
-                yield pa.RecordBatch.from_arrays([*values.columns, *(pa.nulls(values.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=[*values.schema.names, "block", "a_vids", "a_vectors", "a_bounds", "a_d"])
-                for t in np.flatnonzero(go.any(axis=0)):
-                    g = np.flatnonzero(go[:, t])
-                    sent = [int(block[t]), ids[own[g], 0].tobytes(), x[own[g]].tobytes(), bound[g].tobytes(), to[g, t].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())] + [pa.array([v], t) for v, t in zip(sent, (pa.int64(), *[pa.binary()] * 4))], names=[*values.schema.names, "block", "a_vids", "a_vectors", "a_bounds", "a_d"])
+                yield pa.RecordBatch.from_arrays([*values.columns, *(pa.nulls(values.num_rows, t) for t in kinds)], names=names)
+                if go.any():
+                    group = int(np.flatnonzero(block == row["block"])[0]) // together
+                    sent = [group, int(row["block"]), block[go.any(axis=0)].tolist(), ids[own, 0].tobytes(), x[own].tobytes(), bound.tobytes(), d[own].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())] + [pa.array([v], t) for v, t in zip(sent, kinds)], names=names)
 
-    seeded = written(blocks.where("n_asked > 0").mapInArrow(seed, _FOUND + ", block long, a_vids binary, a_vectors binary, a_bounds binary, a_d binary"), "seeded")
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    names = [*(x.split()[0] for x in _FOUND.split(", ")), *(x.split()[0] for x in _STRIP.split(", "))]
+    seeded = written(blocks.where("n_asked > 0").mapInArrow(seed, f"{_FOUND}, {_STRIP}"), "seeded")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors sent to a block, against those of its rows that the triangle inequality leaves."""
-        for row in (r for b in batches for r in b.to_pylist()):
-            ids, x, d = _opened(row)
-            vids, bounds, to = np.frombuffer(row["a_vids"], np.int64), np.frombuffer(row["a_bounds"], float), np.frombuffer(row["a_d"], float)
-            a = np.frombuffer(row["a_vectors"], float).reshape(len(vids), -1)
-            reach = bounds * (1 + 1e-9) + 1e-9
-            s, e = (int(f(np.searchsorted(d, v, side))) for f, v, side in ((np.min, to - reach, "left"), (np.max, to + reach, "right")))
-            if s < e:
-                i, j, found = best_entries(a, x[s:e], ids[s:e, 1], ids[s:e, 2], k, bounds)
-                yield _found_batch(vids, ids, i, j + s, found, np.full(len(vids), e - s, np.int64))
-
-    sent = seeded.where("block is not null").select("block", "a_vids", "a_vectors", "a_bounds", "a_d")
-    visited = sent.join(blocks.select("block", "ids", "vectors", "d"), "block").mapInArrow(visit, _FOUND)
-    found = written(seeded.where("block is null").select(*(x.split()[0] for x in _FOUND.split(", "))).unionByName(visited), "found")
+        """The strips of a group, and then the blocks of a slot as they pass, against those of their rows that the triangle inequality leaves."""
+        at, strips = None, []
+        for row in (r for b in batches for n in range(b.num_rows) for r in b.slice(n, 1).to_pylist()):
+            if (row["grp"], row["slot"]) != at:
+                yield from (s.found() for s in strips)
+                at, strips = (row["grp"], row["slot"]), []
+            if row["ids"] is None:
+                strips.append(_Strip(row, k))
+            else:
+                block = _opened(row)
+                for s in strips:
+                    s.meet(row, *block, centres.value[row["cell"]])
+        yield from (s.found() for s in strips)
+
+    strips = seeded.where("grp is not null").select(*(x.split()[0] for x in _STRIP.split(", ")))
+    to = strips.select("grp", F.explode("to").alias("block")).distinct().withColumn("slot", slot)
+    near_blocks = blocks.select("block", "cell", "low", "high", "ids", "vectors", "d").join(to, "block")
+    near_strips = strips.join(to.select("grp", "slot").distinct(), "grp").drop("to").withColumnRenamed("home", "block")
+    met = near_strips.unionByName(near_blocks, allowMissingColumns=True).repartition("grp", "slot")
+    visited = met.sortWithinPartitions("grp", "slot", F.col("ids").isNotNull(), "block").mapInArrow(visit, _FOUND)
+    found = written(seeded.where("grp is null").select(*(x.split()[0] for x in _FOUND.split(", "))).unionByName(visited), "found")
     order = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy("distance", "unit_id"))
     evaluated = found.groupBy("vid").agg(F.sum("evaluated").alias("evaluated"))
     best = found.where("unit_id is not null").drop("evaluated").withColumn("own", order("vid", "memory_id")).where(F.col("own") <= k)

@@ -102,3 +102,23 @@ def test_nearest_units_against_all_distances(spark, a_memory):
         evaluated = {x.anchor_id: x.evaluated for x in got}
         assert sum(evaluated.values()) < (0.6 if options else 1) * len(evaluated) * 400
     assert nearest_units(u.limit(0), 4).count() == 0 and nearest_units(u.where("unit_id < 3"), 4).count() == 0
+
+
+def test_what_is_found_grows_by_slots_and_not_by_blocks(spark, monkeypatch):
+    from factloom.operators import nearest as N
+
+    kept, write = {}, N.written
+    monkeypatch.setattr(N, "written", lambda df, label: kept.setdefault(label, write(df, label)))
+    r = np.random.default_rng(9)
+    x = r.normal(size=(600, 24)).round(3)  # so many dimensions that the triangle inequality leaves nearly nothing out
+    u = spark.createDataFrame([(i, i // 3, v.tolist(), i % 2 == 0) for i, v in enumerate(x)], "unit_id long, memory_id long, embedding array<double>, asked boolean")
+    every = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    every[np.arange(600)[:, None] // 3 == np.arange(600)[None] // 3] = np.inf
+    want = {(i, int(j)) for i in range(0, 600, 2) for j in np.lexsort((np.arange(600), every[i]))[:3]}
+    for rows, slots in ((200, 3), (65_536, 1)):
+        kept.clear()
+        monkeypatch.setattr(N, "SLOT_ROWS", rows)
+        got = N.nearest_units(u, 3, pivots=4, block_rows=8, strip=5)
+        assert {(a.anchor_id, a.unit_id) for a in got.collect()} == want
+        blocks, found = kept["blocks"].count(), kept["found"].where("unit_id is not null").groupBy("vid").count().agg({"count": "max"}).first()[0]
+        assert blocks > 50 and found <= 6 * (1 + slots + 2), (blocks, found)
