@@ -12,12 +12,28 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+def plain(array: pa.Array) -> list:
+    """What to_pylist gives, of nested fields a column at a time: several times faster."""
+    if pa.types.is_struct(array.type):
+        names = [f.name for f in array.type]
+        rows = [dict(zip(names, x)) for x in zip(*map(plain, array.flatten()))]
+        return [r if there else None for r, there in zip(rows, array.is_valid().to_pylist())] if array.null_count else rows
+    if pa.types.is_list(array.type):
+        values, out, at = plain(array.flatten()), [], 0
+        for n in pc.list_value_length(array).to_pylist():
+            out.append(None if n is None else values[at : at + n])
+            at += n or 0
+        return out
+    return array.to_pylist()
+
+
 def fold_log(records: DataFrame, log: DataFrame, key: str, step: Callable[[dict | None, dict], tuple[dict | None, tuple]], result: T.StructType) -> DataFrame:
     """log with the columns of ``result``, by ``step(state, event) -> (state, values)``; the first state is the record, or None."""
     of_record, of_log = F.struct(*records.columns), F.struct(*log.columns)
@@ -32,7 +48,7 @@ def fold_log(records: DataFrame, log: DataFrame, key: str, step: Callable[[dict
         at, state = object(), None
         for b in batches:
             rows, values = [], []
-            for i, (k, record, event) in enumerate(zip(*(b.column(c).to_pylist() for c in ("k", "record", "event")))):
+            for i, (k, record, event) in enumerate(zip(*(plain(b.column(c)) for c in ("k", "record", "event")))):
                 if k != at or record is not None:
                     at, state = k, record
                 if event is not None:
