@@ -159,3 +159,16 @@ def test_of_two_writers_one_publishes(spark, index):
 
     assert not index.step(rows, slow, "b") and index.complete(rows, "b")
     assert spaces(index) == {(i, 1, 5) for i in range(1, 5)}
+
+
+def test_a_step_looks_for_what_is_pending_once(spark, index, monkeypatch):
+    from factloom.streaming import rebuild as B
+
+    seen = spark.sparkContext.accumulator(0)
+    asked = F.udf(lambda s: seen.add(1) or s, "string").asNondeterministic()
+    rows = records(spark, [(i, 1, "active") for i in range(1, 9)]).coalesce(1)
+    index.start("a")
+    monkeypatch.setattr(SpaceIndex, "pending", lambda self, r: B.pending(r.withColumn("status", asked("status")), self.units()))
+    assert index.step(rows, encode(1), "a") and seen.value == 8
+    blank = spark.createDataFrame([(1, "active", None, " 　\n"), (2, "active", "", "x"), (3, "active", None, None), (4, "deleted", "x", "x"), (5, "active", "　y", None)], "id long, status string, subject string, content string")
+    assert sorted(r.id for r in B.indexable(blank).collect()) == [2, 5]
