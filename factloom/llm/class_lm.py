@@ -14,6 +14,7 @@ with transitions smoothed by the classes' own frequencies.  ``new`` is the chanc
 training has not seen, by Good and Turing from the words seen once; it is shared out evenly among as
 many words as training has and one more.  Every count is taken over the whole training corpus.
 
+Texts are split and words numbered a batch at a time, as arrays; Spark sums, groups and joins.
 Scoring reads each text once.  The ``head``, the most frequent words with their classes, is broadcast
 (a table bounded by that parameter); the classes of other words are joined from the vocabulary and
 put into their places of the text's row of classes.
@@ -24,14 +25,12 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,15 +47,45 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-class _Numbers(dict):
-    """Numbers of words; one number for all others."""
+def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words that tokens() gives of each text, all in one line, as numbers; the words that the numbers stand for; how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    codes, n = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+    blank = pc.index(coded.dictionary, "").as_py()  # before and after white space at the ends of a text
+    if blank >= 0:
+        kept = codes != blank
+        n = np.diff(np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(n)])])
+        codes = codes[kept]
+    return codes, coded.dictionary, n
 
-    def __init__(self, words, other: int):
-        super().__init__(words)
-        self.other = other
 
-    def __missing__(self, word: bytes) -> int:
-        return self.other
+def numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Each word's place in known; the one after the last for all others."""
+    return pc.fill_null(pc.index_in(words, known), len(known)).to_numpy()
+
+
+def line_of(values: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
+    """The texts' values with the end before the first, between any two and after the last."""
+    line = np.full(len(values) + len(n) + 1, end, np.int64)
+    line[np.arange(len(values)) + np.repeat(np.arange(1, len(n) + 1), n)] = values
+    return line
+
+
+def _cells(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of binary cells, one after another, and how many each cell has."""
+    values = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return values, pc.binary_length(column).to_numpy() // values.itemsize
+
+
+def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Cells of so many values each."""
+    offsets = np.concatenate([[0], np.cumsum(n) * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _lists(values: pa.Array, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
 
 
 @dataclass
@@ -80,19 +109,25 @@ def count_words(texts: DataFrame, most: int = 150_000) -> DataFrame:
     ship_package(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[tuple[pa.Array, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def summed() -> tuple[pa.Array, np.ndarray]:
+            words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            n = np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in held]), len(words.dictionary))
+            return words.dictionary, n.astype(np.int64)
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(tokens(t))
-                if len(held) > most:
-                    yield out()
-                    held.clear()
+            codes, words, _ = cut(b.column(0))
+            n = np.bincount(codes, minlength=len(words))
+            held.append((words.filter(pa.array(n > 0)), n[n > 0]))
+            if sum(len(w) for w, _ in held) > most:
+                held = [summed()]
+                if len(held[0][0]) > most:
+                    yield pa.RecordBatch.from_arrays([held[0][0], pa.array(held[0][1])], names=["word", "n"])
+                    held = []
         if held:
-            yield out()
+            words, n = summed()
+            yield pa.RecordBatch.from_arrays([words, pa.array(n)], names=["word", "n"])
 
     return texts.select("t").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -101,34 +136,22 @@ def _bigrams(texts: DataFrame, shared) -> DataFrame:
     """texts(t) to (u, v, n): bigrams of the core's numbers, one for all other words, and the end, which also begins a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        other = len(words)
-        number = _Numbers(((w, i) for i, w in enumerate(words)), other).__getitem__
+        core = pa.array([w.decode() for w in shared.value], pa.string())
+        other = len(core)
         end, size = other + 1, np.int64(other + 2)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            code, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+            code, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code // size), pa.array(code % size), pa.array(n)], names=["u", "v", "n"])
 
-        def count() -> None:
-            x = np.array(line, np.int64)
-            held.append(np.unique(x[:-1] * size + x[1:], return_counts=True))
-
-        line = [end]
         for b in batches:
-            for t in b.column(0).to_pylist():
-                line += map(number, tokens(t))
-                line.append(end)
-                if len(line) > 200_000:
-                    count()
-                    line = [end]
-                if sum(len(c) for c, _ in held) > 500_000:
-                    yield out()
-                    held.clear()
-        if len(line) > 1:
-            count()
+            codes, words, n = cut(b.column(0))
+            line = line_of(numbered(words, core)[codes], n, end)
+            held.append(line[:-1] * size + line[1:])
+            if sum(map(len, held)) > 2_000_000:
+                yield out()
+                held = []
         if held:
             yield out()
 
@@ -220,45 +243,41 @@ def likelihood(bigrams: np.ndarray) -> float:
 
 
 def _contexts(texts: DataFrame, shared, classes: int) -> DataFrame:
-    """Occurrences of words outside the core: (word, codes) with the classes on both sides of each, and
-    (word, following, n) where the next word is outside too."""
+    """Words outside the core: (word, codes, following) with the classes on both sides of each occurrence, and the
+    words that follow it where they are outside too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other, end, size = classes, classes + 1, classes + 2
-        of = _Numbers(shared.value, other).__getitem__
-        held: dict[bytes, list[int]] = {}
-        pairs: Counter = Counter()
-        have = 0
-
-        def out() -> pa.RecordBatch:
-            word = [w.decode() for w in held] + [w.decode() for w, _ in pairs]
-            following = [None] * len(held) + [v.decode() for _, v in pairs]
-            codes = [array("H", c).tobytes() for c in held.values()] + [None] * len(pairs)
-            n = [None] * len(held) + list(pairs.values())
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(following, pa.string()), pa.array(codes, pa.binary()), pa.array(n, pa.int64())], names=["word", "following", "codes", "n"])
+        core, of = pa.array([w.decode() for w in shared.value], pa.string()), np.array([*shared.value.values(), other])
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            every = pa.concat_arrays([w for w, *_ in held]).dictionary_encode()
+            number, first = every.indices.to_numpy(), np.cumsum([0, *(len(w) for w, *_ in held)])
+            word = np.concatenate([number[k + x] for k, (_, x, _, _) in zip(first, held)])
+            after = np.concatenate([np.where(x < 0, -1, number[k + x]) for k, (_, _, _, x) in zip(first, held)])
+            order = np.argsort(word)
+            codes, after, n = np.concatenate([c for _, _, c, _ in held])[order], after[order], np.bincount(word)
+            present = np.flatnonzero(n)
+            n = n[present]
+            follow = np.add.reduceat(after >= 0, np.cumsum(n) - n, dtype=np.int64)
+            lists = _lists(every.dictionary.take(pa.array(after[after >= 0])), follow)
+            made = pa.RecordBatch.from_arrays([every.dictionary.take(pa.array(present)), _binary(codes, n), lists], names=["word", "codes", "following"])
+            yield from (made.slice(k, 50_000) for k in range(0, len(present), 50_000))
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                words = tokens(t)
-                c = np.array([end, *map(of, words), end], np.int64)
-                at = np.flatnonzero(c == other)
-                for i, code in zip((at - 1).tolist(), (c[at - 1] * size + c[at + 1]).tolist()):
-                    w = words[i]
-                    if w in held:
-                        held[w].append(code)
-                    else:
-                        held[w] = [code]
-                pairs.update((words[i - 1], words[i]) for i in at[c[at + 1] == other].tolist())
-                have += len(at)
-                if have > 400_000:
-                    yield out()
-                    held.clear()
-                    pairs.clear()
-                    have = 0
+            codes, words, n = cut(b.column(0))
+            c, x = line_of(of[numbered(words, core)[codes]], n, end), line_of(codes, n, -1)
+            at = np.flatnonzero(c == other)
+            if len(at):
+                held.append((words, x[at], (c[at - 1] * size + c[at + 1]).astype("<u2"), np.where(c[at + 1] == other, x[at + 1], -1)))
+            if sum(len(x) for _, x, _, _ in held) > 1_000_000:
+                yield from out()
+                held = []
         if held:
-            yield out()
+            yield from out()
 
-    return texts.select("t").mapInArrow(run, "word string, following string, codes binary, n long")
+    return texts.select("t").mapInArrow(run, "word string, codes binary, following array<string>")
 
 
 def join_gains(entries: np.ndarray, word: np.ndarray, n: np.ndarray, words: int, before: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -268,12 +287,13 @@ def join_gains(entries: np.ndarray, word: np.ndarray, n: np.ndarray, words: int,
     before[x]: how often each class has x on that side; total: how often each class occurs.
     """
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    once = _xlogx(before + 1) - _xlogx(before)  # most contexts come once
+    few = min(16, int(n.max(initial=1)))  # most contexts come a few times
+    rises = np.stack([_xlogx(before + k) - _xlogx(before) for k in range(1, few + 1)])
     gain = np.empty((words, len(total)))
     for k in range(0, words, 1_024):
         own = slice(first[k], first[k + 1_024] if k + 1_024 < words else len(word))
-        rise = once[entries[own]]
-        more = np.flatnonzero(n[own] > 1)
+        rise = rises[np.minimum(n[own], few) - 1, entries[own]]
+        more = np.flatnonzero(n[own] > few)
         x = before[entries[own][more]]
         rise[more] = _xlogx(x + n[own][more, None]) - _xlogx(x)
         gain[k : k + 1_024] = np.add.reduceat(rise, first[k : k + 1_024] - first[k])
@@ -282,51 +302,79 @@ def join_gains(entries: np.ndarray, word: np.ndarray, n: np.ndarray, words: int,
     return gain - (_xlogx(total + sizes[:, None]) - _xlogx(total))[which]
 
 
+def joined_classes(every: np.ndarray, n: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class that each word joins, given the codes of its n occurrences, one word's after another's.
+
+    Words with one occurrence are many and have few different codes: each code is worked out once.
+    """
+    size, once = classes + 2, n == 1
+    alone = np.repeat(once, n)
+    code, same = np.unique(every[alone], return_inverse=True)
+    several, words = int((~once).sum()), int((~once).sum()) + len(code)
+    at = np.concatenate([every[~alone], code])
+    whose = np.concatenate([np.repeat(np.arange(several), n[~once]), np.arange(several, words)])
+    gain = np.zeros((words, classes))
+    sides = (at // size, table[:, :classes], table.sum(0)), (at % size, table[:classes].T, table.sum(1))
+    for x, before, total in sides:
+        key, k = np.unique(whose * size + x, return_counts=True)
+        gain += join_gains(key % size, key // size, k, words, np.ascontiguousarray(before), total[:classes])
+    best, out = gain.argmax(1), np.empty(len(n), np.int64)
+    out[~once], out[once] = best[:several], best[several:][same]
+    return out
+
+
 def _joined(contexts: DataFrame, shared, classes: int) -> DataFrame:
-    """(word, codes) to (word, n, class); and rows without a word: how often two classes (a code) follow one another there."""
+    """(word, codes, following) to three kinds of rows: (word, n, class); (word, before) for each time a word follows
+    one of the class before; and without a word (n, class): how often two classes (a code) follow one another there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, size = shared.value, classes + 2
-        before, after = np.ascontiguousarray(table[:, :classes]), np.ascontiguousarray(table[:classes].T)
-        in_n, out_n = table.sum(0)[:classes], table.sum(1)[:classes]
-        met = np.zeros((size, size), np.int64)
-
-        def sums() -> Iterator[tuple[str, np.ndarray]]:
-            """Each word with how often it has each pair of classes around it."""
-            rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for word, group in groupby(rows, key=lambda r: r[0]):
-                codes = [np.frombuffer(c, "<u2") for _, c in group]
-                yield word, codes[0] if len(codes) == 1 else np.concatenate(codes)
-
-        def out(words: list[str], codes: list[np.ndarray]) -> pa.RecordBatch:
-            n = np.array([len(c) for c in codes])
-            every, whose = np.concatenate(codes).astype(np.int64), np.repeat(np.arange(len(words)), n)
-            gain, sides = 0, []
-            for at, seen, total in ((every // size, before, in_n), (every % size, after, out_n)):
-                code, k = np.unique(whose * size + at, return_counts=True)
-                gain = gain + join_gains(code % size, code // size, k, len(words), seen, total)
-                sides.append((code % size, code // size, k))
-            best = gain.argmax(1)
-            (l, lw, lk), (r, rw, rk) = sides
-            np.add.at(met, (l, best[lw]), np.where(l == classes, 0, lk))
-            np.add.at(met, (best[rw], r), np.where(r == classes, 0, rk))
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n), pa.array(best)], names=["word", "n", "class"])
-
-        words, codes, have = [], [], 0
-        for word, c in sums():
-            words.append(word)
-            codes.append(c)
-            have += len(c)
-            if len(words) == 2_000 or have > 500_000:
-                yield out(words, codes)
-                words, codes, have = [], [], 0
-        if words:
-            yield out(words, codes)
+        table, size, names = shared.value, classes + 2, ["word", "n", "class", "before"]
+        met = np.zeros(size * size)
+
+        def out(rows: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows in the order of their words; first: each word's first row."""
+            every, n = _cells(rows.column("codes").combine_chunks(), "<u2")
+            every, n = every.astype(np.int64), np.add.reduceat(n, first)
+            best = joined_classes(every, n, table, classes)
+            own, left, right = np.repeat(best, n), every // size, every % size
+            for code, x in ((left * size + own, left), (own * size + right, right)):
+                met[:] += np.bincount(code[x != classes], minlength=size * size)
+            words = rows.column("word").combine_chunks().take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(best), pa.nulls(len(n), pa.int64())], names=names)
+            lists = rows.column("following").combine_chunks()
+            times = np.add.reduceat(pc.list_value_length(lists).to_numpy(), first, dtype=np.int64)
+            none = pa.nulls(int(times.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([lists.flatten(), none, none, pa.array(np.repeat(best, times))], names=names)
+
+        def chunks() -> Iterator[tuple[pa.Table, np.ndarray]]:
+            """All rows of some words at a time."""
+            held, have = [], 0
+            for b in batches:
+                held.append(b)
+                have += b.num_rows
+                if have >= 20_000:
+                    rows, first = begun(held)
+                    if len(first) > 1:
+                        yield rows.slice(0, first[-1]), first[:-1]
+                    held = rows.slice(first[-1]).to_batches()
+                    have = 0
+            if held:
+                rows, first = begun(held)
+                if len(first):
+                    yield rows, first
+
+        def begun(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            words = rows.column("word").combine_chunks()
+            return rows, np.concatenate([np.zeros(min(1, len(words)), np.int64), 1 + np.flatnonzero(pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))])
+
+        for rows, first in chunks():
+            yield from out(rows, first)
         at = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(met.ravel()[at]), pa.array(at)], names=["word", "n", "class"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(met[at].astype(np.int64)), pa.array(at), pa.nulls(len(at), pa.int64())], names=names)
 
-    ordered = contexts.where("codes is not null").select("word", "codes").repartition("word").sortWithinPartitions("word")
-    return ordered.mapInArrow(run, "word string, n long, class long")
+    ordered = contexts.repartition("word").sortWithinPartitions("word")
+    return ordered.mapInArrow(run, "word string, n long, class long, before long")
 
 
 def fit_classes(
@@ -372,21 +420,21 @@ def fit_classes(
     of = best[1][: len(words)].tolist()
 
     # the other words, and all class bigrams that they are part of
-    contexts = written(_contexts(texts, spark.sparkContext.broadcast(dict(zip(words, of))), classes), "contexts")
+    contexts = _contexts(texts, spark.sparkContext.broadcast(dict(zip(words, of))), classes)
     joined = written(_joined(contexts, spark.sparkContext.broadcast(table), classes), "joined")
     known = spark.createDataFrame([(r["word"], r["n"], c) for r, c in zip(first, of)], "word string, n long, class long")
-    vocabulary = written(joined.where("word is not null").unionByName(known), "vocabulary")
+    others = joined.where("word is not null and class is not null").select("word", "n", "class")
+    vocabulary = written(others.unionByName(known), "vocabulary")
     whole = table.copy()
     whole[other] = 0
     whole[:, other] = 0
     for code, n in joined.where("word is null").groupBy("class").agg(F.sum("n")).collect():
         whole[code // size, code % size] += n
-    side = vocabulary.select("word", "class")
-    pairs = contexts.where("codes is null").groupBy("word", "following").agg(F.sum("n").alias("n"))
-    pairs = pairs.join(side.withColumnRenamed("class", "a"), "word").join(side.select(F.col("word").alias("following"), F.col("class").alias("b")), "following")
-    for a, b, n in pairs.groupBy("a", "b").agg(F.sum("n")).collect():
+    pairs = joined.where("before is not null").select("word", F.col("before").alias("a"))
+    pairs = pairs.join(vocabulary.select("word", F.col("class").alias("b")), "word").groupBy("a", "b").agg(F.count("*").alias("n"))
+    for a, b, n in pairs.collect():
         whole[a, b] += n
-    discard(contexts, joined)
+    discard(joined)
     whole = np.delete(np.delete(whole, other, 0), other, 1)
     n_class = whole.sum(0)
     prior = (n_class + 1) / (n_class.sum() + classes + 1)
@@ -397,12 +445,12 @@ def fit_classes(
 
 
 def _head(shared) -> tuple:
-    """Numbers of the head's words; by number the class, and the count; the last is that of all others."""
+    """The head's words; by their places the classes, and the counts; the last is that of all others."""
     name, joined, classes, counts = shared.value
 
     def build() -> tuple:
-        words = joined.split(b"\n") if joined else []
-        return _Numbers(((w, i) for i, w in enumerate(words)), len(words)), np.append(classes, _HOLE).astype(np.uint8), np.append(counts, 0)
+        words = pa.array(joined.decode().split("\n") if joined else [], pa.string())
+        return words, np.append(classes, _HOLE).astype(np.uint8), np.append(counts, 0)
 
     return worker_value(name, build)
 
@@ -430,25 +478,24 @@ def score_texts(docs: DataFrame, model: ClassModel, *, text: str = "text", head:
     given = docs.select(F.struct(*others).alias("row"), F.col(text).alias("t"))
     kind = given.schema["row"].dataType.simpleString()
     end, n_texts = model.classes, model.n_texts
-    hole = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int32())]))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, of, counts = _head(shared)
+        head_words, of, counts = _head(shared)
         base_log, model_log = np.log10(counts + 1), np.log10(np.maximum(counts, 1))
         key = TaskContext.get().partitionId() << 40
-        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            keys, rows, holes, base, own = [], [], [], [], []
-            for t in b.column("t").to_pylist():
-                words = tokens(t)
-                x = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                c = of[x]
-                keys.append(key)
-                rows.append(c.tobytes() + bytes([end if n_texts else _HOLE]))
-                holes.append([{"word": words[i].decode(), "at": i} for i in np.flatnonzero(c == _HOLE).tolist()])
-                base.append(base_log[x].sum())
-                own.append(model_log[x].sum())
-                key += 1
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(keys), pa.array(rows, pa.binary()), pa.array(holes, hole), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["row", "key", "classes", "holes", "base", "own"])
+        for b in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
+            codes, words, n = cut(b.column("t"))
+            x = numbered(words, head_words)[codes]
+            text = np.repeat(np.arange(len(n)), n)
+            line = np.full(len(x) + len(n), end if n_texts else _HOLE, np.uint8)
+            line[np.arange(len(x)) + text] = c = of[x]
+            open_ = np.flatnonzero(c == _HOLE)
+            at = open_ - (np.cumsum(n) - n)[text[open_]]
+            holes = pa.StructArray.from_arrays([words.take(pa.array(codes[open_])), pa.array(at, pa.int32())], ["word", "at"])
+            sums = (pa.array(np.bincount(text, logs[x], len(n)).astype(float)) for logs in (base_log, model_log))  # whole numbers if all texts are empty
+            columns = [b.column("row"), pa.array(np.arange(key, key + len(n))), _binary(line, n + 1), _lists(holes, np.bincount(text[open_], minlength=len(n))), *sums]
+            key += len(n)
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "classes", "holes", "base", "own"])
 
     looked = written(given.mapInArrow(look_up, f"row {kind}, key long, classes binary, holes array<struct<word:string,at:int>>, base double, own double"), "looked")
     rest = looked.select("key", F.inline("holes")).join(vocabulary.where(F.col("n") < least), "word")
@@ -458,26 +505,28 @@ def score_texts(docs: DataFrame, model: ClassModel, *, text: str = "text", head:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_log, new_log = math.log10(1 - new), math.log10(new / (n_types + 1))
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for data, base, own, at, of, n in zip(*(b.column(c).to_pylist() for c in ("classes", "base", "own", "at", "class", "n"))):
-                c = np.frombuffer(data, np.uint8).astype(np.int64)
-                total = base + math.log10(n_texts + 1) - len(c) * denominator
-                own += math.log10(max(1, n_texts))
-                if at:  # in the order in which the join gave them; each place has one
-                    c[at] = of
-                    total += np.log10(np.array(n) + 1.0).sum()
-                    own += np.log10(np.array(n, np.float64)).sum()
-                seen = c != _HOLE
-                before = np.where(seen, c, end + 1)
-                before = np.concatenate([[end], before[:-1]])[seen]
-                k = int(seen.sum())
-                c = c[seen]
-                model_score = own + transition[before, c].sum() - emission[c].sum() + k * known_log + (len(seen) - k) * new_log
-                for column, v in zip(out, (len(seen), k, train, total, model_score)):
-                    column.append(v)
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            c, n = _cells(b.column("classes"), np.uint8)
+            c, start, text = c.astype(np.int64), np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            total = b.column("base").to_numpy() + math.log10(n_texts + 1) - n * denominator
+            own = b.column("own").to_numpy() + math.log10(max(1, n_texts))
+            # places are in the order in which the join gave them; each has one
+            filled = np.repeat(np.arange(len(n)), pc.fill_null(pc.list_value_length(b.column("at")), 0).to_numpy())
+            if len(filled):
+                times = b.column("n").flatten().to_numpy()
+                c[start[filled] + b.column("at").flatten().to_numpy()] = b.column("class").flatten().to_numpy()
+                total = total + np.bincount(filled, np.log10(times + 1.0), len(n))
+                own = own + np.bincount(filled, np.log10(np.maximum(times, 1.0)), len(n))
+            seen = c != _HOLE
+            before = np.where(seen, c, end + 1)
+            before = np.concatenate([[end], before[:-1]])
+            before[start] = end
+            gain = np.bincount(text[seen], transition[before[seen], c[seen]] - emission[c[seen]], len(n))
+            k = np.bincount(text[seen], minlength=len(n))
+            model_score = own + gain + k * known_log + (n - k) * new_log
+            columns = (n, k, np.full(len(n), train), total, model_score)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, t) for v, t in zip(out, types))], names=["row", *names])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(v, t) for v, t in zip(columns, types))], names=["row", *names])
 
     schema = f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return looked.drop("holes").join(filled, "key", "left").mapInArrow(score, schema).select("row.*", *names)
