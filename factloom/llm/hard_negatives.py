@@ -11,14 +11,15 @@ or below the k-th best score found so far, are left out; the others are scored a
 
 Two such searches follow each other: each anchor's best rows of its own label, its positives; then for each
 positive the best rows of other labels within a range of scores that the positive sets.  Anchors are a stated
-set, packed in groups.  Spark deals groups and blocks of rows out: each group meets every block once,
-some blocks of it one after another in a task, which carries the best along; the short lists are merged
-by Spark.  Nothing but counts passes the driver.
+set, packed in groups.  Rows are dealt to slots and groups to shards, and each slot and shard meet in one task: it holds the
+slot's rows and their codes, in bounded number, lets the groups pass, and carries each group's best along its blocks; the
+short lists are merged by Spark.  Nothing but counts passes the driver; slots and shards meet by a shuffle and no join,
+so Spark has nothing to broadcast there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, ship_package, written
+from factloom.llm.common import discard, met, narrowed, opened, ship_package, slots_and_shards, written
 
 #: Bit planes of an anchor's turned components.
 PLANES = 8
 _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: Whole numbers below this are exact as doubles.
+_EXACT = 1 << 53
 
 
 def rotation(width: int) -> np.ndarray:
@@ -79,50 +82,73 @@ class Codes:
         return centre - reach, centre + reach
 
 
+class _Block:
+    """Rows of a slot, as they are held while groups of anchors pass."""
+
+    def __init__(self, r: dict, width: int, turn: np.ndarray):
+        self.ids, self.labels = np.frombuffer(r["b_id"], np.int64), np.frombuffer(r["b_label"], np.int64)
+        self.rows = opened(r["b_v"], len(self.ids), width)
+        self.largest = max(int(self.rows.max(initial=0)), -int(self.rows.min(initial=0)))
+        self.codes = Codes(self.rows, turn)
+
+
 def best_within(
     block: np.ndarray, ids: np.ndarray, allowed: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray,
-    least: int, most: int, k: int, held: tuple[np.ndarray, np.ndarray],
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """held (ids, scores) and the block's allowed rows of least <= score <= most, the k best of them; and how many rows were scored.
+    ranges: list[tuple[int, int]], k: int, held: list[tuple[np.ndarray, np.ndarray]],
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each range (least, most) the k best of what is held (ids, scores) and the block's allowed rows of least <= score <= most.
 
-    low, high: the rows' intervals.  The k rows of the highest upper bound are scored first, as those
-    reached bound all others.
+    low, high: the rows' intervals.  A range's rows of the highest upper bound are scored first, as those
+    reached bound all others.  A row is scored once for all ranges.
     """
-    open_ = np.flatnonzero(allowed & (high >= least) & (low <= most))
-    scored = 0
-    while len(open_):
-        if len(held[0]) == k:
-            open_ = open_[high[open_] >= held[1][-1]]
-        first = open_ if len(open_) <= 4 * k else open_[np.argpartition(-high[open_], 4 * k)[: 4 * k]]
-        if scored:  # the rest at once
-            first = open_
-        s = block[first] @ anchor
-        fit = (s >= least) & (s <= most)
-        own, s = np.concatenate([held[0], ids[first[fit]]]), np.concatenate([held[1], s[fit]])
+    at = np.flatnonzero(allowed)
+    ids, low, high = ids[at], low[at], high[at]
+    scores, known = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    reached = lambda least, s: max(least, int(np.partition(s, len(s) - k)[len(s) - k])) if len(s) >= k else least
+    floors = [reached(least, s) for (least, _), (_, s) in zip(ranges, held)]
+    for rest in (False, True):
+        new = np.zeros(len(ids), bool)
+        for (_, most), floor in zip(ranges, floors):
+            open_ = np.flatnonzero((high >= floor) & (low <= most))
+            if not rest and len(open_) > 4 * k:
+                open_ = open_[np.argpartition(-high[open_], 4 * k)[: 4 * k]]
+            new[open_] = True
+        new = np.flatnonzero(new & ~known)
+        if not len(new):
+            break
+        # of many rows the products are taken without picking rows first
+        scores[new] = block[at[new]] @ anchor if len(new) < len(block) // 4 else (block @ anchor)[at[new]]
+        known[new] = True
+        s = scores[known]
+        floors = [reached(floor, np.concatenate([old, s[(s >= floor) & (s <= most)]])) for (_, most), floor, (_, old) in zip(ranges, floors, held)]
+    out = []
+    for (_, most), floor, (old_ids, old) in zip(ranges, floors, held):
+        fit = np.flatnonzero(known & (scores >= floor) & (scores <= most))
+        own, s = np.concatenate([old_ids, ids[fit]]), np.concatenate([old, scores[fit]])
         order = np.lexsort((own, -s))[:k]
-        held, scored = (own[order], s[order]), scored + len(first)
-        open_ = np.setdiff1d(open_, first, assume_unique=True)
-    return *held, scored
+        out.append((own[order], s[order]))
+    return out
 
 
-def _pack(rows: DataFrame, columns: list[str], width: int, most: int) -> DataFrame:
-    """rows(columns ..., v) as blocks: each column's numbers as bytes, and the vectors; by ``part``, if there is one, none across two of its values."""
-    by = "part" in columns
-    names = [c for c in columns if c != "part"]
+def _pack(rows: DataFrame, columns: list[str], lists: dict[str, int], most: int) -> DataFrame:
+    """rows(part, columns ..., lists ...) as blocks of one part: each column's numbers as bytes, and the lists, filled up with zeros to their width."""
+    names = [*columns, *lists]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have, at = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            whole = [np.concatenate(x).tobytes() for x in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64())] + [pa.array([x], pa.binary()) for x in whole], names=["part", *names, "v"])
+            whole = [np.concatenate(x) for x in zip(*held)]
+            whole = [narrowed(x) if c in lists else x.tobytes() for c, x in zip(names, whole)]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64())] + [pa.array([x], pa.binary()) for x in whole], names=["part", *names])
 
         for batch in batches:
-            lists = batch.column("v")
-            dense = np.zeros((batch.num_rows, width), np.int64)
-            dense[np.arange(width)[None, :] < lists.value_lengths().to_numpy(zero_copy_only=False)[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-            numbers = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names] + [dense]
-            parts = batch.column("part").to_numpy(zero_copy_only=False) if by else np.zeros(batch.num_rows, np.int64)
+            numbers = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+            for c, width in lists.items():
+                dense = np.zeros((batch.num_rows, width), np.int64)
+                dense[np.arange(width)[None, :] < batch.column(c).value_lengths().to_numpy(zero_copy_only=False)[:, None]] = batch.column(c).flatten().to_numpy(zero_copy_only=False)
+                numbers.append(dense)
+            parts = batch.column("part").to_numpy(zero_copy_only=False)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(parts)) + 1, [len(parts)]]).tolist()
             for a, b in zip(cut[:-1], cut[1:]):
                 while a < b:
@@ -135,51 +161,54 @@ def _pack(rows: DataFrame, columns: list[str], width: int, most: int) -> DataFra
         if held:
             yield out()
 
-    if by:
-        rows = rows.repartition("part").sortWithinPartitions("part", *(c for c in names if c in ("anchor", "id")))
-    return rows.select(*columns, "v").mapInArrow(run, "part long, " + "".join(f"{c} binary, " for c in names) + "v binary")
+    ordered = rows.select("part", *names).repartition("part").sortWithinPartitions("part", columns[0])
+    return ordered.mapInArrow(run, "part long, " + ", ".join(f"{c} binary" for c in names))
 
 
-def _search(asked: DataFrame, blocks: DataFrame, width: int, slots: int, k: int, same_label: bool, names: list[str]) -> DataFrame:
-    """names ..., id, score: for each asked row the k best fitting rows of a slot's blocks.
+def _search(pairs: DataFrame, width: int, k: int, per_anchor: int = 0) -> DataFrame:
+    """anchor, id, score: for each asked row the k best rows of its label among a slot's blocks.
 
-    asked(part, anchor, label, v and, for other labels, positive, positive_score, least, most) and blocks(part, id, label, v).
+    pairs: what met() gives of blocks(b_id, b_label, b_v) and asked(anchor, label, v).  With per_anchor, asked has also n and
+    ranges, each row's positives as up to so many (positive, positive_score, least, most); for each comes the k best of other labels
+    from least to most, with positive and positive_score.
     """
-    columns = [c for c in asked.columns if c != "part"]
+    names = ["anchor", "positive", "positive_score"] if per_anchor else ["anchor"]
+
+    def group(r: dict, blocks: list[_Block], turn: np.ndarray) -> Iterator[pa.RecordBatch]:
+        anchors, labels = np.frombuffer(r["anchor"], np.int64), np.frombuffer(r["label"], np.int64)
+        own = opened(r["v"], len(anchors), width).astype(np.int64)
+        named, ranges = [(a,) for a in anchors], [[(_LEAST, _MOST)]] * len(anchors)
+        if per_anchor:
+            given = [x[:n].tolist() for x, n in zip(opened(r["ranges"], len(anchors), 4 * per_anchor).reshape(-1, per_anchor, 4), np.frombuffer(r["n"], np.int64))]
+            named, ranges = [(a, p, s) for a, x in zip(anchors, given) for p, s, *_ in x], [[(least, most) for *_, least, most in x] for x in given]
+        held = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(x) for x in ranges]
+        length = max(sum(map(abs, x)) for x in own.tolist())
+        for block in blocks:
+            if (largest := block.largest * length) >= 1 << 63:
+                raise OverflowError("a score does not fit into 64 bits")
+            kind = np.float64 if largest < _EXACT else np.int64
+            rows, asked = block.rows.astype(kind), own.astype(kind)
+            low, high = block.codes.intervals(own, turn)
+            for i in range(len(anchors)):
+                allowed = ((block.labels == labels[i]) != bool(per_anchor)) & (block.ids != anchors[i])
+                held[i] = best_within(rows, block.ids, allowed, asked[i], low[i], high[i], ranges[i], k, held[i])
+        best = [x for some in held for x in some]
+        n = [len(x) for x, _ in best]
+        if sum(n):
+            values = [np.repeat(np.array(x, np.int64), n) for x in zip(*named)] + [np.concatenate(x) for x in zip(*best)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in values], names=[*names, "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(width)
-        rows = (r for b in batches for r in b.to_pylist())
-        for _, met in groupby(rows, key=lambda r: (r["part"], r["slot"])):
-            held: list = []
-            for r in met:
-                q = {c: np.frombuffer(r[c], np.int64) for c in columns}
-                n = len(q["anchor"])
-                held = held or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
-                ids, labels = np.frombuffer(r["b_id"], np.int64), np.frombuffer(r["b_label"], np.int64)
-                block, own = np.frombuffer(r["b_v"], np.int64).reshape(len(ids), width), q["v"].reshape(n, width)
-                largest = int(np.abs(block.astype(object)).max(initial=0)) * int(np.abs(own.astype(object)).sum(axis=1).max(initial=0))
-                if largest >= 1 << 63:
-                    raise OverflowError("a score does not fit into 64 bits")
-                codes = Codes(block, turn)
-                # rows of one anchor stand together: its intervals are worked out once
-                _, first, which = np.unique(q["anchor"], return_index=True, return_inverse=True)
-                low, high = codes.intervals(own[first], turn)
-                for i in range(n):
-                    allowed = labels == q["label"][i] if same_label else labels != q["label"][i]
-                    allowed &= ids != q["anchor"][i]
-                    least, most = (_LEAST, _MOST) if same_label else (int(q["least"][i]), int(q["most"][i]))
-                    *best, _ = best_within(block, ids, allowed, own[i], low[which[i]], high[which[i]], least, most, k, held[i])
-                    held[i] = tuple(best)
-            n = [len(x) for x, _ in held]
-            if sum(n):
-                values = [np.repeat(q[c], n) for c in names] + [np.concatenate([x for x, _ in held]), np.concatenate([s for _, s in held])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in values], names=[*names, "id", "score"])
-
-    # each group of anchors goes to the blocks of every slot
-    sent = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    pairs = blocks.select("slot", *(F.col(c).alias(f"b_{c}") for c in ("id", "label", "v"))).join(sent, "slot")
-    pairs = pairs.repartition("part", "slot").sortWithinPartitions("part", "slot")
+        rows = (r for b in batches for n in range(b.num_rows) for r in b.slice(n, 1).to_pylist())
+        for _, own in groupby(rows, key=lambda r: r["task"]):
+            blocks: list[_Block] = []
+            for r in own:
+                if r["is_asked"]:
+                    yield from group(r, blocks, turn)
+                else:
+                    blocks.append(_Block(r, width, turn))
+
     return pairs.mapInArrow(run, "".join(f"{c} long, " for c in names) + "id long, score long")
 
 
@@ -202,7 +231,7 @@ def mine_hard_negatives(
     most_percent: int = 90,
     block_rows: int = 4_096,
     group_rows: int = 256,
-    blocks_a_slot: int = 4,
+    blocks_a_slot: int = 64,
 ) -> DataFrame:
     """anchor_id, positive_id, rank (from 1), negative_id, positive_score, negative_score.
 
@@ -224,26 +253,26 @@ def mine_hard_negatives(
     given = given.select(F.col(key).cast("long").alias("id"), named.cast("long").alias("label"), whole.alias("v"), is_anchor.alias("asked")).dropDuplicates(["id", "label", "v"])
     given = written(given, "vectors")
     n, anchors, width = given.agg(F.count("*"), F.count_if("asked"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    width, slots = max(1, width), max(1, -(-n // (block_rows * blocks_a_slot)))
-    blocks = _pack(given, ["id", "label"], width, block_rows).select(F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot"), "id", "label", "v")
-    blocks = written(blocks, "blocks")
+    width = max(1, width)
+    slots, shards = slots_and_shards(n, anchors, width, block_rows, group_rows, blocks_a_slot)
+    blocks = _pack(given.withColumn("part", F.pmod(F.xxhash64("id", "label", "v"), F.lit(slots))), ["id", "label"], {"v": width}, block_rows)
+    blocks = written(blocks.withColumnsRenamed({"part": "slot", "id": "b_id", "label": "b_label", "v": "b_v"}), "blocks")
 
-    def grouped(df: DataFrame, count: int, columns: list[str]) -> DataFrame:
-        groups = max(1, -(-count // group_rows))
-        df = df.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-        packed = _pack(df, ["part", *columns], width, 2 * group_rows)
-        return written(packed.withColumn("part", F.monotonically_increasing_id()), "asked")
+    def search(asked: DataFrame, columns: list[str], lists: dict[str, int], k: int, per_anchor: int = 0) -> DataFrame:
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("anchor", "v"), F.lit(shards)))
+        packed = _pack(asked, columns, {"v": width, **lists}, group_rows).withColumnRenamed("part", "shard")
+        return _search(met(packed, blocks, slots, shards), width, k, per_anchor)
 
     own = given.where("asked").select(F.col("id").alias("anchor"), "label", "v")
-    asked = grouped(own, anchors, ["anchor", "label"])
-    first = _ranked(_search(asked, blocks, width, slots, positives, True, ["anchor"]), ["anchor"], positives)
+    first = _ranked(search(own, ["anchor", "label"], {}, positives), ["anchor"], positives)
     # 100 * s between the percentages of the positive's score, as whole numbers of s
     low, high = f"{least_percent} * positive_score", f"{most_percent} * positive_score"
     pairs = first.select("anchor", F.col("id").alias("positive"), F.col("score").alias("positive_score"))
     pairs = pairs.withColumns({"least": F.expr(f"({low} + pmod(-({low}), 100L)) div 100"), "most": F.expr(f"({high} - pmod({high}, 100L)) div 100")})
     pairs = written(pairs.where("least <= most"), "positives")
-    second = grouped(pairs.join(own, "anchor"), pairs.count(), ["anchor", "label", "positive", "positive_score", "least", "most"])
-    found = written(_search(second, blocks, width, slots, negatives, False, ["anchor", "positive", "positive_score"]), "found")
-    discard(given, asked, blocks, pairs, second)
+    ranges = F.collect_list(F.array("positive", "positive_score", "least", "most"))
+    ranged = pairs.groupBy("anchor").agg(F.count("*").alias("n"), F.flatten(ranges).alias("ranges")).join(own.hint("merge"), "anchor")
+    found = written(search(ranged, ["anchor", "label", "n"], {"ranges": 4 * positives}, negatives, positives), "found")
+    discard(given, blocks, pairs)
     out = _ranked(found, ["anchor", "positive"], negatives)
     return out.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

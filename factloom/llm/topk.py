@@ -10,9 +10,10 @@ read, plus what each unread list gives where it now stands).  Candidates whose u
 the k-th best lower bound, or below the k-th best score of the blocks before, cannot qualify and are
 read no further.  When few are left, reading stops and their final scores are resolved from the block.
 
-Queries are a stated set, packed in groups.  Spark deals out groups and blocks: each group meets
-every block once, some blocks of it one after another in a task, which carries each query's best
-along; the lists of k are merged by Spark.  Nothing but counts passes the driver.
+Queries are a stated set, packed in groups.  Rows are dealt to slots and groups to shards, and each slot and shard
+meet in one task: it holds the lists of the slot's blocks, in bounded number, lets the groups pass, and carries each query's
+best along the blocks; the lists of k are merged by Spark.  Nothing but counts passes the driver; slots and shards meet by
+a shuffle and no join, so Spark has nothing to broadcast there.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, ship_package, written
+from factloom.llm.common import discard, met, narrowed, opened, ship_package, slots_and_shards, written
 
 #: Whole numbers below this are exact as doubles.
 _EXACT = 1 << 53
@@ -99,8 +100,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _packed(rows: DataFrame, width: int, most: int, by: str | None = None) -> DataFrame:
-    """rows(id, v) as (ids, vectors), at most ``most`` in one; with ``by``, in order of that column, none across two of its values."""
+def _packed(rows: DataFrame, width: int, most: int, by: str) -> DataFrame:
+    """rows(id, v, by) as (by, ids, vectors), at most ``most`` in one, none across two values of ``by``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -108,7 +109,7 @@ def _packed(rows: DataFrame, width: int, most: int, by: str | None = None) -> Da
 
         def out() -> pa.RecordBatch:
             ids, dense = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([dense.tobytes()], pa.binary())], names=["part", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([narrowed(dense)], pa.binary())], names=[by, "ids", "vectors"])
 
         for batch in batches:
             ids, lists, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
@@ -126,36 +127,37 @@ def _packed(rows: DataFrame, width: int, most: int, by: str | None = None) -> Da
         if held:
             yield out()
 
-    given = rows.select("id", "v", F.col(by).cast("long") if by else F.lit(0).cast("long"))
-    if by:
-        given = given.repartition(given.columns[2]).sortWithinPartitions(given.columns[2])
-    return given.mapInArrow(run, "part long, ids binary, vectors binary")
+    given = rows.select("id", "v", F.col(by).cast("long"))
+    return given.repartition(by).sortWithinPartitions(by).mapInArrow(run, f"{by} long, ids binary, vectors binary")
 
 
 def _found(pairs: DataFrame, k: int, width: int) -> DataFrame:
-    """pairs(group, slot, q_ids, q_vectors, ids, vectors) to query_id, vec_id, score: each query's k best of a slot's blocks."""
+    """What met() gives of blocks(ids, vectors) and asked(q_ids, q_vectors) to query_id, vec_id, score: each query's k best of a slot's blocks."""
+
+    def group(own: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, SortedLists]]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
+        for ids, order, lists in blocks:
+            least = np.array([s[-1] if len(s) == k else np.iinfo(np.int64).min for _, s in best], np.int64)
+            low, high = (np.searchsorted(ids[order], own, side) for side in ("left", "right"))
+            for i, (at, scores) in enumerate(lists.search(queries, k, least, [order[a:b] for a, b in zip(low, high)])):
+                best[i] = _best(np.concatenate([best[i][0], ids[at]]), np.concatenate([best[i][1], scores]), k)
+        n = [len(x) for x, _ in best]
+        if sum(n):
+            columns = np.repeat(own, n), np.concatenate([x for x, _ in best]), np.concatenate([s for _, s in best])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        for _, blocks in groupby(rows, key=lambda r: r[:2]):
-            best: list | None = None
-            for _, _, q_ids, q_vectors, ids, vectors in blocks:
-                own = np.frombuffer(q_ids, np.int64)
-                queries, ids = np.frombuffer(q_vectors, np.int64).reshape(len(own), width), np.frombuffer(ids, np.int64)
-                best = best or [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
-                least = np.array([s[-1] if len(s) == k else np.iinfo(np.int64).min for _, s in best], np.int64)
-                order = np.argsort(ids, kind="stable")
-                low, high = (np.searchsorted(ids[order], own, side) for side in ("left", "right"))
-                lists = SortedLists(np.frombuffer(vectors, np.int64).reshape(len(ids), width))
-                for i, (at, scores) in enumerate(lists.search(queries, k, least, [order[a:b] for a, b in zip(low, high)])):
-                    best[i] = _best(np.concatenate([best[i][0], ids[at]]), np.concatenate([best[i][1], scores]), k)
-            n = [len(x) for x, _ in best]
-            if sum(n):
-                columns = np.repeat(own, n), np.concatenate([x for x, _ in best]), np.concatenate([s for _, s in best])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    ordered = pairs.repartition("group", "slot").sortWithinPartitions("group", "slot")
-    return ordered.select("group", "slot", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+        rows = (r for b in batches for n in range(b.num_rows) for r in b.slice(n, 1).to_pylist())
+        for _, met_ in groupby(rows, key=lambda r: r["task"]):
+            blocks: list[tuple[np.ndarray, np.ndarray, SortedLists]] = []
+            for r in met_:
+                ids = np.frombuffer(r["q_ids"] if r["is_asked"] else r["ids"], np.int64)
+                if r["is_asked"]:
+                    yield from group(ids, opened(r["q_vectors"], len(ids), width), blocks)
+                else:
+                    blocks.append((ids, np.argsort(ids, kind="stable"), SortedLists(opened(r["vectors"], len(ids), width))))
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -186,14 +188,12 @@ def top_k(
     given = given.select(F.col(key).cast("long").alias("id"), whole.alias("v"), is_query.alias("q")).dropDuplicates(["id", "v"])
     given = written(given, "vectors")
     rows, n, width = given.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    groups, slots = max(1, -(-n // query_rows)), max(1, -(-rows // (block_rows * blocks_a_slot)))
-    asked = given.where("q").withColumn("group", F.pmod(F.xxhash64("id", "v"), F.lit(groups)))
-    asked = _packed(asked, width, 2 * query_rows, "group").select(F.monotonically_increasing_id().alias("group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    asked = written(asked, "queries")
-    blocks = _packed(given, width, block_rows).select(F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"), "ids", "vectors")
-    # each group of queries goes to the blocks of every slot
-    sent = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
-    found = written(_found(blocks.join(sent, "slot"), k, width), "found")
-    discard(given, asked)
+    width = max(1, width)
+    slots, shards = slots_and_shards(rows, n, width, block_rows, query_rows, blocks_a_slot)
+    dealt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
+    asked = _packed(given.where("q").withColumn("shard", dealt(shards)), width, query_rows, "shard").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    blocks = _packed(given.withColumn("slot", dealt(slots)), width, block_rows, "slot")
+    found = written(_found(met(asked, blocks, slots, shards), k, width), "found")
+    discard(given)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
